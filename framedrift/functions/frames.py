@@ -9,7 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framedrift.functions.octets import hex_uint, pad_to, put_uint, word_sum, word_sum_native
+from framedrift.functions.octets import (
+    hex_uint,
+    opaque,
+    pad_to,
+    put_uint,
+    word_sum,
+    word_sum_native,
+)
 
 # Fixed values of the protocols.
 LINKTYPE_ETHERNET = 1
@@ -31,109 +38,117 @@ ICMP_HEADER = 8
 HEADER_BYTES = ETHERNET_HEADER + 2 * VLAN_TAG + 60 + TCP_HEADER
 DEFAULT_DUMMY = 32
 
+_DECODING = ["_hex", "_len", "_tags", "_inner", "_eth", "_l3", "_w0", "_w1", "_w2", "_v4", "_v6"]
+_DECODING += ["_l4", "_total", "_proto", "_first", "_seq", "_words", "_end", "_tcp", "_udp", "_pay"]
 
-def with_header(df: DataFrame) -> DataFrame:
+
+def with_header(df: DataFrame, only: Column | None = None) -> DataFrame:
     """Add ``hdr``: where the layers of each frame lie, and the fields the edits need.
 
-    Null for frames that are not Ethernet or too short for an Ethernet header. The
-    stages are separate projections, so that every offset is computed once.
+    Null for frames that are not Ethernet or too short for an Ethernet header, and where
+    ``only`` is not true. The stages are separate projections, so that each offset is
+    computed once; several fields are cut out of one decoded word.
     """
-    raw = F.hex(F.substring("frame", 1, HEADER_BYTES))
-    at = lambda offset, width: hex_uint(F.col("_hex"), offset, width)
+    c = F.col
+    decodable = (c("linktype") == LINKTYPE_ETHERNET) & (F.length("frame") >= ETHERNET_HEADER)
+    if only is not None:
+        decodable = decodable & only
+    head = F.hex(F.substring("frame", 1, HEADER_BYTES))
+    # Fields beyond the end of a short frame read as zero; the length checks exclude them.
+    df = df.withColumns(
+        {"_hex": F.when(decodable, F.rpad(head, 2 * HEADER_BYTES, "0")), "_len": F.length("frame")}
+    )
+    word = lambda offset, width=4: hex_uint(c("_hex"), offset, width)
+    low16 = lambda value: value.bitwiseAND(0xFFFF)
     tagged = lambda ethertype: ethertype.isin(ETHERTYPE_VLAN, ETHERTYPE_QINQ)
 
-    df = df.withColumns({"_hex": raw, "_len": F.length("frame")})
-    df = df.withColumns({"_t0": at(12, 2), "_t1": at(16, 2), "_t2": at(20, 2)})
-    two_tags = tagged(F.col("_t0")) & tagged(F.col("_t1"))
+    df = df.withColumns({"_tags": word(12, 6), "_inner": word(20, 2)})
+    outer, second = F.shiftright("_tags", 32), low16(c("_tags"))
     df = df.withColumns(
         {
-            "_eth": F.when(two_tags, F.col("_t2"))
-            .when(tagged(F.col("_t0")), F.col("_t1"))
-            .otherwise(F.col("_t0")),
-            "_l3": F.when(two_tags, ETHERNET_HEADER + 2 * VLAN_TAG)
-            .when(tagged(F.col("_t0")), ETHERNET_HEADER + VLAN_TAG)
-            .otherwise(ETHERNET_HEADER),
+            "_eth": F.when(~tagged(outer), outer)
+            .when(tagged(second), c("_inner"))
+            .otherwise(second),
+            "_l3": F.when(~tagged(outer), ETHERNET_HEADER)
+            .when(tagged(second), ETHERNET_HEADER + 2 * VLAN_TAG)
+            .otherwise(ETHERNET_HEADER + VLAN_TAG),
         }
     )
-    df = df.withColumn("_vihl", at(F.col("_l3"), 1))
-    version = F.shiftright(F.col("_vihl"), 4)
-    ihl = F.col("_vihl").bitwiseAND(15).cast("int") * 4
-    is_v4 = (F.col("_eth") == ETHERTYPE_IPV4) & (version == 4) & (ihl >= 20)
-    is_v4 = is_v4 & (F.col("_len") >= F.col("_l3") + ihl)
-    is_v6 = (F.col("_eth") == ETHERTYPE_IPV6) & (version == 6)
-    is_v6 = is_v6 & (F.col("_len") >= F.col("_l3") + IPV6_HEADER)
+    df = df.withColumns({f"_w{i}": word(c("_l3") + 4 * i) for i in range(3)})
+    version = F.shiftright("_w0", 28)
+    ihl = F.shiftright("_w0", 24).bitwiseAND(15).cast("int") * 4
     df = df.withColumns(
         {
-            "_v4": F.coalesce(is_v4, F.lit(False)),
-            "_v6": F.coalesce(is_v6, F.lit(False)),
-            "_ihl": ihl,
+            "_v4": (c("_eth") == ETHERTYPE_IPV4)
+            & (version == 4)
+            & (ihl >= 20)
+            & (c("_len") >= c("_l3") + ihl),
+            "_v6": (c("_eth") == ETHERTYPE_IPV6)
+            & (version == 6)
+            & (c("_len") >= c("_l3") + IPV6_HEADER),
         }
     )
-    l3 = F.col("_l3")
     df = df.withColumns(
         {
-            "_l4": F.when(F.col("_v4"), l3 + F.col("_ihl")).when(F.col("_v6"), l3 + IPV6_HEADER),
-            "_total": F.when(F.col("_v4"), at(l3 + 2, 2)).when(
-                F.col("_v6"), at(l3 + 4, 2) + IPV6_HEADER
-            ),
-            "_proto": F.when(F.col("_v4"), at(l3 + 9, 1)).when(F.col("_v6"), at(l3 + 6, 1)),
-            "_first": F.when(F.col("_v4"), at(l3 + 6, 2).bitwiseAND(0x1FFF) == 0).otherwise(
-                F.col("_v6")
-            ),
+            "_l4": c("_l3") + F.when(c("_v4"), ihl).when(c("_v6"), IPV6_HEADER),
+            "_total": F.when(c("_v4"), low16(c("_w0")))
+            .when(c("_v6"), F.shiftright("_w1", 16) + IPV6_HEADER)
+            .cast("int"),
+            "_proto": F.when(c("_v4"), F.shiftright("_w2", 16))
+            .when(c("_v6"), F.shiftright("_w1", 8))
+            .bitwiseAND(0xFF)
+            .cast("int"),
+            # Only the first fragment of a datagram has a TCP or UDP header.
+            "_first": c("_v6") | (c("_w1").bitwiseAND(0x1FFF) == 0),
         }
     )
-    # A total length shorter than its own header means "as long as the frame".
-    usable = F.col("_total") > F.when(F.col("_v6"), F.lit(IPV6_HEADER)).otherwise(
-        F.col("_ihl") - 1
+    # A total length that leaves nothing behind its header means "as long as the frame".
+    smallest = F.when(c("_v4"), c("_l4") - c("_l3")).otherwise(IPV6_HEADER + 1)
+    df = df.withColumns(
+        {
+            "_seq": word(c("_l4") + 4),
+            "_words": F.conv(F.substr("_hex", c("_l4") * 2 + 25, F.lit(1)), 16, 10).cast("int"),
+            "_end": F.when(
+                c("_total") >= smallest, F.least(c("_len"), c("_l3") + c("_total"))
+            ).otherwise(c("_len")),
+        }
     )
-    end = F.when(usable, F.least(F.col("_len"), l3 + F.col("_total").cast("int")))
-    df = df.withColumn("_end", F.coalesce(end, F.col("_len")))
-    df = df.withColumn("_doff", F.shiftright(at(F.col("_l4") + 12, 1), 4).cast("int") * 4)
-    room = F.col("_end") - F.col("_l4")
-    has_tcp = (F.col("_proto") == PROTO_TCP) & F.col("_first") & (room >= TCP_HEADER)
-    has_udp = (F.col("_proto") == PROTO_UDP) & F.col("_first") & (room >= UDP_HEADER)
-    has_icmp = (F.col("_proto") == PROTO_ICMP) & F.col("_first") & F.col("_v4")
+    room = F.when(c("_first"), c("_end") - c("_l4"))
     df = df.withColumns(
         {
-            "_tcp": F.coalesce(has_tcp & (F.col("_doff") >= TCP_HEADER), F.lit(False)),
-            "_udp": F.coalesce(has_udp, F.lit(False)),
-            "_icmp": F.coalesce(has_icmp, F.lit(False)),
+            "_tcp": F.coalesce(
+                (c("_proto") == PROTO_TCP) & (room >= TCP_HEADER) & (c("_words") >= 5),
+                F.lit(False),
+            ),
+            "_udp": F.coalesce((c("_proto") == PROTO_UDP) & (room >= UDP_HEADER), F.lit(False)),
         }
     )
+    icmp = c("_v4") & c("_first") & (c("_proto") == PROTO_ICMP)
     payload = (
-        F.when(F.col("_tcp"), F.least(F.col("_l4") + F.col("_doff"), F.col("_end")))
-        .when(F.col("_udp"), F.col("_l4") + UDP_HEADER)
-        .when(F.col("_icmp"), F.least(F.col("_l4") + ICMP_HEADER, F.col("_end")))
-        .when(F.col("_v4") | F.col("_v6"), F.col("_l4"))
-        .when(F.col("_eth") == ETHERTYPE_ARP, F.col("_len"))
-        .otherwise(F.least(l3, F.col("_len")))
+        F.when(c("_tcp"), c("_l4") + c("_words") * 4)
+        .when(c("_udp"), c("_l4") + UDP_HEADER)
+        .when(icmp, c("_l4") + ICMP_HEADER)
+        .when(c("_v4") | c("_v6"), c("_l4"))
+        .when(c("_eth") == ETHERTYPE_ARP, c("_len"))
+        .otherwise(c("_l3"))
     )
-    df = df.withColumn("_pay", payload.cast("int"))
-    decodable = (F.col("linktype") == LINKTYPE_ETHERNET) & (F.col("_len") >= ETHERNET_HEADER)
+    df = df.withColumn("_pay", F.least(payload, c("_end")))
     header = F.struct(
-        F.col("_eth").cast("int").alias("eth_type"),
-        l3.cast("int").alias("l3_off"),
-        F.when(F.col("_v4"), F.col("_ihl")).when(F.col("_v6"), IPV6_HEADER).alias("ihl"),
-        F.col("_total").cast("int").alias("ip_total_len"),
-        F.col("_proto").cast("int").alias("proto"),
-        F.col("_l4").cast("int").alias("l4_off"),
-        F.when(F.col("_tcp"), at(F.col("_l4") + 4, 4)).alias("tcp_seq"),
-        F.col("_pay").alias("payload_off"),
-        (F.col("_end") - F.col("_pay")).cast("int").alias("payload_len"),
-        (F.col("_v4") | F.col("_v6")).alias("has_ip"),
-        F.col("_v4").alias("is_v4"),
-        F.col("_tcp").alias("has_tcp"),
-        F.col("_udp").alias("has_udp"),
+        c("_eth").cast("int").alias("eth_type"),
+        c("_l3").alias("l3_off"),
+        (c("_l4") - c("_l3")).alias("ihl"),
+        c("_total").alias("ip_total_len"),
+        c("_proto").alias("proto"),
+        c("_l4").alias("l4_off"),
+        F.when(c("_tcp"), c("_seq")).alias("tcp_seq"),
+        c("_pay").alias("payload_off"),
+        (c("_end") - c("_pay")).alias("payload_len"),
+        (c("_v4") | c("_v6")).alias("has_ip"),
+        c("_v4").alias("is_v4"),
+        c("_tcp").alias("has_tcp"),
+        c("_udp").alias("has_udp"),
     )
-    df = df.withColumn("hdr", F.when(decodable, header))
-    scratch = ["_hex", "_len", "_t0", "_t1", "_t2", "_eth", "_l3", "_vihl", "_v4", "_v6", "_ihl"]
-    scratch += ["_l4", "_total", "_proto", "_first", "_end", "_doff", "_tcp", "_udp", "_icmp"]
-    return df.drop(*scratch, "_pay")
-
-
-def payload_end() -> Column:
-    """End of the payload; later bytes are link padding."""
-    return F.col("hdr.payload_off") + F.col("hdr.payload_len")
+    return df.withColumn("hdr", opaque(F.when(c("_hex").isNotNull(), header))).drop(*_DECODING)
 
 
 def checksum_of(word_total: Column) -> Column:
@@ -142,58 +157,102 @@ def checksum_of(word_total: Column) -> Column:
 
 
 def ip_header_checksum(header: Column) -> Column:
-    """Checksum of an IPv4 header (BINARY, up to 60 bytes), its checksum field counting as zero."""
-    hexed = F.rpad(F.hex(header), 120, "0")
-    total = sum((hex_uint(hexed, 6 * i, 6) % 65535 for i in range(10)), start=F.lit(65535))
-    return checksum_of(total - hex_uint(hexed, 10, 2))
+    """Checksum of an IPv4 header (BINARY), its checksum field counting as zero."""
+    return checksum_of(word_sum_native(header) + 65535 - hex_uint(F.hex(header), 10, 2))
 
 
-def repair_checksums(df: DataFrame, flag: str, native: bool = False) -> DataFrame:
-    """Recompute IPv4, TCP and UDP checksums of the frames whose column ``flag`` is true.
+def _repair(df: DataFrame, end: Column, lengths: str | None, native: bool) -> DataFrame:
+    """Length and checksum fields of frames flagged ``_edit``; ``end`` is the end of the payload.
 
-    ``hdr`` must describe the frame. The sum over the segment is an Arrow UDF that sees
-    flagged segments only (nulls elsewhere); ``native`` computes it in SQL expressions.
+    Word sums are taken once, over the IPv4 header and over addresses and segment. They are
+    an Arrow UDF that gets nulls for frames not flagged, or SQL expressions if ``native``.
+    What the new length fields and the stale checksums change in them is plain arithmetic.
     """
-    l3, l4 = F.col("hdr.l3_off"), F.col("hdr.l4_off")
-    flagged = F.col(flag)
-    has_l4 = F.col("hdr.has_tcp") | F.col("hdr.has_udp")
-    ip_bytes = F.substr("frame", l3 + 1, F.col("hdr.ihl"))
-    fixed = put_uint(F.col("frame"), l3 + 10, ip_header_checksum(ip_bytes), 2)
-    df = df.withColumn(
-        "frame", F.when(flagged & F.col("hdr.is_v4"), fixed).otherwise(F.col("frame"))
-    )
-
-    field = l4 + F.when(F.col("hdr.has_tcp"), 16).otherwise(6)
-    segment = F.when(flagged & has_l4, F.substr("frame", l4 + 1, payload_end() - l4))
+    c = F.col
+    l3, l4, is_v4 = c("hdr.l3_off"), c("hdr.l4_off"), c("hdr.is_v4")
+    has_l4 = c("hdr.has_tcp") | c("hdr.has_udp")
     summed = word_sum_native if native else word_sum
-    df = df.withColumn("_sum", summed(segment))
-    ip_hex = F.hex(F.substr("frame", l3 + 1, F.lit(IPV6_HEADER)))
-    addresses = F.when(F.col("hdr.is_v4"), hex_uint(ip_hex, 12, 4) + hex_uint(ip_hex, 16, 4))
-    addresses = addresses.otherwise(
-        sum((hex_uint(ip_hex, 8 + 4 * i, 4) for i in range(1, 8)), start=hex_uint(ip_hex, 8, 4))
+    frame = c("frame")
+    addresses = F.when(is_v4, F.substr(frame, l3 + 13, F.lit(8))).otherwise(
+        F.substr(frame, l3 + 9, F.lit(32))
+    )
+    df = df.withColumn("_end", F.when(c("_edit"), end))
+    df = df.withColumns(
+        {
+            "_head": F.when(c("_edit") & is_v4, F.substr(frame, l3 + 1, c("hdr.ihl"))),
+            "_segment": F.when(
+                c("_edit") & has_l4,
+                F.concat(addresses, F.substr(frame, l4 + 1, c("_end") - l4)),
+            ),
+            "_field": l4 + F.when(c("hdr.has_tcp"), 16).otherwise(6),
+        }
+    )
+    df = df.withColumns({"_head_sum": summed(c("_head")), "_sum": summed(c("_segment"))})
+    stale = lambda data, offset: hex_uint(F.hex(F.substr(data, offset + 1, F.lit(2))), 0, 2)
+    df = df.withColumns(
+        {
+            "_head_stale": stale(c("_head"), F.lit(10)),
+            "_stale": stale(c("_segment"), c("_field") - l4 + F.when(is_v4, 8).otherwise(32)),
+            "_size": c("_end") - l4,
+        }
+    )
+    sixteen_bits = lambda size: F.when(size > 65535, F.lit(0)).otherwise(size)
+    df = df.withColumns({"_total": c("hdr.ip_total_len"), "_udp_len": F.lit(None).cast("int")})
+    if lengths is not None:
+        total = sixteen_bits(c("_end") - l3)
+        v6_total = sixteen_bits(c("_end") - l3 - IPV6_HEADER)
+        df = df.withColumn("_total", F.when(is_v4, total).otherwise(v6_total))
+        if lengths == "all":
+            df = df.withColumns(
+                {
+                    "_udp_len": F.when(c("hdr.has_udp"), sixteen_bits(c("_size"))),
+                    "_stale": c("_stale")
+                    + F.when(c("hdr.has_udp"), stale(c("_segment"), 4 + F.when(is_v4, 8).otherwise(32)))
+                    .otherwise(0),
+                }
+            )
+    ip_sum = c("_head_sum") - c("_head_stale") - c("hdr.ip_total_len") + c("_total")
+    value = c("_sum") - c("_stale") + c("hdr.proto") + c("_size") + F.coalesce("_udp_len", F.lit(0))
+    df = df.withColumns(
+        {
+            "_ip_check": checksum_of(ip_sum + 3 * 65535),
+            "_check": checksum_of(value + 3 * 65535),
+        }
     )
-    stale = hex_uint(F.hex(F.substr("frame", field + 1, F.lit(2))), 0, 2)
-    total = F.col("_sum") + addresses + F.col("hdr.proto") + (payload_end() - l4) + 65535 - stale
-    value = checksum_of(total)
-    value = F.when(F.col("hdr.has_udp") & (value == 0), F.lit(65535)).otherwise(value)
-    return df.withColumn(
-        "frame",
-        F.when(flagged & has_l4, put_uint(F.col("frame"), field, value, 2)).otherwise(
-            F.col("frame")
-        ),
-    ).drop("_sum")
+    udp_zero = c("hdr.has_udp") & (c("_check") == 0)
+
+    def write(df: DataFrame, where: Column, offset: Column, value: Column) -> DataFrame:
+        changed = put_uint(frame, offset, value, 2)
+        return df.withColumn("frame", F.when(c("_edit") & where, changed).otherwise(frame))
+
+    if lengths is not None:
+        rewritten = c("hdr.has_ip") if lengths == "all" else is_v4
+        df = write(df, rewritten, l3 + F.when(is_v4, 2).otherwise(4), c("_total"))
+        df = write(df, c("_udp_len").isNotNull(), l4 + 4, c("_udp_len"))
+    df = write(df, is_v4, l3 + 10, c("_ip_check"))
+    df = write(df, has_l4, c("_field"), F.when(udp_zero, 65535).otherwise(c("_check")))
+    df = df.withColumn("frame", opaque(frame))
+    scratch = ["_end", "_head", "_segment", "_field", "_head_sum", "_sum", "_head_stale", "_stale"]
+    return df.drop(*scratch, "_size", "_total", "_udp_len", "_ip_check", "_check")
+
+
+def payload_end() -> Column:
+    """End of the payload; later bytes are link padding."""
+    return F.col("hdr.payload_off") + F.col("hdr.payload_len")
 
 
 def shift_sequence(df: DataFrame, flag: str, offset: int, native: bool = False) -> DataFrame:
-    """Add ``offset`` (mod 2^32) to the TCP sequence number of flagged frames, repair checksums."""
+    """Add ``offset`` (mod 2^32) to the TCP sequence number of flagged frames, repair checksums.
+
+    ``flag`` is narrowed to the frames that were edited.
+    """
+    df = with_header(df, F.col(flag))
     shifted = F.pmod(F.col("hdr.tcp_seq") + F.lit(int(offset)), F.lit(1 << 32))
     edited = put_uint(F.col("frame"), F.col("hdr.l4_off") + 4, shifted, 4)
-    df = df.withColumn("_edit", F.coalesce(F.col(flag) & F.col("hdr.has_tcp"), F.lit(False)))
+    df = df.withColumn("_edit", F.coalesce(F.col("hdr.has_tcp"), F.lit(False)))
     df = df.withColumn("frame", F.when(F.col("_edit"), edited).otherwise(F.col("frame")))
-    moved = F.col("hdr").withField("tcp_seq", shifted)
-    df = df.withColumn("hdr", F.when(F.col("_edit"), moved).otherwise(F.col("hdr")))
-    df = repair_checksums(df, "_edit", native)
-    return df.withColumn(flag, F.col("_edit")).drop("_edit")
+    df = _repair(df, payload_end(), None, native)
+    return df.withColumn(flag, F.col("_edit")).drop("_edit", "hdr")
 
 
 def forged_length(length: Column, new_len: int | None) -> Column:
@@ -219,40 +278,24 @@ def forge_length(
 ) -> DataFrame:
     """Forge the payload length of flagged frames, then repair lengths and checksums.
 
-    ``lengths='all'`` rewrites the IPv4, IPv6 and UDP length fields, ``'ipv4'`` only the
+    ``flag`` is narrowed to the frames that were edited. ``lengths='all'`` rewrites the IPv4, IPv6 and UDP length fields, ``'ipv4'`` only the
     first. A length beyond 16 bits is written as 0. Link padding stays at the end.
     """
     if lengths not in ("all", "ipv4"):
         raise ValueError(f"lengths must be 'all' or 'ipv4', not {lengths!r}")
-    start, l3, l4 = F.col("hdr.payload_off"), F.col("hdr.l3_off"), F.col("hdr.l4_off")
-    frame = F.col("frame")
-    df = df.withColumn("_edit", F.coalesce(F.col(flag) & start.isNotNull(), F.lit(False)))
-    df = df.withColumn("_size", forged_length(F.col("hdr.payload_len"), new_len))
+    df = with_header(df, F.col(flag))
+    start, frame = F.col("hdr.payload_off"), F.col("frame")
+    df = df.withColumns(
+        {
+            "_edit": F.col("hdr").isNotNull(),
+            "_forged": forged_length(F.col("hdr.payload_len"), new_len),
+        }
+    )
     forged = F.concat(
         F.substr(frame, F.lit(1), start),
-        pad_to(F.substr(frame, start + 1, F.col("hdr.payload_len")), F.col("_size"), pad),
+        pad_to(F.substr(frame, start + 1, F.col("hdr.payload_len")), F.col("_forged"), pad),
         F.substr(frame, payload_end() + 1, F.length(frame)),
     )
     df = df.withColumn("frame", F.when(F.col("_edit"), forged).otherwise(frame))
-    sized = F.col("hdr").withField("payload_len", F.col("_size"))
-    df = df.withColumn("hdr", F.when(F.col("_edit"), sized).otherwise(F.col("hdr")))
-
-    is_v4, has_ip = F.col("hdr.is_v4"), F.col("hdr.has_ip")
-    sixteen_bits = lambda size: F.when(size > 65535, F.lit(0)).otherwise(size)
-    total = F.when(is_v4, payload_end() - l3).otherwise(payload_end() - l3 - IPV6_HEADER)
-    field = l3 + F.when(is_v4, 2).otherwise(4)
-    rewritten = has_ip if lengths == "all" else is_v4
-    df = df.withColumn(
-        "frame",
-        F.when(
-            F.col("_edit") & rewritten, put_uint(frame, field, sixteen_bits(total), 2)
-        ).otherwise(frame),
-    )
-    if lengths == "all":
-        datagram = put_uint(frame, l4 + 4, sixteen_bits(payload_end() - l4), 2)
-        udp = F.col("_edit") & F.col("hdr.has_udp")
-        df = df.withColumn("frame", F.when(udp, datagram).otherwise(frame))
-    described = F.col("hdr").withField("ip_total_len", (payload_end() - l3).cast("int"))
-    df = df.withColumn("hdr", F.when(F.col("_edit") & has_ip, described).otherwise(F.col("hdr")))
-    df = repair_checksums(df, "_edit", native)
-    return df.withColumn(flag, F.col("_edit")).drop("_edit", "_size")
+    df = _repair(df, start + F.col("_forged"), lengths, native)
+    return df.withColumn(flag, F.col("_edit")).drop("_edit", "_forged", "hdr")

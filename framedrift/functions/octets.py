@@ -13,6 +13,16 @@ def _as_column(value: int | Column) -> Column:
     return value if isinstance(value, Column) else F.lit(value)
 
 
+def opaque(column: Column) -> Column:
+    """The same value, but never inlined into filters above.
+
+    Spark moves a filter below the projections it depends on by substituting their
+    expressions; through a long chain of projections that multiplies. An expression that
+    counts as non-deterministic stops it.
+    """
+    return F.when(F.spark_partition_id() >= 0, column)
+
+
 def hex_uint(hexed: Column, offset: int | Column, width: int) -> Column:
     """Big-endian unsigned integer at byte ``offset`` of a hex string; null past its end."""
     start = _as_column(offset) * 2 + 1

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framedrift.functions.draws import chance, row_draw
-from framedrift.functions.frames import forge_length, shift_sequence, with_header
+from framedrift.functions.frames import forge_length, shift_sequence
 from framedrift.functions.octets import pad_to
 from framedrift.operators.selection import alive, mark
 
@@ -18,7 +18,7 @@ def _sampled(df: DataFrame, pct: float, seed: int, step: int) -> DataFrame:
 def seq_offset(
     df: DataFrame, pct: float, seed: int, step: int, offset: int = 1000, native: bool = False
 ) -> DataFrame:
-    """Shift the TCP sequence number of a sample; needs ``hdr``."""
+    """Shift the TCP sequence number of a sample."""
     df = shift_sequence(_sampled(df, pct, seed, step), "_flag", offset, native)
     return mark(df, step, F.col("_flag")).drop("_flag")
 
@@ -33,7 +33,7 @@ def length_forge(
     lengths: str = "all",
     native: bool = False,
 ) -> DataFrame:
-    """Forge the payload length of a sample; needs ``hdr``."""
+    """Forge the payload length of a sample."""
     df = _sampled(df, pct, seed, step)
     df = forge_length(df, "_flag", new_len, pad, lengths, native)
     return mark(df, step, F.col("_flag")).drop("_flag")
@@ -59,7 +59,7 @@ def edit_frames(
         raise ValueError(f"on_length_change must be 'keep' or 'revert', not {on_length_change!r}")
     if not steps:
         return df
-    df = with_header(df.withColumns({"_before": F.col("frame"), "_mask": F.col("applied")}))
+    df = df.withColumns({"_before": F.col("frame"), "_mask": F.col("applied")})
     for step in steps:
         df = step(df, native)
     changed = F.length("frame") != F.length("_before")
@@ -74,4 +74,4 @@ def edit_frames(
         # The length on the wire stays as captured unless the frame itself changed size.
         resized = F.when(changed, F.length("frame")).otherwise(F.col("orig_len"))
         df = df.withColumn("orig_len", resized)
-    return df.drop("_before", "_mask", "hdr")
+    return df.drop("_before", "_mask")

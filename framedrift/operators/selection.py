@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framedrift.functions.draws import chance, draw, row_draw
+from framedrift.functions.octets import opaque
 
 DEFAULT_CHUNK = 10_000
 DEFAULT_CHUNKS_PER_PART = 16
@@ -96,7 +97,7 @@ def lose(df: DataFrame, pct: float, seed: int, step: int, track: bool = False) -
     hit = chance(row_draw(seed, step), pct)
     if not track:
         return df.filter(~hit)
-    df = df.withColumn("_hit", hit & alive())
+    df = df.withColumn("_hit", opaque(hit & alive()))
     df = mark(df, step, F.col("_hit"))
     emptied = {"lost_at": F.when(F.col("_hit"), F.lit(step)).otherwise(F.col("lost_at"))}
     emptied["pos"] = F.when(~F.col("_hit"), F.col("pos"))
