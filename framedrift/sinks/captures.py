@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framedrift.sources.files import resolve
+from framedrift.sources.files import resolve, settle
 
 # Fixed values of the written format: little-endian, microseconds, version 2.4, snaplen 65535.
 WRITTEN_MAGIC = b"\xd4\xc3\xb2\xa1"
@@ -208,20 +208,28 @@ def place_fragments(ledger: DataFrame, outputs: DataFrame, staging: str) -> Data
 
     ``ledger`` must be a stored table: its rows name files. Returns one row per capture.
     """
-    doubled = ledger.groupBy("capture_id", "part_id").count().filter("count > 1")
-    if not doubled.isEmpty():
-        raise RuntimeError("a part was written twice: the trace was not gathered by part")
-    earlier = Window.partitionBy("capture_id").orderBy("part_id").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
     capture = Window.partitionBy("capture_id")
+    earlier = capture.orderBy("part_id").rowsBetween(Window.unboundedPreceding, -1)
+    part = Window.partitionBy("capture_id", "part_id")
     sized = ledger.withColumns(
         {
             "offset": F.coalesce(F.sum("bytes").over(earlier), F.lit(0)),
             "parts": F.count("*").over(capture),
             "failed": F.count("error").over(capture) > 0,
+            "written": F.count("*").over(part),
         }
     ).join(outputs.select("capture_id", "output"), "capture_id")
+    sized = settle(sized)
+    state = sized.agg(
+        F.max("written").alias("written"), F.count_if((F.col("parts") > 1) & ~F.col("failed")).alias("several")
+    ).first()
+    if (state.written or 0) > 1:
+        raise RuntimeError("a part was written twice: the trace was not gathered by part")
+    if state.several and not isinstance(resolve(staging)[0], fs.LocalFileSystem):
+        raise RuntimeError(
+            "captures of several parts need a mounted file system, which can write at an "
+            "offset; raise chunks_per_part or write to a mounted path"
+        )
     placed = sized.filter("not failed").select(
         "capture_id", "part_id", "fragment", "offset", "parts", "output"
     )
@@ -232,21 +240,12 @@ def place_fragments(ledger: DataFrame, outputs: DataFrame, staging: str) -> Data
         _rename(system, source, resolve(row["output"])[1])
 
     _for_each(placed.filter("parts = 1"), rename_single, tasks)
-
-    several = placed.filter("parts > 1")
-    if not several.isEmpty():
+    if state.several:
         target = F.concat(F.lit(staging + "/joined-"), F.md5("capture_id"))
-        several = several.withColumn("target", target)
-        system, _ = resolve(staging)
-        if isinstance(system, fs.LocalFileSystem):
-            _for_each(several, _join_part, tasks)
-            _for_each(several.filter("part_id = 0"), _finish_joined, tasks)
-            _for_each(several, _drop_fragment, tasks)
-        else:
-            raise RuntimeError(
-                "captures of several parts need a mounted file system, which can write at an "
-                "offset; raise chunks_per_part or write to a mounted path"
-            )
+        several = placed.filter("parts > 1").withColumn("target", target)
+        _for_each(several, _join_part, tasks)
+        _for_each(several.filter("part_id = 0"), _finish_joined, tasks)
+        _for_each(several, _drop_fragment, tasks)
     return sized.groupBy("capture_id").agg(
         F.first("output").alias("output"),
         F.min("error").alias("error"),
