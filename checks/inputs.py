@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from framedrift.operators import selection
 from framedrift.sinks.captures import place_fragments, write_fragments
 from framedrift.sources import discovery
-from framedrift.sources.files import shared_folder
+from framedrift.sources.files import shared_folder, spread_small
 
 # A run of consecutive events is a capture, so captures are bounded whatever the data.
 BLOCK = 500
@@ -32,6 +32,7 @@ def capture_of(event_id: Column) -> Column:
 def packets(spark: SparkSession, sf_dir: str, frames: bool = False) -> DataFrame:
     """Events as packets; the payload is ``props``."""
     df = table(spark, sf_dir, "events")
+    df = spread_small(df) if frames else df
     payload = F.encode("props", "UTF-8")
     frame = frame_of(payload) if frames else payload
     return df.select(

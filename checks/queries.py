@@ -16,6 +16,7 @@ from framedrift.plans.job import run_directory
 from framedrift.plans.perturb import perturb
 from framedrift.plans.plan import read_plan, register_step
 from framedrift.sources import discovery
+from framedrift.sources.files import spread_small
 from framedrift.sources.packets import read_content, read_packets
 from framedrift.streaming.arrivals import perturb_arrivals, stream_packets
 
@@ -370,7 +371,7 @@ FLOW_COLUMNS += ["l_discount", "l_tax", "l_returnflag"]
 
 def flows(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Line items as flows, before and after: a draw drops some, prices and quantities shift."""
-    before = table(spark, sf, "lineitem").withColumns(
+    before = spread_small(table(spark, sf, "lineitem")).withColumns(
         {
             "Flow IDLE Mean": F.col("l_tax") * 2,
             "constant": F.lit(3),
@@ -439,7 +440,8 @@ def dr14_hist(spark, sf):
 
 
 def dr15_kde(spark, sf):
-    curve = drift.density_curve(table(spark, sf, "lineitem"), "l_extendedprice")
+    items = spread_small(table(spark, sf, "lineitem").select("l_extendedprice"))
+    curve = drift.density_curve(items, "l_extendedprice")
     return curve.select("point", F.round("x", 6).alias("x"), F.round("density", 12).alias("density"))
 
 

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +20,7 @@ SHOWN_FEATURES = 15
 KEY_FEATURES = 6
 REPORT_FEATURES = 10
 KDE_POINTS = 200
+KDE_BLOCK = 1024
 
 
 def load_flow_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -54,7 +58,7 @@ def known(df: DataFrame, name: str) -> Column:
 
 
 def profile(df: DataFrame, names: list[str]) -> DataFrame:
-    """(feature, mean, deviation, low, high, known) of all features in one aggregation.
+    """(feature, mean, deviation, known) of all features in one aggregation.
 
     The aggregate is a single row however large the table; it is then unfolded.
     """
@@ -64,8 +68,6 @@ def profile(df: DataFrame, names: list[str]) -> DataFrame:
         aggregates += [
             F.avg(value).alias(f"m{i}"),
             F.stddev_samp(value).alias(f"s{i}"),
-            F.min(value).alias(f"l{i}"),
-            F.max(value).alias(f"h{i}"),
             F.count(value).alias(f"k{i}"),
         ]
         entries.append(
@@ -73,8 +75,6 @@ def profile(df: DataFrame, names: list[str]) -> DataFrame:
                 F.lit(name).alias("feature"),
                 F.col(f"m{i}").alias("mean"),
                 F.col(f"s{i}").alias("deviation"),
-                F.col(f"l{i}").alias("low"),
-                F.col(f"h{i}").alias("high"),
                 F.col(f"k{i}").alias("known"),
             )
         )
@@ -182,8 +182,8 @@ def histogram(df: DataFrame, name: str, low: float, high: float, bins: int) -> D
 def density_curve(df: DataFrame, name: str, points: int = KDE_POINTS) -> DataFrame:
     """(point, x, density): Gaussian kernel estimate, Scott's bandwidth, exact over all rows.
 
-    Every row meets the fixed grid inside its own task and partial sums of ``points``
-    groups are all that is shuffled.
+    Each task sums the kernels of its rows on the fixed grid, batch by batch; only those
+    sums, ``points`` rows per task, are shuffled.
     """
     value = known(df, name)
     low, high, n, deviation = df.agg(
@@ -194,11 +194,22 @@ def density_curve(df: DataFrame, name: str, points: int = KDE_POINTS) -> DataFra
         return df.sparkSession.createDataFrame([], schema)
     width = deviation * n ** (-1 / 5)
     step = (high - low) / (points - 1)
+
+    def kernel_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grid = (low + step * np.arange(points)) / width
+        sums = np.zeros(points)
+        for batch in batches:
+            values = batch.column(0).to_numpy(zero_copy_only=False) / width
+            for begin in range(0, len(values), KDE_BLOCK):
+                distance = grid - values[begin : begin + KDE_BLOCK, None]
+                sums += np.exp(-0.5 * distance * distance).sum(axis=0)
+        columns = [pa.array(np.arange(points, dtype=np.int32)), pa.array(sums)]
+        yield pa.RecordBatch.from_arrays(columns, names=["point", "kernels"])
+
     rows = df.select(value.alias("v")).filter("v is not null")
-    grid = rows.select("v", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
-    distance = (F.lit(low) + F.col("point") * step - F.col("v")) / width
+    partial = rows.mapInArrow(kernel_sums, "point int, kernels double")
     scale = 1 / (n * width * math.sqrt(2 * math.pi))
-    sums = grid.groupBy("point").agg((F.sum(F.exp(-0.5 * distance * distance)) * scale).alias("density"))
+    sums = partial.groupBy("point").agg((F.sum("kernels") * scale).alias("density"))
     return sums.select("point", (F.lit(low) + F.col("point") * step).alias("x"), "density")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from typing import BinaryIO
 
 from pyarrow import fs
@@ -38,11 +39,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a small table that several later jobs read."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    """Store a table that several later jobs read in the shared folder: computed once, no lineage."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Shuffle a table of fewer files than cores, for CPU-heavy row work; larger ones stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def broadcast_if_small(df: DataFrame, rows: int, limit: int = 500_000) -> DataFrame:
