@@ -382,12 +382,12 @@ ORACLE = {
         profile("more", "p", FEATURES[:8] + ["idle", "constant", "balance"]),
     )
     + """SELECT CASE feature WHEN 'idle' THEN 'Flow IDLE Mean' ELSE feature END AS feature,
-         round(mean, 4) AS mean, round(deviation, 4) AS deviation, known FROM p""",
+         round(mean, 8) AS mean, round(deviation, 8) AS deviation, known FROM p""",
     "dr8_drift": DRIFT
-    + """SELECT feature, round(mean_before, 4) AS mean_before, round(mean_after, 4) AS mean_after,
-         round(abs_diff, 4) AS abs_diff, rel_pct, significant FROM judged""",
+    + """SELECT feature, round(mean_before, 8) AS mean_before, round(mean_after, 8) AS mean_after,
+         round(abs_diff, 8) AS abs_diff, rel_pct, significant FROM judged""",
     "dr12_ranked": DRIFT
-    + """SELECT feature, rel_pct, round(abs_diff, 4) AS abs_diff FROM judged WHERE significant
+    + """SELECT feature, rel_pct, round(abs_diff, 8) AS abs_diff FROM judged WHERE significant
          ORDER BY abs(rel_pct) DESC NULLS LAST, feature""",
     "dr13_topk": DRIFT
     + """SELECT feature, rel_pct FROM judged WHERE significant
@@ -409,7 +409,7 @@ ORACLE = {
     + """SELECT b AS rows_before, a AS rows_after, b - a AS rows_lost, round_even(100.0 * (b - a) / b, 2) AS lost_pct
          FROM (SELECT count(*) AS b FROM flows_before), (SELECT count(*) AS a FROM flows_after)""",
     "dr17_chart": DRIFT
-    + """SELECT feature, round(mean_before, 4) AS mean_before, round(mean_after, 4) AS mean_after
+    + """SELECT feature, round(mean_before, 8) AS mean_before, round(mean_after, 8) AS mean_after
          FROM judged WHERE significant ORDER BY abs(rel_pct) DESC NULLS LAST, feature LIMIT 20""",
     "dr18_significant": DRIFT
     + "SELECT count(*) FILTER (significant) AS significant, count(*) AS compared FROM judged",
