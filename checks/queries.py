@@ -186,8 +186,7 @@ def r5_greedy(spark, sf):
 
 def r6_exact(spark, sf):
     source = inputs.packets(spark, sf).withColumn("copy_no", F.lit(0))
-    limits = selection.exact_thresholds(source, 12.5, SEED)
-    return selection.flag_exact(source, limits, SEED).select("capture_id", "packet_no", "selected")
+    return selection.flag_exact(source, 12.5, SEED).select("capture_id", "packet_no", "selected")
 
 
 def r7_bernoulli(spark, sf):

@@ -1,4 +1,4 @@
-"""Command line of the directory job and the fixed-length job, for ``spark-submit``."""
+"""Command line of the directory job, the fixed-length job and the drift report, for ``spark-submit``."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from framedrift.operators import drift
 from framedrift.operators.selection import DEFAULT_CHUNK
 from framedrift.plans.fixed_length import force_length, force_trace
 from framedrift.plans.job import run_directory, summary
@@ -45,6 +46,10 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     fixed.add_argument("--seed", type=int, default=0)
     fixed.add_argument("--exact", action="store_true")
 
+    report = jobs.add_parser("drift", help="compare two tables of flows")
+    report.add_argument("--before", required=True, help="CSV with a header row")
+    report.add_argument("--after", required=True, help="CSV with a header row")
+
     parsed = parser.parse_args(argv)
     if parsed.job == "perturb":
         flags = [parsed.loss, parsed.retransmit, parsed.seq_offset, parsed.length_forge]
@@ -74,6 +79,11 @@ def main(argv: list[str] | None = None) -> None:
             resume=args.resume,
         )
         print("\n".join(summary(runs)))
+    elif args.job == "drift":
+        tables = [drift.load_flow_csv(spark, path) for path in (args.before, args.after)]
+        report = drift.drift_report(*tables)
+        for name in ("rows", "features", "top"):
+            print("\n".join(report[name].toJSON().collect()))
     else:
         captures = discovery.with_output(discovery.discover(spark, args.in_root), args.out_root)
         captures = settle(discovery.read_headers(captures))

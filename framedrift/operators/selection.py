@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from framedrift.functions.draws import chance, draw, row_draw
 from framedrift.functions.octets import opaque
+from framedrift.sources.files import broadcast_if_small, settle
 
 DEFAULT_CHUNK = 10_000
 DEFAULT_CHUNKS_PER_PART = 16
@@ -293,6 +294,9 @@ def exact_thresholds(packets: DataFrame, percent: float, seed: int, step: int =
         "k",
         (F.col("k") - F.col("_upto") + F.col("_count")).alias("_rank"),
     )
+    # One row per capture: while that is small it is broadcast, and no packet is shuffled.
+    edges = settle(edges)
+    edges = broadcast_if_small(edges, edges.count())
     inside = drawn.join(edges, ["capture_id", "_bucket"])
     by_draw = capture.orderBy("_draw", "packet_no")
     last = inside.withColumn("_rn", F.row_number().over(by_draw)).filter("_rn = _rank")
@@ -305,11 +309,15 @@ def exact_thresholds(packets: DataFrame, percent: float, seed: int, step: int =
     )
 
 
-def flag_exact(
-    packets: DataFrame, thresholds: DataFrame, seed: int, step: int = 0
-) -> DataFrame:
-    """Add ``selected``: the k packets of each capture with the smallest draws."""
-    limits = thresholds.select("capture_id", "last_draw", "last_packet_no")
+def flag_exact(packets: DataFrame, percent: float, seed: int, step: int = 0) -> DataFrame:
+    """Add ``selected``: the round(total * percent / 100) packets of each capture with the smallest draws.
+
+    Packets are compared with the threshold of their capture. The thresholds, one row per
+    capture, are broadcast while they are small; beyond that it is a plain join.
+    """
+    limits = settle(exact_thresholds(packets, percent, seed, step))
+    limits = broadcast_if_small(limits, limits.count())
+    limits = limits.select("capture_id", "last_draw", "last_packet_no")
     df = packets.withColumn("_draw", row_draw(seed, step)).join(limits, "capture_id", "left")
     hit = (F.col("_draw") < F.col("last_draw")) | (
         (F.col("_draw") == F.col("last_draw")) & (F.col("packet_no") <= F.col("last_packet_no"))

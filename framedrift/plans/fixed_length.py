@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from framedrift.operators import selection
 from framedrift.operators.content import fix_length
 from framedrift.plans.plan import check_percent
-from framedrift.sources.files import broadcast_if_small, settle
 
 DEFAULT_PAD = b"\x0f"
 
@@ -29,10 +28,7 @@ def force_length(
     check_percent(percent)
     packets = packets.withColumn("copy_no", F.lit(0).cast("long"))
     if exact:
-        thresholds = settle(selection.exact_thresholds(packets, percent, seed))
-        # One row per capture: broadcast while that is small, a plain join beyond.
-        thresholds = broadcast_if_small(thresholds, thresholds.count())
-        flagged = selection.flag_exact(packets, thresholds, seed)
+        flagged = selection.flag_exact(packets, percent, seed)
     else:
         flagged = selection.flag_bernoulli(packets, percent, seed)
     changed = F.col("selected") & (F.length("frame") != length)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,6 +56,7 @@ def run_captures(
     ``mode`` says otherwise. ``options`` go to :func:`perturb`.
     """
     spark = captures.sparkSession
+    begin = time.monotonic()
     run_id = run_id or uuid.uuid4().hex
     out_root = out_root.rstrip("/")
     staging = f"{out_root}/_staging-{run_id}"
@@ -102,6 +104,7 @@ def run_captures(
             "seed": F.lit(seed).cast("long"),
             "chunk_size": F.lit(chunk_size),
             "finished_at": F.current_timestamp(),
+            "elapsed_sec": F.lit(round(time.monotonic() - begin, 3)),
         }
     )
     target = f"{out_root}/{RUNS_FOLDER}/run_id={run_id}"

@@ -13,6 +13,7 @@ from __future__ import annotations
 import os
 import struct
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,7 @@ WRITTEN_SNAPLEN = 65_535
 FILE_HEADER_BYTES = 24
 
 COPY_BYTES = 8 << 20
+STAGING_FOLDERS = 256
 
 
 def file_header(linktype: int) -> bytes:
@@ -73,6 +75,8 @@ class _Fragment:
     """One part being written, and its row of the ledger."""
 
     def __init__(self, staging: str, capture_id: str, part_id: int, counted: list[str]):
+        # Many captures make many fragments; no folder should hold them all.
+        staging = f"{staging}/{zlib.crc32(capture_id.encode()) % STAGING_FOLDERS:02x}"
         self.system, folder = resolve(staging)
         self.system.create_dir(folder, recursive=True)
         name = f"{part_id}-{uuid.uuid4().hex}"

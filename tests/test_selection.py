@@ -177,7 +177,7 @@ def test_chunk_edges(spark, n):
 @pytest.mark.parametrize("percent", [0, 0.3, 10, 12.5, 50, 100])
 def test_exact_sample_is_the_smallest_draws(spark, percent):
     source = packets(spark, {"a": 1000, "b": 20, "c": 1}).withColumn("copy_no", F.lit(0))
-    flagged = selection.flag_exact(source, selection.exact_thresholds(source, percent, 4), 4)
+    flagged = selection.flag_exact(source, percent, 4)
     got = flagged.select("capture_id", "packet_no", "selected", row_draw(4, 0).alias("d")).collect()
     for capture, n in {"a": 1000, "b": 20, "c": 1}.items():
         mine = sorted((r.d, r.packet_no, r.selected) for r in got if r.capture_id == capture)
