@@ -193,7 +193,7 @@ def _repair(df: DataFrame, end: Column, lengths: str | None, native: bool) -> Da
         {
             "_head_stale": stale(c("_head"), F.lit(10)),
             "_stale": stale(c("_segment"), c("_field") - l4 + F.when(is_v4, 8).otherwise(32)),
-            "_size": c("_end") - l4,
+            "_l4_size": c("_end") - l4,
         }
     )
     sixteen_bits = lambda size: F.when(size > 65535, F.lit(0)).otherwise(size)
@@ -205,14 +205,14 @@ def _repair(df: DataFrame, end: Column, lengths: str | None, native: bool) -> Da
         if lengths == "all":
             df = df.withColumns(
                 {
-                    "_udp_len": F.when(c("hdr.has_udp"), sixteen_bits(c("_size"))),
+                    "_udp_len": F.when(c("hdr.has_udp"), sixteen_bits(c("_l4_size"))),
                     "_stale": c("_stale")
                     + F.when(c("hdr.has_udp"), stale(c("_segment"), 4 + F.when(is_v4, 8).otherwise(32)))
                     .otherwise(0),
                 }
             )
     ip_sum = c("_head_sum") - c("_head_stale") - c("hdr.ip_total_len") + c("_total")
-    value = c("_sum") - c("_stale") + c("hdr.proto") + c("_size") + F.coalesce("_udp_len", F.lit(0))
+    value = c("_sum") - c("_stale") + c("hdr.proto") + c("_l4_size") + F.coalesce("_udp_len", F.lit(0))
     df = df.withColumns(
         {
             "_ip_check": checksum_of(ip_sum + 3 * 65535),
@@ -233,7 +233,7 @@ def _repair(df: DataFrame, end: Column, lengths: str | None, native: bool) -> Da
     df = write(df, has_l4, c("_field"), F.when(udp_zero, 65535).otherwise(c("_check")))
     df = df.withColumn("frame", opaque(frame))
     scratch = ["_end", "_head", "_segment", "_field", "_head_sum", "_sum", "_head_stale", "_stale"]
-    return df.drop(*scratch, "_size", "_total", "_udp_len", "_ip_check", "_check")
+    return df.drop(*scratch, "_l4_size", "_total", "_udp_len", "_ip_check", "_check")
 
 
 def payload_end() -> Column:

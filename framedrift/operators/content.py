@@ -59,11 +59,15 @@ def edit_frames(
         raise ValueError(f"on_length_change must be 'keep' or 'revert', not {on_length_change!r}")
     if not steps:
         return df
-    df = df.withColumns({"_before": F.col("frame"), "_mask": F.col("applied")})
+    revert = on_length_change == "revert"
+    kept = {"_size": F.length("frame")}
+    if revert:
+        kept |= {"_before": F.col("frame"), "_mask": F.col("applied")}
+    df = df.withColumns(kept)
     for step in steps:
         df = step(df, native)
-    changed = F.length("frame") != F.length("_before")
-    if on_length_change == "revert":
+    changed = F.length("frame") != F.col("_size")
+    if revert:
         df = df.withColumns(
             {
                 "applied": F.when(changed, F.col("_mask")).otherwise(F.col("applied")),
@@ -74,4 +78,4 @@ def edit_frames(
         # The length on the wire stays as captured unless the frame itself changed size.
         resized = F.when(changed, F.length("frame")).otherwise(F.col("orig_len"))
         df = df.withColumn("orig_len", resized)
-    return df.drop("_before", "_mask")
+    return df.drop("_before", "_mask", "_size")
