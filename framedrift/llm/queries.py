@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framedrift.llm import exact, packing, secrets, sharding, simhash
+from framedrift.llm import exact, language, mixing, packing, secrets, sharding, simhash
 from framedrift.llm.common import read_table, shared_folder
 
 SHARDS = 24
@@ -39,6 +39,11 @@ def op1_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.identify(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.mark_copies(documents(spark, sf_dir))
 
@@ -51,6 +56,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.score_texts(documents(spark, sf_dir))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_by_bytes(documents(spark, sf_dir), SHARDS)
     return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
@@ -58,8 +67,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secret_ledger": op1_secret_ledger,
+    "op4_language": op4_language,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_simhash": op6_simhash,
     "op8_packing": op8_packing,
+    "op9_mixing": op9_mixing,
     "op10_sharding": op10_sharding,
 }
