@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framedrift.llm import exact, language, mixing, packing, secrets, sharding, simhash
+from framedrift.llm import exact, language, mixing, packing, secrets, sharding, simhash, toxicity
 from framedrift.llm.common import read_table, shared_folder
 
 SHARDS = 24
@@ -39,6 +39,10 @@ def op1_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language.identify(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
     return found.select("doc_id", "held_out", "lang_pred", "score")
@@ -67,6 +71,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secret_ledger": op1_secret_ledger,
+    "op2_toxicity": op2_toxicity,
     "op4_language": op4_language,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_simhash": op6_simhash,
