@@ -14,3 +14,39 @@ ORACLE = {
         FROM t WINDOW g AS (PARTITION BY text_sha256)
     """,
 }
+
+# Every run of lines is spelled out here, without fingerprints.
+ORACLE["op3_line_winnow"] = r"""
+    WITH cut AS (
+        SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '(\n|[.!?] )', '\1' || chr(30), 'g'), chr(30)) AS segs FROM documents
+    ), lines AS (
+        SELECT doc_id, unnest(segs) AS seg, unnest(range(len(segs))) AS line FROM cut
+    ), filled AS (
+        SELECT doc_id, line, trim(seg, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body,
+               len(regexp_extract_all(seg, '[^\x20\x09-\x0D]+')) AS n
+        FROM lines
+    ), ahead AS (
+        SELECT doc_id, line, body, n,
+               lead(body, 1) OVER d AS b1, lead(body, 2) OVER d AS b2, lead(body, 3) OVER d AS b3,
+               lead(n, 1) OVER d AS n1, lead(n, 2) OVER d AS n2, lead(n, 3) OVER d AS n3,
+               lead(line, 1) OVER d AS l1, lead(line, 2) OVER d AS l2, lead(line, 3) OVER d AS l3
+        FROM filled WHERE n > 0 WINDOW d AS (PARTITION BY doc_id ORDER BY line)
+    ), windows AS (
+        SELECT doc_id, line AS first,
+               CASE WHEN n >= 20 THEN line WHEN n + n1 >= 20 THEN l1 WHEN n + n1 + n2 >= 20 THEN l2 ELSE l3 END AS last,
+               CASE WHEN n >= 20 THEN body WHEN n + n1 >= 20 THEN body || chr(10) || b1
+                    WHEN n + n1 + n2 >= 20 THEN body || chr(10) || b1 || chr(10) || b2
+                    ELSE body || chr(10) || b1 || chr(10) || b2 || chr(10) || b3 END AS content
+        FROM ahead
+    ), ranked AS (
+        SELECT doc_id, first, last, row_number() OVER (PARTITION BY content ORDER BY doc_id, first) AS nth
+        FROM windows WHERE content IS NOT NULL
+    ), gone AS (
+        SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS line FROM ranked WHERE nth > 1
+    )
+    SELECT l.doc_id, count(*) AS n_lines, count(g.line) AS n_removed,
+           coalesce(string_agg(g.line::VARCHAR, ',' ORDER BY g.line), '') AS removed,
+           coalesce(string_agg(CASE WHEN g.line IS NULL THEN l.seg END, '' ORDER BY l.line), '') AS text
+    FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.line = l.line
+    GROUP BY l.doc_id
+"""

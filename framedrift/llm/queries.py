@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framedrift.llm import exact, language, mixing, packing, secrets, sharding, simhash, toxicity
+from framedrift.llm import exact, language, lines, mixing, packing, secrets, sharding, simhash, toxicity
 from framedrift.llm.common import read_table, shared_folder
 
 SHARDS = 24
@@ -43,6 +43,14 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
 
 
+def op3_line_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = lines.drop_repeated_lines(documents(spark, sf_dir))
+    removed = F.array_join(F.col("removed").cast("array<string>"), ",")
+    return cleaned.select(
+        "doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), removed.alias("removed"), "text"
+    )
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language.identify(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
     return found.select("doc_id", "held_out", "lang_pred", "score")
@@ -57,7 +65,8 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    names = ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")
+    return packing.pack(documents(spark, sf_dir), *map(public_tokenizers.path, names))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +81,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_secret_ledger": op1_secret_ledger,
     "op2_toxicity": op2_toxicity,
+    "op3_line_winnow": op3_line_winnow,
     "op4_language": op4_language,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_simhash": op6_simhash,
