@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import os
 import re
 import zlib
@@ -15,47 +16,33 @@ from pyspark.sql import functions as F
 
 CAPACITY = 1024
 END_ID = 0
-CACHED_WORDS = 400_000
-CACHED_LENGTH = 48
 ID = np.dtype("<u4")
 
-#: A space inside a run of white space, or ending one at the end of the text: cutting there would change tokens.
-JOINED_SPACES = re.compile(r"\s \s|\s \Z")
+#: Letters and marks beyond those that both tokenizer libraries cut alike, whatever their Unicode version.
+RARE = re.compile(r"[^\x00-\u024F\u2010-\u2027\u2030-\u205E\u20AC]")
 
 
-class WordEncoder:
-    """Token ids of texts, encoding each distinct piece between spaces once.
+class Encoder:
+    """Token ids by ``tokenizers``; others than rare and special ones take the same vocabulary as ranks, three times faster."""
 
-    The byte-level pattern never lets a token reach over a space that follows other text, so pieces
-    can be encoded apart; texts where that does not hold (JOINED_SPACES) are encoded whole.
-    """
-
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranks: str | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype=ID).tobytes() for e in found]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit numbers."""
-        cut = [None if JOINED_SPACES.search(t) else t.split(" ") for t in texts]
-        firsts = self._whole([t if c is None else c[0] for t, c in zip(texts, cut, strict=True)])
-        new = list(set().union(*(c[1:] for c in cut if c)) - self.known.keys())
-        self.known.update(zip(new, self._whole([" " + w for w in new]), strict=True))
-        get = self.known.__getitem__
-        out = [f if c is None else f + b"".join(map(get, c[1:])) for f, c in zip(firsts, cut, strict=True)]
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        else:
-            for w in new:
-                if len(w) > CACHED_LENGTH:
-                    del self.known[w]
-        return out
+        self.whole, self.plain = Tokenizer.from_file(path), None
+        if ranks:
+            import tiktoken
+            from public_tokenizers import PATTERN
+
+            pairs = [line.split() for line in open(ranks, "rb")]
+            self.plain = tiktoken.Encoding(
+                "plain", pat_str=PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs}, special_tokens={}
+            )
+
+    def encode(self, text: str) -> np.ndarray:
+        if self.plain and "<|" not in text and not RARE.search(text):
+            return np.array(self.plain.encode_ordinary(text), dtype=ID)
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype=ID)
 
 
 class Piece:
@@ -120,12 +107,18 @@ class Packer:
 
 
 def pack(
-    docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, with_ids: bool = False
+    docs: DataFrame,
+    tokenizer: str,
+    ranks: str | None = None,
+    key: str = "doc_id",
+    text: str = "text",
+    capacity: int = CAPACITY,
+    with_ids: bool = False,
 ) -> DataFrame:
     """Pack all documents into windows of ``capacity`` tokens; one row per piece of a document.
 
-    ``tokenizer`` is the path of a byte-level BPE file that every executor can read. A document is its
-    tokens and then END_ID. Whole windows are cut off long documents; what is left goes to a partly
+    ``tokenizer`` is the path of a byte-level BPE file that every executor can read, and ``ranks``, if
+    given, that of the same vocabulary as ranks. A document is its tokens and then END_ID. Whole windows are cut off long documents; what is left goes to a partly
     filled window by the sum-of-squares rule. Each task packs the rows it reads, in their order, with
     only its partly filled windows in memory (their number is bounded by the rule, not by the rows),
     and at its end fills up what is left over with cuts, so a task pads one window at most. A task that
@@ -155,15 +148,14 @@ def pack(
         return pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in schema.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = WordEncoder(tokenizer), Packer(capacity)
+        encoder, packer = Encoder(tokenizer, ranks), Packer(capacity)
         number = TaskContext.get().partitionId() << 32
         key_type = pa.int64()
         for batch in batches:
             key_type = batch.column(0).type
             full = []
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for k, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts), strict=True):
-                ids = np.append(np.frombuffer(ids, ID), np.array([END_ID], ID))
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids = np.append(encoder.encode(t or ""), np.array([END_ID], ID))
                 for at in range(0, len(ids), capacity):
                     done = packer.place(Piece((k, len(ids)), at, ids[at : at + capacity]))
                     if done:
