@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framedrift.llm import exact, language, lines, mixing, packing, secrets, sharding, simhash, toxicity
+from framedrift.llm import exact, language, lines, mixing, packing, secrets, sharding, simhash, templates, toxicity
 from framedrift.llm.common import read_table, shared_folder
 
 SHARDS = 24
@@ -64,6 +64,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir), words_per_shingle=3)
 
 
+def op7_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.find_leaks(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")
     return packing.pack(documents(spark, sf_dir), *map(public_tokenizers.path, names))
@@ -85,6 +89,7 @@ QUERIES = {
     "op4_language": op4_language,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_simhash": op6_simhash,
+    "op7_templates": op7_templates,
     "op8_packing": op8_packing,
     "op9_mixing": op9_mixing,
     "op10_sharding": op10_sharding,
