@@ -94,7 +94,9 @@ class LabelModel:
         lexical = self.votes[:, : WORD_VOTERS + STEM_VOTERS].any(axis=1)
         posterior = np.where(lexical, 0.9, 0.05)
         for i in range(rounds):
-            weight = np.stack([free * (1 - posterior), free * posterior], axis=1) + known
+            # The labelled rows begin alone, if there are any of both classes.
+            others = free * (i > 0 or known.sum(axis=0).min() == 0)
+            weight = np.stack([others * (1 - posterior), others * posterior], axis=1) + known
             self.prior = (weight.sum(axis=0) + 1) / (weight.sum() + 2)
             if i < 5:
                 self.trees = [self._tree(weight[:, y]) for y in (0, 1)]
