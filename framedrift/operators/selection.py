@@ -309,13 +309,16 @@ def exact_thresholds(packets: DataFrame, percent: float, seed: int, step: int =
     )
 
 
-def flag_exact(packets: DataFrame, percent: float, seed: int, step: int = 0) -> DataFrame:
+def flag_exact(
+    packets: DataFrame, percent: float, seed: int, step: int = 0, drawn_from: DataFrame | None = None
+) -> DataFrame:
     """Add ``selected``: the round(total * percent / 100) packets of each capture with the smallest draws.
 
     Packets are compared with the threshold of their capture. The thresholds, one row per
-    capture, are broadcast while they are small; beyond that it is a plain join.
+    capture, are broadcast while they are small; beyond that it is a plain join. ``drawn_from`` are the
+    same packets without what the draws do not need, for the two scans that find the thresholds.
     """
-    limits = settle(exact_thresholds(packets, percent, seed, step))
+    limits = settle(exact_thresholds(packets if drawn_from is None else drawn_from, percent, seed, step))
     limits = broadcast_if_small(limits, limits.count())
     limits = limits.select("capture_id", "last_draw", "last_packet_no")
     df = packets.withColumn("_draw", row_draw(seed, step)).join(limits, "capture_id", "left")

@@ -19,16 +19,20 @@ def force_length(
     pad: bytes = DEFAULT_PAD,
     seed: int = 0,
     exact: bool = False,
+    light: DataFrame | None = None,
 ) -> DataFrame:
     """Packets with ``selected`` and edited frames; times and checksums stay as they are.
 
     ``exact`` selects round(total * percent / 100) packets of every capture, otherwise
-    each packet is selected with that probability.
+    each packet is selected with that probability. ``light`` is the same packets from a scan without
+    frames, from which exact samples are then drawn.
     """
     check_percent(percent)
     packets = packets.withColumn("copy_no", F.lit(0).cast("long"))
     if exact:
-        flagged = selection.flag_exact(packets, percent, seed)
+        if light is not None:
+            light = light.withColumn("copy_no", F.lit(0).cast("long"))
+        flagged = selection.flag_exact(packets, percent, seed, drawn_from=light)
     else:
         flagged = selection.flag_bernoulli(packets, percent, seed)
     changed = F.col("selected") & (F.length("frame") != length)

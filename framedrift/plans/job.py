@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framedrift.operators import selection
 from framedrift.operators.statistics import counters
+from framedrift.plans.fixed_length import DEFAULT_PAD, force_length, force_trace
 from framedrift.plans.perturb import perturb
 from framedrift.plans.plan import Step, plan_text
-from framedrift.sinks.captures import place_fragments, write_fragments
+from framedrift.sinks.captures import check_sink, place_fragments, write_fragments
 from framedrift.sources import discovery
 from framedrift.sources.files import settle
 from framedrift.sources.packets import SPLIT_BYTES, read_packets
@@ -36,32 +39,31 @@ def _header_rows(captures: DataFrame, like: DataFrame) -> DataFrame:
     return captures.filter("error is null").select(*columns)
 
 
-def run_captures(
+def run_trace(
     captures: DataFrame,
     out_root: str,
-    plan: list[Step],
-    seed: int = 0,
-    chunk_size: int = selection.DEFAULT_CHUNK,
-    chunks_per_part: int = selection.DEFAULT_CHUNKS_PER_PART,
+    make_trace: Callable[[DataFrame, DataFrame], DataFrame],
+    counted: dict[str, Column],
+    facts: dict,
+    mode: str,
     layout: str = "mirror",
     resume: bool = False,
     split_bytes: int = SPLIT_BYTES,
-    mode: str | None = None,
     run_id: str | None = None,
-    **options,
+    part_files: bool = False,
 ) -> DataFrame:
-    """Perturb a table of captures (see ``discover``); returns the ``runs`` rows of this run.
+    """Read captures, make a trace of their packets, write it, and keep a ledger of the run.
 
-    Repair is on when the plan leaves frame bytes alone and off when it edits them, unless
-    ``mode`` says otherwise. ``options`` go to :func:`perturb`.
+    ``make_trace(packets, headed)`` gets the packets, with one header row per readable capture, and the
+    captures with their headers. ``facts`` are columns of the ledger that are the same in every row.
     """
     spark = captures.sparkSession
     begin = time.monotonic()
     run_id = run_id or uuid.uuid4().hex
     out_root = out_root.rstrip("/")
-    staging = f"{out_root}/_staging-{run_id}"
-    if mode is None:
-        mode = "STRICT" if any(step.edits_content for step in plan) else "REPAIR"
+    check_sink(out_root, part_files)
+    # A run that is repeated under its name must not meet what an earlier attempt has left.
+    staging = f"{out_root}/_staging-{run_id}-{uuid.uuid4().hex[:8]}"
 
     captures = settle(discovery.with_output(captures, out_root, layout))
     clashes = discovery.output_clashes(captures).orderBy("output").limit(SUMMARY_ROWS).collect()
@@ -76,12 +78,11 @@ def run_captures(
     headed = settle(discovery.read_headers(captures))
     packets = read_packets(headed, mode, split_bytes)
     packets = packets.unionByName(_header_rows(headed, packets))
-    trace = perturb(packets, plan, seed, chunk_size, chunks_per_part, track=True, **options)
-    counted = counters(plan, repaired=True)
-    ledger = write_fragments(trace, staging, counted)
+    trace = make_trace(packets, headed)
+    ledger = write_fragments(trace, staging, counted, part_files)
     ledger.write.mode("overwrite").parquet(f"{staging}/ledger")
     ledger = spark.read.parquet(f"{staging}/ledger")
-    placed = place_fragments(ledger, captures, staging)
+    placed = place_fragments(ledger, captures, staging, part_files)
 
     sums = ledger.groupBy("capture_id").agg(*[F.sum(name).alias(name) for name in counted])
     runs = headed.withColumnRenamed("error", "_unreadable").join(sums, "capture_id", "left")
@@ -92,19 +93,17 @@ def run_captures(
             "reason": F.lit(None).cast("string"),
         }
     )
-    shown = ["capture_id", "path", "output", "metadata_path", "date_dir", "status", "reason", "error"]
+    shown = ["capture_id", "path", "output", "date_dir", "status", "reason", "error"]
     runs = runs.select(*shown, "bytes", "parts", *counted)
     if skipped is not None:
         skips = skipped.withColumns({"status": F.lit("skipped"), "reason": F.lit("exists")})
-        runs = runs.unionByName(skips.select(*shown[:5], "status", "reason"), allowMissingColumns=True)
+        runs = runs.unionByName(skips.select(*shown[:4], "status", "reason"), allowMissingColumns=True)
     runs = runs.withColumns(
-        {
+        {name: F.lit(value) for name, value in facts.items()}
+        | {
             "run_id": F.lit(run_id),
-            "plan": F.lit(plan_text(plan)),
-            "seed": F.lit(seed).cast("long"),
-            "chunk_size": F.lit(chunk_size),
             "finished_at": F.current_timestamp(),
-            "elapsed_sec": F.lit(round(time.monotonic() - begin, 3)),
+            "run_elapsed_sec": F.lit(round(time.monotonic() - begin, 3)),
         }
     )
     target = f"{out_root}/{RUNS_FOLDER}/run_id={run_id}"
@@ -112,10 +111,79 @@ def run_captures(
     return spark.read.parquet(target).withColumn("run_id", F.lit(run_id))
 
 
+def run_captures(
+    captures: DataFrame,
+    out_root: str,
+    plan: list[Step],
+    seed: int = 0,
+    chunk_size: int = selection.DEFAULT_CHUNK,
+    chunks_per_part: int = selection.DEFAULT_CHUNKS_PER_PART,
+    layout: str = "mirror",
+    resume: bool = False,
+    split_bytes: int = SPLIT_BYTES,
+    mode: str | None = None,
+    run_id: str | None = None,
+    part_files: bool = False,
+    **options,
+) -> DataFrame:
+    """Perturb a table of captures (see ``discover``); returns the ``runs`` rows of this run.
+
+    Repair is on when the plan leaves frame bytes alone and off when it edits them, unless
+    ``mode`` says otherwise. ``part_files`` writes finished captures of ``chunks_per_part`` chunks each,
+    for outputs that are no mounted file system. ``options`` go to :func:`perturb`.
+    """
+    if mode is None:
+        mode = "STRICT" if any(step.edits_content for step in plan) else "REPAIR"
+
+    def make_trace(packets: DataFrame, headed: DataFrame) -> DataFrame:
+        return perturb(packets, plan, seed, chunk_size, chunks_per_part, track=True, **options)
+
+    facts = {"plan": plan_text(plan), "seed": seed, "chunk_size": chunk_size}
+    return run_trace(
+        captures, out_root, make_trace, counters(plan, repaired=True), facts, mode, layout, resume, split_bytes, run_id, part_files
+    )
+
+
+def run_fixed_length(
+    captures: DataFrame,
+    out_root: str,
+    percent: float,
+    length: int,
+    pad: bytes = DEFAULT_PAD,
+    seed: int = 0,
+    exact: bool = False,
+    chunk_size: int = selection.DEFAULT_CHUNK,
+    split_bytes: int = SPLIT_BYTES,
+    **options,
+) -> DataFrame:
+    """Force a share of the packets of each capture to one length; ledger as for plans.
+
+    ``options`` are layout, resume, run_id and part_files.
+    """
+
+    def make_trace(packets: DataFrame, headed: DataFrame) -> DataFrame:
+        # The exact sample is drawn from a scan that leaves the frames where they are.
+        light = read_packets(headed, "STRICT", split_bytes, with_frames=False) if exact else None
+        header = F.coalesce(F.col("repaired") == "header", F.lit(False))
+        forced = force_length(packets.filter(~header), percent, length, pad, seed, exact, light)
+        forced = forced.unionByName(packets.filter(header), allowMissingColumns=True)
+        return force_trace(forced, chunk_size=chunk_size, track=True)
+
+    is_packet = F.coalesce(F.col("repaired"), F.lit("")) != "header"
+    counted = {
+        "total": (is_packet & F.col("error").isNull()).cast("long"),
+        "perturbed": F.coalesce("selected", F.lit(False)).cast("long"),
+    }
+    facts = {"plan": json.dumps({"percent": percent, "length": length, "pad": pad.hex(), "exact": exact})}
+    facts |= {"seed": seed, "chunk_size": chunk_size}
+    return run_trace(captures, out_root, make_trace, counted, facts, "STRICT", split_bytes=split_bytes, **options)
+
+
 def run_directory(
     spark: SparkSession, in_root: str, out_root: str, plan: list[Step], limit: int | None = None, **options
 ) -> DataFrame:
     """The whole directory below ``in_root``; options as in :func:`run_captures`."""
+    check_sink(out_root, options.get("part_files", False))
     return run_captures(discovery.discover(spark, in_root, limit), out_root, plan, **options)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import partial
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from framedrift.operators import content, selection
 from framedrift.operators.retime import retime
@@ -79,11 +80,15 @@ def perturb(
             df = selection.rate_modify(df, step.pct, seed, step.number, rounds)
             span *= 2
         elif step.type == "reorder":
-            df = selection.reorder(
-                df, step.pct, step.params["m"], seed, step.number, reorder_method
-            )
+            method = step.params.get("method") or reorder_method
+            df = selection.reorder(df, step.pct, step.params["m"], seed, step.number, method)
+            # The greedy method goes through Arrow, which hides the partitioning.
+            gathered = gathered and method == "blocks"
         else:
-            df, gathered = CUSTOM_STEPS[step.type](df, step, seed), False
+            # Header rows carry the file header of a capture and are not the step's to drop.
+            header = F.coalesce(F.col("repaired") == "header", F.lit(False)) if "repaired" in df.columns else F.lit(False)
+            changed = CUSTOM_STEPS[step.type](df.filter(~header), step, seed)
+            df, gathered = changed.unionByName(df.filter(header), allowMissingColumns=True), False
         if i == edit_after:
             # An Arrow UDF hides the partitioning of its input, so the shuffle comes after it.
             df = edit(df)

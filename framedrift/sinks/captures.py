@@ -11,6 +11,7 @@ name by rename, whole or not at all, and a retried task can only repeat the same
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -74,7 +75,7 @@ def _runs(batch: pa.RecordBatch) -> Iterator[tuple[str, int, pa.RecordBatch]]:
 class _Fragment:
     """One part being written, and its row of the ledger."""
 
-    def __init__(self, staging: str, capture_id: str, part_id: int, counted: list[str]):
+    def __init__(self, staging: str, capture_id: str, part_id: int, counted: list[str], headed: bool):
         # Many captures make many fragments; no folder should hold them all.
         staging = f"{staging}/{zlib.crc32(capture_id.encode()) % STAGING_FOLDERS:02x}"
         self.system, folder = resolve(staging)
@@ -83,6 +84,7 @@ class _Fragment:
         self.inner = f"{folder}/{name}"
         self.row = {"capture_id": capture_id, "part_id": part_id, "fragment": f"{staging}/{name}"}
         self.row |= {"bytes": 0, "error": None, "linktype": None} | dict.fromkeys(counted, 0)
+        self.headed = headed
         self.out = self.system.open_output_stream(self.inner)
 
     def add(self, rows: pa.RecordBatch, counted: list[str]) -> None:
@@ -94,7 +96,7 @@ class _Fragment:
         links = rows.column("linktype").drop_null()
         if len(links) and self.row["linktype"] is None:
             self.row["linktype"] = links[0].as_py()
-            if self.row["part_id"] == 0:
+            if self.headed:
                 self._put(file_header(self.row["linktype"]))
         held = rows.filter(pc.is_valid(rows.column("frame")))
         if held.num_rows:
@@ -110,11 +112,11 @@ class _Fragment:
 
 
 def write_fragments(
-    trace: DataFrame, staging: str, counted: dict[str, Column] | None = None
+    trace: DataFrame, staging: str, counted: dict[str, Column] | None = None, part_files: bool = False
 ) -> DataFrame:
     """Write every (capture, part) of a gathered trace to a fragment; gives the ledger.
 
-    Part 0 of a capture starts with the file header. Columns ``counted`` are summed per
+    Part 0 of a capture starts with the file header, with ``part_files`` every part. Columns ``counted`` are summed per
     part on the way, so statistics need no pass of their own.
     """
     counted = counted or {}
@@ -155,7 +157,7 @@ def write_fragments(
                 if part is None or key != (part.row["capture_id"], part.row["part_id"]):
                     if part is not None:
                         yield done(part)
-                    part = _Fragment(staging, capture_id, part_id, names)
+                    part = _Fragment(staging, capture_id, part_id, names, part_files or part_id == 0)
                 part.add(piece, names)
         if part is not None:
             yield done(part)
@@ -184,9 +186,8 @@ def _rename(system: fs.FileSystem, source: str, target: str) -> None:
 
 
 def _copy_to(fragment: str, target: str, offset: int) -> None:
-    """Write a fragment's bytes at ``offset`` of ``target``; repeating it changes nothing."""
-    os.makedirs(os.path.dirname(target), exist_ok=True)
-    descriptor = os.open(target, os.O_WRONLY | os.O_CREAT, 0o644)
+    """Write a fragment's bytes at ``offset`` of ``target``, which exists; repeating it changes nothing."""
+    descriptor = os.open(target, os.O_WRONLY)
     try:
         with open(fragment, "rb") as source:
             while data := source.read(COPY_BYTES):
@@ -207,9 +208,27 @@ def _for_each(df: DataFrame, action, tasks: int) -> None:
     df.repartition(tasks).mapInArrow(run, "n long").agg(F.sum("n")).collect()
 
 
-def place_fragments(ledger: DataFrame, outputs: DataFrame, staging: str) -> DataFrame:
+def check_sink(out_root: str, part_files: bool) -> None:
+    """Refuse, before anything is read, a form of output that the file system cannot take."""
+    if not part_files and not re.match("/|file:", out_root):
+        raise ValueError(
+            f"{out_root} is no mounted file system, where parts could be written at an offset of one file; "
+            "set part_files to get one finished capture file per part"
+        )
+
+
+def part_output(output: Column, part_id: Column) -> Column:
+    """Name of a part's own file: capture.pcap gets capture.part-00000.pcap and so on."""
+    number = F.lpad(part_id.cast("string"), 5, "0")
+    long = F.when(F.length(part_id.cast("string")) > 5, part_id.cast("string")).otherwise(number)
+    return F.concat(F.regexp_replace(output, r"\.pcap$", ""), F.lit(".part-"), long, F.lit(".pcap"))
+
+
+def place_fragments(ledger: DataFrame, outputs: DataFrame, staging: str, part_files: bool = False) -> DataFrame:
     """Turn the fragments of error-free captures into their ``output`` files.
 
+    With ``part_files`` each part is renamed to a capture file of its own (``part_output``), which any
+    file system can do; otherwise the parts of a capture are joined, on a mounted file system.
     ``ledger`` must be a stored table: its rows name files. Returns one row per capture.
     """
     capture = Window.partitionBy("capture_id")
@@ -219,6 +238,8 @@ def place_fragments(ledger: DataFrame, outputs: DataFrame, staging: str) -> Data
         {
             "offset": F.coalesce(F.sum("bytes").over(earlier), F.lit(0)),
             "parts": F.count("*").over(capture),
+            "size": F.sum("bytes").over(capture),
+            "first": F.col("part_id") == F.min("part_id").over(capture),
             "failed": F.count("error").over(capture) > 0,
             "written": F.count("*").over(part),
         }
@@ -229,13 +250,8 @@ def place_fragments(ledger: DataFrame, outputs: DataFrame, staging: str) -> Data
     ).first()
     if (state.written or 0) > 1:
         raise RuntimeError("a part was written twice: the trace was not gathered by part")
-    if state.several and not isinstance(resolve(staging)[0], fs.LocalFileSystem):
-        raise RuntimeError(
-            "captures of several parts need a mounted file system, which can write at an "
-            "offset; raise chunks_per_part or write to a mounted path"
-        )
     placed = sized.filter("not failed").select(
-        "capture_id", "part_id", "fragment", "offset", "parts", "output"
+        "capture_id", "part_id", "fragment", "offset", "size", "first", "parts", "output"
     )
     tasks = placed.sparkSession.sparkContext.defaultParallelism
 
@@ -243,12 +259,18 @@ def place_fragments(ledger: DataFrame, outputs: DataFrame, staging: str) -> Data
         system, source = resolve(row["fragment"])
         _rename(system, source, resolve(row["output"])[1])
 
-    _for_each(placed.filter("parts = 1"), rename_single, tasks)
-    if state.several:
+    if part_files:
+        named = placed.withColumn("output", part_output(F.col("output"), F.col("part_id")))
+        _for_each(named, rename_single, tasks)
+    else:
+        _for_each(placed.filter("parts = 1"), rename_single, tasks)
+    if state.several and not part_files:
+        check_sink(staging, False)
         target = F.concat(F.lit(staging + "/joined-"), F.md5("capture_id"))
         several = placed.filter("parts > 1").withColumn("target", target)
+        _for_each(several.filter("first"), _start_joined, tasks)
         _for_each(several, _join_part, tasks)
-        _for_each(several.filter("part_id = 0"), _finish_joined, tasks)
+        _for_each(several.filter("first"), _finish_joined, tasks)
         _for_each(several, _drop_fragment, tasks)
     return sized.groupBy("capture_id").agg(
         F.first("output").alias("output"),
@@ -258,6 +280,17 @@ def place_fragments(ledger: DataFrame, outputs: DataFrame, staging: str) -> Data
     )
 
 
+def _start_joined(row: dict) -> None:
+    """Create the file at its final size, whatever an earlier run has left under the name."""
+    target = resolve(row["target"])[1]
+    os.makedirs(os.path.dirname(target), exist_ok=True)
+    descriptor = os.open(target, os.O_WRONLY | os.O_CREAT, 0o644)
+    try:
+        os.ftruncate(descriptor, row["size"])
+    finally:
+        os.close(descriptor)
+
+
 def _join_part(row: dict) -> None:
     source, target = resolve(row["fragment"])[1], resolve(row["target"])[1]
     if os.path.exists(source):

@@ -21,7 +21,9 @@ MAGIC_BE_MICROS = "A1B2C3D4"
 MAGIC_LE_NANOS = "4D3CB2A1"
 MAGIC_BE_NANOS = "A1B23C4D"
 MAGIC_PCAPNG = "0A0D0D0A"
+MAGIC_PCAPNG_BE = "1A2B3C4D"
 FILE_HEADER = 24
+LISTING_TASKS = 1000
 MAX_SNAPLEN = 262_144
 DEFAULT_LINKTYPE = 1
 
@@ -68,7 +70,15 @@ def discover(spark: SparkSession, root: str, limit: int | None = None) -> DataFr
         .load(root)
         .select("path", "length", F.col("modificationTime").alias("modification_time"))
     )
-    return captures_from_listing(files, root, limit)
+    # The reader plans tasks by the size of the files, of which only names are read here.
+    return captures_from_listing(files.coalesce(LISTING_TASKS), root, limit)
+
+
+def single_capture(spark: SparkSession, path: str) -> DataFrame:
+    """One file as a capture, whatever its name; its id is the name."""
+    files = spark.read.format("binaryFile").load(path)
+    files = files.select("path", "length", F.col("modificationTime").alias("modification_time"))
+    return with_names(files.withColumn("capture_id", F.substring_index("path", "/", -1)))
 
 
 def captures_from_listing(files: DataFrame, root: str, limit: int | None = None) -> DataFrame:
@@ -150,7 +160,8 @@ def decode_header(df: DataFrame, head: str = "head") -> DataFrame:
     valid = (snaplen > 0) & (snaplen <= MAX_SNAPLEN)
     return df.withColumns(
         {
-            "big_endian": big,
+            # A pcapng section names its byte order itself, behind type and length.
+            "big_endian": big | ((magic == MAGIC_PCAPNG) & (F.substring(hexed, 17, 8) == MAGIC_PCAPNG_BE)),
             "nanos": magic.isin(MAGIC_LE_NANOS, MAGIC_BE_NANOS),
             "snaplen": F.when(valid, snaplen).when(F.col("kind") != "unknown", MAX_SNAPLEN),
             "linktype": F.when(F.col("kind") == "pcapng", F.lit(1).cast("long"))

@@ -55,7 +55,8 @@ ARROW_PACKETS = pa.schema(
     ]
 )
 HEADER_COLUMNS = ["kind", "big_endian", "nanos", "snaplen", "linktype"]
-WALKED = "capture_id string, split_no long, start long, stop long, n long, delta string"
+WALKED = "capture_id string, split_no long, start long, stop long, n long, delta string, error string"
+SCAN_TASKS = 100_000
 
 
 def _check_mode(mode: str) -> bool:
@@ -112,7 +113,18 @@ def _fetch(path: str, start: int, stop: int) -> bytes:
 
 
 def _walk_split(row: dict, repair: bool) -> dict:
-    """Start, end and packet count of one range; nothing but the name if no start is found."""
+    """Start, end and packet count of one range; nothing but the name if no start is found.
+
+    A range that cannot be walked counts as not found: its proposed start may be wrong, and if it
+    is not, walking it again in order says why.
+    """
+    try:
+        return _walk_found(row, repair)
+    except READ_PROBLEMS:
+        return {"capture_id": row["capture_id"], "split_no": row["split_no"]}
+
+
+def _walk_found(row: dict, repair: bool) -> dict:
     cut, limit = row["cut"], min(row["cut"] + row["split_bytes"], row["length"])
     result = {"capture_id": row["capture_id"], "split_no": row["split_no"]}
     start = row["start"]
@@ -131,22 +143,34 @@ def _walk_split(row: dict, repair: bool) -> dict:
 
 
 def _walk_whole(row: dict, repair: bool) -> Iterator[dict]:
-    """The ranges of a capture one after the other: exact whatever the file holds."""
+    """The ranges of a capture in order: exact whatever the file holds.
+
+    A range in ``known`` that begins where the walk has come is kept and not read again. What ends
+    the walk becomes a row with ``error``.
+    """
     walk = Walk(row, repair, row["start"])
-    for number, cut in enumerate(range(0, row["length"], row["split_bytes"])):
-        start, limit, count = walk.at, min(cut + row["split_bytes"], row["length"]), 0
-        walk.found = {}
-        if start < limit:
-            data = _fetch(row["path"], start, min(limit + GUESS_WINDOW, row["length"]))
-            count = sum(packet[5] != "discarded" for packet in walk.packets(data, limit))
-        yield {
-            "capture_id": row["capture_id"],
-            "split_no": number,
-            "start": start,
-            "stop": walk.at,
-            "n": count,
-            "delta": walk.delta(),
-        }
+    known = {k["split_no"]: k for k in row["known"] if k["start"] is not None and k["stop"] is not None}
+    try:
+        for number, cut in enumerate(range(0, row["length"], row["split_bytes"])):
+            kept = known.get(number)
+            if kept and kept["start"] == walk.at:
+                walk.pass_over(kept["stop"], kept["delta"])
+                continue
+            start, limit, count = walk.at, min(cut + row["split_bytes"], row["length"]), 0
+            walk.found = {}
+            if start < limit:
+                data = _fetch(row["path"], start, min(limit + GUESS_WINDOW, row["length"]))
+                count = sum(packet[5] != "discarded" for packet in walk.packets(data, limit))
+            yield {
+                "capture_id": row["capture_id"],
+                "split_no": number,
+                "start": start,
+                "stop": walk.at,
+                "n": count,
+                "delta": walk.delta(),
+            }
+    except READ_PROBLEMS as problem:
+        yield {"capture_id": row["capture_id"], "split_no": -1, "error": f"{type(problem).__name__}: {problem}"}
 
 
 def _walked(splits: DataFrame, repair: bool, whole: bool = False) -> DataFrame:
@@ -158,6 +182,7 @@ def _walked(splits: DataFrame, repair: bool, whole: bool = False) -> DataFrame:
             ("stop", pa.int64()),
             ("n", pa.int64()),
             ("delta", pa.string()),
+            ("error", pa.string()),
         ]
     )
 
@@ -201,11 +226,15 @@ def _index_large(large: DataFrame, split_bytes: int, repair: bool) -> DataFrame:
         kept = walks.join(known, ["capture_id", "split_no"], "left_anti")
         walks = settle(kept.unionByName(fixed))
 
+    # What is still loose is walked in order; ranges found before are kept where they fit.
     checked = walks.withColumn("_before", before)
     loose = checked.filter("split_no > 0 and not (start <=> _before)").select("capture_id").distinct()
-    broken = splits.filter("split_no = 0").join(loose, "capture_id", "left_semi")
-    fixed = _walked(_spread(broken, broken.count()), repair, whole=True)
-    return settle(walks.join(loose, "capture_id", "left_anti").unionByName(fixed))
+    found = F.collect_list(F.struct("split_no", "start", "stop", "delta")).alias("known")
+    known = walks.join(loose, "capture_id", "left_semi").groupBy("capture_id").agg(found)
+    broken = splits.filter("split_no = 0").join(known, "capture_id")
+    fixed = settle(_walked(_spread(broken, loose.count()), repair, whole=True))
+    kept = walks.join(fixed.select("capture_id", "split_no"), ["capture_id", "split_no"], "left_anti")
+    return settle(kept.unionByName(fixed))
 
 
 def capture_ranges(
@@ -222,12 +251,15 @@ def capture_ranges(
             "stop": F.col("length"),
             "first_packet_no": F.lit(0).cast("long"),
             "interfaces": F.array().cast("array<string>"),
+            "error": F.lit(None).cast("string"),
         }
     )
     large = readable.filter(F.col("length") > split_bytes)
     if large.isEmpty():
         return small
     walks = _index_large(large, split_bytes, repair)
+    failed = walks.filter("error is not null").select("capture_id", "error")
+    walks = walks.drop("error").join(failed, "capture_id", "left_anti")
     earlier = Window.partitionBy("capture_id").orderBy("split_no").rowsBetween(
         Window.unboundedPreceding, -1
     )
@@ -240,7 +272,12 @@ def capture_ranges(
         }
     ).filter("start < stop")
     ranges = large.join(numbered.drop("n", "delta", "split_no"), "capture_id")
-    return small.unionByName(ranges)
+    ranges = ranges.withColumn("error", F.lit(None).cast("string"))
+    # A capture that cannot be walked is one empty range that says so.
+    zero = F.lit(0).cast("long")
+    nothing = {"start": zero, "stop": zero, "first_packet_no": zero, "interfaces": F.array().cast("array<string>")}
+    unwalked = large.join(failed, "capture_id").withColumns(nothing)
+    return small.unionByName(ranges).unionByName(unwalked)
 
 
 def read_ranges(
@@ -253,6 +290,8 @@ def read_ranges(
         for batch in batches:
             for row in batch.to_pylist():
                 try:
+                    if row["error"]:
+                        raise ValueError(row["error"])
                     data = _fetch(row["path"], row["start"], row["stop"])
                     yield from _packet_batches(row, data, repair, with_frames)
                 except READ_PROBLEMS as problem:
@@ -276,6 +315,7 @@ def read_packets(
     size = ranges.agg(F.sum(F.col("stop") - F.col("start")), F.count("*")).first()
     parallel = captures.sparkSession.sparkContext.defaultParallelism
     tasks = max((size[0] or 0) // split_bytes + 1, min(parallel, size[1] or 1))
+    tasks = min(tasks, SCAN_TASKS)
     return read_ranges(ranges.repartition(int(tasks)), mode, with_frames)
 
 

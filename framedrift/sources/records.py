@@ -24,6 +24,8 @@ ENHANCED_PACKET_BLOCK = 6
 OPTION_TSRESOL = 9
 OPTION_TSOFFSET = 14
 MICROS = 1_000_000
+BLOCK_AROUND_FRAME = 32  # bytes of a packet block beside the frame
+LARGEST_FRAME = 128 << 20  # a longer one is no frame, and would not fit a task
 
 # How far and how strictly a split looks for its first record.
 GUESS_WINDOW = 1 << 20
@@ -54,6 +56,12 @@ class Walk:
             self.order, self.interfaces = delta["order"], []
         self.interfaces += [tuple(item) for item in delta.get("interfaces", [])]
 
+    def pass_over(self, stop: int, delta: str | None) -> None:
+        """Go on at ``stop``, after a range that another walk has read."""
+        self.at = stop
+        if delta:
+            self._adopt(json.loads(delta))
+
     def delta(self) -> str | None:
         """What a later range must know about the blocks this walk met."""
         return json.dumps(self.found) if self.found else None
@@ -79,6 +87,8 @@ class Walk:
                 size, note = left, "truncated"
                 if self.repair:
                     original = left
+            if size > LARGEST_FRAME:
+                raise ValueError(f"record of {size} bytes at byte {self.at}")
             if self.repair and size == 0:
                 note = "discarded"
             self.at = begin + size
@@ -92,16 +102,19 @@ class Walk:
             )
 
     def _blocks(self, data: bytes, base: int, stop: int) -> Iterator[Packet]:
-        while self.at < stop and self.at + 12 <= self.length:
+        while self.at < stop:
             here = self.at - base
+            if self.at + 12 > self.length:
+                yield self._damage(data, here, base)
+                continue
             if data[here : here + 4] == SECTION_BLOCK_BYTES:
                 self.order = "<" if data[here + 8 : here + 12] == SECTION_MAGIC_LE else ">"
                 self.interfaces = []
                 self.found = {"order": self.order, "interfaces": []}
             kind, size = struct.unpack_from(self.order + "II", data, here)
             if size < 12 or size % 4 or self.at + size > self.length:
-                self.at = self.length
-                return
+                yield self._damage(data, here, base)
+                continue
             self.at += size
             if kind == INTERFACE_BLOCK:
                 interface = self._interface(data[here : here + size])
@@ -112,22 +125,37 @@ class Walk:
                 number, high, low, held, original = struct.unpack_from(
                     self.order + fields, data, here + 8
                 )
-                yield self._timed(number, (high << 32) | low, here + 28, held, original)
+                note = None
+                if held > size - BLOCK_AROUND_FRAME:
+                    if not self.repair:
+                        raise ValueError(f"frame longer than its block at byte {self.at - size}")
+                    held, note = max(0, size - BLOCK_AROUND_FRAME), "capped"
+                yield self._timed(number, (high << 32) | low, here + 28, held, original, note)
             elif kind == SIMPLE_PACKET_BLOCK:
                 (original,) = struct.unpack_from(self.order + "I", data, here + 8)
                 linktype, _, _, snaplen = self._interface_of(0)
                 held = min(original, size - 16, snaplen or size)
                 yield (0, here + 12, held, original, linktype, None)
 
+    def _damage(self, data: bytes, here: int, base: int) -> Packet:
+        """Go to the next sound block; the gap is noted as one discarded record."""
+        if not self.repair:
+            raise ValueError(f"damaged block at byte {self.at}")
+        found = next_block(data, here + 4, self.order)
+        # Without one the search goes on at the end of the data, unless that is the end of the file.
+        rest = max(here + 4, len(data) - 12) if base + len(data) < self.length else self.length - base
+        self.at = base + (rest if found is None else found)
+        return (0, 0, 0, 0, self.linktype, "discarded")
+
     def _interface_of(self, number: int) -> tuple[int, int, int, int]:
         if number < len(self.interfaces):
             return self.interfaces[number]
         return (self.linktype or 1, MICROS, 0, 0)
 
-    def _timed(self, number: int, ticks: int, begin: int, held: int, original: int) -> Packet:
+    def _timed(self, number: int, ticks: int, begin: int, held: int, original: int, note: str | None) -> Packet:
         linktype, per_second, offset, _ = self._interface_of(number)
         moment = ticks * MICROS // per_second + offset * MICROS
-        return (moment, begin, held, original, linktype, None)
+        return (moment, begin, held, original, linktype, note)
 
     def _interface(self, block: bytes) -> tuple[int, int, int, int]:
         """(linktype, ticks per second, offset in seconds, snaplen) of an interface block."""
@@ -180,6 +208,16 @@ def guess_start(data: bytes, capture: dict) -> int | None:
     return None
 
 
+def next_block(data: bytes, begin: int, order: str) -> int | None:
+    """Offset of the first run of sound packet blocks at or after ``begin``."""
+    capture = {"kind": "pcapng", "big_endian": order == ">"}
+    for at in range(begin, len(data), GUESS_WINDOW):
+        found = guess_start(memoryview(data)[at:], capture)
+        if found is not None:
+            return at + found
+    return None
+
+
 def _sound_records(data: bytes, at: int, order: str, capture: dict) -> bool:
     unpack = struct.Struct(order + "IIII").unpack_from
     limit = 1000 * MICROS if capture["nanos"] else MICROS

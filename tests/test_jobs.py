@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from framedrift import __main__ as command
 from framedrift.operators import selection
 from framedrift.plans.fixed_length import force_length
-from framedrift.plans.job import run_directory, summary
+from framedrift.plans.job import run_captures, run_directory, run_fixed_length, summary
 from framedrift.plans.perturb import perturb
-from framedrift.plans.plan import load_plan, read_plan
+from framedrift.plans.plan import load_plan, read_plan, register_step
 from framedrift.sources import discovery
 from framedrift.sources.packets import read_packets
 from framedrift.streaming.arrivals import perturb_arrivals
@@ -184,3 +184,74 @@ def test_ungathered_parts_are_refused(spark, tmp_path):
     with pytest.raises(RuntimeError, match="written twice"):
         place_fragments(spark.read.parquet(f"{root}/ledger"), outputs, f"{root}/_staging")
     assert load_plan('[{"type": "LOSS", "pct": 1}]')[0].type == "loss"
+
+
+def test_custom_step_may_drop_the_first_part(spark, tree):
+    register_step("drop_head", lambda df, step, seed: df.filter("packet_no >= 100"))
+    plan = read_plan([{"type": "drop_head", "pct": 1.0}])
+    runs = run_directory(spark, str(tree / "in"), str(tree / "out"), plan, chunk_size=20, chunks_per_part=2)
+    by_id = {r.capture_id: r for r in runs.collect()}
+    got = build.read_pcap((tree / "out/d1/capA.pcap").read_bytes())
+    assert [(t, f) for t, _, _, f in got] == some_packets(230)[100:]
+    assert len((tree / "out/d1/sub/capB.x.pcap").read_bytes()) == 24 and by_id["d1/sub/capB.x"].status == "done"
+
+
+def test_greedy_reorder_in_the_job(spark, tree):
+    """Many shuffle partitions that are not merged: parts must stay whole behind the Arrow step."""
+    plan = read_plan([{"type": "reorder", "pct": 0.5, "params": {"m": 4, "method": "greedy"}}])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        runs = run_directory(spark, str(tree / "in"), str(tree / "out"), plan, seed=3, chunk_size=20, chunks_per_part=3)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {r.status for r in runs.collect() if r.capture_id != "d2/capJunk"} == {"done"}
+    got = [f for _, _, _, f in build.read_pcap((tree / "out/d1/capA.pcap").read_bytes())]
+    before = [f for _, f in some_packets(230)]
+    assert sorted(got) == sorted(before) and got != before
+    place = {f: i for i, f in enumerate(before)}
+    assert all(abs(place[f] - i) < 4 for i, f in enumerate(got))
+
+
+def test_fixed_length_job_keeps_every_capture(spark, tree):
+    for exact in (True, False):
+        out = tree / f"fixed{exact}"
+        runs = run_fixed_length(discovery.discover(spark, str(tree / "in")), str(out), 10, 30, exact=exact)
+        by_id = {r.capture_id: r for r in runs.collect()}
+        assert by_id["d2/capJunk"].error == "unknown capture format" and not (out / "d2/capJunk.pcap").exists()
+        assert by_id["d2/capEmpty"].status == "done" and len((out / "d2/capEmpty.pcap").read_bytes()) == 24
+        assert by_id["d1/capA"].total == 230 and (by_id["d1/capA"].perturbed == 23 or not exact)
+        got = build.read_pcap((out / "d1/capA.pcap").read_bytes())
+        assert len(got) == 230 and sum(len(f) == 30 for _, _, _, f in got) >= by_id["d1/capA"].perturbed
+
+
+def test_single_capture_of_any_name(spark, tree):
+    put(tree, "one/dump.bin", build.pcap(some_packets(50)))
+    runs = run_captures(discovery.single_capture(spark, str(tree / "one/dump.bin")), str(tree / "out"), NOTHING).collect()
+    assert [(r.capture_id, r.status) for r in runs] == [("dump.bin", "done")]
+    assert len(build.read_pcap((tree / "out/dump.bin.pcap").read_bytes())) == 50
+
+
+def test_part_files(spark, tree):
+    """Finished captures per part, which need no writing at an offset."""
+    options = dict(chunk_size=20, chunks_per_part=3, part_files=True)
+    runs = run_directory(spark, str(tree / "in"), str(tree / "out"), NOTHING, **options)
+    assert {r.capture_id: r.parts for r in runs.collect()}["d1/capA"] == 4
+    parts = sorted((tree / "out/d1").glob("capA.part-*.pcap"))
+    assert [p.name for p in parts] == [f"capA.part-{i:05d}.pcap" for i in range(4)]
+    assert [(t, f) for p in parts for t, _, _, f in build.read_pcap(p.read_bytes())] == some_packets(230)
+
+
+def test_output_without_a_mount_is_refused_first(spark, tree):
+    with pytest.raises(ValueError, match="part_files"):
+        run_directory(spark, str(tree / "nowhere"), "hdfs://none:1/out", NOTHING)
+
+
+def test_leftovers_of_a_longer_file_do_not_stay(tmp_path):
+    from framedrift.sinks import captures
+
+    (tmp_path / "fragment").write_bytes(b"hello")
+    (tmp_path / "joined").write_bytes(b"x" * 100)
+    row = {"fragment": str(tmp_path / "fragment"), "target": str(tmp_path / "joined"), "offset": 0, "size": 5}
+    captures._start_joined(row)
+    captures._join_part(row)
+    assert (tmp_path / "joined").read_bytes() == b"hello"

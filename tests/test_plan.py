@@ -63,3 +63,16 @@ def test_pad_bytes():
     for value in (-1, 100.1, float("nan")):
         with pytest.raises(ValueError):
             plan.check_percent(value)
+
+
+def test_quick_flags_say_what_they_take():
+    for flags in ({"seq_offset": "0.1"}, {"loss": "0.1:5"}, {"length_forge": "0.1:x"}, {"loss": "many"}):
+        with pytest.raises(ValueError, match="takes pct"):
+            plan.plan_from_flags(**flags)
+
+
+def test_reorder_method_of_a_plan():
+    steps = plan.read_plan([{"type": "reorder", "pct": 0.1, "params": {"method": "greedy"}}])
+    assert steps[0].params == {"m": 5, "method": "greedy"}
+    with pytest.raises(ValueError, match="method"):
+        plan.read_plan([{"type": "reorder", "pct": 0.1, "params": {"method": "sort"}}])

@@ -169,7 +169,11 @@ def test_simple_blocks_offsets_and_errors(spark, tmp_path):
     put(tmp_path, "capngcut", data[:-6])
     got = rows(load(spark, tmp_path))
     assert [r[1:] for r in got if r[0] == "capng"] == [(0, 102_000_000, b"abc"), (1, 0, b"abcd")]
-    assert [r[1:] for r in got if r[0] == "capngcut"] == [(0, 102_000_000, b"abc"), (1, 0, b"abcd")]
+    # A cut file says so: an error row, or with repair a discarded record.
+    cut = load(spark, tmp_path).filter("capture_id = 'capngcut'").collect()
+    assert [r.error for r in cut if r.error] == [f"ValueError: damaged block at byte {len(data) - 16}"], cut
+    mended = load(spark, tmp_path, mode="REPAIR").filter("capture_id = 'capngcut'").collect()
+    assert [r.repaired for r in mended] == [None, None, "discarded"] and not any(r.error for r in mended)
 
 
 def test_missing_file_is_an_error_row(spark, tmp_path):
@@ -189,3 +193,64 @@ def test_count_without_frames(spark, tmp_path):
     put(tmp_path, "capA", build.pcap(PACKETS))
     df = load(spark, tmp_path, with_frames=False)
     assert df.filter("frame is null").count() == 3
+
+
+def pcapng_of(packets, order="<", bad=()):
+    """``bad``: numbers of packets before which a block with a senseless size stands."""
+    data = build.section(order) + build.interface(order)
+    for i, (ts, frame) in enumerate(packets):
+        if i in bad:
+            data += struct.pack(order + "II", 6, 7)
+        data += build.enhanced(ts, frame, order)
+    return data
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+@pytest.mark.parametrize("split_bytes", [1 << 26, 1 << 14])
+def test_damaged_blocks_lose_nothing_in_silence(spark, tmp_path, order, split_bytes):
+    packets = random_packets(300, 3)
+    put(tmp_path, "capng", pcapng_of(packets, order, bad=(100, 220)))
+    mended = load(spark, tmp_path, mode="REPAIR", split_bytes=split_bytes).collect()
+    assert sorted((r.packet_no, bytes(r.frame)) for r in mended if r.frame is not None) == [
+        (i, frame) for i, (_, frame) in enumerate(packets)
+    ]
+    assert sum(r.repaired == "discarded" for r in mended) == 2
+    strict = load(spark, tmp_path, split_bytes=split_bytes).collect()
+    assert ["damaged block" in r.error for r in strict if r.error] == [True]
+
+
+def test_big_endian_blocks_split_without_a_serial_walk(spark, tmp_path, monkeypatch):
+    from framedrift.sources import packets as source
+
+    def refuse(*args):
+        raise AssertionError("walked in one task")
+
+    packets = random_packets(1500, 6)
+    put(tmp_path, "capbe", pcapng_of(packets, ">"))
+    monkeypatch.setattr(source, "_walk_whole", refuse)
+    captures = discovery.read_headers(discovery.discover(spark, str(tmp_path)))
+    ranges = capture_ranges(captures, "STRICT", 1 << 16).collect()
+    assert len(ranges) > 10 and max(r.stop - r.start for r in ranges) < 2 << 16
+    got = rows(read_packets(captures, split_bytes=1 << 16))
+    assert [r[1:] for r in got] == [(i, ts, frame) for i, (ts, frame) in enumerate(packets)]
+
+
+@pytest.mark.parametrize("split_bytes", [1 << 26, 1 << 14])
+def test_a_capture_that_cannot_be_walked_is_an_error_row(spark, tmp_path, split_bytes):
+    """An interface block too short for its fields, at any size of file."""
+    packets = random_packets(200, 8)
+    bad = build.section() + build.block("<", 1, b"") + pcapng_of(packets)[len(build.section()) :]
+    put(tmp_path, "capbad", bad)
+    put(tmp_path, "capgood", pcapng_of(packets))
+    got = load(spark, tmp_path, split_bytes=split_bytes).collect()
+    assert {r.capture_id for r in got if r.error} == {"capbad"}
+    assert sum(r.frame is not None for r in got if r.capture_id == "capgood") == 200
+
+
+def test_frames_longer_than_their_block(spark, tmp_path):
+    block = bytearray(build.enhanced(5, b"abcdefgh"))
+    struct.pack_into("<I", block, 20, 40)
+    put(tmp_path, "capng", build.section() + build.interface() + bytes(block) + build.enhanced(6, b"next"))
+    mended = load(spark, tmp_path, mode="REPAIR").collect()
+    assert sorted((r.packet_no, bytes(r.frame), r.repaired) for r in mended) == [(0, b"abcdefgh", "capped"), (1, b"next", None)]
+    assert [r.error for r in load(spark, tmp_path).collect() if r.error] == ["ValueError: frame longer than its block at byte 48"]
