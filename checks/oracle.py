@@ -262,6 +262,26 @@ ORACLE = {
     "r4_adjacent": with_(PACKETS)
     + f"""SELECT {KEYS}, pos * 2 AS pos, ts_us FROM packets UNION ALL
          SELECT capture_id, chunk_id, packet_no, 1, pos * 2 + 1, ts_us FROM packets WHERE {draw(1)} < {COPY}""",
+    "j1_greedy": with_(STORED)
+    + """SELECT capture_id, 'done' AS status, count(*) AS total_in, count(*) AS total_out,
+         count(DISTINCT chunk_id // 2) AS parts FROM packets GROUP BY 1""",
+    "k7_runs": with_(STORED)
+    + """SELECT capture_id, 'second' AS run_id, '[{"type": "loss", "pct": 0.1, "params": {}}]' AS plan,
+         7 AS seed, 100 AS chunk_size, CASE WHEN min(event_id // 500) % 5 = 0 THEN 'skipped' ELSE 'done' END AS status,
+         CASE WHEN min(event_id // 500) % 5 = 0 THEN 'exists' END AS reason, NULL::VARCHAR AS error,
+         CASE WHEN min(event_id // 500) % 5 <> 0 THEN count(*) END AS total_in
+         FROM packets GROUP BY 1""",
+    "k9_job": with_(STORED)
+    + """SELECT capture_id, 'done' AS status, NULL::VARCHAR AS error, count(*) AS total,
+         round_even(count(*) * 20 / 100, 0)::BIGINT AS perturbed, true AS has_file FROM packets GROUP BY 1
+         UNION ALL SELECT 'odd/capEmpty', 'done', NULL, 0, 0, true
+         UNION ALL SELECT 'odd/capUnknown', 'error', 'unknown capture format', NULL, NULL, NULL""",
+    "r5_greedy_facts": with_(PACKETS)
+    + """SELECT capture_id, chunk_id, count(*) AS packets, count(*) AS positions, true AS near,
+         false AS moved_unflagged, true AS some_flagged FROM packets GROUP BY 1, 2""",
+    "u1_drops_first_part": STORED_FRAMES
+    + """SELECT capture_id || '.pcap' AS capture_id, packet_no - 230 AS packet_no, blank AS frame_hex
+         FROM plain WHERE packet_no >= 230""",
     "r5_blocks": with_(PACKETS, "kept AS (SELECT *, 0::BIGINT AS bits FROM packets)", *plan_tables()[2:])
     .replace("FROM copied", "FROM kept")
     + f"SELECT {KEYS}, pos, applied FROM shuffled",

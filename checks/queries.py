@@ -12,11 +12,12 @@ from framedrift.functions.draws import row_draw
 from framedrift.operators import content, drift, selection, statistics
 from framedrift.operators.retime import number_positions, retime
 from framedrift.plans.fixed_length import force_length, force_trace
-from framedrift.plans.job import run_directory
+from framedrift.plans.job import run_captures, run_directory, run_fixed_length
 from framedrift.plans.perturb import perturb
 from framedrift.plans.plan import read_plan, register_step
+from framedrift.sinks.captures import file_header
 from framedrift.sources import discovery
-from framedrift.sources.files import spread_small
+from framedrift.sources.files import resolve, spread_small
 from framedrift.sources.packets import read_content, read_packets
 from framedrift.streaming.arrivals import perturb_arrivals, stream_packets
 
@@ -156,6 +157,49 @@ def j1_directory_job(spark, sf):
     return runs.select("capture_id", "status", *counts)
 
 
+def j1_greedy(spark, sf):
+    """The greedy method in a job whose shuffle partitions are not merged."""
+    source, target = scratch(spark), scratch(spark)
+    inputs.store_packets(spark, sf, source)
+    plan = read_plan([{"type": "reorder", "pct": 0.6, "params": {"m": 5, "method": "greedy"}}])
+    merging = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(merging)
+    spark.conf.set(merging, "false")
+    try:
+        runs = run_directory(spark, source, target, plan, seed=SEED, chunk_size=CHUNK, chunks_per_part=2)
+    finally:
+        spark.conf.set(merging, before)
+    return runs.select("capture_id", "status", "total_in", "total_out", "parts")
+
+
+def k7_runs(spark, sf):
+    """The ledger of a run in which some captures were done before."""
+    source, target = scratch(spark), scratch(spark)
+    inputs.store_packets(spark, sf, source)
+    plan = read_plan(PLAN[:1])
+    first = discovery.discover(spark, source).filter(F.col("base_name").rlike("[05].pcap$"))
+    run_captures(first, target, plan, seed=SEED, chunk_size=CHUNK)
+    runs = run_directory(spark, source, target, plan, seed=SEED, chunk_size=CHUNK, resume=True, run_id="second")
+    return runs.select("capture_id", "run_id", "plan", "seed", "chunk_size", "status", "reason", "error", "total_in")
+
+
+def k9_job(spark, sf):
+    """Fixed lengths over a directory that also holds an empty and an unknown capture."""
+    source, target = scratch(spark), scratch(spark)
+    inputs.store_packets(spark, sf, source)
+    for name, data in (("odd/capEmpty", file_header(1)), ("odd/capUnknown", b"no capture")):
+        system, inner = resolve(f"{source}/{name}")
+        system.create_dir(inner.rpartition("/")[0], recursive=True)
+        with system.open_output_stream(inner) as out:
+            out.write(data)
+    runs = run_fixed_length(discovery.discover(spark, source), target, 20, 48, seed=SEED, exact=True, chunk_size=CHUNK)
+    written = discovery.read_headers(discovery.discover(spark, target))
+    written = written.select(F.regexp_replace("capture_id", r"\.pcap$", "").alias("capture_id"), F.col("length").alias("size"))
+    return runs.join(written, "capture_id", "left").select(
+        "capture_id", "status", "error", "total", "perturbed", (F.col("size") > 0).alias("has_file")
+    )
+
+
 # --- selection -----------------------------------------------------------------------
 
 
@@ -184,6 +228,20 @@ def r5_greedy(spark, sf):
     return selection.reorder(start(spark, sf), 0.6, 5, SEED, 2, "greedy").select(*KEYS, "pos", "applied")
 
 
+def r5_greedy_facts(spark, sf):
+    """Of each chunk: positions stay a permutation, moves are short, and only flagged packets move."""
+    df = selection.reorder(start(spark, sf), 0.6, 5, SEED, 2, "greedy")
+    moved = F.col("pos") != F.col("packet_no") % CHUNK
+    flagged = F.col("applied").bitwiseAND(F.lit(4)) != 0
+    return df.groupBy("capture_id", "chunk_id").agg(
+        F.count("*").alias("packets"),
+        F.countDistinct("pos").alias("positions"),
+        (F.max(F.abs(F.col("pos") - F.col("packet_no") % CHUNK)) < 5).alias("near"),
+        F.max(moved & ~flagged).alias("moved_unflagged"),
+        (F.count_if(flagged) > 0).alias("some_flagged"),
+    )
+
+
 def r6_exact(spark, sf):
     source = inputs.packets(spark, sf).withColumn("copy_no", F.lit(0))
     return selection.flag_exact(source, 12.5, SEED).select("capture_id", "packet_no", "selected")
@@ -494,6 +552,16 @@ def u1_custom_step(spark, sf):
     return trace.select(*KEYS, "ts_new_us")
 
 
+def u1_drops_first_part(spark, sf):
+    """A step that removes whole parts, the first among them, leaves complete files."""
+    register_step("late", lambda df, step, seed: df.filter(F.col("packet_no") >= step.params["least"]))
+    source, target = scratch(spark), scratch(spark)
+    inputs.store_packets(spark, sf, source)
+    plan = read_plan([{"type": "late", "pct": 1, "params": {"least": 230}}])
+    run_directory(spark, source, target, plan, seed=SEED, chunk_size=CHUNK, chunks_per_part=1)
+    return loaded(spark, target).select("capture_id", "packet_no", hexed())
+
+
 def _is_query(name: str, value) -> bool:
     return callable(value) and getattr(value, "__module__", "") == __name__ and name[0] in "abdjkrsuw"
 

@@ -11,7 +11,8 @@ from checks.oracle import ORACLE
 from checks.queries import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
-SAMPLE = ["s8_repair", "k4_patch_time", "r4_adjacent", "r5_blocks", "r6_exact", "r9_rate_modify", "r11_plan"]
+SAMPLE = ["j1_greedy", "k7_runs", "k9_job", "r5_greedy_facts", "u1_drops_first_part"]
+SAMPLE += ["s8_repair", "k4_patch_time", "r4_adjacent", "r5_blocks", "r6_exact", "r9_rate_modify", "r11_plan"]
 SAMPLE += ["b2_seq_offset", "b8_forged_frames", "b6_length_forge", "a1_totals", "dr8_drift", "dr14_hist"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test data")
