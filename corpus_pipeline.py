@@ -18,7 +18,7 @@ from framedrift.llm.common import read_table, shared_folder
 cloudpickle.register_pickle_by_value(framedrift)
 
 LEAST_SCORE = 0.5
-WORDS = 3
+WORDS = 5
 
 
 def _with_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
