@@ -7,10 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from framedrift.sources.files import settle
+
 # Fixed values of the report.
 REL_THRESHOLD = 1.0
 ABS_THRESHOLD = 10.0
@@ -167,15 +169,15 @@ def histogram(df: DataFrame, name: str, low: float, high: float, bins: int) -> D
     value = known(df, name)
     place = F.least(F.floor((value - low) / width).cast("int"), F.lit(bins - 1))
     inside = df.select(place.alias("bin"), value.alias("v")).filter(F.col("v").between(low, high))
-    counts = inside.groupBy("bin").agg(F.count("*").alias("count"))
+    counts = settle(inside.groupBy("bin").agg(F.count("*").alias("count")))
+    everything = counts.agg(F.sum("count").alias("all")).first()["all"]
     ids = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     filled = ids.join(counts, "bin", "left").withColumn("count", F.coalesce("count", F.lit(0)))
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return filled.withColumn("all", F.sum("count").over(everything)).select(
+    return filled.select(
         "bin",
         (F.lit(low) + F.col("bin") * width).alias("left"),
         "count",
-        (F.col("count") / (F.col("all") * width)).alias("density"),
+        (F.col("count") / F.lit((everything or 0) * width)).alias("density"),
     )
 
 
@@ -214,8 +216,8 @@ def density_curve(df: DataFrame, name: str, points: int = KDE_POINTS) -> DataFra
 
 
 def drift_report(before: DataFrame, after: DataFrame) -> dict[str, DataFrame]:
-    """The tables of the report. ``drift`` is small (one row per feature)."""
-    drift = feature_drift(before, after)
+    """The tables of the report. ``drift`` has one row per feature and is settled, so each side is read once for all of them."""
+    drift = settle(feature_drift(before, after))
     return {
         "rows": row_delta(before, after),
         "features": significance_counts(drift),
