@@ -44,17 +44,22 @@ class Canon:
 
     def __init__(self):
         self.index: dict[str, int] = {}
-        self.hash, self.kind, self.unit = (np.zeros(0, t) for t in (np.uint64, np.int8, bool))
+        self.hash, self.kind, self.unit = (np.zeros(1 << 12, t) for t in (np.uint64, np.int8, bool))
 
     def _ids(self, tokens: list[str]) -> np.ndarray:
-        new = list(set(tokens) - self.index.keys())
+        new = list(set(tokens).difference(self.index))
         if new:
-            self.index.update(zip(new, range(len(self.hash), len(self.hash) + len(new)), strict=True))
+            first = len(self.index)
+            end = first + len(new)
+            while end > len(self.hash):  # doubled, so that growing costs no more than filling
+                self.hash, self.kind, self.unit = (np.append(x, np.zeros_like(x)) for x in (self.hash, self.kind, self.unit))
+            self.index.update(zip(new, range(first, end), strict=True))
             lower = [t.lower() for t in new]
-            self.hash = np.append(self.hash, np.array([xxhash.xxh64_intdigest(t) for t in lower], np.uint64))
-            kinds = [DIGITS if t[0].isdigit() else STOP if t in ".!?\n" else CAPITAL if t[0].isupper() else WORD for t in new]
-            self.kind = np.append(self.kind, np.array(kinds, np.int8))
-            self.unit = np.append(self.unit, np.array([t in UNITS for t in lower], bool))
+            self.hash[first:end] = np.array([xxhash.xxh64_intdigest(t) for t in lower], np.uint64)
+            self.kind[first:end] = [
+                DIGITS if t[0].isdigit() else STOP if t in ".!?\n" else CAPITAL if t[0].isupper() else WORD for t in new
+            ]
+            self.unit[first:end] = [t in UNITS for t in lower]
         return np.fromiter(map(self.index.__getitem__, tokens), np.int64, len(tokens))
 
     def read(self, text: str | None) -> tuple[list[str], np.ndarray]:
