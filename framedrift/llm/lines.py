@@ -72,11 +72,13 @@ def repeated_lines(
     # Fingerprints: a window's minimum counts once, however many windows in a row share it.
     w = F.col("_windows")
     picked = F.filter(w, lambda x, i: (i == 0) | (F.get(w, i - 1)["least"] != x["least"]))
-    prints = rows.select(F.explode(picked).alias("x")).select(F.col("x.least.h").alias("h"))
+    # The outer form, as the plain one tests first whether there is anything, by the whole expression of
+    # the windows put together, in which lambdas would make the lines anew for each line.
+    prints = rows.select(F.explode_outer(picked).alias("x")).where("x is not null").select(F.col("x.least.h").alias("h"))
     again = prints.groupBy("h").count().where("count > 1").select("h")
 
     # Only windows around fingerprints that occur again go on; adaptive execution splits frequent ones.
-    opened = rows.select("_key", "_row", F.explode("_windows").alias("x")).select(
+    opened = rows.select("_key", "_row", F.explode_outer("_windows").alias("x")).where("x is not null").select(
         "_key", "_row", F.col("x.least.h").alias("h"), "x.window", "x.first", "x.last"
     )
     members = settle(opened.join(again, "h", "left_semi"))
@@ -112,13 +114,14 @@ def drop_repeated_lines(
     """
     gone = repeated_lines(docs, key, text, least_words, most_lines)
     rows = docs.drop("n_lines", "removed").withColumn("_row", row_hash(key, text)).join(gone, "_row", "left")
-    lines = cut_lines(F.col(text))
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
-    cleaned = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "")
+    # A column of its own, as a lambda would cut the text anew for each line.
+    rows = rows.withColumn("_cut", cut_lines(F.col(text)))
+    left = F.array_except(F.sequence(F.lit(0), F.size("_cut") - 1), F.col("gone"))
+    cleaned = F.array_join(F.transform(left, lambda i: F.get("_cut", i)), "")
     return rows.withColumns(
         {
-            "n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)),
+            "n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size("_cut")),
             "removed": F.coalesce(F.array_sort("gone"), F.array().cast("array<int>")),
             text: F.when(F.col("gone").isNull(), F.col(text)).otherwise(cleaned),
         }
-    ).drop("_row", "gone")
+    ).drop("_row", "_cut", "gone")
