@@ -20,37 +20,37 @@ def cut_lines(text: Column) -> Column:
     return F.split(text, LINE_END, -1)
 
 
-def _windows(lines: Column, least_words: int, most_lines: int) -> Column:
-    """Array of (minimum (hash, -line), window hash, first line, last line) of an array of (line, h, n).
+def _windows(h: Column, n: Column, line: Column, least_words: int, most_lines: int) -> Column:
+    """Array of (minimum hash, window hash, hash of the first line, its number, number of the last line).
 
-    From each line on, the window is the shortest run with ``least_words`` words, ``most_lines`` lines
-    at most; what follows the window does not change it, so equal runs have equal windows.
+    ``h``, ``n`` and ``line`` are columns with the hash, words and number of each line. From each line
+    on, the window is the shortest run with ``least_words`` words, ``most_lines`` lines at most; what
+    follows the window does not change it, so equal runs have equal windows.
     """
-    runs = F.transform(F.sequence(F.lit(1), F.size(lines)), lambda i: F.slice(lines, i, most_lines))
 
-    def long_enough(run: Column) -> Column:
-        size, words = F.lit(most_lines), F.lit(0)
-        steps = []
+    def lines_of(i: Column) -> Column:
+        size, words, steps = F.lit(most_lines), F.lit(0), []
         for m in range(1, most_lines):
-            words = words + F.coalesce(F.get(run, F.lit(m - 1))["n"], F.lit(0))
+            words = words + F.coalesce(F.get(n, i + (m - 1)), F.lit(0))
             steps.append((words >= least_words, m))
         for condition, m in reversed(steps):
             size = F.when(condition, m).otherwise(size)
         return size
 
-    sized = F.transform(runs, lambda run: F.struct(run.alias("run"), long_enough(run).alias("m")))
-    whole = F.filter(sized, lambda x: F.size(x["run"]) >= x["m"])
-    cut = F.transform(whole, lambda x: F.slice(x["run"], 1, x["m"]))
-    found = F.transform(
+    sized = F.transform(F.sequence(F.lit(0), F.size(n) - 1), lambda i: F.struct(i.alias("i"), lines_of(i).alias("m")))
+    whole = F.filter(sized, lambda x: x["i"] + x["m"] <= F.size(n))
+    cut = F.transform(whole, lambda x: F.struct(x["i"].alias("i"), x["m"].alias("m"), F.slice(h, x["i"] + 1, x["m"]).alias("hs")))
+    least = F.transform(
         cut,
-        lambda run: F.struct(
-            F.array_min(F.transform(run, lambda x: F.struct(x["h"].alias("h"), (-x["line"]).alias("at")))).alias("least"),
-            F.xxhash64(run["h"]).alias("window"),
-            run[0]["line"].alias("first"),
-            F.element_at(run, -1)["line"].alias("last"),
+        lambda x: F.struct(
+            F.array_min(x["hs"]).alias("least"),
+            F.xxhash64(x["hs"]).alias("window"),
+            F.get(h, x["i"]).alias("start"),
+            F.get(line, x["i"]).alias("first"),
+            F.get(line, x["i"] + x["m"] - 1).alias("last"),
         ),
     )
-    return F.when(F.size(lines) > 0, found)
+    return F.when(F.size(n) > 0, least)
 
 
 def repeated_lines(
@@ -67,21 +67,35 @@ def repeated_lines(
         ),
     )
     rows = docs.select(F.col(key).alias("_key"), row_hash(key, text), F.filter(lines, lambda x: x["n"] > 0).alias("_lines"))
-    rows = rows.withColumn("_windows", _windows(F.col("_lines"), least_words, most_lines)).drop("_lines")
-
-    # Fingerprints: a window's minimum counts once, however many windows in a row share it.
+    # Columns of their own, as lambdas would work out whatever stands in them for each line again.
+    parts = [
+        F.transform("_lines", lambda x: x["h"]).alias("_h"),
+        F.transform("_lines", lambda x: x["n"]).alias("_n"),
+        F.transform("_lines", lambda x: x["line"]).alias("_line"),
+    ]
+    rows = rows.select("_key", "_row", *parts)
+    found = _windows(F.col("_h"), F.col("_n"), F.col("_line"), least_words, most_lines)
+    rows = rows.select("_key", "_row", found.alias("_windows"))
+
+    # Fingerprints: a window has a new one unless it shares the minimum of the window before, which does
+    # not begin with it (if it did, the same hash would stand a second time).
     w = F.col("_windows")
-    picked = F.filter(w, lambda x, i: (i == 0) | (F.get(w, i - 1)["least"] != x["least"]))
-    # The outer form, as the plain one tests first whether there is anything, by the whole expression of
-    # the windows put together, in which lambdas would make the lines anew for each line.
-    prints = rows.select(F.explode_outer(picked).alias("x")).where("x is not null").select(F.col("x.least.h").alias("h"))
-    again = prints.groupBy("h").count().where("count > 1").select("h")
+    before = lambda i: F.get(w, i - 1)
+    fresh = lambda x, i: (i == 0) | (before(i)["least"] != x["least"]) | (before(i)["start"] == x["least"])
+    flagged = F.transform(
+        w,
+        lambda x, i: F.struct(
+            x["least"].alias("h"), x["window"].alias("window"), x["first"].alias("first"), x["last"].alias("last"), fresh(x, i).alias("fresh")
+        ),
+    )
+    # The outer form of explode, as the plain one tests first whether there is anything, by the whole
+    # expression put together. Settled, as working out the windows is most of the work.
+    opened = rows.select("_key", "_row", F.explode_outer(flagged).alias("x")).where("x is not null")
+    opened = settle(opened.select("_key", "_row", "x.*"))
+    again = opened.where("fresh").groupBy("h").count().where("count > 1").select("h")
 
     # Only windows around fingerprints that occur again go on; adaptive execution splits frequent ones.
-    opened = rows.select("_key", "_row", F.explode_outer("_windows").alias("x")).where("x is not null").select(
-        "_key", "_row", F.col("x.least.h").alias("h"), "x.window", "x.first", "x.last"
-    )
-    members = settle(opened.join(again, "h", "left_semi"))
+    members = settle(opened.drop("fresh").join(again, "h", "left_semi"))
 
     # Around a fingerprint the match goes on to both sides as far as the window, then window by window:
     # all windows of a run that occurred earlier are found, and their union is the run.
