@@ -19,6 +19,7 @@ cloudpickle.register_pickle_by_value(framedrift)
 
 LEAST_SCORE = 0.5
 WORDS = 5
+LEAST_SIMILARITY = 0.8
 
 
 def _with_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -60,12 +61,12 @@ def _has_words(text: Column) -> Column:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least id.
+    """Of each group of near copies (shingles of WORDS words, LEAST_SIMILARITY or more) the document with the least id.
 
     Rows that repeat an id stay or go together. Rows without an id go if all of them have a near copy
     with one, and otherwise stay.
     """
-    groups = simhash.near_duplicates(docs, words_per_shingle=WORDS)
+    groups = simhash.near_copies(docs, words_per_shingle=WORDS, least=LEAST_SIMILARITY)
     return _with_id(docs, groups.select(F.col("component_id").alias("doc_id")).distinct(), "left_semi")
 
 

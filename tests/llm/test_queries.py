@@ -67,3 +67,12 @@ def test_stages_on_an_empty_table(spark):
         docs = stage(spark, docs, SMALL)
         assert docs.count() == 0
         docs = spark.createDataFrame([], docs.schema)
+
+
+def test_near_copy_stage_drops_pairs_at_its_similarity(spark):
+    words = prose(70, 200).split()
+    near = [*words[:50], "one", *words[51:120], "two", *words[121:]]  # 186 of 206 shingles in common
+    far = [w if i % 40 else "other" for i, w in enumerate(words)]  # 165 of 227
+    far[20:100:20] = ["more"] * 4
+    docs = table(spark, [" ".join(words), " ".join(near), " ".join(far), prose(71, 200)])
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, SMALL).collect()} == {0, 2, 3}

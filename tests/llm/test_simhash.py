@@ -72,3 +72,41 @@ def test_no_link_is_lost(spark):
         groups.setdefault(root, []).append(v)
     for members in groups.values():
         assert {roots.get(v, v) for v in members} == {min(members)}
+
+
+def shingles(text, k=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def test_near_copies_down_to_the_least_similarity(spark):
+    """Pairs from 0.7 to 1, chains of them, and texts with shared passages, against all pairs of sets."""
+    texts = [t for t in ODD if not isinstance(t, tuple)]
+    for base in range(12):
+        words = prose(200 + base, 100 + 20 * base).split()
+        for steps in range(1, 8):
+            changed = list(words)
+            for j in range(steps if base % 2 else 1):
+                changed[(17 * steps * (j + 1)) % len(words)] = f"other{steps}{j}"
+            texts.append(" ".join(changed))
+        for _ in range(3):  # a chain
+            words = words[len(words) // 15 :] + prose(300 + base, 4).split()
+            texts.append(" ".join(words))
+    docs = table(spark, texts)
+    sets = [shingles(t) for t in texts]
+    label = list(range(len(texts)))
+    for _ in texts:
+        before = list(label)
+        for i, a in enumerate(sets):
+            for j in range(i):
+                union = len(a | sets[j])
+                if not union or len(a & sets[j]) / union >= 0.8:
+                    label[i] = label[j] = min(label[i], label[j])
+        if label == before:
+            break
+    prints = [slow_fingerprint(t, 5) for t in texts]
+    links = [(i, j) for i, a in enumerate(sets) for j in range(i) if a != sets[j] and len(a & sets[j]) >= 0.8 * len(a | sets[j])]
+    assert sum((prints[i] ^ prints[j]).bit_count() > 2 for i, j in links) > 50
+    rows = simhash.near_copies(docs).collect()
+    assert {r.doc_id: r.component_id for r in rows} == dict(enumerate(label))
+    assert simhash.near_copies(table(spark, [])).count() == 0
