@@ -32,14 +32,15 @@ NUMBER, NAME, UNIT = "<num>", "<name>", "<unit>"
 PLACEHOLDERS = np.array([xxhash.xxh64_intdigest(x) for x in (NUMBER, NAME, UNIT)], np.uint64)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 WORD, CAPITAL, DIGITS, STOP = range(4)
-#: With names as placeholders, and with names as they are (in lower case).
-LEVELS = (True, False)
+#: With all capitalised words as placeholders, with those within sentences, and with names as they are (in lower case).
+LEVELS = ALL_CAPITALS, WITHIN, NO_NAMES = 2, 1, 0
 
 
 class Canon:
-    """Templates of texts. Numbers, units after numbers and (if ``names``) names become placeholders.
+    """Templates of texts. Numbers, units after numbers and names become placeholders.
 
-    A name is a run of capitalised words of which the first does not start a sentence.
+    A name is a run of capitalised words of which the first does not start a sentence; at the level
+    ALL_CAPITALS it may, as people often stand first. At NO_NAMES there are none.
     """
 
     def __init__(self):
@@ -68,7 +69,7 @@ class Canon:
         tokens = TOKEN.findall(text or "")
         return tokens, self._ids(tokens)
 
-    def template(self, ids: np.ndarray, names: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def template(self, ids: np.ndarray, names: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(hash, first token, placeholder or -1) of each template token."""
         kind = self.kind[ids]
         at = np.flatnonzero(kind != STOP)
@@ -79,8 +80,11 @@ class Canon:
         if len(ids):
             slot[self.unit[ids] & np.append(False, kind[:-1] == DIGITS) & ~starts] = 2
         if names:
-            slot[(kind == CAPITAL) & ~starts & (slot < 0)] = 1
+            name = (kind == CAPITAL) & (slot < 0)
+            slot[name if names == ALL_CAPITALS else name & ~starts] = 1
             keep = ~((slot == 1) & np.append(False, slot[:-1] == 1)[: len(slot)])
+            if names == ALL_CAPITALS:  # a name ends with its sentence
+                keep |= starts
             ids, at, slot = ids[keep], at[keep], slot[keep]
         return np.where(slot >= 0, PLACEHOLDERS[slot], self.hash[ids]), at, slot
 
@@ -114,7 +118,7 @@ def spelled(tokens: list[str], at: np.ndarray, slot: np.ndarray, start: int, siz
     return " ".join(words), values
 
 
-FOUND = "names boolean, size int, hash long, template string, start int, slots array<string>"
+FOUND = "names int, size int, hash long, template string, start int, slots array<string>"
 
 
 def _open(rows: DataFrame, sizes: list[int], passing: np.ndarray | None, whole: bool) -> DataFrame:
@@ -138,7 +142,7 @@ def _open(rows: DataFrame, sizes: list[int], passing: np.ndarray | None, whole:
                             template, values = spelled(tokens, at, slot, s, size)
                             for c, v in zip(out, (key, names, size, h, template, s, values, len(hashes)), strict=True):
                                 c.append(v)
-            kinds = [pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.int32()]
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.int32()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(out, kinds, strict=True)],
                 ["_id", "names", "size", "hash", "template", "start", "slots", "tokens"],
@@ -152,7 +156,8 @@ def find_leaks(
 ) -> DataFrame:
     """(key, item, windows, covered, changed) for each document that shows a benchmark item.
 
-    Texts become templates (see Canon) twice, with names as placeholders and without. Windows of WINDOW
+    Texts become templates (see Canon) at three levels: with all capitalised words as placeholders, with
+    those within sentences, and with none, item and document alike. Windows of WINDOW
     template tokens are joined by hash and checked by template; an item with fewer tokens is one window.
     On each alignment of document and item, a placeholder value of the item must stand for one value
     throughout; windows of other alignments do not count. A document shows an item if COVERED of the

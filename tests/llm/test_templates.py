@@ -54,3 +54,18 @@ def test_repeated_rows_and_empty_tables(spark):
     assert sorted((str(r.doc_id), r.item_id) for r in found) == [("7", 2), ("None", 2)]
     assert templates.find_leaks(table(spark, []), items(spark)).count() == 0
     assert templates.find_leaks(table(spark, [ITEMS[2]]), items(spark).limit(0)).count() == 0
+
+
+def test_names_that_start_sentences(spark):
+    item = "Tom has 3 apples. Tom buys 5 pears. Tom eats 2 plums."
+    rows = spark.createDataFrame([(1, item)], "item_id long, text string")
+    texts = [
+        item,
+        item.replace("Tom", "Ann").replace("5", "7"),
+        item.replace("Tom", "Mary Ann"),
+        "Ann has 3 apples. Bob buys 5 pears. Eve eats 2 plums.",  # Tom would stand for three
+        item.replace("Tom", "Ann").replace("apples", "figs").replace("pears", "nuts"),
+    ]
+    found = {r.doc_id: r for r in templates.find_leaks(table(spark, texts), rows).collect()}
+    assert {i: r.changed for i, r in found.items()} == {0: False, 1: True, 2: True}
+    assert found[1].covered == 1.0
