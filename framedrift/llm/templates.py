@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from framedrift.llm.common import settle
 
 WINDOW = 8  # tokens
-LITERAL = 0.5  # least share of a window's tokens that are no placeholders
+LITERAL = 0.5  # least share of literal tokens of a window that is joined by template; others are by their values too
 COVERED = 0.5  # least share of an item's windows that a leak shows
 FILTER_BITS = 22
 CACHED = 300_000
@@ -69,8 +69,8 @@ class Canon:
         tokens = TOKEN.findall(text or "")
         return tokens, self._ids(tokens)
 
-    def template(self, ids: np.ndarray, names: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hash, first token, placeholder or -1) of each template token."""
+    def template(self, ids: np.ndarray, names: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, hash of the first token as it is, first token, placeholder or -1) of each template token."""
         kind = self.kind[ids]
         at = np.flatnonzero(kind != STOP)
         starts = np.append(True, kind[:-1] == STOP)[at] if len(ids) else np.zeros(0, bool)
@@ -86,21 +86,30 @@ class Canon:
             if names == ALL_CAPITALS:  # a name ends with its sentence
                 keep |= starts
             ids, at, slot = ids[keep], at[keep], slot[keep]
-        return np.where(slot >= 0, PLACEHOLDERS[slot], self.hash[ids]), at, slot
+        plain = self.hash[ids]
+        return np.where(slot >= 0, PLACEHOLDERS[slot], plain), plain, at, slot
 
 
-def windows(hashes: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(start, hash) of the windows of ``size`` template tokens with enough literals."""
+def windows(hashes: np.ndarray, plain: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, whether verbatim) of the windows of ``size`` template tokens, by start.
+
+    Windows with too few literals are verbatim: they are hashed as they are, not as templates.
+    """
     n = len(hashes) - size + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, bool)
     total = np.full(n, size, np.uint64)
     for j in range(size):
         total = total * BASE + hashes[j : j + n]
-    total ^= total >> np.uint64(31)
     literals = np.append(0, np.cumsum(slot < 0))
-    fine = np.flatnonzero(literals[size:] - literals[:n] >= LITERAL * size)
-    return fine, total[fine]
+    verbatim = literals[size:] - literals[:n] < LITERAL * size
+    at = np.flatnonzero(verbatim)
+    if len(at):
+        own = np.full(len(at), ~np.uint64(size), np.uint64)
+        for j in range(size):
+            own = own * BASE + plain[at + j]
+        total[at] = own
+    return total ^ (total >> np.uint64(31)), verbatim
 
 
 def spelled(tokens: list[str], at: np.ndarray, slot: np.ndarray, start: int, size: int) -> tuple[str, list[str]]:
@@ -118,7 +127,7 @@ def spelled(tokens: list[str], at: np.ndarray, slot: np.ndarray, start: int, siz
     return " ".join(words), values
 
 
-FOUND = "names int, size int, hash long, template string, start int, slots array<string>"
+FOUND = "names int, size int, hash long, template string, start int, slots array<string>, verbatim boolean"
 
 
 def _open(rows: DataFrame, sizes: list[int], passing: np.ndarray | None, whole: bool) -> DataFrame:
@@ -128,24 +137,26 @@ def _open(rows: DataFrame, sizes: list[int], passing: np.ndarray | None, whole:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canon, fits = Canon(), shared.value
         for batch in batches:
-            out: list[list] = [[] for _ in range(8)]
+            out: list[list] = [[] for _ in range(9)]
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 tokens, ids = canon.read(text)
                 for names in LEVELS:
-                    hashes, at, slot = canon.template(ids, names)
+                    hashes, plain, at, slot = canon.template(ids, names)
                     for size in [min(WINDOW, len(hashes))] if whole else sizes:
-                        start, found = windows(hashes, slot, size) if size else (np.zeros(0, int), np.zeros(0, np.uint64))
+                        found, verbatim = windows(hashes, plain, slot, size) if size else (np.zeros(0, np.uint64), np.zeros(0, bool))
+                        start = np.arange(len(found))
                         if fits is not None:
-                            near = fits[(found >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]
-                            start, found = start[near], found[near]
-                        for s, h in zip(start.tolist(), found.view(np.int64).tolist(), strict=True):
+                            start = np.flatnonzero(fits[(found >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
+                        for s, h, own in zip(start.tolist(), found[start].view(np.int64).tolist(), verbatim[start].tolist(), strict=True):
                             template, values = spelled(tokens, at, slot, s, size)
-                            for c, v in zip(out, (key, names, size, h, template, s, values, len(hashes)), strict=True):
+                            if own:
+                                template = f"{template} = {' | '.join(values)}"
+                            for c, v in zip(out, (key, names, size, h, template, s, values, own, len(hashes)), strict=True):
                                 c.append(v)
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.int32()]
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.bool_(), pa.int32()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(out, kinds, strict=True)],
-                ["_id", "names", "size", "hash", "template", "start", "slots", "tokens"],
+                ["_id", "names", "size", "hash", "template", "start", "slots", "verbatim", "tokens"],
             )
 
     return rows.select("_id", "_text").mapInArrow(run, f"_id long, {FOUND}, tokens int")
@@ -163,12 +174,15 @@ def find_leaks(
     throughout; windows of other alignments do not count. A document shows an item if COVERED of the
     item's windows are left. ``changed`` says that a value differs.
 
+    Windows with fewer literals than LITERAL are too alike as templates, and match if their values are
+    equal too. COVERED is asked of all windows, or of those joined by template where there are any, as
+    with other values no others match; the larger share is given.
+
     Items with equal texts up to case and spacing between tokens are one item, named by the least id.
     A fixed bit table of the items' hashes keeps other windows of documents from leaving their task; it
     only saves work. Items and documents are joined as tables, so neither has to fit anywhere.
 
-    Null and empty texts have no windows. Items without an id, and windows without enough literals, are
-    left out. Rows that repeat key and text give one result; null keys are kept. Other columns are not read.
+    Null and empty texts have no windows. Items without an id are left out. Rows that repeat key and text give one result; null keys are kept. Other columns are not read.
     """
     spark = docs.sparkSession
     plain = F.lower(F.trim(F.regexp_replace(F.coalesce(item_text, F.lit("")), r"\s+", " ")))
@@ -176,9 +190,9 @@ def find_leaks(
         F.min(F.struct(F.col(item).alias("id"), F.col(item_text).alias("text"))).alias("_i")
     )
     known = settle(_open(whole.select(F.col("_i.id").cast("long").alias("_id"), F.col("_i.text").alias("_text")), [], None, True))
-    per_item = known.groupBy("_id", "names").agg(F.count("*").alias("n"))
+    per_item = known.groupBy("_id", "names").agg(F.count("*").alias("n"), F.count_if(~F.col("verbatim")).alias("n_free"))
     known = known.join(per_item, ["_id", "names"]).select(
-        F.col("_id").alias("_item"), "names", "size", "hash", "template", F.col("start").alias("_at"), F.col("slots").alias("_slots"), "n"
+        F.col("_id").alias("_item"), "names", "size", "hash", "template", F.col("start").alias("_at"), F.col("slots").alias("_slots"), "verbatim", "n", "n_free"
     )
     sizes = sorted(r["size"] for r in known.select("size").distinct().collect())
     if not sizes:
@@ -188,17 +202,19 @@ def find_leaks(
     passing[slots["s"].to_numpy()] = True
 
     rows = docs.select(F.xxhash64(F.lit(0), F.col(key), F.col(text)).alias("_id"), F.col(key).alias("_key"), F.col(text).alias("_text"))
-    met = _open(rows, sizes, passing, False).join(known, ["names", "size", "hash", "template"])
-    # One row per alignment: as many windows and values as the item has.
+    met = _open(rows, sizes, passing, False).join(known, ["names", "size", "hash", "template", "verbatim"])
+    # One row per alignment and way (with and without verbatim windows): as many windows and values as the item has.
     pairs = F.zip_with("_slots", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    aligned = met.groupBy("_id", "_item", "names", (F.col("start") - F.col("_at")).alias("_shift")).agg(
+    ways = F.when(F.col("verbatim"), F.array(F.lit(True))).otherwise(F.array(F.lit(True), F.lit(False)))
+    met = met.withColumn("_all", F.explode(ways)).withColumn("n", F.when(F.col("_all"), F.col("n")).otherwise(F.col("n_free")))
+    aligned = met.groupBy("_id", "_item", "names", "_all", (F.col("start") - F.col("_at")).alias("_shift")).agg(
         F.collect_set("_at").alias("_ats"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("_pairs"), F.max("n").alias("n")
     )
     one_value = F.size(F.array_distinct(F.transform("_pairs", lambda p: p["a"]))) == F.size("_pairs")
     differs = F.exists("_pairs", lambda p: p["a"] != p["b"])
     shown = (
         aligned.where(one_value)
-        .groupBy("_id", "_item", "names")
+        .groupBy("_id", "_item", "names", "_all")
         .agg(F.size(F.array_distinct(F.flatten(F.collect_set("_ats")))).alias("windows"), F.max("n").alias("n"), F.max(differs).alias("changed"))
         .withColumn("covered", F.col("windows") / F.col("n"))
         .where(F.col("covered") >= COVERED)

@@ -69,3 +69,19 @@ def test_names_that_start_sentences(spark):
     found = {r.doc_id: r for r in templates.find_leaks(table(spark, texts), rows).collect()}
     assert {i: r.changed for i, r in found.items()} == {0: False, 1: True, 2: True}
     assert found[1].covered == 1.0
+
+
+def test_windows_of_placeholders_match_verbatim(spark):
+    few = "Compute 12 + 7 * 3 - 44"
+    series = "Next in line: 2, 3 ; 5 ; 7 ; 11 ; 13 ; 17 ; 19 ; 23 ; 29 ; 31"
+    rows = spark.createDataFrame([(1, few), (2, series), (3, "The sum of 4 and 5 and 6 is what number here now")], "item_id long, text string")
+    texts = [
+        "so " + few + " or what",
+        few.replace("44", "45"),
+        prose(1, 30) + " " + series.lower() + " " + prose(2, 30),
+        " ; ".join(map(str, range(40))),
+        "The sum of 5 and 6 and 7 is what number here now",
+    ]
+    found = {(r.doc_id, r.item_id): r for r in templates.find_leaks(table(spark, texts), rows).collect()}
+    assert {k: r.changed for k, r in found.items()} == {(0, 1): False, (2, 2): False, (4, 3): True}
+    assert found[2, 2].covered == 1.0
