@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import framedrift
+from framedrift.functions.octets import opaque
 from framedrift.llm import language, lines, packing, simhash, templates
 from framedrift.llm.common import read_table, shared_folder
 
@@ -50,6 +51,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # Columns that carry the names of the operator's results are set aside.
     aside = {c: f"_own_{c}" for c in ("n_lines", "removed") if c in kept}
     cleaned = lines.drop_repeated_lines(docs.withColumnsRenamed(aside))
+    # Opaque, as a filter moved below it would cut the whole text anew for each of its lines.
+    cleaned = cleaned.withColumn("text", opaque(F.col("text")))
     cleaned = cleaned.withColumns({c: F.col(own) for c, own in aside.items()}) if aside else cleaned
     if "n_chars" in kept:
         cleaned = cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
