@@ -18,6 +18,7 @@ LITERAL = 0.5  # least share of literal tokens of a window that is joined by tem
 COVERED = 0.5  # least share of an item's windows that a leak shows
 FILTER_BITS = 22
 CACHED = 300_000
+GROUP_TOKENS = 50_000  # of texts read together
 TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?\n]")
 # Words that are units after a number.
 UNITS = frozenset(
@@ -63,11 +64,10 @@ class Canon:
             self.unit[first:end] = [t in UNITS for t in lower]
         return np.fromiter(map(self.index.__getitem__, tokens), np.int64, len(tokens))
 
-    def read(self, text: str | None) -> tuple[list[str], np.ndarray]:
+    def read(self, tokens: list[str]) -> np.ndarray:
         if len(self.index) > CACHED:
             self.__init__()
-        tokens = TOKEN.findall(text or "")
-        return tokens, self._ids(tokens)
+        return self._ids(tokens)
 
     def template(self, ids: np.ndarray, names: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(hash, hash of the first token as it is, first token, placeholder or -1) of each template token."""
@@ -131,35 +131,62 @@ FOUND = "names int, size int, hash long, template string, start int, slots array
 
 
 def _open(rows: DataFrame, sizes: list[int], passing: np.ndarray | None, whole: bool) -> DataFrame:
-    """Windows of rows (_id, _text): those in the filter ``passing``; all, and all sizes as they fit, if ``whole``."""
+    """Windows of rows (_id, _text): those in the filter ``passing``; all, and all sizes as they fit, if ``whole``.
+
+    Texts are read in groups of about GROUP_TOKENS tokens with a sentence end between them, so that arrays
+    are long; windows over two texts are left out.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(passing)
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.bool_()]
+
+    def opened(canon: Canon, keys: list[int], tokens: list[str], ids: np.ndarray, text_of: np.ndarray, fits: np.ndarray | None) -> pa.RecordBatch:
+        out: list[list] = [[] for _ in kinds]
+        same = None
+        for names in LEVELS:
+            hashes, plain, at, slot = canon.template(ids, names)
+            of = text_of[at]
+            first = np.searchsorted(of, np.arange(len(keys)))
+            # Without names inside sentences, the last level has the windows of the one before.
+            if names == NO_NAMES and same is not None:
+                found_by_size = same
+            else:
+                found_by_size = []
+                for size in [min(WINDOW, len(hashes))] if whole else sizes:
+                    found, verbatim = windows(hashes, plain, slot, size) if size else (np.zeros(0, np.uint64), np.zeros(0, bool))
+                    start = np.flatnonzero(of[: len(found)] == of[size - 1 : size - 1 + len(found)]) if size else np.zeros(0, np.int64)
+                    if fits is not None:
+                        start = start[fits[(found[start] >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]]
+                    found_by_size.append((size, start, found[start].view(np.int64), verbatim[start]))
+            if names == WITHIN and not (slot == 1).any():
+                same = found_by_size
+            for size, start, found, verbatim in found_by_size:
+                for s, h, own, text in zip(start.tolist(), found.tolist(), verbatim.tolist(), of[start].tolist(), strict=True):
+                    template, values = spelled(tokens, at, slot, s, size)
+                    if own:
+                        template = f"{template} = {' | '.join(values)}"
+                    for c, v in zip(out, (keys[text], names, size, h, template, s - int(first[text]), values, own), strict=True):
+                        c.append(v)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(out, kinds, strict=True)],
+            ["_id", "names", "size", "hash", "template", "start", "slots", "verbatim"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canon, fits = Canon(), shared.value
         for batch in batches:
-            out: list[list] = [[] for _ in range(9)]
+            keys, tokens, ends = [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                tokens, ids = canon.read(text)
-                for names in LEVELS:
-                    hashes, plain, at, slot = canon.template(ids, names)
-                    for size in [min(WINDOW, len(hashes))] if whole else sizes:
-                        found, verbatim = windows(hashes, plain, slot, size) if size else (np.zeros(0, np.uint64), np.zeros(0, bool))
-                        start = np.arange(len(found))
-                        if fits is not None:
-                            start = np.flatnonzero(fits[(found >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
-                        for s, h, own in zip(start.tolist(), found[start].view(np.int64).tolist(), verbatim[start].tolist(), strict=True):
-                            template, values = spelled(tokens, at, slot, s, size)
-                            if own:
-                                template = f"{template} = {' | '.join(values)}"
-                            for c, v in zip(out, (key, names, size, h, template, s, values, own, len(hashes)), strict=True):
-                                c.append(v)
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.bool_(), pa.int32()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(out, kinds, strict=True)],
-                ["_id", "names", "size", "hash", "template", "start", "slots", "verbatim", "tokens"],
-            )
-
-    return rows.select("_id", "_text").mapInArrow(run, f"_id long, {FOUND}, tokens int")
+                keys.append(key)
+                tokens += TOKEN.findall(text or "")
+                tokens.append("\n")
+                ends.append(len(tokens))
+                if whole or len(tokens) >= GROUP_TOKENS:
+                    yield opened(canon, keys, tokens, canon.read(tokens), np.repeat(np.arange(len(keys)), np.diff(ends, prepend=0)), fits)
+                    keys, tokens, ends = [], [], []
+            if keys:
+                yield opened(canon, keys, tokens, canon.read(tokens), np.repeat(np.arange(len(keys)), np.diff(ends, prepend=0)), fits)
+
+    return rows.select("_id", "_text").mapInArrow(run, f"_id long, {FOUND}")
 
 
 def find_leaks(
