@@ -1,6 +1,7 @@
 """The registered queries against their SQL, and the pipeline's stages against what they must keep."""
 
 import os
+import re
 
 import duckdb
 import pytest
@@ -44,7 +45,7 @@ def test_run(spark):
 
 @needs_data
 def test_stages_keep_clean_rows_and_columns(spark):
-    clean = [(1000 + i, prose(i, 60 + i) + ".") for i in range(12)]
+    clean = [(1000 + i, prose(200 + i, 60 + i) + ".") for i in range(12)]
     item = spark.read.parquet(f"{SMALL}/benchmark.parquet").first().text
     texts = [*[t for t in ODD if isinstance(t, str)], *clean, (2000, clean[3][1]), (2001, "x " + item + " y")]
     docs = table(spark, texts).withColumnRenamed("n", "n_lines")
@@ -60,6 +61,14 @@ def test_stages_keep_clean_rows_and_columns(spark):
     assert 2001 in kept["near_copies"] and 2001 not in kept["leaks"]
 
 
+def test_line_stage_cuts_each_text_once(spark):
+    docs = table(spark, [prose(300, 50) + ". " + prose(301, 50)])
+    plan = corpus_pipeline.drop_lines(spark, docs, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    # One cut of the text in each of its two uses; none stands inside a lambda.
+    assert not re.search(r"lambdafunction\([^)]*split\(", plan)
+    assert all("split(" not in line for line in plan.splitlines() if line.strip(" :+-").startswith("Filter"))
+
+
 @needs_data
 def test_stages_on_an_empty_table(spark):
     docs = table(spark, [])
