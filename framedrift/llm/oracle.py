@@ -50,3 +50,42 @@ ORACLE["op3_line_winnow"] = r"""
     FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.line = l.line
     GROUP BY l.doc_id
 """
+
+# Every kept term of every group of a language, with its count of 0 where it does not occur.
+ORACLE["op13_divergence"] = r"""
+    WITH d AS (
+        SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+               regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words
+        FROM documents
+    ), w AS (
+        SELECT id, lang, source, translate(unnest(words), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d
+    ), kept AS (
+        SELECT lang, term, count(*) AS lang_n FROM w GROUP BY ALL HAVING count(DISTINCT id) >= 3
+    ), groups AS (
+        SELECT DISTINCT lang, source FROM d
+    ), counts AS (
+        SELECT lang, source, term, count(*) AS n FROM w GROUP BY ALL
+    ), dense AS (
+        SELECT g.lang, g.source, k.term, k.lang_n, coalesce(c.n, 0) AS n
+        FROM groups g JOIN kept k ON k.lang = g.lang
+        LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+    ), totals AS (
+        SELECT lang, source, sum(n) AS total, sum(lang_n) AS lang_total, count(*) AS v FROM dense GROUP BY ALL
+    ), shares AS (
+        SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 1)) // (total + v)::HUGEINT AS p,
+               1 + (1000000000::HUGEINT * (lang_n + 1)) // (lang_total + v)::HUGEINT AS q
+        FROM dense JOIN totals USING (lang, source)
+    ), pairs AS (
+        SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+        FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+    ), found AS (
+        SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0) AS value
+        FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+        UNION ALL
+        SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM shares WHERE n > 0 AND p > q
+    ), ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM found
+    )
+    SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""

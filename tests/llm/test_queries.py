@@ -30,7 +30,7 @@ def test_query_against_sql(spark, name):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 14))
     assert set(ORACLE) <= set(QUERIES)
     assert len(corpus_pipeline.STAGES) == 5
 
