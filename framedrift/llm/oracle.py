@@ -89,3 +89,42 @@ ORACLE["op13_divergence"] = r"""
     )
     SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
 """
+
+# All runs of one to five words are counted as lists.
+ORACLE["op11_phrases"] = r"""
+    WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents
+    ), w AS (
+        SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces
+    ), sizes AS (
+        SELECT lang, sum(len(words))::BIGINT AS n FROM w GROUP BY lang
+    ), starts AS (
+        SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM w
+    ), counts AS (
+        SELECT lang, words[i : i + m - 1] AS words, count(*) AS f FROM starts, range(1, 6) t(m)
+        WHERE i + m - 1 <= len(words) GROUP BY ALL HAVING count(*) >= 100
+    ), candidates AS (
+        SELECT lang, words, f AS a FROM counts WHERE len(words) > 1
+    ), parts AS (
+        SELECT lang, words, a, unnest(range(1, len(words))) AS k FROM candidates
+    ), cuts AS (
+        SELECT p.lang, p.words, p.a, k, l.f AS l, r.f AS r, s.n, (1000::HUGEINT * a * s.n) // (l.f::HUGEINT * r.f) AS score
+        FROM parts p JOIN sizes s ON s.lang = p.lang
+        JOIN counts l ON l.lang = p.lang AND l.words = p.words[1 : k]
+        JOIN counts r ON r.lang = p.lang AND r.words = p.words[k + 1 : len(p.words)]
+    ), lowest AS (
+        SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, k) = 1
+    ), inside AS (
+        SELECT DISTINCT c.lang, c.words[i : i + m - 1] AS words, a
+        FROM candidates c, range(1, 6) t(i), range(2, 6) u(m) WHERE i + m - 1 <= len(c.words) AND m < len(c.words)
+    ), dropped AS (
+        SELECT lang, words, max(a) AS longer FROM inside GROUP BY ALL
+    ), ranked AS (
+        SELECT l.*, array_to_string(l.words, ' ') AS phrase,
+               row_number() OVER (PARTITION BY l.lang ORDER BY l.score DESC, l.a DESC, array_to_string(l.words, ' ')) AS rank
+        FROM lowest l LEFT JOIN dropped d ON d.lang = l.lang AND d.words = l.words WHERE d.longer IS NULL OR d.longer < l.a
+    )
+    SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked WHERE rank <= 2000
+"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framedrift.llm import divergence, exact, language, lines, mixing, packing, secrets, sharding, simhash, templates, toxicity
+from framedrift.llm import divergence, exact, language, lines, mixing, packing, phrases, secrets, sharding, simhash, templates, toxicity
 from framedrift.llm.common import read_table, shared_folder
 
 SHARDS = 24
@@ -82,6 +82,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(documents(spark, sf_dir))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit_sources(documents(spark, sf_dir))
 
@@ -97,5 +101,6 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_mixing": op9_mixing,
     "op10_sharding": op10_sharding,
+    "op11_phrases": op11_phrases,
     "op13_divergence": op13_divergence,
 }
