@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framedrift.llm import divergence, exact, language, lines, mixing, packing, phrases, secrets, sharding, simhash, templates, toxicity
+from framedrift.llm import divergence, exact, graphs, language, lines, mixing, packing, phrases, secrets, sharding, simhash, templates, toxicity
 from framedrift.llm.common import read_table, shared_folder
 
 SHARDS = 24
@@ -86,6 +86,10 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine_phrases(documents(spark, sf_dir))
 
 
+def op12_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphs.nearest_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit_sources(documents(spark, sf_dir))
 
@@ -102,5 +106,6 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_sharding": op10_sharding,
     "op11_phrases": op11_phrases,
+    "op12_graphs": op12_graphs,
     "op13_divergence": op13_divergence,
 }
