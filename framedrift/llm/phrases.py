@@ -25,6 +25,8 @@ TOKEN = re.compile(rb"[.,;:!?\x0a-\x0d]|[^\x20\x09.,;:!?\x0a-\x0d]+")
 STOP = re.compile(rb"[.,;:!?\x0a-\x0d]")
 STOPS = [bytes([c]) for c in b".,;:!?\n\x0b\x0c\r"]
 FILTER_BITS = 24
+SLOT_BITS = 40  # of a pair's hash: pairs that share a slot are counted together, and only found frequent too often
+SLOTS_HELD = 4_000_000  # by a task, before it hands their counts on
 BLOCK_TOKENS = 2_000_000  # counted together
 PIECE_BYTES = 1 << 20  # of a long text, cut into tokens at once
 CACHED = 1_000_000  # words a task keeps numbers for from one block to the next
@@ -76,25 +78,28 @@ def single_words(numbers: Numbers, ids: np.ndarray) -> tuple[list[np.ndarray], n
     return [found], counts[found]
 
 
-def word_pairs(numbers: Numbers, ids: np.ndarray, frequent: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Pairs of neighbours that both are in the table of frequent words, possibly with others."""
-    fits = frequent[numbers.hashes() >> np.uint64(64 - FILTER_BITS)] & (np.arange(len(numbers.words)) > 0)
-    at = np.flatnonzero(fits[ids[:-1]] & fits[ids[1:]])
-    keys, counts = np.unique(ids[at].astype(np.int64) << 32 | ids[at + 1], return_counts=True)
-    return [keys >> 32, keys & 0xFFFFFFFF], counts
+def pair_slots(h: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Slot of each pair of neighbours, by their hashes."""
+    return ((h[ids[:-1]] << np.uint64(1)) ^ h[ids[1:]]) >> np.uint64(64 - SLOT_BITS)
 
 
-def windows(numbers: Numbers, ids: np.ndarray, frequent: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """From each word on, the longest run of frequent pairs up to LONGEST words, if it has three or more."""
+def word_pairs(numbers: Numbers, ids: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of pairs of neighbours that both are in the table of frequent words, possibly with others, and their counts."""
     h = numbers.hashes()
-    slot = (h[ids[:-1]] << np.uint64(1)) ^ h[ids[1:]]
-    goes_on = frequent[slot >> np.uint64(64 - FILTER_BITS)] & (ids[:-1] > 0) & (ids[1:] > 0)
+    fits = frequent[h >> np.uint64(64 - FILTER_BITS)] & (np.arange(len(numbers.words)) > 0)
+    slots = pair_slots(h, ids)[fits[ids[:-1]] & fits[ids[1:]]]
+    return np.unique(slots.astype(np.int64), return_counts=True)
+
+
+def windows(numbers: Numbers, ids: np.ndarray, frequent: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """From each word on, the longest run of frequent pairs up to LONGEST words, if it has two or more."""
+    goes_on = frequent[pair_slots(numbers.hashes(), ids) >> np.uint64(SLOT_BITS - FILTER_BITS)] & (ids[:-1] > 0) & (ids[1:] > 0)
     goes_on = np.append(goes_on, np.zeros(LONGEST, bool))
     ids = np.append(ids, np.zeros(LONGEST, np.int32)).astype(np.int64)
-    at = np.flatnonzero(goes_on[:-1] & goes_on[1:])
-    columns = [ids[at + i] for i in range(3)]
+    at = np.flatnonzero(goes_on)
+    columns = [ids[at], ids[at + 1]]
     whole = np.ones(len(at), bool)
-    for i in range(3, LONGEST):
+    for i in range(2, LONGEST):
         whole &= goes_on[at + i - 1]
         columns.append(np.where(whole, ids[at + i], 0))
     keys = [columns[0] << 32 | columns[1], columns[2] << 32 | columns[3], columns[4]]
@@ -108,47 +113,82 @@ def windows(numbers: Numbers, ids: np.ndarray, frequent: np.ndarray) -> tuple[li
     return [c[order[first]] for c in columns], np.diff(first, append=len(order))
 
 
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of counts by slot."""
+    slots, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(slots, kind="stable")
+    slots = slots[order]
+    first = np.flatnonzero(np.append(True, slots[1:] != slots[:-1])[: len(slots)])
+    return slots[first], np.add.reduceat(counts[order], first) if len(first) else counts
+
+
 Counting = Callable[..., tuple[list[np.ndarray], np.ndarray]]
 
 
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Numbers]]:
+    """Languages and numbered words of rows (lang, text), whenever there are BLOCK_TOKENS, and at the end."""
+    known: dict[str, Numbers] = {}
+    size = 0
+    for batch in batches:
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist(), strict=True):
+            if lang not in known:
+                known[lang] = Numbers(lang)
+            size += known[lang].read(text)
+            if size >= BLOCK_TOKENS:
+                yield from ((x, n) for x, n in known.items() if n.held)
+                size = 0
+                if sum(len(n.words) for n in known.values()) > CACHED:
+                    known = {}
+    yield from ((x, n) for x, n in known.items() if n.held)
+
+
+def unpacked(table: np.ndarray | None) -> list[np.ndarray]:
+    return [] if table is None else [np.unpackbits(table, bitorder="little").view(bool)]
+
+
 def counts_in_blocks(rows: DataFrame, counting: Counting, table: np.ndarray | None = None) -> DataFrame:
     """Partial counts (lang, w0 .. w4, n) of rows (lang, text) by ``counting``; ``table`` is a packed bit table."""
     shared = rows.sparkSession.sparkContext.broadcast(table)
 
-    def flush(known: dict[str, Numbers], *frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for lang, numbers in known.items():
-            if not numbers.held:
-                continue
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = unpacked(shared.value)
+        for lang, numbers in blocks(batches):
             columns, counts = counting(numbers, numbers.take(), *frequent)
             words = pa.array(numbers.words, pa.binary())
             columns = [words.take(pa.array(c)) for c in columns]
             columns += [pa.array([ABSENT], pa.binary()).take(pa.array(np.zeros(len(counts), np.int64)))] * (LONGEST - len(columns))
-            lang = pa.array([lang], pa.string()).take(pa.array(np.zeros(len(counts), np.int64)))
-            yield pa.RecordBatch.from_arrays([lang, *columns, pa.array(counts.astype(np.int64))], ["lang", *WORDS, "n"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = [] if shared.value is None else [np.unpackbits(shared.value, bitorder="little").view(bool)]
-        known: dict[str, Numbers] = {}
-        size = 0
-        for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist(), strict=True):
-                if lang not in known:
-                    known[lang] = Numbers(lang)
-                size += known[lang].read(text)
-                if size >= BLOCK_TOKENS:
-                    yield from flush(known, *frequent)
-                    size = 0
-                    if sum(len(n.words) for n in known.values()) > CACHED:
-                        known = {}
-        yield from flush(known, *frequent)
+            langs = pa.array([lang], pa.string()).take(pa.array(np.zeros(len(counts), np.int64)))
+            yield pa.RecordBatch.from_arrays([langs, *columns, pa.array(counts.astype(np.int64))], ["lang", *WORDS, "n"])
 
     schema = ", ".join(["lang string", *[f"{w} binary" for w in WORDS], "n long"])
     return rows.select("lang", "text").mapInArrow(run, schema)
 
 
-def bit_table(slot: Column, rows: DataFrame) -> np.ndarray:
-    """Packed table of 2^FILTER_BITS bits, set at the leading bits of ``slot``: of one size whatever the rows."""
-    place = F.shiftrightunsigned(slot, 64 - FILTER_BITS)
+def pair_counts(rows: DataFrame, table: np.ndarray) -> DataFrame:
+    """Partial counts (slot, n) of the pairs of neighbours of frequent words."""
+    shared = rows.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = unpacked(shared.value)
+        held, size = [], 0
+        for _, numbers in blocks(batches):
+            held.append(word_pairs(numbers, numbers.take(), *frequent))
+            size += len(held[-1][0])
+            if size > 2 * SLOTS_HELD:
+                held = [merged(held)]
+                size = len(held[0][0])
+                if size > SLOTS_HELD:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], ["slot", "n"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged(held)], ["slot", "n"])
+
+    return rows.select("lang", "text").mapInArrow(run, "slot long, n long")
+
+
+def bit_table(slot: Column, bits: int, rows: DataFrame) -> np.ndarray:
+    """Packed table of 2^FILTER_BITS bits, set at the leading bits of ``slot``, which has ``bits``: of one size whatever the rows."""
+    place = F.shiftrightunsigned(slot, bits - FILTER_BITS)
     words = rows.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("at")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")
     )
@@ -170,10 +210,10 @@ def _changes(columns: list[pa.Array]) -> list[np.ndarray]:
 
 
 def prefix_counts(sorted_windows: DataFrame, least: int) -> DataFrame:
-    """Phrases of three words and more with ``least`` occurrences, from windows in prefix order.
+    """Phrases of two words and more with ``least`` occurrences, from windows in prefix order.
 
     Every occurrence of a phrase begins just one window, so a phrase's count is the sum over a run of
-    the stream. What may go on in the next batch, the last run of three words, is carried over.
+    the stream. What may go on in the next batch, the last run of two words, is carried over.
     """
 
     def summed(rows: pa.Table, size: int) -> pa.RecordBatch:
@@ -200,13 +240,13 @@ def prefix_counts(sorted_windows: DataFrame, least: int) -> DataFrame:
                 continue
             rows = pa.Table.from_batches([batch])
             rows = rows if held is None else pa.concat_tables([held, rows])
-            last = int(np.flatnonzero(_changes([rows[c].combine_chunks() for c in ["lang", *WORDS[:3]]])[-1])[-1])
+            last = int(np.flatnonzero(_changes([rows[c].combine_chunks() for c in ["lang", *WORDS[:2]]])[-1])[-1])
             held = collapsed(rows.slice(last))
             if last:
-                for size in range(3, LONGEST + 1):
+                for size in range(2, LONGEST + 1):
                     yield summed(rows.slice(0, last), size)
         if held is not None:
-            for size in range(3, LONGEST + 1):
+            for size in range(2, LONGEST + 1):
                 yield summed(held, size)
 
     return sorted_windows.mapInArrow(run, sorted_windows.schema)
@@ -266,9 +306,9 @@ def mine_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     score floor(1000 a n / (l r)), l and r being the parts' counts and n all words of the language; its
     lowest counts. Phrases that only occur within one longer phrase are left out.
 
-    Counting takes three passes: words, pairs of frequent words, and windows of frequent pairs. Which are
-    frequent is looked up in bit tables of a fixed size, which let some others through and so only save
-    work. Each task counts its texts in blocks before anything is shuffled. Counts are then kept as
+    Counting takes three passes: words, pairs of frequent words by slots of their hash, and windows of
+    pairs in frequent slots. Slots, and the bit tables of a fixed size in which all this is looked up, let
+    some others through and so only save work; windows are counted by their words. Each task counts its texts in blocks before anything is shuffled. Counts are then kept as
     sorted streams: in prefix order a phrase's first parts stand before it and its extensions right
     behind it; in suffix order, by the words from the last, so do its last parts and what it extends to
     the left. Each stream is walked once, without a join; phrases of one first (or last) word are in one
@@ -282,14 +322,14 @@ def mine_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     single = settle(counts_in_blocks(rows, single_words).groupBy("lang", *WORDS).agg(total))
     sizes = settle(single.groupBy("lang").agg(F.sum("n").alias("total")))
     single = single.where(F.col("n") >= least)
-    table = bit_table(F.xxhash64("lang", "w0"), single)
-    pairs = settle(counts_in_blocks(rows, word_pairs, table).groupBy("lang", *WORDS).agg(total).where(F.col("n") >= least))
-    table = bit_table(F.shiftleft(F.xxhash64("lang", "w0"), 1).bitwiseXOR(F.xxhash64("lang", "w1")), pairs)
-    found = counts_in_blocks(rows, windows, table).repartition("lang", *WORDS[:3]).sortWithinPartitions("lang", *WORDS)
+    table = bit_table(F.xxhash64("lang", "w0"), 64, single)
+    pairs = pair_counts(rows, table).groupBy("slot").agg(total).where(F.col("n") >= least)
+    table = bit_table(F.col("slot"), SLOT_BITS, pairs)
+    found = counts_in_blocks(rows, windows, table).repartition("lang", *WORDS[:2]).sortWithinPartitions("lang", *WORDS)
     found = prefix_counts(found, least)
 
     words_held = sum((F.when(F.col(w) != F.lit(ABSENT), 1).otherwise(0) for w in WORDS), F.lit(0))
-    stream = settle(single.unionByName(pairs).unionByName(found).withColumn("m", words_held))
+    stream = settle(single.unionByName(found).withColumn("m", words_held))
     in_prefix_order = stream.repartitionByRange("lang", "w0").sortWithinPartitions("lang", *WORDS)
     stream = lockstep(in_prefix_order, WORDS, "l", "right")
     backwards = [f"v{i}" for i in range(LONGEST)]

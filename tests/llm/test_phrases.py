@@ -77,10 +77,18 @@ def test_a_bit_table_that_lets_all_through_changes_nothing(spark, monkeypatch):
     rows = material()
     wanted = mined(spark, rows, least=5)
     whole = np.full(1 << (phrases.FILTER_BITS - 3), 255, np.uint8)
-    monkeypatch.setattr(phrases, "bit_table", lambda slot, rows: whole)
+    monkeypatch.setattr(phrases, "bit_table", lambda slot, bits, rows: whole)
     assert mined(spark, rows, least=5) == wanted
 
 
+def test_counts_that_tasks_hand_on_early(spark, monkeypatch):
+    rows = material()
+    monkeypatch.setattr(phrases, "BLOCK_TOKENS", 50)
+    monkeypatch.setattr(phrases, "SLOTS_HELD", 20)
+    monkeypatch.setattr(phrases, "CACHED", 30)
+    assert mined(spark, rows, least=5) == brute(rows, 5)
+
+
 def test_empty_table(spark):
     assert phrases.mine_phrases(table(spark, [])).count() == 0
 
