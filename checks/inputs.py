@@ -85,6 +85,31 @@ def frame_of(payload: Column) -> Column:
     return F.concat(F.unhex(head), payload)
 
 
+def chained_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as IPv6/TCP frames with extension headers, checksums zero.
+
+    event_id % 6: 0 hop-by-hop, 1 routing with a stop left, 2 first fragment, 3 later fragment,
+    4 hop-by-hop and destination options, 5 authentication.
+    """
+    df = spread_small(packets(spark, sf_dir))
+    kind = F.col("event_id") % 6
+    user = _hex(F.col("user_id") % 65536, 2)
+    options = F.lit("00010400000000")
+    stop = F.concat(F.lit("0602000100000000" + "20010DB8" + "0" * 18 + "FF"), user)
+    chain = F.when(kind == 0, F.concat(F.lit("06"), options)).when(kind == 1, stop).when(kind == 2, "0600000000000007")
+    chain = chain.when(kind == 3, "0600001000000007").when(kind == 4, F.concat(F.lit("3C"), options, F.lit("06"), options))
+    chain = chain.otherwise("0604" + "0" * 44)
+    following = F.when(kind == 1, "2B").when(kind.isin(2, 3), "2C").when(kind == 5, "33").otherwise("00")
+    sequence = F.pmod(F.col("event_id") * 1_000_003, F.lit(1 << 32))
+    segment = F.concat(F.lit("04D20050"), _hex(sequence, 4), F.lit("00000007501802000000" + "0000"), F.hex("frame"))
+    size = F.length(F.concat(chain, segment)) / 2
+    head = F.concat(
+        F.lit("020000000001020000000002" + "86DD" + "60000000"), _hex(size.cast("long"), 2), following, F.lit("40"),
+        F.lit("20010DB8" + "0" * 20), user, F.lit("20010DB8" + "0" * 22 + "01"),
+    )
+    return df.withColumn("frame", F.unhex(F.concat(head, chain, segment))).withColumn("flag", F.lit(True))
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder on the shared file system."""
     return f"{shared_folder(spark).rstrip('/')}/run-{uuid.uuid4().hex}"

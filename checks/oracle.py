@@ -191,6 +191,25 @@ EXACT_RANKS = f"""ranked AS (
 
 GROWN = "greatest(1, (octet_length(encode(text)) * 3) // 2)"
 
+CHAINED = with_(
+    PACKETS,
+    """chained AS (
+  SELECT *, event_id % 6 AS kind, (event_id * 1000003) % 4294967296 AS seq, printf('%04X', user_id % 65536) AS who,
+         '20010DB8' || repeat('0', 20) || printf('%04X', user_id % 65536) AS src FROM packets)""",
+    """headed AS (
+  SELECT *, CASE kind WHEN 0 THEN '0600010400000000'
+              WHEN 1 THEN '0602000100000000' || '20010DB8' || repeat('0', 18) || 'FF' || who
+              WHEN 2 THEN '0600000000000007' WHEN 3 THEN '0600001000000007'
+              WHEN 4 THEN '3C000104000000000600010400000000' ELSE '0604' || repeat('0', 44) END AS ext,
+         CASE kind WHEN 1 THEN '2B' WHEN 2 THEN '2C' WHEN 3 THEN '2C' WHEN 5 THEN '33' ELSE '00' END AS nh,
+         CASE WHEN kind = 1 THEN '20010DB8' || repeat('0', 18) || 'FF' || who
+              ELSE '20010DB8' || repeat('0', 22) || '01' END AS last_stop FROM chained)""",
+    """segmented AS (
+  SELECT *, '04D20050' || printf('%08X', CASE WHEN kind = 3 THEN seq ELSE (seq + 1000) % 4294967296 END)
+         || '0000000750180200' || '00000000' || pay AS seg FROM headed)""",
+    f"""summed AS (SELECT *, {words("src || last_stop || seg")} + 6 + length(seg) // 2 AS total FROM segmented)""",
+)
+
 ORACLE = {
     # sources
     "s1_discover": with_(LISTING) + f"SELECT capture_id, date_dir, base_name FROM ({FOUND})",
@@ -323,6 +342,19 @@ ORACLE = {
          (length(eth) + length(ip)) // 2 AS l4_off, CASE WHEN tcp THEN seq END AS tcp_seq,
          (length(blank) - length(pay)) // 2 AS payload_off, length(pay) // 2 AS payload_len,
          true AS has_ip, tcp AS has_tcp, NOT tcp AS has_udp FROM plain""",
+    "b1_chain": CHAINED
+    + """SELECT event_id, 40 + length(ext) // 2 AS ihl, 54 + length(ext) // 2 AS l4_off,
+         40 + (length(ext) + length(seg)) // 2 AS ip_total_len, 6 AS proto, CASE WHEN kind <> 3 THEN seq END AS tcp_seq,
+         54 + length(ext) // 2 + CASE WHEN kind = 3 THEN 0 ELSE 20 END AS payload_off,
+         length(pay) // 2 + CASE WHEN kind = 3 THEN 20 ELSE 0 END AS payload_len, kind <> 3 AS has_tcp FROM summed""",
+    "b2_chain": CHAINED
+    + """SELECT event_id, kind <> 3 AS flag, '02000000000102000000000286DD60000000'
+         || printf('%04X', (length(ext) + length(seg)) // 2) || nh || '40' || src || '20010DB8' || repeat('0', 22) || '01' || ext
+         || CASE WHEN kind = 3 THEN seg ELSE
+              substr(seg, 1, 32) || printf('%04X', (65535 - total % 65535) % 65535) || substr(seg, 37) END AS frame_hex
+         FROM summed""",
+    "b4_incremental": with_(PACKETS, PARTS, *framed("plain", "parts", "(seq + CASE WHEN tcp THEN 70000 ELSE 0 END) % 4294967296"))
+    + "SELECT event_id, CASE WHEN tcp THEN sealed ELSE blank END AS frame_hex, tcp AS flag FROM plain",
     "b2_seq_offset": with_(PACKETS, PARTS, *framed("plain", "parts", "(seq + 1000) % 4294967296"))
     + f"""SELECT event_id, CASE WHEN tcp AND {draw(0)} < {HALF} THEN sealed
            ELSE eth || ip || CASE WHEN tcp THEN substr(seg, 1, 8) || printf('%08X', seq) || substr(seg, 17)

@@ -298,6 +298,18 @@ def b1_header(spark, sf):
     return df.select("event_id", *[F.col(f"hdr.{name}").alias(name) for name in fields])
 
 
+def b1_chain(spark, sf):
+    """Headers behind IPv6 extension headers."""
+    fields = ["ihl", "l4_off", "ip_total_len", "proto", "tcp_seq", "payload_off", "payload_len", "has_tcp"]
+    df = frames.with_header(inputs.chained_frames(spark, sf))
+    return df.select("event_id", *[F.col(f"hdr.{name}").alias(name) for name in fields])
+
+
+def b2_chain(spark, sf):
+    """Sequence numbers behind IPv6 extension headers, checksums over the last stop of a route."""
+    return frames.shift_sequence(inputs.chained_frames(spark, sf), "flag", 1000).select("event_id", hexed(), "flag")
+
+
 def b2_seq_offset(spark, sf):
     df = content.edit_frames(
         start(spark, sf, frames=True),
@@ -322,6 +334,12 @@ def b4_l4_checksum_native(spark, sf):
     return df.select("event_id", hexed(), "flag")
 
 
+def b4_incremental(spark, sf):
+    """Sound frames, shifted with checksums worked out from the words that change."""
+    sound = frames.shift_sequence(_flagged(spark, sf), "flag", 0)
+    return frames.shift_sequence(sound, "flag", 70_000, checksums="update").select("event_id", hexed(), "flag")
+
+
 def b5_lengths(spark, sf):
     df = frames.with_header(frames.forge_length(_flagged(spark, sf), "flag", 24))
     return df.select("event_id", F.col("hdr.ip_total_len").alias("ip_total_len"), F.col("hdr.payload_len").alias("payload_len"))

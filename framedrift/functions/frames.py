@@ -30,6 +30,10 @@ ETHERTYPE_IPV6 = 0x86DD
 PROTO_ICMP = 1
 PROTO_TCP = 6
 PROTO_UDP = 17
+# Headers that name a next one: hop-by-hop, routing, fragment, authentication, destination, mobility, HIP, shim6.
+HOP_BY_HOP, ROUTING, FRAGMENT, AUTHENTICATION, DESTINATION = 0, 43, 44, 51, 60
+CHAINED = (HOP_BY_HOP, ROUTING, FRAGMENT, AUTHENTICATION, DESTINATION, 135, 139, 140)
+SEGMENT_ROUTING = 4  # the routing type that lists its last stop first
 IPV6_HEADER = 40
 UDP_HEADER = 8
 TCP_HEADER = 20
@@ -37,9 +41,51 @@ ICMP_HEADER = 8
 # Two VLAN tags, the longest IPv4 header and a TCP header without options.
 HEADER_BYTES = ETHERNET_HEADER + 2 * VLAN_TAG + 60 + TCP_HEADER
 DEFAULT_DUMMY = 32
+USUAL_CHAIN = 8  # headers of a chain; longer ones are walked as well
+CHECKSUM_WAYS = ("recompute", "update")
 
 _DECODING = ["_hex", "_len", "_tags", "_inner", "_eth", "_l3", "_w0", "_w1", "_w2", "_v4", "_v6"]
 _DECODING += ["_l4", "_total", "_proto", "_first", "_seq", "_words", "_end", "_tcp", "_udp", "_pay"]
+_DECODING += ["_chain", "_dst", "_l4_head"]
+
+
+def _chain_end(frame: Column, length: Column, start: Column, proto: Column) -> Column:
+    """(at, proto, first, dst): where a chain of extension headers ends, and what follows it.
+
+    Each header names the next one and its own size, so this is a fold whose state is the place; it
+    stands still once the protocol is no chained header, or the frame ends within one. ``first`` is
+    false behind a fragment header with an offset. ``dst`` is where the last stop of a routing header
+    with segments left stands, which is the destination that checksums are taken over.
+    """
+
+    def step(state: Column, _: Column) -> Column:
+        at, kind = state["at"], state["proto"]
+        head = F.hex(F.substr(frame, at + 1, F.lit(8)))
+        field = lambda offset, width=1: hex_uint(head, offset, width).cast("int")
+        size = F.when(kind == FRAGMENT, 8).when(kind == AUTHENTICATION, (field(1) + 2) * 4).otherwise((field(1) + 1) * 8)
+        moves = state["first"] & kind.isin(*CHAINED) & (at + 8 <= length)
+        moves = moves & (at + F.coalesce(size, F.lit(0)) <= length)
+        stops = F.floor((size - 8) / 16).cast("int")
+        routed = (kind == ROUTING) & (field(3) > 0) & (stops > 0) & state["dst"].isNull()
+        last_stop = at + 8 + F.when(field(2) == SEGMENT_ROUTING, 0).otherwise(16 * (stops - 1))
+        later = (kind == FRAGMENT) & (field(2, 2) >= 8)
+        return F.when(
+            moves,
+            F.struct(
+                (at + size).cast("int").alias("at"),
+                field(0).alias("proto"),
+                (~later).alias("first"),
+                F.when(routed, last_stop).otherwise(state["dst"]).cast("int").alias("dst"),
+            ),
+        ).otherwise(state)
+
+    begin = F.struct(
+        start.cast("int").alias("at"), proto.cast("int").alias("proto"), F.lit(True).alias("first"), F.lit(None).cast("int").alias("dst")
+    )
+    usual = F.aggregate(F.sequence(F.lit(1), F.lit(USUAL_CHAIN)), begin, step)
+    # No chain has more headers than eights of bytes; the fold only goes that far where the usual one was not enough.
+    whole = F.aggregate(F.sequence(F.lit(1), F.greatest(F.floor(length / 8).cast("int"), F.lit(1))), begin, step)
+    return F.when(usual["first"] & usual["proto"].isin(*CHAINED), whole).otherwise(usual)
 
 
 def with_header(df: DataFrame, only: Column | None = None) -> DataFrame:
@@ -102,12 +148,26 @@ def with_header(df: DataFrame, only: Column | None = None) -> DataFrame:
             "_first": c("_v6") | (c("_w1").bitwiseAND(0x1FFF) == 0),
         }
     )
+    chained = (c("_v6") & c("_proto").isin(*CHAINED)) | (c("_v4") & c("_first") & (c("_proto") == AUTHENTICATION))
+    df = df.withColumn("_chain", F.when(chained, _chain_end(c("frame"), c("_len"), c("_l4"), c("_proto"))))
+    found = c("_chain").isNotNull()
+    df = df.withColumns(
+        {
+            "_l4": F.when(found, c("_chain.at")).otherwise(c("_l4")),
+            "_proto": F.when(found, c("_chain.proto")).otherwise(c("_proto")),
+            "_first": F.when(found, c("_chain.first")).otherwise(c("_first")),
+            "_dst": c("_chain.dst"),
+        }
+    )
+    beyond = F.rpad(F.hex(F.substr("frame", c("_l4") + 1, F.lit(TCP_HEADER))), 2 * TCP_HEADER, F.lit("0"))
+    near = F.substr("_hex", c("_l4") * 2 + 1, F.lit(2 * TCP_HEADER))
+    df = df.withColumn("_l4_head", F.when(found, beyond).otherwise(near))
     # A total length that leaves nothing behind its header means "as long as the frame".
-    smallest = F.when(c("_v4"), c("_l4") - c("_l3")).otherwise(IPV6_HEADER + 1)
+    smallest = F.when(c("_v4"), ihl).otherwise(IPV6_HEADER + 1)
     df = df.withColumns(
         {
-            "_seq": word(c("_l4") + 4),
-            "_words": F.conv(F.substr("_hex", c("_l4") * 2 + 25, F.lit(1)), 16, 10).cast("int"),
+            "_seq": hex_uint(c("_l4_head"), 4, 4),
+            "_words": F.conv(F.substring("_l4_head", 25, 1), 16, 10).cast("int"),
             "_end": F.when(
                 c("_total") >= smallest, F.least(c("_len"), c("_l3") + c("_total"))
             ).otherwise(c("_len")),
@@ -147,6 +207,8 @@ def with_header(df: DataFrame, only: Column | None = None) -> DataFrame:
         c("_v4").alias("is_v4"),
         c("_tcp").alias("has_tcp"),
         c("_udp").alias("has_udp"),
+        F.when(c("_v4"), ihl).when(c("_v6"), IPV6_HEADER).alias("ip_head"),
+        c("_dst").alias("dst_off"),
     )
     return df.withColumn("hdr", opaque(F.when(c("_hex").isNotNull(), header))).drop(*_DECODING)
 
@@ -173,13 +235,16 @@ def _repair(df: DataFrame, end: Column, lengths: str | None, native: bool) -> Da
     has_l4 = c("hdr.has_tcp") | c("hdr.has_udp")
     summed = word_sum_native if native else word_sum
     frame = c("frame")
-    addresses = F.when(is_v4, F.substr(frame, l3 + 13, F.lit(8))).otherwise(
-        F.substr(frame, l3 + 9, F.lit(32))
+    routed = F.concat(F.substr(frame, l3 + 9, F.lit(16)), F.substr(frame, c("hdr.dst_off") + 1, F.lit(16)))
+    addresses = (
+        F.when(is_v4, F.substr(frame, l3 + 13, F.lit(8)))
+        .when(c("hdr.dst_off").isNotNull(), routed)
+        .otherwise(F.substr(frame, l3 + 9, F.lit(32)))
     )
     df = df.withColumn("_end", F.when(c("_edit"), end))
     df = df.withColumns(
         {
-            "_head": F.when(c("_edit") & is_v4, F.substr(frame, l3 + 1, c("hdr.ihl"))),
+            "_head": F.when(c("_edit") & is_v4, F.substr(frame, l3 + 1, c("hdr.ip_head"))),
             "_segment": F.when(
                 c("_edit") & has_l4,
                 F.concat(addresses, F.substr(frame, l4 + 1, c("_end") - l4)),
@@ -241,17 +306,41 @@ def payload_end() -> Column:
     return F.col("hdr.payload_off") + F.col("hdr.payload_len")
 
 
-def shift_sequence(df: DataFrame, flag: str, offset: int, native: bool = False) -> DataFrame:
+def updated_checksum(checksum: Column, old: list[Column], new: list[Column]) -> Column:
+    """Checksum after some of the 16-bit words below it changed, from the words alone.
+
+    A right checksum stays right, and a wrong one stays wrong by as much.
+    """
+    change = sum((n + 65535 - o for o, n in zip(old, new, strict=True)), F.lit(0))
+    return checksum_of(65535 - checksum + change + 65535)
+
+
+def _words(value: Column) -> list[Column]:
+    return [F.shiftright(value, 16), value.bitwiseAND(0xFFFF)]
+
+
+def shift_sequence(df: DataFrame, flag: str, offset: int, native: bool = False, checksums: str = "recompute") -> DataFrame:
     """Add ``offset`` (mod 2^32) to the TCP sequence number of flagged frames, repair checksums.
 
-    ``flag`` is narrowed to the frames that were edited.
+    ``flag`` is narrowed to the frames that were edited. ``checksums='recompute'`` sums up headers and
+    segments, so that wrong checksums become right. ``'update'`` works the new TCP checksum out from the
+    old one and the two words that change: it reads no payload and needs no Python, gives the same on
+    frames with right checksums, and leaves wrong ones wrong.
     """
+    if checksums not in CHECKSUM_WAYS:
+        raise ValueError(f"checksums must be one of {CHECKSUM_WAYS}, not {checksums!r}")
     df = with_header(df, F.col(flag))
     shifted = F.pmod(F.col("hdr.tcp_seq") + F.lit(int(offset)), F.lit(1 << 32))
-    edited = put_uint(F.col("frame"), F.col("hdr.l4_off") + 4, shifted, 4)
+    l4 = F.col("hdr.l4_off")
+    edited = put_uint(F.col("frame"), l4 + 4, shifted, 4)
     df = df.withColumn("_edit", F.coalesce(F.col("hdr.has_tcp"), F.lit(False)))
+    if checksums == "update":
+        held = hex_uint(F.hex(F.substr("frame", l4 + 17, F.lit(2))), 0, 2)
+        check = updated_checksum(held, _words(F.col("hdr.tcp_seq")), _words(shifted))
+        edited = put_uint(edited, l4 + 16, check, 2)
     df = df.withColumn("frame", F.when(F.col("_edit"), edited).otherwise(F.col("frame")))
-    df = _repair(df, payload_end(), None, native)
+    if checksums == "recompute":
+        df = _repair(df, payload_end(), None, native)
     return df.withColumn(flag, F.col("_edit")).drop("_edit", "hdr")
 
 

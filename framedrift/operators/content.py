@@ -16,10 +16,10 @@ def _sampled(df: DataFrame, pct: float, seed: int, step: int) -> DataFrame:
 
 
 def seq_offset(
-    df: DataFrame, pct: float, seed: int, step: int, offset: int = 1000, native: bool = False
+    df: DataFrame, pct: float, seed: int, step: int, offset: int = 1000, native: bool = False, checksums: str = "recompute"
 ) -> DataFrame:
     """Shift the TCP sequence number of a sample."""
-    df = shift_sequence(_sampled(df, pct, seed, step), "_flag", offset, native)
+    df = shift_sequence(_sampled(df, pct, seed, step), "_flag", offset, native, checksums)
     return mark(df, step, F.col("_flag")).drop("_flag")
 
 

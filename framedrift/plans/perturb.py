@@ -15,7 +15,7 @@ from framedrift.plans.plan import COPYING_STEPS, CUSTOM_STEPS, Step
 def _content_step(step: Step, seed: int):
     if step.type == "seq_offset":
         return lambda df, native: content.seq_offset(
-            df, step.pct, seed, step.number, step.params["offset"], native
+            df, step.pct, seed, step.number, step.params["offset"], native, step.params.get("checksums", "recompute")
         )
     return lambda df, native: content.length_forge(
         df,

@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
+from framedrift.functions.frames import CHECKSUM_WAYS
+
 # Step names and their aliases as plans spell them.
 STEP_NAMES = {
     "loss": "loss",
@@ -101,7 +103,10 @@ def _read_params(kind: str, params: dict) -> dict:
             raise ValueError(f"reorder method must be one of {REORDER_METHODS}, not {method!r}")
         return {"m": m} | ({"method": method} if method else {})
     if kind == "seq_offset":
-        return {"offset": int(params.get("offset", DEFAULT_OFFSET))}
+        checksums = params.get("checksums")
+        if checksums not in (None, *CHECKSUM_WAYS):
+            raise ValueError(f"checksums must be one of {CHECKSUM_WAYS}, not {checksums!r}")
+        return {"offset": int(params.get("offset", DEFAULT_OFFSET))} | ({"checksums": checksums} if checksums else {})
     if kind == "length_forge":
         new_len = params.get("new_len")
         new_len = int(new_len) if new_len else None

@@ -135,3 +135,24 @@ def read_pcap(data: bytes):
         at += 16 + incl
     assert at == len(data)
     return rows
+
+
+def chain(headers, proto: int, segment: bytes) -> bytes:
+    """IPv6 packet whose segment follows extension headers (kind, body from its third byte on); checksum as received."""
+    src, dst = bytes(range(16)), bytes(range(16, 32))
+    kinds = [kind for kind, _ in headers] + [proto]
+    body, final, later = b"", dst, False
+    for (kind, rest), following in zip(headers, kinds[1:]):
+        if kind == 44:
+            body += bytes([following, 0]) + rest
+            later |= struct.unpack(">H", rest[:2])[0] >= 8
+            continue
+        unit, less = (4, 2) if kind == 51 else (8, 1)
+        assert (2 + len(rest)) % unit == 0
+        body += bytes([following, (2 + len(rest)) // unit - less]) + rest
+        if kind == 43 and rest[1]:
+            final = rest[6:22] if rest[0] == 4 else rest[-16:]
+    if not later:
+        segment = sealed(segment, proto, src, final)
+    head = struct.pack(">IHBB", 6 << 28, len(body) + len(segment), kinds[0], 64) + src + dst
+    return head + body + segment

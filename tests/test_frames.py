@@ -1,4 +1,5 @@
 import random
+import struct
 
 import pytest
 from pyspark.sql import functions as F
@@ -154,3 +155,77 @@ def test_fixed_frame_length(spark):
     assert got == [b"abcd", b"ab\x0f\x0f", b"ab"]
     assert bytes(fix_length(df, 0).first().frame) == b""
     assert bytes(df.select(pad_to(F.col("frame"), 7, b"\0")).first()[0]) == b"abcdef\0"
+
+
+HOP = (0, b"\1\4" + b"\0" * 4)
+STOPS = [bytes([0x20] * 15 + [i]) for i in (1, 2, 3)]
+ROUTE = (43, bytes([0, 2]) + b"\0" * 4 + b"".join(STOPS))
+ARRIVED = (43, bytes([0, 0]) + b"\0" * 4 + b"".join(STOPS))
+SEGMENTS = (43, bytes([4, 1, 2, 0, 0, 0]) + b"".join(STOPS))
+WHOLE, LATER = (44, b"\0\0" + b"\0\0\0\7"), (44, b"\0\x10" + b"\0\0\0\7")
+SIGNED = (51, b"\0\0" + b"\1" * 8 + b"\2" * 12)
+LAST = (60, b"\1" * 14)
+CHAINS = [[HOP], [ROUTE], [ARRIVED], [SEGMENTS], [WHOLE], [SIGNED], [LAST], [HOP, LAST, ROUTE, WHOLE, SIGNED, LAST], [HOP] * 30]
+
+
+def chained(headers, segment=None, proto=6):
+    return build.ether(0x86DD, build.chain(headers, proto, segment or build.tcp(50, b"odd")))
+
+
+def test_extension_headers_are_followed(spark):
+    cases = [*CHAINS, [LATER], [HOP, LATER, LAST], [(50, b"\0" * 6)], [(59, b"\0" * 6)]]
+    items = [chained(c) for c in cases] + [chained(CHAINS[7], build.udp(b"x"), 17), chained([HOP])[:60]]
+    got = [r.hdr for r in with_header(frames(spark, items)).orderBy("i").collect()]
+    for headers, hdr, frame in zip(CHAINS, got, items):
+        size = len(frame) - 54 - 23
+        assert (hdr.l3_off, hdr.ihl, hdr.l4_off, hdr.proto, hdr.has_tcp) == (14, 40 + size, 54 + size, 6, True), headers
+        assert (hdr.tcp_seq, hdr.payload_off, hdr.payload_len, hdr.ip_total_len) == (50, 74 + size, 3, len(frame) - 14)
+    assert [h.has_tcp for h in got[len(CHAINS) :]] == [False] * 6
+    assert (got[9].l4_off, got[9].payload_off) == (62, 62) and got[10].l4_off == 70  # a later fragment holds no header
+    assert (got[11].proto, got[12].proto) == (50, 59)
+    assert got[13].has_udp and got[13].payload_len == 1
+    assert got[14].l4_off == 54 and got[14].proto == 0  # cut within the chain
+
+
+@pytest.mark.parametrize("options", [{}, {"native": True}, {"checksums": "update"}])
+def test_sequence_shift_behind_extension_headers(spark, options):
+    got = edited(frames(spark, [*map(chained, CHAINS), chained([LATER])]), shift_sequence, 1000, **options)
+    assert got[:-1] == [(chained(c, build.tcp(1050, b"odd")), True) for c in CHAINS]
+    assert got[-1] == (chained([LATER]), False)
+
+
+def test_lengths_behind_extension_headers(spark):
+    got = edited(frames(spark, [chained(c, build.udp(b"abc"), 17) for c in CHAINS]), forge_length, 8, b"\xee")
+    assert got == [(chained(c, build.udp(b"abc" + b"\xee" * 5), 17), True) for c in CHAINS]
+
+
+def test_authentication_header_of_version_4(spark):
+    segment = build.tcp(50, b"odd")
+    inner = build.sealed(segment, 6, bytes([192, 168, 0, 1]), bytes([10, 1, 2, 3]))
+    signed = bytes([6, 4]) + SIGNED[1]
+    item = build.ether(0x800, build.ipv4(51, signed + inner))
+    assert edited(frames(spark, [item]), shift_sequence, 5) == [(item[:58] + build.sealed(build.tcp(55, b"odd"), 6, bytes([192, 168, 0, 1]), bytes([10, 1, 2, 3])), True)]
+
+
+def test_updated_checksums_equal_full_sums_on_sound_frames(spark):
+    draw = random.Random(8)
+    items = []
+    for i in range(300):
+        segment = build.tcp(draw.getrandbits(32), draw.randbytes(draw.randint(0, 40)), draw.choice([b"", b"\1" * 8]))
+        items.append(build.ether(0x800, build.ipv4(6, segment)) if i % 2 else build.ether(0x86DD, build.ipv6(6, segment), vlans=i % 3))
+    for offset in (1000, 0, -1, 0x10000, 0xFFFF, 1 << 31):
+        df = frames(spark, items)
+        assert edited(df, shift_sequence, offset, checksums="update") == edited(df, shift_sequence, offset)
+    plan = shift_sequence(frames(spark, items), "flag", 9, checksums="update")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    with pytest.raises(ValueError):
+        shift_sequence(frames(spark, items), "flag", 9, checksums="guess")
+
+
+def test_updated_checksums_keep_an_error(spark):
+    sound = build.ether(0x800, build.ipv4(6, build.tcp(7, b"payload")))
+    wrong = sound[:50] + struct.pack(">H", (struct.unpack(">H", sound[50:52])[0] + 5) % 65535) + sound[52:]
+    (fixed, _), (kept, _) = (edited(frames(spark, [wrong]), shift_sequence, 9, checksums=c)[0] for c in ("recompute", "update"))
+    right = struct.unpack(">H", fixed[50:52])[0]
+    assert build.checksums_hold(fixed) and struct.unpack(">H", kept[50:52])[0] == (right + 5) % 65535
+    assert kept[:50] == fixed[:50] and kept[52:] == fixed[52:]
