@@ -298,6 +298,14 @@ ORACLE = {
     "r5_greedy_facts": with_(PACKETS)
     + """SELECT capture_id, chunk_id, count(*) AS packets, count(*) AS positions, true AS near,
          false AS moved_unflagged, true AS some_flagged FROM packets GROUP BY 1, 2""",
+    "u1_rowwise": PLANNED
+    + f"""SELECT capture_id, chunk_id, packet_no, copy_no + 2 * nth AS copy_no, pos, t AS ts_new_us,
+         CASE WHEN NOT flag THEN applied WHEN nth = 0 THEN applied + 8 ELSE 8 END AS applied,
+         length(pay) // 2 + longer::INT AS orig_len, pay || CASE WHEN longer THEN '21' ELSE '' END AS frame_hex
+         FROM (SELECT *, flag AND (digit < 7 OR nth = 1) AS longer
+               FROM (SELECT *, {draw(3)} < {HALF} AS flag, ('0x' || substr(pay, length(pay) - 3, 2))::INT - 48 AS digit FROM timed),
+                    range(3) r(nth)
+               WHERE nth = 0 AND (NOT flag OR digit >= 4) OR nth > 0 AND flag AND digit >= 7)""",
     "u1_drops_first_part": STORED_FRAMES
     + """SELECT capture_id || '.pcap' AS capture_id, packet_no - 230 AS packet_no, blank AS frame_hex
          FROM plain WHERE packet_no >= 230""",

@@ -14,7 +14,7 @@ from framedrift.operators.retime import number_positions, retime
 from framedrift.plans.fixed_length import force_length, force_trace
 from framedrift.plans.job import run_captures, run_directory, run_fixed_length
 from framedrift.plans.perturb import perturb
-from framedrift.plans.plan import read_plan, register_step
+from framedrift.plans.plan import read_plan, register_row_step, register_step
 from framedrift.sinks.captures import file_header
 from framedrift.sources import discovery
 from framedrift.sources.files import resolve, spread_small
@@ -570,6 +570,22 @@ def u1_custom_step(spark, sf):
     return trace.select(*KEYS, "ts_new_us")
 
 
+def _by_last_digit(frame: bytes, tail: str):
+    """Drop, lengthen or triple a packet, by the last digit of its payload."""
+    digit = frame[-2] - ord("0")
+    if digit < 4:
+        return None
+    return frame + tail.encode() if digit < 7 else [frame, frame + tail.encode(), frame]
+
+
+def u1_rowwise(spark, sf):
+    """A function of one packet with a parameter, between loss, copies, reordering and re-timing."""
+    register_row_step("by_last_digit", _by_last_digit)
+    raw = [*PLAN, {"type": "by_last_digit", "pct": 0.5, "params": {"tail": "!"}}]
+    trace = perturb(inputs.packets(spark, sf), read_plan(raw), SEED, CHUNK, 2)
+    return trace.select(*KEYS, "pos", "ts_new_us", "applied", "orig_len", hexed())
+
+
 def u1_drops_first_part(spark, sf):
     """A step that removes whole parts, the first among them, leaves complete files."""
     register_step("late", lambda df, step, seed: df.filter(F.col("packet_no") >= step.params["least"]))

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framedrift.functions.draws import chance, row_draw
 from framedrift.functions.frames import forge_length, shift_sequence
 from framedrift.functions.octets import pad_to
+from framedrift.operators.rowwise import apply_rowwise
 from framedrift.operators.selection import alive, mark
 
 
 def _sampled(df: DataFrame, pct: float, seed: int, step: int) -> DataFrame:
-    return df.withColumn("_flag", chance(row_draw(seed, step), pct) & alive())
+    flag = chance(row_draw(seed, step), pct) & alive()
+    if "_closed" in df.columns:
+        flag = flag & ~F.col("_closed")
+    return df.withColumn("_flag", flag)
 
 
 def seq_offset(
@@ -39,6 +45,15 @@ def length_forge(
     return mark(df, step, F.col("_flag")).drop("_flag")
 
 
+def by_row(
+    df: DataFrame, pct: float, seed: int, step: int, function: Callable, params: dict, batched: bool, rounds: int, track: bool = False
+) -> DataFrame:
+    """Put a sample through a function of one packet; ``rounds`` copying steps came before."""
+    df = _sampled(df, pct, seed, step)
+    lost = step if track else None
+    return apply_rowwise(df, function, params, batched, flag="_flag", bit=1 << step, copy_unit=1 << rounds, lost_step=lost).drop("_flag")
+
+
 def fix_length(df: DataFrame, length: int, pad: bytes = b"\x0f", flag: str = "selected") -> DataFrame:
     """Force flagged frames to ``length`` bytes; checksums are left alone."""
     if length < 0:
@@ -48,12 +63,13 @@ def fix_length(df: DataFrame, length: int, pad: bytes = b"\x0f", flag: str = "se
 
 
 def edit_frames(
-    df: DataFrame, steps: list, seed: int, on_length_change: str = "keep", native: bool = False
+    df: DataFrame, steps: list, seed: int, on_length_change: str = "keep", native: bool = False, rowwise: bool = False
 ) -> DataFrame:
     """Apply content steps, given as functions of (df, native), in order.
 
     ``on_length_change='revert'`` gives a frame back as it was, with all its edits undone,
-    when they changed its length.
+    when they changed its length. ``rowwise`` says that there are steps by row among them; the frames of
+    their lists have any length.
     """
     if on_length_change not in ("keep", "revert"):
         raise ValueError(f"on_length_change must be 'keep' or 'revert', not {on_length_change!r}")
@@ -63,11 +79,14 @@ def edit_frames(
     kept = {"_size": F.length("frame")}
     if revert:
         kept |= {"_before": F.col("frame"), "_mask": F.col("applied")}
+    if rowwise:
+        kept |= {"_closed": F.lit(False)}
     df = df.withColumns(kept)
     for step in steps:
         df = step(df, native)
     changed = F.length("frame") != F.col("_size")
     if revert:
+        changed = changed & ~F.col("_closed") if rowwise else changed
         df = df.withColumns(
             {
                 "applied": F.when(changed, F.col("_mask")).otherwise(F.col("applied")),
@@ -78,4 +97,4 @@ def edit_frames(
         # The length on the wire stays as captured unless the frame itself changed size.
         resized = F.when(changed, F.length("frame")).otherwise(F.col("orig_len"))
         df = df.withColumn("orig_len", resized)
-    return df.drop("_before", "_mask", "_size")
+    return df.drop("_before", "_mask", "_size", "_closed")

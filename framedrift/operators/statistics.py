@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framedrift.operators.selection import alive, was_applied
-from framedrift.plans.plan import Step
+from framedrift.plans.plan import CONTENT_STEPS, Step
 
 
 def counters(plan: list[Step], repaired: bool = False) -> dict[str, Column]:
@@ -14,12 +14,13 @@ def counters(plan: list[Step], repaired: bool = False) -> dict[str, Column]:
 
     ``loss_drop``, ``retransmit_dup`` and ``reorder_packets`` are sums over the whole
     capture and over all steps of their kind; ``step_<k>`` holds each step by itself.
-    Selection steps count what they hit even if a later step drops it.
+    Selection steps count what they hit even if a later step drops it, steps by row each frame they give
+    and each packet they drop.
     """
     kinds = {"loss": "loss_drop", "retransmit": "retransmit_dup", "reorder": "reorder_packets"}
     one = lambda condition: condition.cast("long")
     per_step = {
-        f"step_{s.number}": one(was_applied(s.number) & (alive() if s.edits_content else F.lit(True)))
+        f"step_{s.number}": one(was_applied(s.number) & (alive() if s.type in CONTENT_STEPS else F.lit(True)))
         for s in plan
     }
     named = {

@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from framedrift.operators import content, selection
 from framedrift.operators.retime import retime
-from framedrift.plans.plan import COPYING_STEPS, CUSTOM_STEPS, Step
+from framedrift.plans.plan import COPYING_STEPS, CUSTOM_STEPS, ROW_STEPS, Step
 
 
-def _content_step(step: Step, seed: int):
+def _content_step(step: Step, seed: int, rounds: int, track: bool):
+    if step.by_row:
+        function, batched = ROW_STEPS[step.type]
+        return lambda df, native: content.by_row(df, step.pct, seed, step.number, function, step.params, batched, rounds, track)
     if step.type == "seq_offset":
         return lambda df, native: content.seq_offset(
             df, step.pct, seed, step.number, step.params["offset"], native, step.params.get("checksums", "recompute")
@@ -45,10 +48,19 @@ def perturb(
     draws of its own. Everything up to the last copying step is row-local and runs in the
     scan stage, frame edits included; then one shuffle by (capture, part) serves all
     windows over chunks and the writer. ``track`` keeps lost rows for the statistics.
+
+    Steps by row, and content steps behind one, run after the re-timing instead, so that the frames of a
+    list share a time and a dropped one moves no other. They leave rows in their tasks, so the writer
+    still finds its parts together.
     """
     df = selection.start_trace(packets, chunk_size, chunks_per_part, track)
     choosing = [step for step in plan if not step.edits_content]
-    editing = [_content_step(step, seed) for step in plan if step.edits_content]
+    contents = [step for step in plan if step.edits_content]
+    first = next((i for i, step in enumerate(contents) if step.by_row), len(contents))
+    if on_length_change == "revert" and first < len(contents):
+        first = 0  # all edits of a frame are undone together
+    copying = sum(step.type in COPYING_STEPS for step in choosing)
+    editing, late = ([_content_step(step, seed, copying, track) for step in some] for some in (contents[:first], contents[first:]))
     multiplying = [
         i for i, step in enumerate(choosing) if step.type in COPYING_STEPS + tuple(CUSTOM_STEPS)
     ]
@@ -95,4 +107,8 @@ def perturb(
             gathered = gathered and not editing
     if not gathered:
         df = selection.gather_parts(df)
-    return retime(df)
+    df = retime(df)
+    if not late:
+        return df
+    df = content.edit_frames(df, late, seed, on_length_change, native, rowwise=True)
+    return df.withColumns({name: F.when(selection.alive(), F.col(name)) for name in ("pos", "ts_new_us")}) if track else df

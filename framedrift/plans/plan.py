@@ -30,6 +30,7 @@ MAX_STEPS = 62
 MAX_COPYING_STEPS = 30
 
 CUSTOM_STEPS: dict[str, Callable[..., DataFrame]] = {}
+ROW_STEPS: dict[str, tuple[Callable, bool]] = {}
 
 
 @dataclass(frozen=True)
@@ -43,19 +44,40 @@ class Step:
 
     @property
     def edits_content(self) -> bool:
-        return self.type in CONTENT_STEPS
+        return self.type in CONTENT_STEPS or self.by_row
+
+    @property
+    def by_row(self) -> bool:
+        return self.type in ROW_STEPS
 
 
 def register_step(name: str, transform: Callable[..., DataFrame]) -> None:
     """Make ``transform(trace, step, seed) -> trace`` available to plans as ``name``.
 
-    It runs among the selection steps. Row-level code goes into ``mapInArrow`` inside it:
-    no output row drops the packet, several rows multiply it.
+    It runs among the selection steps. For a function of one packet see :func:`register_row_step`.
+    """
+    CUSTOM_STEPS[_own_name(name)] = transform
+
+
+def register_row_step(name: str, function: Callable, batched: bool = False) -> None:
+    """Make ``function(frame, **params)`` available to plans as ``name``.
+
+    It runs among the content steps, on each packet with probability ``pct``, and gives the frame that
+    takes its place, several frames in a list, or None to drop the packet. Later content steps see a
+    single frame only; an empty list changes nothing, but ends the editing. The frames of a list share
+    the packet's place and time, and a dropped packet leaves the others' times alone. With ``batched``
+    the function gets an Arrow array of frames and gives an array of lists, null dropping.
     """
+    ROW_STEPS[_own_name(name)] = (function, batched)
+
+
+def _own_name(name: str) -> str:
     key = name.lower()
     if key in STEP_NAMES:
         raise ValueError(f"{name!r} is a built-in step")
-    CUSTOM_STEPS[key] = transform
+    CUSTOM_STEPS.pop(key, None)
+    ROW_STEPS.pop(key, None)
+    return key
 
 
 def parse_hex_pad(value: str | bytes | None) -> bytes:
@@ -121,7 +143,7 @@ def read_plan(raw: list[dict]) -> list[Step]:
     steps = []
     for number, entry in enumerate(raw):
         name = str(entry.get("type", "")).lower()
-        kind = STEP_NAMES.get(name, name if name in CUSTOM_STEPS else None)
+        kind = STEP_NAMES.get(name, name if name in CUSTOM_STEPS or name in ROW_STEPS else None)
         if kind is None:
             raise ValueError(f"step {number}: unknown type {entry.get('type')!r}")
         pct = float(entry.get("pct", 1.0 if kind == "rate_modify" else 0.0))

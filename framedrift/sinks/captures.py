@@ -123,7 +123,7 @@ def write_fragments(
     names = list(counted)
     has_error = "error" in trace.columns
     rows = trace.sortWithinPartitions(
-        "capture_id", "part_id", "chunk_id", F.col("pos").asc_nulls_last()
+        "capture_id", "part_id", "chunk_id", F.col("pos").asc_nulls_last(), "copy_no"
     ).select(
         "capture_id",
         "part_id",
