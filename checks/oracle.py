@@ -295,6 +295,34 @@ ORACLE = {
          round_even(count(*) * 20 / 100, 0)::BIGINT AS perturbed, true AS has_file FROM packets GROUP BY 1
          UNION ALL SELECT 'odd/capEmpty', 'done', NULL, 0, 0, true
          UNION ALL SELECT 'odd/capUnknown', 'error', 'unknown capture format', NULL, NULL, NULL""",
+    # Segments are tried one by one here, by priority, against all that stand.
+    "r5_greedy": "WITH RECURSIVE "
+    + ",\n".join(
+        [
+            PACKETS,
+            f"""placed AS (SELECT *, row_number() OVER w - 1 AS rn, count(*) OVER (PARTITION BY capture_id, chunk_id) AS n
+  FROM packets WINDOW w AS (PARTITION BY capture_id, chunk_id ORDER BY pos))""",
+            f"""tries AS (SELECT capture_id, chunk_id, rn AS a, least(rn + 2 + {draw(2, part=1)} % 4, n) AS b,
+         row_number() OVER (PARTITION BY capture_id, chunk_id ORDER BY {draw(2, part=2)}, rn) AS k
+  FROM placed WHERE n > 2 AND {draw(2)} < {JITTER})""",
+            """taken AS (
+  SELECT DISTINCT capture_id, chunk_id, 0::BIGINT AS k, []::STRUCT(a BIGINT, b BIGINT)[] AS segments FROM placed
+  UNION ALL
+  SELECT t.capture_id, t.chunk_id, r.k, CASE WHEN len(list_filter(t.segments, lambda s: s.a < r.b AND s.b > r.a)) = 0
+         THEN list_append(t.segments, {'a': r.a, 'b': r.b}) ELSE t.segments END
+  FROM taken t JOIN tries r ON r.capture_id = t.capture_id AND r.chunk_id = t.chunk_id AND r.k = t.k + 1)""",
+            """segments AS (
+  SELECT capture_id, chunk_id, unnest(segments, recursive := true) FROM (
+    SELECT * FROM taken QUALIFY k = max(k) OVER (PARTITION BY capture_id, chunk_id)))""",
+            """members AS (
+  SELECT p.*, s.a FROM placed p LEFT JOIN segments s
+    ON s.capture_id = p.capture_id AND s.chunk_id = p.chunk_id AND p.rn >= s.a AND p.rn < s.b)""",
+        ]
+    )
+    + f"""
+SELECT {KEYS}, row_number() OVER (PARTITION BY capture_id, chunk_id
+         ORDER BY coalesce(a, rn), CASE WHEN a IS NULL THEN 0 ELSE {draw('2s')} END, rn) - 1 AS pos,
+       CASE WHEN a IS NULL THEN 0 ELSE 4 END AS applied FROM members""",
     "r5_greedy_facts": with_(PACKETS)
     + """SELECT capture_id, chunk_id, count(*) AS packets, count(*) AS positions, true AS near,
          false AS moved_unflagged, true AS some_flagged FROM packets GROUP BY 1, 2""",

@@ -13,8 +13,6 @@ Lost rows stay only when a caller wants statistics; they carry no frame bytes th
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +24,7 @@ DEFAULT_CHUNK = 10_000
 DEFAULT_CHUNKS_PER_PART = 16
 CHUNK_KEYS = ("capture_id", "part_id", "chunk_id")
 ORDER_BUCKET_BITS = 12
+ROUNDS_AT_ONCE = 3
 
 
 def with_chunks(packets: DataFrame, chunk_size: int = DEFAULT_CHUNK) -> DataFrame:
@@ -174,7 +173,8 @@ def reorder(
 
     ``method='blocks'``: each run of ``m`` packets triggers with probability ``pct`` and
     shuffles 2..m neighbours at a drawn place. ``method='greedy'``: segments start at any
-    packet, with probability ``pct``, wherever they do not overlap an earlier choice.
+    packet, with probability ``pct``, wherever they do not overlap an earlier choice; this
+    reads the packets twice and gathers the parts itself.
     """
     if m < 2:
         raise ValueError(f"reorder needs m >= 2, not {m}")
@@ -221,46 +221,80 @@ def _reorder_blocks(df: DataFrame, pct: float, m: int, seed: int, step: int) ->
     return df.drop(*scratch, "_slot", "_rank")
 
 
-def greedy_segments(n: int, pct: float, m: int, rng: np.random.Generator) -> list[tuple[int, int]]:
-    """Disjoint segments of 2..m cells of a row of ``n``, tried in random order."""
-    tries = rng.permutation(n)
-    tries = tries[rng.random(n) <= pct]
-    stops = np.minimum(tries + rng.integers(2, m + 1, tries.size), n)
-    taken = bytearray(n)
-    segments = []
-    for first, stop in zip(tries.tolist(), stops.tolist()):
-        if not any(taken[first:stop]):
-            taken[first:stop] = b"\x01" * (stop - first)
-            segments.append((first, stop))
-    return segments
+def _short_segments(keys: DataFrame, pct: float, m: int, seed: int, step: int) -> DataFrame:
+    """Candidate segments [start, stop) of chunks, by the places of their packets, each with a priority."""
+    order = chunk_order()
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    df = keys.withColumns({"start": F.row_number().over(order) - 1, "_n": F.count("pos").over(whole)})
+    df = df.filter(alive() & (F.col("_n") > 2) & chance(row_draw(seed, step), pct))
+    stop = F.least(F.col("start") + 2 + row_draw(seed, step, 1) % (m - 1), F.col("_n"))
+    start = F.col("start").cast("long")
+    return df.select(*CHUNK_KEYS, "pos", start.alias("start"), stop.alias("stop"), row_draw(seed, step, 2).alias("priority"))
+
+
+def disjoint_segments(candidates: DataFrame, m: int) -> DataFrame:
+    """The segments that stand when they are tried one by one by (priority, start), and overlap none before them.
+
+    In each round a segment stands if it comes first among all undecided ones that it overlaps, and
+    those overlap a standing one and fall. That is the outcome of trying one by one, as a segment waits
+    exactly for those that come before it. A segment of up to ``m`` packets only overlaps starts less
+    than ``m`` away, so a round is two windows over short ranges; the undecided go on, a small part of
+    them each time. Rounds are settled a few at a time, and none of them sees a frame.
+    """
+    chunk = Window.partitionBy(*CHUNK_KEYS).orderBy("start")
+    sides = chunk.rangeBetween(-(m - 1), -1), chunk.rangeBetween(1, m - 1)
+
+    def around(item: Column, where: Column) -> Column:
+        return F.concat(*[F.collect_list(F.when(where, item)).over(side) for side in sides])
+
+    overlaps = lambda x: (x["start"] < F.col("stop")) & (x["stop"] > F.col("start"))
+    me = F.struct("priority", "start", "stop")
+    open_ = candidates.withColumns({"_open": F.lit(True), "_stands": F.lit(False)})
+    standing = None
+    while True:
+        for _ in range(ROUNDS_AT_ONCE):
+            open_ = open_.withColumn("_rivals", F.filter(around(me, F.col("_open")), overlaps))
+            first = F.array_min(F.transform("_rivals", lambda x: F.struct(x["priority"], x["start"])))
+            wins = F.col("_open") & F.coalesce(F.struct("priority", "start") < first, F.lit(True))
+            open_ = open_.withColumn("_wins", wins)
+            beaten = F.exists(around(F.struct("start", "stop"), F.col("_wins")), overlaps)
+            open_ = open_.withColumns(
+                {"_stands": F.col("_stands") | F.col("_wins"), "_open": F.col("_open") & ~F.col("_wins") & ~beaten}
+            ).drop("_rivals", "_wins")
+        rounds = settle(open_)
+        found = rounds.filter("_stands").drop("_open", "_stands")
+        standing = found if standing is None else standing.unionByName(found)
+        open_ = rounds.filter("_open")
+        if open_.isEmpty():
+            return standing.drop("priority")
 
 
 def _reorder_greedy(df: DataFrame, pct: float, m: int, seed: int, step: int) -> DataFrame:
-    """One Arrow table per chunk; a chunk is bounded by ``chunk_size`` times its copies."""
-    bit = 1 << step
-
-    def shuffle_chunk(key: tuple, chunk: pa.Table) -> pa.Table:
-        pos = chunk["pos"].to_numpy(zero_copy_only=False)
-        order = np.argsort(pos, kind="stable")
-        n = int(len(pos) - chunk["pos"].null_count)
-        place = np.empty(len(pos), np.int64)
-        moved = np.zeros(len(pos), bool)
-        target = np.arange(n)
-        if pct > 0 and n > 2:
-            words = [seed & 0xFFFFFFFF, step, *str(key[0].as_py()).encode(), key[2].as_py()]
-            rng = np.random.default_rng(words)
-            for first, stop in greedy_segments(n, pct, m, rng):
-                target[first:stop] = rng.permutation(target[first:stop])
-                moved[order[first:stop]] = True
-        place[order[:n]] = target
-        gone = np.ones(len(pos), bool)
-        gone[order[:n]] = False
-        applied = chunk["applied"].to_numpy() | np.where(moved, bit, 0)
-        names = chunk.column_names
-        chunk = chunk.set_column(names.index("pos"), "pos", pa.array(place, mask=gone))
-        return chunk.set_column(names.index("applied"), "applied", pa.array(applied))
-
-    return df.groupBy(*CHUNK_KEYS).applyInArrow(shuffle_chunk, df.schema)
+    """Segments are found on the keys alone; then they join the packets as rows of their own, in the one shuffle.
+
+    A segment's row stands right before its first packet, so a running window tells each packet its segment.
+    """
+    keys = df.select(*CHUNK_KEYS, "packet_no", "copy_no", "pos", "lost_at")
+    found = disjoint_segments(_short_segments(keys, pct, m, seed, step), m)
+    found = found.select(*CHUNK_KEYS, "pos", F.struct("start", "stop").alias("_segment"))
+    both = gather_parts(df.unionByName(found, allowMissingColumns=True))
+    is_packet = F.col("_segment").isNull()
+    order = Window.partitionBy(*CHUNK_KEYS).orderBy(F.col("pos").asc_nulls_last(), is_packet)
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = both.withColumns(
+        {"_rn": F.count(F.when(is_packet, 1)).over(upto) - 1, "_in": F.last("_segment", ignorenulls=True).over(upto)}
+    )
+    both = both.filter(is_packet).drop("_segment")
+    both = both.withColumn("_member", F.coalesce((F.col("_rn") < F.col("_in.stop")) & alive(), F.lit(False)))
+    both = both.withColumns(
+        {
+            "_slot": F.when(F.col("_member"), F.col("_in.start")).otherwise(F.col("_rn")),
+            "_rank": F.when(F.col("_member"), row_draw(seed, f"{step}s")).otherwise(F.lit(0)),
+        }
+    )
+    shuffled = Window.partitionBy(*CHUNK_KEYS).orderBy("_slot", "_rank", "_rn")
+    both = both.withColumn("pos", F.when(alive(), (F.row_number().over(shuffled) - 1).cast("long")))
+    return mark(both, step, F.col("_member")).drop("_rn", "_in", "_member", "_slot", "_rank").select(*df.columns)
 
 
 def flag_bernoulli(packets: DataFrame, percent: float, seed: int, step: int = 0) -> DataFrame:

@@ -79,7 +79,8 @@ def perturb(
     if edit_after < 0:
         df = edit(df)
     for i, step in enumerate(choosing):
-        if step.type in ("reorder", "rate_modify") and not gathered:
+        method = (step.params.get("method") or reorder_method) if step.type == "reorder" else None
+        if (step.type == "rate_modify" or method == "blocks") and not gathered:
             df, gathered = selection.gather_parts(df), True
         if step.type in COPYING_STEPS:
             rounds += 1
@@ -92,10 +93,8 @@ def perturb(
             df = selection.rate_modify(df, step.pct, seed, step.number, rounds)
             span *= 2
         elif step.type == "reorder":
-            method = step.params.get("method") or reorder_method
             df = selection.reorder(df, step.pct, step.params["m"], seed, step.number, method)
-            # The greedy method goes through Arrow, which hides the partitioning.
-            gathered = gathered and method == "blocks"
+            gathered = True
         else:
             # Header rows carry the file header of a capture and are not the step's to drop.
             header = F.coalesce(F.col("repaired") == "header", F.lit(False)) if "repaired" in df.columns else F.lit(False)

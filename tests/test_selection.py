@@ -136,12 +136,44 @@ def test_reorder_is_a_bounded_permutation(spark, method, m):
 
 
 @pytest.mark.parametrize("m,pct,share", [(2, 0.2, 0.331), (5, 0.1, 0.281), (5, 1.0, 0.792), (10, 0.5, 0.697)])
-def test_greedy_reorder_covers_the_published_share(m, pct, share):
-    import numpy as np
-
-    rng = np.random.default_rng(1)
-    covered = [sum(b - a for a, b in selection.greedy_segments(5000, pct, m, rng)) for _ in range(8)]
-    assert abs(sum(covered) / 40_000 - share) < 0.012
+def test_greedy_reorder_covers_the_published_share(spark, m, pct, share):
+    df = selection.start_trace(packets(spark, {"a": 40_000}), 5000)
+    moved = selection.reorder(df, pct, m, 1, 0, "greedy").filter("applied = 1").count()
+    assert abs(moved / 40_000 - share) < 0.012
+
+
+@pytest.mark.parametrize("m,dense", [(2, 1.0), (4, 0.7), (9, 1.0), (30, 0.4)])
+def test_segments_stand_as_if_tried_one_by_one(spark, m, dense):
+    draw = random.Random(m)
+    tries = {}
+    for chunk in range(12):
+        n = draw.choice([3, 40, 200])
+        tries[chunk] = [(i, min(i + draw.randint(2, m), n), draw.randint(0, 50)) for i in range(n) if draw.random() < dense]  # with ties
+    rows = [("c", 0, c, s, s, e, p) for c, found in tries.items() for s, e, p in found]
+    df = spark.createDataFrame(rows, "capture_id string, part_id long, chunk_id long, pos long, start long, stop long, priority long")
+    got = {}
+    for r in selection.disjoint_segments(df.repartition(3), m).collect():
+        got.setdefault(r.chunk_id, []).append((r.start, r.stop))
+    for chunk, found in tries.items():
+        standing = []
+        for start, stop, _ in sorted(found, key=lambda x: (x[2], x[0])):
+            if all(start >= b or stop <= a for a, b in standing):
+                standing.append((start, stop))
+        assert sorted(got.get(chunk, [])) == sorted(standing)
+
+
+def test_greedy_reorder_keeps_lost_rows_and_frames_out_of_python(spark):
+    source = packets(spark, {"a": 200}).withColumn("frame", F.encode(F.col("packet_no").cast("string"), "UTF-8"))
+    df = selection.lose(selection.start_trace(source, 50, track=True), 0.3, 1, 0, track=True)
+    done = selection.reorder(df, 0.8, 4, 1, 1, "greedy")
+    assert done.columns == df.columns and done.count() == 200
+    assert done.filter("lost_at is not null and pos is not null").count() == 0
+    kept = done.filter("lost_at is null")
+    assert kept.filter("cast(decode(frame, 'UTF-8') as long) <> packet_no").count() == 0
+    places = kept.groupBy("chunk_id").agg(F.count("*").alias("n"), F.max("pos").alias("last"), F.countDistinct("pos").alias("places"))
+    assert places.filter("n <> places or last <> n - 1").count() == 0
+    text = done._jdf.queryExecution().executedPlan().toString()
+    assert "Arrow" not in text and "Python" not in text and text.count("Exchange hashpartitioning") == 1
 
 
 def slow_retime(times):
