@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framedrift.operators import selection
 from framedrift.sinks.captures import place_fragments, write_fragments
 from framedrift.sources import discovery
-from framedrift.sources.files import shared_folder, spread_small
+from framedrift.sources.files import resolve, shared_folder, spread_small
 
 # A run of consecutive events is a capture, so captures are bounded whatever the data.
 BLOCK = 500
@@ -133,6 +135,86 @@ def store_packets(spark: SparkSession, sf_dir: str, root: str) -> DataFrame:
     return store(trace.withColumn("ts_new_us", F.col("ts_us")), root)
 
 
+# One capture that holds seven of eight events, and small ones; ranges are cut so that it has several.
+SPLIT = 32 << 10
+
+
+def hot_packets(spark: SparkSession, sf_dir: str, frames: bool = False) -> DataFrame:
+    e = F.col("event_id")
+    small = e % 8 == 0
+    named = F.concat(F.lit("day1/cap"), F.floor(e / (8 * BLOCK)).cast("string"))
+    number = F.when(small, F.floor(e % (8 * BLOCK) / 8)).otherwise(e - F.floor(e / 8) - 1).cast("long")
+    return packets(spark, sf_dir, frames).withColumns(
+        {"capture_id": F.when(small, named).otherwise("day0/capBig"), "packet_no": number}
+    )
+
+
+def store_hot(spark: SparkSession, sf_dir: str, root: str) -> None:
+    trace = selection.start_trace(hot_packets(spark, sf_dir, frames=True), CHUNK, 2)
+    store(selection.gather_parts(trace).withColumn("ts_new_us", F.col("ts_us")), root)
+
+
+def store_pieces(pieces: DataFrame, root: str) -> None:
+    """Write (capture_id, packet_no, piece) as files of the pieces in order, part by part like the writer."""
+    staging = f"{root}/_staging"
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.schema([("capture_id", pa.string()), ("part_id", pa.int64()), ("fragment", pa.string()), ("bytes", pa.int64()), ("error", pa.string())])
+        for batch in batches:
+            for row in batch.to_pylist():
+                system, folder = resolve(staging)
+                system.create_dir(folder, recursive=True)
+                name, data = uuid.uuid4().hex, b"".join(row["pieces"])
+                with system.open_output_stream(f"{folder}/{name}") as out:
+                    out.write(data)
+                ledger = {"capture_id": row["capture_id"], "part_id": row["part_id"], "fragment": f"{staging}/{name}", "bytes": len(data)}
+                yield pa.RecordBatch.from_pylist([ledger], schema=kinds)
+
+    ordered = F.array_sort(F.collect_list(F.struct("packet_no", "piece")))
+    parts = pieces.groupBy("capture_id", F.floor(F.col("packet_no") / (2 * CHUNK)).alias("part_id")).agg(
+        F.transform(ordered, lambda x: x["piece"]).alias("pieces")
+    )
+    ledger = parts.mapInArrow(write, "capture_id string, part_id long, fragment string, bytes long, error string")
+    ledger.write.parquet(f"{staging}/ledger")
+    ledger = pieces.sparkSession.read.parquet(f"{staging}/ledger")
+    outputs = discovery.with_output(discovery.with_names(ledger.select("capture_id").distinct()), root)
+    place_fragments(ledger, outputs, staging)
+
+
+def store_hot_pcapng(spark: SparkSession, sf_dir: str, root: str, damaged: bool = False) -> None:
+    """Big-endian pcapng with nanosecond time stamps; every 97th event's block may have a bad length."""
+    df = hot_packets(spark, sf_dir)
+    size = F.length("frame")
+    padded = F.floor((size + 3) / 4) * 4
+    ticks = F.col("ts_us") * 1000
+    claimed = F.when(F.lit(damaged) & (F.col("event_id") % 97 == 5), F.lit(0x7FFFFFFF).cast("long")).otherwise(padded + 32)
+    block = F.concat(
+        F.lit("00000006"), _hex(claimed, 4), F.lit("00000000"),
+        _hex(F.floor(ticks / (1 << 32)).cast("long"), 4), _hex(F.pmod(ticks, F.lit(1 << 32)), 4), _hex(size, 4), _hex(size, 4),
+        F.rpad(F.hex("frame"), (padded * 2).cast("int"), F.lit("0")), _hex(padded + 32, 4),
+    )
+    section = "0A0D0D0A0000001C1A2B3C4D00010000FFFFFFFFFFFFFFFF0000001C"
+    interface = "00000001000000200001000000000000" + "0009000109000000" + "00000000" + "00000020"
+    whole = F.concat(F.when(F.col("packet_no") == 0, section + interface).otherwise(""), block)
+    store_pieces(df.select("capture_id", "packet_no", F.unhex(whole).alias("piece")), root)
+
+
+def store_hot_damaged(spark: SparkSession, sf_dir: str, root: str) -> None:
+    """Big-endian captures: empty records (event_id % 7 = 3), and a last one that claims 2^31 - 1 bytes of ten."""
+    df = hot_packets(spark, sf_dir)
+    empty = F.col("event_id") % 7 == 3
+    size = F.length("frame")
+    record = F.concat(
+        _hex(F.floor(F.col("ts_us") / 1_000_000).cast("long"), 4), _hex(F.col("ts_us") % 1_000_000, 4),
+        _hex(F.when(empty, 0).otherwise(size).cast("long"), 4), _hex(size, 4), F.when(empty, "").otherwise(F.hex("frame")),
+    )
+    head = "A1B2C3D4" + "00020004" + "0" * 16 + "0000FFFF" + "00000001"
+    whole = F.concat(F.when(F.col("packet_no") == 0, head).otherwise(""), record)
+    last = df.groupBy("capture_id").agg((F.max("packet_no") + 1).alias("packet_no"))
+    last = last.withColumn("piece", F.unhex(F.lit("00000001000000027FFFFFFF000000FF" + "AB" * 10)))
+    store_pieces(df.select("capture_id", "packet_no", F.unhex(whole).alias("piece")).unionByName(last), root)
+
+
 def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths of an imaginary directory, one per event."""
     e = F.col("event_id")

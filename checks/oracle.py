@@ -191,6 +191,17 @@ EXACT_RANKS = f"""ranked AS (
 
 GROWN = "greatest(1, (octet_length(encode(text)) * 3) // 2)"
 
+# Seven of eight events are one capture; read back, names have a suffix.
+HOT = PACKETS.replace("'day' || (event_id // 5000) || '/cap' || (event_id // 500) AS", """CASE WHEN event_id % 8 = 0
+         THEN 'day1/cap' || (event_id // 4000) ELSE 'day0/capBig' END || '.pcap' AS""").replace(
+    "event_id % 500 AS packet_no, (event_id % 500) // 100 AS chunk_id",
+    """CASE WHEN event_id % 8 = 0 THEN (event_id % 4000) // 8 ELSE event_id - event_id // 8 - 1 END AS packet_no,
+         packet_no // 100 AS chunk_id""",
+)
+HOT_FRAMES = with_(HOT, PARTS, *framed("plain", "parts"))
+READ_BACK = """capture_id, packet_no, ts_us, length(blank) // 2 AS incl_len, length(blank) // 2 AS orig_len,
+         blank AS frame_hex, 1 AS linktype FROM plain"""
+
 CHAINED = with_(
     PACKETS,
     """chained AS (
@@ -237,6 +248,35 @@ ORACLE = {
          length(pay) // 2 AS orig_len, CASE WHEN NOT gone THEN pay END AS frame_hex,
          CASE WHEN gone THEN 'discarded' WHEN last AND odd THEN 'capped'
               WHEN last THEN 'truncated' END AS repaired FROM marked""",
+    "s6_scan_split": HOT_FRAMES + f"SELECT {READ_BACK}",
+    "s6_index_range": HOT_FRAMES
+    + """SELECT capture_id, packet_no, ts_us, blank AS frame_hex, 'number' AS by FROM plain WHERE packet_no BETWEEN 200 AND 419
+         UNION ALL
+         SELECT capture_id, packet_no, ts_us, blank, 'time' FROM plain, (SELECT min(ts_us) AS low, max(ts_us) AS high FROM packets)
+         WHERE ts_us >= low + (high - low) // 4 AND ts_us < low + (high - low) // 3""",
+    "s7_split_be": with_(HOT)
+    + """SELECT capture_id, packet_no, ts_us, length(pay) // 2 AS incl_len, length(pay) // 2 AS orig_len, pay AS frame_hex,
+         1 AS linktype FROM packets""",
+    "s7_damaged": with_(HOT, "marked AS (SELECT *, event_id % 97 = 5 AS bad FROM packets)")
+    + """SELECT capture_id, count(*) FILTER (NOT bad) OVER (PARTITION BY capture_id ORDER BY packet_no
+           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - (NOT bad)::INT AS packet_no,
+         CASE WHEN bad THEN 0 ELSE ts_us END AS ts_us, CASE WHEN bad THEN 0 ELSE length(pay) // 2 END AS incl_len,
+         CASE WHEN bad THEN 0 ELSE length(pay) // 2 END AS orig_len, CASE WHEN NOT bad THEN pay END AS frame_hex,
+         CASE WHEN bad THEN 'discarded' END AS repaired FROM marked""",
+    "s8_repair_split": with_(HOT, "marked AS (SELECT *, event_id % 7 = 3 AS gone FROM packets)")
+    + """SELECT capture_id, count(*) FILTER (NOT gone) OVER (PARTITION BY capture_id ORDER BY packet_no
+           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - (NOT gone)::INT AS packet_no,
+         ts_us, CASE WHEN gone THEN 0 ELSE length(pay) // 2 END AS incl_len, length(pay) // 2 AS orig_len,
+         CASE WHEN NOT gone THEN pay END AS frame_hex, CASE WHEN gone THEN 'discarded' END AS repaired FROM marked
+         UNION ALL SELECT capture_id, count(*) FILTER (NOT gone), 1000002, 10, 10, repeat('AB', 10), 'capped' FROM marked GROUP BY 1""",
+    "a6_errors_split": with_(HOT)
+    + """SELECT capture_id, CASE WHEN bool_or(event_id % 97 = 5) THEN 1 END AS errors,
+         CASE WHEN bool_or(event_id % 97 = 5) THEN 'ValueError: damaged block' END AS error FROM packets GROUP BY 1""",
+    "k1_part_files": with_(HOT, PARTS, *framed("plain", "parts"))
+    + f"""SELECT capture_id || '.part-' || printf('%05d', part) || '.pcap' AS capture_id,
+         row_number() OVER (PARTITION BY capture_id, part ORDER BY packet_no) - 1 AS packet_no,
+         length(blank) // 2 AS incl_len, blank AS frame_hex
+         FROM (SELECT *, packet_no // 400 AS part FROM plain) WHERE {draw(0)} >= {LOSS}""",
     "s9_chunks": with_(PACKETS) + "SELECT capture_id, packet_no, chunk_id FROM packets",
     "s10_count": with_(PACKETS) + "SELECT capture_id, count(*) AS packets FROM packets GROUP BY 1",
     "s14_flow_csv": """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity,

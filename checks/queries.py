@@ -16,7 +16,7 @@ from framedrift.plans.job import run_captures, run_directory, run_fixed_length
 from framedrift.plans.perturb import perturb
 from framedrift.plans.plan import read_plan, register_row_step, register_step
 from framedrift.sinks.captures import file_header
-from framedrift.sources import discovery
+from framedrift.sources import discovery, index
 from framedrift.sources.files import resolve, spread_small
 from framedrift.sources.packets import read_content, read_packets
 from framedrift.streaming.arrivals import perturb_arrivals, stream_packets
@@ -87,6 +87,66 @@ def s8_repair(spark, sf):
     )
 
 
+def _split(spark, root, mode="STRICT"):
+    return read_packets(discovery.read_headers(discovery.discover(spark, root)), mode, inputs.SPLIT)
+
+
+def s6_scan_split(spark, sf):
+    """A capture of many ranges, most of all packets, beside small ones."""
+    root = scratch(spark)
+    inputs.store_hot(spark, sf, root)
+    return _split(spark, root).select("capture_id", "packet_no", "ts_us", "incl_len", "orig_len", hexed(), "linktype")
+
+
+def s6_index_range(spark, sf):
+    """Packets 200 to 419 of each capture, and a twelfth of the time, from the ranges that hold them."""
+    root, folder = scratch(spark), scratch(spark)
+    inputs.store_hot(spark, sf, root)
+    stored = index.write_index(discovery.discover(spark, root), folder, index_bytes=inputs.SPLIT)
+    low, high = stored.agg(F.min("least_us"), F.max("most_us")).first()
+    times = low + (high - low) // 4, low + (high - low) // 3
+    found = [("number", index.read_indexed(stored, packets=(200, 420))), ("time", index.read_indexed(stored, times=times))]
+    by_number, by_time = (df.select("capture_id", "packet_no", "ts_us", hexed(), F.lit(by).alias("by")) for by, df in found)
+    return by_number.unionByName(by_time)
+
+
+def s7_split_be(spark, sf):
+    root = scratch(spark)
+    inputs.store_hot_pcapng(spark, sf, root)
+    return _split(spark, root).select("capture_id", "packet_no", "ts_us", "incl_len", "orig_len", hexed(), "linktype")
+
+
+def s7_damaged(spark, sf):
+    root = scratch(spark)
+    inputs.store_hot_pcapng(spark, sf, root, damaged=True)
+    return _split(spark, root, "REPAIR").select("capture_id", "packet_no", "ts_us", "incl_len", "orig_len", hexed(), "repaired")
+
+
+def s8_repair_split(spark, sf):
+    root = scratch(spark)
+    inputs.store_hot_damaged(spark, sf, root)
+    return _split(spark, root, "REPAIR").select("capture_id", "packet_no", "ts_us", "incl_len", "orig_len", hexed(), "repaired")
+
+
+def a6_errors_split(spark, sf):
+    """Captures with damaged blocks give one error row each, whatever their size."""
+    root = scratch(spark)
+    inputs.store_hot_pcapng(spark, sf, root, damaged=True)
+    failed = F.max(F.regexp_replace("error", " at byte.*", "")).alias("error")
+    df = _split(spark, root)
+    bad = df.filter("error is not null").groupBy("capture_id").agg(F.count("*").alias("errors"), failed)
+    return df.select("capture_id").distinct().join(bad, "capture_id", "left")
+
+
+def k1_part_files(spark, sf):
+    """Each part a finished capture: what they hold, read back."""
+    source, target = scratch(spark), scratch(spark)
+    inputs.store_hot(spark, sf, source)
+    plan = read_plan([{"type": "loss", "pct": 0.1}])
+    run_directory(spark, source, target, plan, seed=SEED, chunk_size=CHUNK, chunks_per_part=4, part_files=True, split_bytes=inputs.SPLIT)
+    return loaded(spark, target).select("capture_id", "packet_no", "incl_len", hexed())
+
+
 def s9_chunks(spark, sf):
     return selection.with_chunks(inputs.packets(spark, sf), CHUNK).select(
         "capture_id", "packet_no", "chunk_id"

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from urllib.parse import urlparse
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -125,6 +126,19 @@ def make_folder(path: str) -> None:
     system.create_dir(inner, recursive=True)
 
 
+def folder_names(path: str) -> list[str]:
+    """Names in a folder; none if it is not there."""
+    system, inner = resolve(path)
+    found = system.get_file_info(fs.FileSelector(inner, allow_not_found=True))
+    return [info.base_name for info in found]
+
+
+def move_folder(source: str, target: str) -> None:
+    """Give a finished folder its name."""
+    system, inner = resolve(source)
+    system.move(inner, resolve(target)[1])
+
+
 def existing_outputs(spark: SparkSession, out_root: str, captures: DataFrame) -> DataFrame:
     """Those of ``captures`` whose output file is there. Outputs appear by rename, so they are whole."""
     listed = (

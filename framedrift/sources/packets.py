@@ -59,14 +59,16 @@ WALKED = "capture_id string, split_no long, start long, stop long, n long, delta
 SCAN_TASKS = 100_000
 
 
-def _check_mode(mode: str) -> bool:
+def repairs(mode: str) -> bool:
+    """Whether records are repaired in ``mode``."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}, not {mode!r}")
     return mode == "REPAIR"
 
 
-def _failure(capture_id: str, problem: Exception) -> pa.RecordBatch:
-    row = {"capture_id": capture_id, "error": f"{type(problem).__name__}: {problem}"}
+def _failure(capture_id: str, problem: Exception | str) -> pa.RecordBatch:
+    said = problem if isinstance(problem, str) else f"{type(problem).__name__}: {problem}"
+    row = {"capture_id": capture_id, "error": said}
     return pa.RecordBatch.from_pylist([row], schema=ARROW_PACKETS)
 
 
@@ -106,7 +108,8 @@ def _packet_batches(
         yield pa.RecordBatch.from_arrays(columns, schema=ARROW_PACKETS)
 
 
-def _fetch(path: str, start: int, stop: int) -> bytes:
+def fetch(path: str, start: int, stop: int) -> bytes:
+    """Bytes of a file from ``start`` up to ``stop``."""
     with open_input(path) as source:
         source.seek(start)
         return source.read(stop - start)
@@ -129,7 +132,7 @@ def _walk_found(row: dict, repair: bool) -> dict:
     result = {"capture_id": row["capture_id"], "split_no": row["split_no"]}
     start = row["start"]
     if start is None:
-        window = _fetch(row["path"], cut, min(cut + 2 * GUESS_WINDOW, row["length"]))
+        window = fetch(row["path"], cut, min(cut + 2 * GUESS_WINDOW, row["length"]))
         found = guess_start(window, row)
         if found is None:
             return result
@@ -137,7 +140,7 @@ def _walk_found(row: dict, repair: bool) -> dict:
     walk = Walk(row, repair, start)
     count = 0
     if start < limit:
-        data = _fetch(row["path"], start, min(limit + GUESS_WINDOW, row["length"]))
+        data = fetch(row["path"], start, min(limit + GUESS_WINDOW, row["length"]))
         count = sum(packet[5] != "discarded" for packet in walk.packets(data, limit))
     return result | {"start": start, "stop": walk.at, "n": count, "delta": walk.delta()}
 
@@ -159,7 +162,7 @@ def _walk_whole(row: dict, repair: bool) -> Iterator[dict]:
             start, limit, count = walk.at, min(cut + row["split_bytes"], row["length"]), 0
             walk.found = {}
             if start < limit:
-                data = _fetch(row["path"], start, min(limit + GUESS_WINDOW, row["length"]))
+                data = fetch(row["path"], start, min(limit + GUESS_WINDOW, row["length"]))
                 count = sum(packet[5] != "discarded" for packet in walk.packets(data, limit))
             yield {
                 "capture_id": row["capture_id"],
@@ -195,7 +198,7 @@ def _walked(splits: DataFrame, repair: bool, whole: bool = False) -> DataFrame:
     return splits.mapInArrow(walk, WALKED)
 
 
-def _spread(df: DataFrame, rows: int) -> DataFrame:
+def spread(df: DataFrame, rows: int) -> DataFrame:
     """One row per task as far as the cluster's default allows; each row is a whole range."""
     return df.repartition(max(1, min(rows, 100_000)))
 
@@ -209,30 +212,33 @@ def _index_large(large: DataFrame, split_bytes: int, repair: bool) -> DataFrame:
     first = F.when(F.col("kind") == "pcapng", 0).otherwise(FILE_HEADER).cast("long")
     splits = splits.withColumn("start", F.when(F.col("split_no") == 0, first))
     splits = settle(splits)
-    walks = settle(_walked(_spread(splits, splits.count()), repair))
+    walks = settle(_walked(spread(splits, splits.count()), repair))
 
     in_order = Window.partitionBy("capture_id").orderBy("split_no")
     before = F.lag("stop").over(in_order)
+    # A range without a start is loose as well, even if the one before it has no end to compare with.
+    unsettled = "start is null or (split_no > 0 and not (start <=> _before))"
     for _ in range(REPAIR_ROUNDS):
         checked = walks.withColumn("_before", before)
-        loose = checked.filter("split_no > 0 and not (start <=> _before)")
-        loose = settle(loose.select("capture_id", "split_no", F.col("_before").alias("start")))
+        loose = settle(checked.filter(unsettled).select("capture_id", "split_no", F.col("_before").alias("start")))
         count = loose.count()
         if count == 0:
             return walks
         known = loose.filter("start is not null")
+        if known.isEmpty():
+            break
         again = splits.drop("start").join(known, ["capture_id", "split_no"])
-        fixed = _walked(_spread(again, count), repair)
+        fixed = _walked(spread(again, count), repair)
         kept = walks.join(known, ["capture_id", "split_no"], "left_anti")
         walks = settle(kept.unionByName(fixed))
 
     # What is still loose is walked in order; ranges found before are kept where they fit.
     checked = walks.withColumn("_before", before)
-    loose = checked.filter("split_no > 0 and not (start <=> _before)").select("capture_id").distinct()
+    loose = checked.filter(unsettled).select("capture_id").distinct()
     found = F.collect_list(F.struct("split_no", "start", "stop", "delta")).alias("known")
     known = walks.join(loose, "capture_id", "left_semi").groupBy("capture_id").agg(found)
     broken = splits.filter("split_no = 0").join(known, "capture_id")
-    fixed = settle(_walked(_spread(broken, loose.count()), repair, whole=True))
+    fixed = settle(_walked(spread(broken, loose.count()), repair, whole=True))
     kept = walks.join(fixed.select("capture_id", "split_no"), ["capture_id", "split_no"], "left_anti")
     return settle(kept.unionByName(fixed))
 
@@ -241,7 +247,7 @@ def capture_ranges(
     captures: DataFrame, mode: str = "STRICT", split_bytes: int = SPLIT_BYTES
 ) -> DataFrame:
     """Byte ranges of readable captures: whole records each, with the number of the first."""
-    repair = _check_mode(mode)
+    repair = repairs(mode)
     columns = ["capture_id", "path", "length", *HEADER_COLUMNS]
     readable = captures.filter("error is null and linktype is not null").select(*columns)
     first = F.when(F.col("kind") == "pcapng", 0).otherwise(FILE_HEADER).cast("long")
@@ -284,15 +290,16 @@ def read_ranges(
     ranges: DataFrame, mode: str = "STRICT", with_frames: bool = True
 ) -> DataFrame:
     """Packets of byte ranges. A file that fails gives one row with ``error``."""
-    repair = _check_mode(mode)
+    repair = repairs(mode)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
+                if row["error"]:
+                    yield _failure(row["capture_id"], row["error"])
+                    continue
                 try:
-                    if row["error"]:
-                        raise ValueError(row["error"])
-                    data = _fetch(row["path"], row["start"], row["stop"])
+                    data = fetch(row["path"], row["start"], row["stop"])
                     yield from _packet_batches(row, data, repair, with_frames)
                 except READ_PROBLEMS as problem:
                     yield _failure(row["capture_id"], problem)
@@ -325,7 +332,7 @@ def read_content(files: DataFrame, mode: str = "STRICT", with_frames: bool = Tru
     For arriving files of a stream and for file systems only Spark can open; one file is
     one row here, so it must be below 2 GB. Works on streaming DataFrames.
     """
-    repair = _check_mode(mode)
+    repair = repairs(mode)
     df = files.withColumn("head", F.substring("content", 1, FILE_HEADER))
     df = decode_header(df.withColumn("length", F.length("content").cast("long")))
     df = df.select("capture_id", "content", "length", *HEADER_COLUMNS)
