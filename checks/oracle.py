@@ -249,6 +249,9 @@ ORACLE = {
          CASE WHEN gone THEN 'discarded' WHEN last AND odd THEN 'capped'
               WHEN last THEN 'truncated' END AS repaired FROM marked""",
     "s6_scan_split": HOT_FRAMES + f"SELECT {READ_BACK}",
+    "k1_datasource": HOT_FRAMES.replace(" || '.pcap' AS capture_id", " AS capture_id")
+    + """SELECT capture_id, ts_us, length(blank) // 2 AS incl_len, length(blank) // 2 AS orig_len, blank AS frame_hex, 1 AS linktype
+         FROM plain""",
     "s6_index_range": HOT_FRAMES
     + """SELECT capture_id, packet_no, ts_us, blank AS frame_hex, 'number' AS by FROM plain WHERE packet_no BETWEEN 200 AND 419
          UNION ALL
@@ -299,6 +302,11 @@ ORACLE = {
         FROM events GROUP BY 1 HAVING count(*) > 1""",
     "k6_resume": """SELECT o_orderkey AS capture_id, o_orderstatus FROM orders o
         WHERE NOT EXISTS (SELECT 1 FROM orders d WHERE d.o_orderstatus = 'F' AND d.o_orderkey = o.o_orderkey)""",
+    "k6_resume_parts": HOT_FRAMES
+    + f"""SELECT capture_id, true AS kept_few, count(*) AS total_in, count(*) FILTER (NOT kept) AS loss_drop,
+         count(*) FILTER (kept) AS packets,
+         sum(CASE WHEN kept THEN ('0x' || substr(md5(blank), 1, 8))::UBIGINT END)::BIGINT AS frames
+         FROM (SELECT *, {draw(0)} >= {LOSS} AS kept FROM plain) GROUP BY 1""",
     "k9_single": with_(PACKETS, PARTS, *framed("plain", "parts"), EXACT_RANKS.format("plain"))
     + """SELECT capture_id || '.pcap' AS capture_id, packet_no, ts_us,
          CASE WHEN rk <= round_even(total * 20 / 100, 0) THEN 48 ELSE length(blank) // 2 END AS incl_len,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from framedrift.plans.perturb import perturb
 from framedrift.plans.plan import read_plan, register_row_step, register_step
 from framedrift.sinks.captures import file_header
 from framedrift.sources import discovery, index
+from framedrift.sources.capture_format import register_format
 from framedrift.sources.files import resolve, spread_small
 from framedrift.sources.packets import read_content, read_packets
 from framedrift.streaming.arrivals import perturb_arrivals, stream_packets
@@ -147,6 +149,17 @@ def k1_part_files(spark, sf):
     return loaded(spark, target).select("capture_id", "packet_no", "incl_len", hexed())
 
 
+def k1_datasource(spark, sf):
+    """Captures written and read as a format of Spark, a part of a large one per task."""
+    register_format(spark)
+    root = scratch(spark)
+    part = F.floor(F.col("packet_no") / (4 * CHUNK))
+    df = inputs.hot_packets(spark, sf, frames=True).drop("event_id", "user_id")
+    df.repartition("capture_id", part).sortWithinPartitions("capture_id", "packet_no").write.format("pcap").mode("append").save(root)
+    back = spark.read.format("pcap").load(root).filter("error is null")
+    return back.select(F.regexp_replace("capture_id", r"[.]part-.*", "").alias("capture_id"), "ts_us", "incl_len", "orig_len", hexed(), "linktype")
+
+
 def s9_chunks(spark, sf):
     return selection.with_chunks(inputs.packets(spark, sf), CHUNK).select(
         "capture_id", "packet_no", "chunk_id"
@@ -202,6 +215,26 @@ def k6_resume(spark, sf):
     return discovery.without_done(orders, done)
 
 
+def k6_resume_parts(spark, sf):
+    """A run that stopped half way through its parts, started again: the same captures, and what it kept."""
+    source, target = scratch(spark), scratch(spark)
+    inputs.store_hot(spark, sf, source)
+    stops = [True]
+    late = F.when(F.col("packet_no") >= 400, F.raise_error(F.lit("stopped"))).otherwise(F.lit(True))
+    register_step("stopping", lambda df, step, seed: df.filter(late) if stops else df)
+    plan = read_plan([*PLAN[:1], {"type": "stopping", "pct": 1}])
+    options = {"seed": SEED, "chunk_size": CHUNK, "chunks_per_part": 2, "run_id": "again", "resume_parts": True}
+    try:
+        run_directory(spark, source, target, plan, **options)
+    except PySparkException:
+        stops.clear()
+    runs = run_directory(spark, source, target, plan, **options).select("capture_id", (F.col("parts_kept") <= 2).alias("kept_few"), "total_in", "loss_drop")
+    written = loaded(spark, target).groupBy(F.regexp_replace("capture_id", r"[.]pcap$", "").alias("capture_id")).agg(
+        F.count("*").alias("packets"), F.sum(F.conv(F.substring(F.md5(F.hex("frame")), 1, 8), 16, 10).cast("long")).alias("frames")
+    )
+    return runs.join(written, "capture_id")
+
+
 def k9_single(spark, sf):
     root = scratch(spark)
     forced = force_length(inputs.packets(spark, sf, frames=True), 20, 48, seed=SEED, exact=True)

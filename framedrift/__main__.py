@@ -28,6 +28,8 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     run.add_argument("--chunks-per-part", type=int, default=DEFAULT_CHUNKS_PER_PART)
     run.add_argument("--mode", choices=MODES, help="default: REPAIR unless the plan edits frames")
     run.add_argument("--reorder-method", choices=REORDER_METHODS, default="blocks")
+    run.add_argument("--run-id", help="name of the run; needed for --resume-parts")
+    run.add_argument("--resume-parts", action="store_true", help="go on at the unfinished parts of a run that stopped")
     run.add_argument("--on-length-change", choices=["keep", "revert"], default="keep")
 
     fixed = jobs.add_parser("fix-length", help="force a share of packets to one length")
@@ -90,6 +92,8 @@ def main(argv: list[str] | None = None) -> None:
             mode=args.mode,
             reorder_method=args.reorder_method,
             on_length_change=args.on_length_change,
+            run_id=args.run_id,
+            resume_parts=args.resume_parts,
             **shared,
         )
         print("\n".join(summary(runs)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
 import uuid
@@ -15,9 +16,9 @@ from framedrift.operators.statistics import counters
 from framedrift.plans.fixed_length import DEFAULT_PAD, force_length, force_trace
 from framedrift.plans.perturb import perturb
 from framedrift.plans.plan import Step, plan_text
-from framedrift.sinks.captures import check_sink, place_fragments, write_fragments
+from framedrift.sinks.captures import check_sink, finished_parts, place_fragments, write_fragments
 from framedrift.sources import discovery
-from framedrift.sources.files import settle
+from framedrift.sources.files import broadcast_if_small, clearing, delete_folder, settle
 from framedrift.sources.packets import SPLIT_BYTES, read_packets
 
 RUNS_FOLDER = "_runs"
@@ -51,19 +52,56 @@ def run_trace(
     split_bytes: int = SPLIT_BYTES,
     run_id: str | None = None,
     part_files: bool = False,
+    part_of: Column | None = None,
 ) -> DataFrame:
     """Read captures, make a trace of their packets, write it, and keep a ledger of the run.
 
     ``make_trace(packets, headed)`` gets the packets, with one header row per readable capture, and the
     captures with their headers. ``facts`` are columns of the ledger that are the same in every row.
+    ``part_of``, the part of a packet, lets a run that stopped go on where it was: under the same
+    ``run_id``, with the same facts and unchanged captures, parts that it has finished are not read into
+    the trace again, and their fragments are used as they are.
     """
+    if part_of is not None and run_id is None:
+        raise ValueError("a run that can go on needs a run_id")
+    with clearing():
+        return _run_trace(captures, out_root, make_trace, counted, facts, mode, layout, resume, split_bytes, run_id, part_files, part_of)
+
+
+def _still_good(spark: SparkSession, headed: DataFrame, staging: str, attempt: str, counted: list[str]) -> DataFrame:
+    """Parts that earlier attempts have finished, of captures whose files have not changed since any of them."""
+    now = headed.select("capture_id", "length", "modification_time")
+    before = [f"{staging}/{name}" for name in discovery.folder_names(staging) if name.startswith("files-")]
+    kept = finished_parts(spark, f"{staging}/parts", counted).join(now.select("capture_id"), "capture_id", "left_semi")
+    if before:
+        then = spark.read.parquet(*before).toDF("capture_id", "_length", "_time")
+        changed = now.join(then, "capture_id").filter("length <> _length or modification_time <> _time").select("capture_id")
+        kept = kept.join(changed, "capture_id", "left_anti")
+    now.write.parquet(f"{staging}/files-{attempt}")
+    return kept
+
+
+def _without_parts(packets: DataFrame, kept: DataFrame, part_of: Column) -> DataFrame:
+    """Packets outside the parts that are there already; rows with an error stay."""
+    many = kept.count()
+    done = broadcast_if_small(kept.select("capture_id", F.col("part_id").alias("_part")), many)
+    packets = packets.withColumn("_part", F.when(F.col("error").isNull(), part_of))
+    return packets.join(done, ["capture_id", "_part"], "left_anti").drop("_part")
+
+
+def _run_trace(
+    captures: DataFrame, out_root: str, make_trace: Callable, counted: dict[str, Column], facts: dict, mode: str, layout: str,
+    resume: bool, split_bytes: int, run_id: str | None, part_files: bool, part_of: Column | None,
+) -> DataFrame:
     spark = captures.sparkSession
     begin = time.monotonic()
     run_id = run_id or uuid.uuid4().hex
     out_root = out_root.rstrip("/")
     check_sink(out_root, part_files)
-    # A run that is repeated under its name must not meet what an earlier attempt has left.
-    staging = f"{out_root}/_staging-{run_id}-{uuid.uuid4().hex[:8]}"
+    # A run that is repeated under its name must not meet what an earlier attempt has left, unless it goes on.
+    same = hashlib.sha256(json.dumps([facts, sorted(counted), mode, layout, part_files]).encode()).hexdigest()[:12]
+    attempt = uuid.uuid4().hex[:8]
+    staging = f"{out_root}/_staging-{run_id}-{attempt if part_of is None else same}"
 
     captures = settle(discovery.with_output(captures, out_root, layout))
     clashes = discovery.output_clashes(captures).orderBy("output").limit(SUMMARY_ROWS).collect()
@@ -78,10 +116,16 @@ def run_trace(
     headed = settle(discovery.read_headers(captures))
     packets = read_packets(headed, mode, split_bytes)
     packets = packets.unionByName(_header_rows(headed, packets))
+    if part_of is not None:
+        kept = settle(_still_good(spark, headed, staging, attempt, list(counted)))
+        packets = _without_parts(packets, kept, part_of)
     trace = make_trace(packets, headed)
-    ledger = write_fragments(trace, staging, counted, part_files)
-    ledger.write.mode("overwrite").parquet(f"{staging}/ledger")
-    ledger = spark.read.parquet(f"{staging}/ledger")
+    ledger = write_fragments(trace, f"{staging}/parts", counted, part_files, marked=part_of is not None)
+    ledger.write.mode("overwrite").parquet(f"{staging}/ledger-{attempt}")
+    ledger = spark.read.parquet(f"{staging}/ledger-{attempt}")
+    if part_of is not None:
+        again = ledger.select("capture_id", "part_id")
+        ledger = settle(ledger.unionByName(kept.join(again, ["capture_id", "part_id"], "left_anti")))
     placed = place_fragments(ledger, captures, staging, part_files)
 
     sums = ledger.groupBy("capture_id").agg(*[F.sum(name).alias(name) for name in counted])
@@ -93,6 +137,10 @@ def run_trace(
             "reason": F.lit(None).cast("string"),
         }
     )
+    if part_of is not None:
+        kept = kept.groupBy("capture_id").agg(F.count("*").alias("parts_kept"))
+        runs = runs.join(kept, "capture_id", "left").fillna(0, ["parts_kept"])
+        counted = counted | {"parts_kept": None}
     shown = ["capture_id", "path", "output", "date_dir", "status", "reason", "error"]
     runs = runs.select(*shown, "bytes", "parts", *counted)
     if skipped is not None:
@@ -108,6 +156,7 @@ def run_trace(
     )
     target = f"{out_root}/{RUNS_FOLDER}/run_id={run_id}"
     runs.drop("run_id").write.mode("overwrite").parquet(target)
+    delete_folder(staging)
     return spark.read.parquet(target).withColumn("run_id", F.lit(run_id))
 
 
@@ -124,13 +173,15 @@ def run_captures(
     mode: str | None = None,
     run_id: str | None = None,
     part_files: bool = False,
+    resume_parts: bool = False,
     **options,
 ) -> DataFrame:
     """Perturb a table of captures (see ``discover``); returns the ``runs`` rows of this run.
 
     Repair is on when the plan leaves frame bytes alone and off when it edits them, unless
     ``mode`` says otherwise. ``part_files`` writes finished captures of ``chunks_per_part`` chunks each,
-    for outputs that are no mounted file system. ``options`` go to :func:`perturb`.
+    for outputs that are no mounted file system. ``resume_parts``, with a ``run_id``, lets a run that
+    stopped go on at its unfinished parts when it is started again. ``options`` go to :func:`perturb`.
     """
     if mode is None:
         mode = "STRICT" if any(step.edits_content for step in plan) else "REPAIR"
@@ -139,8 +190,12 @@ def run_captures(
         return perturb(packets, plan, seed, chunk_size, chunks_per_part, track=True, **options)
 
     facts = {"plan": plan_text(plan), "seed": seed, "chunk_size": chunk_size}
+    part_of = None
+    if resume_parts:
+        facts |= {"chunks_per_part": chunks_per_part, "options": json.dumps(options, sort_keys=True)}
+        part_of = F.floor(F.floor(F.col("packet_no") / chunk_size) / chunks_per_part).cast("long")
     return run_trace(
-        captures, out_root, make_trace, counters(plan, repaired=True), facts, mode, layout, resume, split_bytes, run_id, part_files
+        captures, out_root, make_trace, counters(plan, repaired=True), facts, mode, layout, resume, split_bytes, run_id, part_files, part_of
     )
 
 

@@ -10,6 +10,7 @@ name by rename, whole or not at all, and a retried task can only repeat the same
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -21,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,6 +36,7 @@ FILE_HEADER_BYTES = 24
 
 COPY_BYTES = 8 << 20
 STAGING_FOLDERS = 256
+FINISHED = ".finished.json"
 
 
 def file_header(linktype: int) -> bytes:
@@ -106,18 +108,24 @@ class _Fragment:
         self.out.write(data)
         self.row["bytes"] += len(data)
 
-    def close(self) -> dict:
+    def close(self, marked: bool) -> dict:
         self.out.close()
+        if marked:
+            # By rename, so that a note is whole; it says that the part need not be written again.
+            with self.system.open_output_stream(f"{self.inner}.new") as note:
+                note.write(json.dumps(self.row).encode())
+            self.system.move(f"{self.inner}.new", f"{self.inner}{FINISHED}")
         return self.row
 
 
 def write_fragments(
-    trace: DataFrame, staging: str, counted: dict[str, Column] | None = None, part_files: bool = False
+    trace: DataFrame, staging: str, counted: dict[str, Column] | None = None, part_files: bool = False, marked: bool = False
 ) -> DataFrame:
     """Write every (capture, part) of a gathered trace to a fragment; gives the ledger.
 
     Part 0 of a capture starts with the file header, with ``part_files`` every part. Columns ``counted`` are summed per
-    part on the way, so statistics need no pass of their own.
+    part on the way, so statistics need no pass of their own. ``marked`` leaves a note beside each
+    finished fragment, for ``finished_parts``.
     """
     counted = counted or {}
     names = list(counted)
@@ -147,7 +155,7 @@ def write_fragments(
     )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done = lambda part: pa.RecordBatch.from_pylist([part.close()], schema=arrow_schema)
+        done = lambda part: pa.RecordBatch.from_pylist([part.close(marked)], schema=arrow_schema)
         part = None
         for batch in batches:
             if batch.num_rows == 0:
@@ -162,7 +170,11 @@ def write_fragments(
         if part is not None:
             yield done(part)
 
-    schema = T.StructType(
+    return rows.mapInArrow(write, ledger_schema(names))
+
+
+def ledger_schema(counted: list[str]) -> T.StructType:
+    return T.StructType(
         [
             T.StructField("capture_id", T.StringType()),
             T.StructField("part_id", T.LongType()),
@@ -170,10 +182,29 @@ def write_fragments(
             T.StructField("linktype", T.IntegerType()),
             T.StructField("bytes", T.LongType()),
             T.StructField("error", T.StringType()),
-            *[T.StructField(name, T.LongType()) for name in names],
+            *[T.StructField(name, T.LongType()) for name in counted],
         ]
     )
-    return rows.mapInArrow(write, schema)
+
+
+def finished_parts(spark: SparkSession, staging: str, counted: list[str]) -> DataFrame:
+    """Ledger rows of the parts that an earlier, stopped run has finished in ``staging``, one each.
+
+    A task that ran twice may have left a fragment more; either holds the same bytes. Fragments that are
+    no longer there, and parts of captures with an error, are not among them.
+    """
+    schema = ledger_schema(counted)
+    system, inner = resolve(staging)
+    if system.get_file_info(inner).type == fs.FileType.NotFound:
+        return spark.createDataFrame([], schema)
+    notes = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", f"*{FINISHED}").json(staging)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(staging)
+    there = files.select(F.substring_index("path", "/", -1).alias("_name"))
+    notes = notes.join(there, F.substring_index("fragment", "/", -1) == F.col("_name"), "left_semi")
+    rows = notes.groupBy("capture_id", "part_id").agg(F.min(F.struct("fragment", *[c for c in schema.names if c not in ("capture_id", "part_id", "fragment")])).alias("_row"))
+    rows = rows.select("capture_id", "part_id", "_row.*").select(*schema.names)
+    failed = rows.filter("error is not null").select("capture_id").distinct()
+    return rows.join(failed, "capture_id", "left_anti")
 
 
 def _rename(system: fs.FileSystem, source: str, target: str) -> None:

@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from typing import BinaryIO
 
 from pyarrow import fs
@@ -38,10 +41,35 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_SETTLED: ContextVar[list[str] | None] = ContextVar("settled", default=None)
+
+
+@contextmanager
+def clearing() -> Iterator[None]:
+    """Delete at the end what ``settle`` stores inside; for jobs whose result does not read it any more."""
+    paths: list[str] = []
+    outer = _SETTLED.set(paths)
+    try:
+        yield
+    finally:
+        _SETTLED.reset(outer)
+        for path in paths:
+            delete_folder(path)
+
+
+def delete_folder(path: str) -> None:
+    """Delete a folder that this library made; nothing if it is not there."""
+    system, inner = resolve(path)
+    if system.get_file_info(inner).type != fs.FileType.NotFound:
+        system.delete_dir(inner)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Store a table that several later jobs read in the shared folder: computed once, no lineage."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
+    if (paths := _SETTLED.get()) is not None:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

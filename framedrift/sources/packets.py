@@ -66,13 +66,14 @@ def repairs(mode: str) -> bool:
     return mode == "REPAIR"
 
 
-def _failure(capture_id: str, problem: Exception | str) -> pa.RecordBatch:
+def failure(capture_id: str, problem: Exception | str) -> pa.RecordBatch:
+    """The one row of a capture that cannot be read."""
     said = problem if isinstance(problem, str) else f"{type(problem).__name__}: {problem}"
     row = {"capture_id": capture_id, "error": said}
     return pa.RecordBatch.from_pylist([row], schema=ARROW_PACKETS)
 
 
-def _packet_batches(
+def packet_batches(
     row: dict, data: bytes, repair: bool, with_frames: bool
 ) -> Iterator[pa.RecordBatch]:
     """Packets of one range as Arrow batches."""
@@ -176,6 +177,27 @@ def _walk_whole(row: dict, repair: bool) -> Iterator[dict]:
         yield {"capture_id": row["capture_id"], "split_no": -1, "error": f"{type(problem).__name__}: {problem}"}
 
 
+def stepwise(row: dict, repair: bool, with_frames: bool = True) -> Iterator[pa.RecordBatch]:
+    """Packets of a capture from ``start`` on to ``stop``, a step of ``split_bytes`` in memory at a time.
+
+    What is left at the end, if a record is not complete there, can be seen in the row, which goes along:
+    ``start``, ``first_packet_no`` and ``interfaces`` are where a later call would go on.
+    """
+    while row["start"] < row["stop"]:
+        start, limit = row["start"], min(row["start"] + row["split_bytes"], row["stop"])
+        walk = Walk(row, repair, start, row["interfaces"])
+        data = fetch(row["path"], start, min(limit + GUESS_WINDOW, row["length"]))
+        count = sum(packet[5] != "discarded" for packet in walk.packets(data, limit))
+        if walk.at == start:
+            return
+        # Once more over the same bytes, or more of them, as the last record may be longer than what was looked at.
+        data = data if walk.at - start <= len(data) else fetch(row["path"], start, walk.at)
+        yield from packet_batches(row | {"stop": walk.at}, data, repair, with_frames)
+        row["start"], row["first_packet_no"] = walk.at, row["first_packet_no"] + count
+        if walk.delta():
+            row["interfaces"] = [*row["interfaces"], walk.delta()]
+
+
 def _walked(splits: DataFrame, repair: bool, whole: bool = False) -> DataFrame:
     schema = pa.schema(
         [
@@ -296,13 +318,13 @@ def read_ranges(
         for batch in batches:
             for row in batch.to_pylist():
                 if row["error"]:
-                    yield _failure(row["capture_id"], row["error"])
+                    yield failure(row["capture_id"], row["error"])
                     continue
                 try:
                     data = fetch(row["path"], row["start"], row["stop"])
-                    yield from _packet_batches(row, data, repair, with_frames)
+                    yield from packet_batches(row, data, repair, with_frames)
                 except READ_PROBLEMS as problem:
-                    yield _failure(row["capture_id"], problem)
+                    yield failure(row["capture_id"], problem)
 
     return ranges.mapInArrow(read, PACKETS)
 
@@ -349,8 +371,8 @@ def read_content(files: DataFrame, mode: str = "STRICT", with_frames: bool = Tru
                     start = 0 if row["kind"] == "pcapng" else FILE_HEADER
                     row |= {"start": start, "stop": row["length"], "first_packet_no": 0}
                     data = row["content"][start:]
-                    yield from _packet_batches(row, data, repair, with_frames)
+                    yield from packet_batches(row, data, repair, with_frames)
                 except READ_PROBLEMS as problem:
-                    yield _failure(row["capture_id"], problem)
+                    yield failure(row["capture_id"], problem)
 
     return df.mapInArrow(read, PACKETS)

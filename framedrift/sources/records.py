@@ -17,6 +17,15 @@ RECORD_HEADER = 16
 SECTION_BLOCK = 0x0A0D0D0A
 SECTION_BLOCK_BYTES = b"\x0a\x0d\x0d\x0a"
 SECTION_MAGIC_LE = b"\x4d\x3c\x2b\x1a"
+SECTION_MAGIC_BE = b"\x1a\x2b\x3c\x4d"
+MAGICS = [
+    ("<", False, b"\xd4\xc3\xb2\xa1"),
+    (">", False, b"\xa1\xb2\xc3\xd4"),
+    ("<", True, b"\x4d\x3c\xb2\xa1"),
+    (">", True, b"\xa1\xb2\x3c\x4d"),
+]
+FILE_HEADER = 24
+MAX_SNAPLEN = 262_144
 INTERFACE_BLOCK = 1
 OLD_PACKET_BLOCK = 2
 SIMPLE_PACKET_BLOCK = 3
@@ -34,6 +43,22 @@ GUESS_RUN = 12
 Packet = tuple[int, int, int, int, int, str | None]
 
 
+def read_file_header(head: bytes) -> dict:
+    """Kind, byte order, time unit, snaplen and linktype of the first 24 bytes, by the rules of ``decode_header``."""
+    magic = head[:4]
+    if magic == SECTION_BLOCK_BYTES:
+        return {"kind": "pcapng", "big_endian": head[8:12] == SECTION_MAGIC_BE, "nanos": False, "snaplen": MAX_SNAPLEN, "linktype": 1}
+    found = {m: (order, nanos) for order, nanos, m in MAGICS}.get(magic)
+    if found is None:
+        return {"kind": "unknown", "big_endian": False, "nanos": False, "snaplen": None, "linktype": None}
+    order, nanos = found
+    header = {"kind": "pcap", "big_endian": order == ">", "nanos": nanos, "snaplen": MAX_SNAPLEN, "linktype": None}
+    if len(head) >= FILE_HEADER:
+        snaplen, linktype = struct.unpack_from(order + "II", head, 16)
+        header |= {"snaplen": snaplen if 0 < snaplen <= MAX_SNAPLEN else MAX_SNAPLEN, "linktype": linktype}
+    return header
+
+
 class Walk:
     """Position and format state of a walk. ``base`` is the file offset of ``data[0]``."""
 

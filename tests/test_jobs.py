@@ -255,3 +255,91 @@ def test_leftovers_of_a_longer_file_do_not_stay(tmp_path):
     captures._start_joined(row)
     captures._join_part(row)
     assert (tmp_path / "joined").read_bytes() == b"hello"
+
+
+def test_a_stopped_run_goes_on_at_its_unfinished_parts(spark, tmp_path):
+    put(tmp_path / "in", "d/capA", build.pcap(some_packets(400)))
+    put(tmp_path / "in", "d/capB", build.pcap(some_packets(50, 2)))
+    marker = tmp_path / "stop"
+    stopped = F.when((F.col("capture_id") == "d/capA") & (F.col("packet_no") >= 300), F.raise_error(F.lit("stopped"))).otherwise(F.lit(True))
+    register_step("halt", lambda df, step, seed: df.filter(stopped) if marker.exists() else df)
+    plan = read_plan([{"type": "loss", "pct": 0.2}, {"type": "reorder", "pct": 0.5}, {"type": "halt", "pct": 1}])
+    options = {"seed": 4, "chunk_size": 20, "chunks_per_part": 2, "run_id": "one", "resume_parts": True}
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    expected = run_directory(spark, source, str(tmp_path / "plain"), plan, 0, **options | {"resume_parts": False}).orderBy("capture_id").collect()
+    # Some parts get written: those of the run's first half.
+    from framedrift.plans import job
+    from framedrift.plans.plan import plan_text
+
+    marker.touch()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        with pytest.raises(Exception, match="stopped"):
+            run_directory(spark, source, out, plan, **options)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    staging = next((tmp_path / "out").glob("_staging-one-*"))
+    notes = {p.name: json.loads(p.read_text()) for p in staging.rglob("*.finished.json")}
+    marker.unlink()
+    seen = {}
+    place = job.place_fragments
+    job.place_fragments = lambda ledger, *rest: seen.update({(r.capture_id, r.part_id): r.fragment for r in ledger.collect()}) or place(ledger, *rest)
+    try:
+        runs = run_directory(spark, source, out, plan, **options).orderBy("capture_id").collect()
+    finally:
+        job.place_fragments = place
+    for note in notes.values():
+        assert seen[note["capture_id"], note["part_id"]].rpartition("/")[2] in {n["fragment"].rpartition("/")[2] for n in notes.values()}
+    assert sum(r.parts_kept for r in runs) == len({(n["capture_id"], n["part_id"]) for n in notes.values()})
+    for name in ("d/capA.pcap", "d/capB.pcap"):
+        assert (tmp_path / "out" / name).read_bytes() == (tmp_path / "plain" / name).read_bytes()
+    for a, b in zip(runs, expected):
+        assert (a.total_in, a.total_out, a.loss_drop, a.step_1, a.parts) == (b.total_in, b.total_out, b.loss_drop, b.step_1, b.parts)
+    assert not list((tmp_path / "out").glob("_staging-*")) and plan_text(plan)
+
+
+def test_parts_of_a_changed_capture_are_not_kept(spark, tmp_path):
+    from framedrift.plans import job
+
+    put(tmp_path / "in", "d/capA", build.pcap(some_packets(100)))
+    plan = read_plan([{"type": "loss", "pct": 0.0}])
+    options = {"chunk_size": 10, "chunks_per_part": 2, "run_id": "one", "resume_parts": True}
+    place = job.place_fragments
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def fail(*_):
+        raise RuntimeError("before placing")
+
+    job.place_fragments = fail
+    try:
+        with pytest.raises(RuntimeError):
+            run_directory(spark, source, out, plan, **options)
+        staging = next((tmp_path / "out").glob("_staging-one-*"))
+        assert len(list(staging.rglob("*.finished.json"))) == 5
+        next(p for p in staging.rglob("parts/*/*") if not p.name.endswith("json")).unlink()  # a fragment that is gone
+    finally:
+        job.place_fragments = place
+    kept = run_directory(spark, source, out, plan, **options).first()
+    assert kept.parts_kept == 4 and kept.total_out == 100
+    job.place_fragments = fail
+    try:
+        with pytest.raises(RuntimeError):
+            run_directory(spark, source, out, plan, **options)
+    finally:
+        job.place_fragments = place
+    put(tmp_path / "in", "d/capA", build.pcap(some_packets(130, 7)))
+    row = run_directory(spark, source, out, plan, **options).first()
+    assert row.parts_kept == 0 and row.total_out == 130
+    assert [f for *_, f in build.read_pcap((tmp_path / "out/d/capA.pcap").read_bytes())] == [f for _, f in some_packets(130, 7)]
+    with pytest.raises(ValueError, match="run_id"):
+        run_directory(spark, source, out, plan, resume_parts=True)
+
+
+def test_a_job_leaves_nothing_behind(spark, tree):
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    import os
+
+    before = set(os.listdir(folder))
+    run_directory(spark, str(tree / "in"), str(tree / "out"), PLAN, chunk_size=20, split_bytes=500).collect()
+    assert set(os.listdir(folder)) == before
+    assert not [n for n in os.listdir(tree / "out") if n.startswith("_staging")]
