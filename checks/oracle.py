@@ -562,4 +562,39 @@ SELECT {KEYS}, row_number() OVER (PARTITION BY capture_id, chunk_id
     )
     + f"SELECT {KEYS}, t AS ts_new_us FROM timed",
 }
+
+# Bins by the larger number of Sturges' and the interquartile rule; runs of empty ones are joined.
+ORACLE["dr14_hist_auto"] = """WITH s AS (SELECT min(l_quantity) AS lo, max(l_quantity) AS hi, count(*) AS n,
+    greatest(ceil(log2(count(*)) + 1), ceil((max(l_quantity) - min(l_quantity)) /
+      (2 * (quantile_disc(l_quantity, 0.75) - quantile_disc(l_quantity, 0.25)) * power(count(*), -1.0 / 3))))::INT AS nb FROM lineitem),
+  b AS (SELECT least(floor((l_quantity - lo) / ((hi - lo) / nb))::INT, nb - 1) AS bin FROM lineitem, s),
+  c AS (SELECT r.i AS bin, count(b.bin) AS n FROM range((SELECT nb FROM s)) r(i) LEFT JOIN b ON b.bin = r.i GROUP BY 1),
+  g AS (SELECT *, CASE WHEN n > 0 THEN bin ELSE -1 - (bin - row_number() OVER (PARTITION BY n > 0 ORDER BY bin)) END AS run FROM c)
+  SELECT round(lo + min(bin) * ((hi - lo) / nb), 6) AS left, round(count(*) * ((hi - lo) / nb), 6) AS width, sum(g.n)::BIGINT AS count,
+    round(sum(g.n) / (s.n * (count(*) * ((hi - lo) / nb))), 12) AS density
+  FROM g, s GROUP BY run, g.n > 0, lo, hi, nb, s.n"""
+
+
+def distribution(table: str, side: str, name: str) -> str:
+    value = f"(SELECT {name} AS v FROM {table} WHERE {name} IS NOT NULL)"
+    facts = f"""(SELECT min(v) AS lo, max(v) AS hi, count(*) AS n, ceil(log2(count(*)) + 1)::INT AS nb,
+      stddev_samp(v) * power(count(*), -0.2) AS h FROM {value})"""
+    return f"""
+      SELECT '{side}' AS side, '{name}' AS feature, 'histogram' AS kind, round(lo + min(bin) * w, 6) AS x, round(count(*) * w, 6) AS width,
+        sum(c)::BIGINT AS count, round(sum(c) / (n * count(*) * w), 9) AS density
+      FROM (SELECT *, CASE WHEN c > 0 THEN bin ELSE -1 - (bin - row_number() OVER (PARTITION BY c > 0 ORDER BY bin)) END AS run
+        FROM (SELECT r.i AS bin, count(b.v) AS c, any_value(s.lo) AS lo, any_value(s.n) AS n, any_value((s.hi - s.lo) / s.nb) AS w
+          FROM {facts} s JOIN range(64) r(i) ON r.i < s.nb
+          LEFT JOIN (SELECT v, least(floor((v - lo) / ((hi - lo) / nb))::INT, nb - 1) AS bin FROM {value}, {facts}) b ON b.bin = r.i
+          GROUP BY r.i)) GROUP BY run, c > 0, lo, n, w
+      UNION ALL
+      SELECT '{side}', '{name}', 'curve', round(x, 6), NULL, NULL,
+        round(sum(exp(-0.5 * ((x - v) / h) * ((x - v) / h))) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 9)
+      FROM (SELECT r.i, lo + r.i * ((hi - lo) / 199) AS x, n, h FROM {facts}, range(200) r(i)), {value} GROUP BY i, x"""
+
+
+CURVED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_partkey", "l_suppkey"]
+ORACLE["dr_distributions"] = with_(FLOWS) + " UNION ALL ".join(
+    distribution(f"flows_{side}", side, name) for side in ("before", "after") for name in CURVED
+)
 ORACLE["b4_l4_checksum_native"] = ORACLE["b4_l4_checksum"]

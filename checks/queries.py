@@ -607,6 +607,22 @@ def dr14_hist(spark, sf):
     return bars.select("bin", F.round("left", 6).alias("left"), "count", F.round("density", 12).alias("density"))
 
 
+def dr14_hist_auto(spark, sf):
+    """The default rule: bins by the interquartile range; empty neighbours are one bin."""
+    bars = drift.distributions(table(spark, sf, "lineitem"), ["l_quantity"]).filter("kind = 'histogram'")
+    return bars.select(F.round("x", 6).alias("left"), F.round("width", 6).alias("width"), "count", F.round("density", 12).alias("density"))
+
+
+CURVED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_partkey", "l_suppkey"]
+
+
+def dr_distributions(spark, sf):
+    """Histograms and curves of six features, both sides."""
+    found = drift.key_distributions(*flows(spark, sf), CURVED, "sturges")
+    rounded = {name: F.round(name, 6) for name in ("x", "width")} | {"density": F.round("density", 9)}
+    return found.withColumns(rounded)
+
+
 def dr15_kde(spark, sf):
     items = spread_small(table(spark, sf, "lineitem").select("l_extendedprice"))
     curve = drift.density_curve(items, "l_extendedprice")

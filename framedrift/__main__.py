@@ -42,6 +42,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     report = jobs.add_parser("drift", help="compare two tables of flows")
     report.add_argument("--before", required=True, help="CSV with a header row")
     report.add_argument("--after", required=True, help="CSV with a header row")
+    report.add_argument("--distributions", help="folder for histograms and curves of the key features, as CSV")
 
     parsed = parser.parse_args(argv)
     if parsed.job == "perturb":
@@ -102,6 +103,8 @@ def main(argv: list[str] | None = None) -> None:
         report = drift.drift_report(*tables)
         for name in ("rows", "features", "top"):
             print("\n".join(report[name].toJSON().collect()))
+        if args.distributions:
+            report["distributions"].coalesce(1).write.csv(args.distributions, header=True)
     else:
         runs = run_fixed_length(
             _captures(spark, args), args.out_root, args.percent, args.length, args.pad, exact=args.exact, **shared

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,12 +60,18 @@ def known(df: DataFrame, name: str) -> Column:
     return F.when(~F.isnan(value), value)
 
 
+def finite(df: DataFrame, name: str) -> Column:
+    """A feature as double, NaN and infinities counting as missing."""
+    value = known(df, name)
+    return F.when(F.abs(value) < float("inf"), value)
+
+
 def profile(df: DataFrame, names: list[str]) -> DataFrame:
-    """(feature, mean, deviation, known) of all features in one aggregation.
+    """(feature, mean, deviation, known, rows) of all features in one aggregation; ``rows`` counts the table.
 
     The aggregate is a single row however large the table; it is then unfolded.
     """
-    aggregates, entries = [], []
+    aggregates, entries = [F.count("*").alias("rows")], []
     for i, name in enumerate(names):
         value = known(df, name)
         aggregates += [
@@ -78,6 +85,7 @@ def profile(df: DataFrame, names: list[str]) -> DataFrame:
                 F.col(f"m{i}").alias("mean"),
                 F.col(f"s{i}").alias("deviation"),
                 F.col(f"k{i}").alias("known"),
+                F.col("rows"),
             )
         )
     return df.agg(*aggregates).select(F.inline(F.array(*entries)))
@@ -112,20 +120,30 @@ def top_features(drift: DataFrame, k: int) -> DataFrame:
     return ranked(drift).limit(k)
 
 
+def compared_names(before: DataFrame, after: DataFrame) -> list[str]:
+    """Numeric features of both tables, names trimmed, that are not idle times."""
+    shared = common_names(before.columns, after.columns)
+    numeric = [common_names(numeric_names(df.select(*map(quoted, shared))), shared) for df in (before, after)]
+    return without_idle(common_names(*numeric))
+
+
 def feature_drift(before: DataFrame, after: DataFrame) -> DataFrame:
     """The drift table of two flow tables: clean, profile each side once, join, judge."""
     before, after = trim_names(before), trim_names(after)
-    shared = common_names(before.columns, after.columns)
-    numeric = [common_names(numeric_names(df.select(*map(quoted, shared))), shared) for df in (before, after)]
-    names = without_idle(common_names(*numeric))
+    names = compared_names(before, after)
     return compare(varying(profile(before, names)), varying(profile(after, names)))
 
 
 def row_delta(before: DataFrame, after: DataFrame) -> DataFrame:
     """Row counts and the loss in percent."""
+    return _delta(before.agg(F.count("*").alias("rows")), after.agg(F.count("*").alias("rows")))
+
+
+def _delta(before: DataFrame, after: DataFrame) -> DataFrame:
+    """The same from tables of one row with ``rows``."""
     one = F.lit(1).alias("_one")
-    counts = before.agg(F.count("*").alias("rows_before")).select("rows_before", one).join(
-        after.agg(F.count("*").alias("rows_after")).select("rows_after", one), "_one"
+    counts = before.select(F.col("rows").alias("rows_before"), one).join(
+        after.select(F.col("rows").alias("rows_after"), one), "_one"
     ).drop("_one")
     lost = F.col("rows_before") - F.col("rows_after")
     percent = F.bround(100 * lost / F.nullif("rows_before", F.lit(0)), 2)
@@ -142,25 +160,53 @@ def sturges_bins(n: int) -> int:
     return max(1, math.ceil(math.log2(n) + 1)) if n else 1
 
 
-def choose_bins(df: DataFrame, name: str, rule: str | int = "auto") -> tuple[float, float, int]:
-    """Bounds and number of bins; one row reaches the driver.
+@dataclass(frozen=True)
+class Measure:
+    """What histogram and curve of a feature need to know of it: ``n`` finite values, and their bounds."""
+
+    feature: str
+    n: int
+    low: float | None
+    high: float | None
+    deviation: float | None
+    quartiles: list[float] | None
+
+    def bins(self, rule: str | int = "auto") -> tuple[float, float, int]:
+        """Bounds and number of bins.
+
+        ``auto`` takes the narrower bins of Sturges' rule and of the interquartile rule, the
+        quartiles being approximate.
+        """
+        if not self.n or self.low == self.high:
+            return (self.low or 0.0) - 0.5, (self.high or 0.0) + 0.5, 1
+        if isinstance(rule, int):
+            return self.low, self.high, rule
+        bins = sturges_bins(self.n)
+        spread = self.quartiles[1] - self.quartiles[0]
+        if rule == "auto" and spread > 0:
+            bins = max(bins, math.ceil((self.high - self.low) / (2 * spread * self.n ** (-1 / 3))))
+        return self.low, self.high, bins
+
+
+def measures(df: DataFrame, names: list[str]) -> list[Measure]:
+    """The measures of all features from one scan: bounds, deviations and sketches of quantiles merge."""
+    if not names:
+        return []
+    aggregates = []
+    for name in names:
+        value = finite(df, name)
+        aggregates.append(
+            F.struct(
+                F.count(value), F.min(value), F.max(value), F.stddev_samp(value), F.percentile_approx(value, [0.25, 0.75])
+            )
+        )
+    row = df.agg(*[a.alias(f"f{i}") for i, a in enumerate(aggregates)]).first()
+    return [Measure(name, *found) for name, found in zip(names, row, strict=True)]
 
-    ``auto`` takes the narrower bins of Sturges' rule and of the interquartile rule, the
-    quartiles being approximate.
-    """
-    value = known(df, name)
-    low, high, n, quartiles = df.agg(
-        F.min(value), F.max(value), F.count(value), F.percentile_approx(value, [0.25, 0.75])
-    ).first()
-    if not n or low == high:
-        return (low or 0.0) - 0.5, (high or 0.0) + 0.5, 1
-    if isinstance(rule, int):
-        return low, high, rule
-    bins = sturges_bins(n)
-    spread = quartiles[1] - quartiles[0]
-    if rule == "auto" and spread > 0:
-        bins = max(bins, math.ceil((high - low) / (2 * spread * n ** (-1 / 3))))
-    return low, high, bins
+
+def choose_bins(df: DataFrame, name: str, rule: str | int = "auto") -> tuple[float, float, int]:
+    """Bounds and number of bins of one feature; one row reaches the driver. See ``Measure.bins``."""
+    return measures(df, [name])[0].bins(rule)
 
 
 def histogram(df: DataFrame, name: str, low: float, high: float, bins: int) -> DataFrame:
@@ -215,35 +261,121 @@ def density_curve(df: DataFrame, name: str, points: int = KDE_POINTS) -> DataFra
     return sums.select("point", (F.lit(low) + F.col("point") * step).alias("x"), "density")
 
 
+def _summed(held: tuple[np.ndarray, np.ndarray], slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts by slot, with the counts of more slots added; only occupied ones are kept."""
+    new, counts = np.unique(slots, return_counts=True)
+    both, place = np.unique(np.append(held[0], new), return_inverse=True)
+    total = np.zeros(len(both), np.int64)
+    np.add.at(total, place, np.append(held[1], counts))
+    return both, total
+
+
+def distributions(
+    df: DataFrame, names: list[str], rule: str | int = "auto", points: int = KDE_POINTS
+) -> DataFrame:
+    """(feature, kind, x, width, count, density): histograms and curves of all features in two scans.
+
+    The first scan finds bounds, deviations and quartiles of all features, the second fills all bins
+    and sums all kernels. Bins of a histogram are [x, x + width), the last one closed; neighbouring bins
+    without a value are one, so a feature has no more rows than twice its occupied bins, however many
+    bins its rule asks for. Curves are Gaussian kernel estimates at ``points`` places between the bounds,
+    exact over all rows, and missing for features that do not vary. NaN and infinities count as missing;
+    a feature without values has no rows.
+    """
+    spark = df.sparkSession
+    known_ones = [m for m in measures(df, names) if m.n]
+    schema = "feature string, kind string, x double, width double, count long, density double"
+    if not known_ones:
+        return spark.createDataFrame([], schema)
+    plans = []
+    for m in known_ones:
+        low, high, bins = m.bins(rule)
+        smooth = m.deviation * m.n ** (-1 / 5) if m.n > 1 and m.deviation else 0.0
+        plans.append((low, (high - low) / bins, bins, smooth, m.low, (m.high - m.low) / (points - 1)))
+
+    def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in plans]
+        kernels = np.zeros((len(plans), points))
+        for batch in batches:
+            for i, (low, width, bins, smooth, first, step) in enumerate(plans):
+                values = batch.column(i).drop_null().to_numpy(zero_copy_only=False)
+                counts[i] = _summed(counts[i], np.minimum(np.floor((values - low) / width), bins - 1).astype(np.int64))
+                if smooth:
+                    grid = (first + step * np.arange(points)) / smooth
+                    for begin in range(0, len(values), KDE_BLOCK):
+                        distance = grid - values[begin : begin + KDE_BLOCK, None] / smooth
+                        kernels[i] += np.exp(-0.5 * distance * distance).sum(axis=0)
+        for i, (slots, n) in enumerate(counts):
+            nothing = pa.nulls(len(slots), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slots), i, np.int32)), pa.array(slots), pa.array(n), nothing], ["f", "slot", "count", "kernels"])
+            if plans[i][3]:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(points, i, np.int32)), pa.array(np.arange(points)), pa.nulls(points, pa.int64()), pa.array(kernels[i])],
+                    ["f", "slot", "count", "kernels"],
+                )
+
+    rows = df.select(*[finite(df, m.feature).alias(f"v{i}") for i, m in enumerate(known_ones)])
+    partial = rows.mapInArrow(sum_up, "f int, slot long, count long, kernels double")
+    curve = F.col("kernels").isNotNull().alias("curve")
+    sums = partial.groupBy("f", "slot", curve).agg(F.sum("count").alias("count"), F.sum("kernels").alias("kernels"))
+
+    facts = spark.createDataFrame(
+        [(i, m.feature, m.n, *plan) for i, (m, plan) in enumerate(zip(known_ones, plans, strict=True))],
+        "f int, feature string, n long, low double, width double, bins long, smooth double, first double, step double",
+    )
+    sums = sums.join(F.broadcast(facts), "f")  # one row per feature that was asked for
+    following = F.coalesce(F.lead("slot").over(Window.partitionBy("f", "curve").orderBy("slot")), F.col("bins"))
+    sums = sums.withColumn("_next", following)
+
+    def row(kind: str, x: Column, width: Column | None, count: Column | None, density: Column) -> Column:
+        width = F.lit(None).cast("double") if width is None else width
+        count = F.lit(None).cast("long") if count is None else count
+        return F.struct(F.lit(kind).alias("kind"), x.alias("x"), width.alias("width"), count.alias("count"), density.alias("density"))
+
+    def bar(slot: Column, many: Column, count: Column) -> Column:
+        width = many * F.col("width")
+        return row("histogram", F.col("low") + slot * F.col("width"), width, count, count / (F.col("n") * width))
+
+    point = row(
+        "curve", F.col("first") + F.col("slot") * F.col("step"), None, None,
+        F.col("kernels") / (F.col("n") * F.col("smooth") * math.sqrt(2 * math.pi)),
+    )
+    gap = F.col("_next") - F.col("slot") - 1
+    empty = F.when(gap > 0, bar(F.col("slot") + 1, gap, F.lit(0).cast("long")))
+    bars = F.array_compact(F.array(bar(F.col("slot"), F.lit(1).cast("long"), F.col("count")), empty))
+    # Bars and points from one reading of the sums, as each reading is a scan.
+    return sums.select("feature", F.inline(F.when(F.col("curve"), F.array(point)).otherwise(bars)))
+
+
+def key_distributions(before: DataFrame, after: DataFrame, names: list[str], rule: str | int = "auto") -> DataFrame:
+    """``distributions`` of a few features on both sides, as rows for a chart; two scans a side."""
+    sides = [("before", before), ("after", after)]
+    parts = [distributions(trim_names(df), names, rule).withColumn("side", F.lit(side)) for side, df in sides]
+    return parts[0].unionByName(parts[1])
+
+
 def drift_report(before: DataFrame, after: DataFrame) -> dict[str, DataFrame]:
-    """The tables of the report. ``drift`` has one row per feature and is settled, so each side is read once for all of them."""
-    drift = settle(feature_drift(before, after))
+    """The tables of the report. Profiles have one row per feature and are settled, so each side is read once for
+    all of them; ``distributions`` of the key features takes two more scans a side when it is used.
+    """
+    before, after = trim_names(before), trim_names(after)
+    names = compared_names(before, after)
+    if names:
+        profiles = [settle(profile(df, names)) for df in (before, after)]
+        rows = _delta(*[p.select("rows").limit(1) for p in profiles])
+        drift = settle(compare(*map(varying, profiles)))
+    else:
+        rows, drift = row_delta(before, after), settle(feature_drift(before, after))
+    key = top_features(drift, KEY_FEATURES)
     return {
-        "rows": row_delta(before, after),
+        "rows": rows,
         "features": significance_counts(drift),
         "drift": drift,
         "chart": top_features(drift, CHART_FEATURES).select("feature", "mean_before", "mean_after"),
         "shown": top_features(drift, SHOWN_FEATURES),
-        "key": top_features(drift, KEY_FEATURES),
+        "key": key,
         "top": top_features(drift, REPORT_FEATURES).select(
             "feature", "mean_before", "mean_after", "rel_pct"
         ),
+        "distributions": key_distributions(before, after, [row.feature for row in key.collect()]),
     }
-
-
-def key_distributions(before: DataFrame, after: DataFrame, names: list[str]) -> DataFrame:
-    """Histograms and curves of a few features on both sides, as rows for a chart."""
-    parts = []
-    for side, df in (("before", before), ("after", after)):
-        df = trim_names(df)
-        for name in names:
-            bars = histogram(df, name, *choose_bins(df, name)).select(
-                F.lit("histogram").alias("kind"), F.col("left").alias("x"), "density"
-            )
-            curve = density_curve(df, name).select(F.lit("curve").alias("kind"), "x", "density")
-            both = bars.unionByName(curve)
-            parts.append(both.withColumns({"feature": F.lit(name), "side": F.lit(side)}))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
