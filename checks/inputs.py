@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from framedrift.operators import selection
 from framedrift.sinks.captures import place_fragments, write_fragments
 from framedrift.sources import discovery
-from framedrift.sources.files import resolve, shared_folder, spread_small
+from framedrift.sources.files import open_input, resolve, shared_folder, spread_small
 
 # A run of consecutive events is a capture, so captures are bounded whatever the data.
 BLOCK = 500
@@ -215,6 +215,42 @@ def store_hot_damaged(spark: SparkSession, sf_dir: str, root: str) -> None:
     store_pieces(df.select("capture_id", "packet_no", F.unhex(whole).alias("piece")).unionByName(last), root)
 
 
+def store_hot_gaps(spark: SparkSession, sf_dir: str, root: str) -> None:
+    """Little-endian captures with damage at every 101st event: in turn, junk behind its record, and a bad length in it."""
+    df = hot_packets(spark, sf_dir)
+    hit = F.col("event_id") % 101 == 7
+    odd = F.floor(F.col("event_id") / 101) % 2 == 1
+    size = F.length("frame")
+    claimed = F.when(hit & odd, F.lit(0x7FFFFFFF)).otherwise(size).cast("long")
+    record = F.concat(
+        _little(F.floor(F.col("ts_us") / 1_000_000).cast("long"), 4), _little(F.col("ts_us") % 1_000_000, 4),
+        _little(claimed, 4), _little(size, 4), F.hex("frame"), F.when(hit & ~odd, F.lit("FF" * 37)).otherwise(""),
+    )
+    head = "D4C3B2A1" + "02000400" + "0" * 16 + "FFFF0000" + "01000000"
+    whole = F.concat(F.when(F.col("packet_no") == 0, head).otherwise(""), record)
+    store_pieces(df.select("capture_id", "packet_no", F.unhex(whole).alias("piece")), root)
+
+
+def copy_share(spark: SparkSession, source: str, target: str, share: float) -> None:
+    """Put the first ``share`` of each file below ``source`` under the same name below ``target``."""
+
+    def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                system, inner = resolve(f"{target}/{row['capture_id']}")
+                system.create_dir(inner.rpartition("/")[0], recursive=True)
+                with open_input(row["path"]) as whole, system.open_output_stream(inner) as out:
+                    left = int(row["length"] * share)
+                    while left > 0:
+                        data = whole.read(min(left, 1 << 20))
+                        out.write(data)
+                        left -= len(data)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    found = discovery.discover(spark, source).select("capture_id", "path", "length")
+    found.mapInArrow(copy, "n long").agg(F.sum("n")).collect()
+
+
 def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths of an imaginary directory, one per event."""
     e = F.col("event_id")

@@ -272,6 +272,15 @@ ORACLE = {
          ts_us, CASE WHEN gone THEN 0 ELSE length(pay) // 2 END AS incl_len, length(pay) // 2 AS orig_len,
          CASE WHEN NOT gone THEN pay END AS frame_hex, CASE WHEN gone THEN 'discarded' END AS repaired FROM marked
          UNION ALL SELECT capture_id, count(*) FILTER (NOT gone), 1000002, 10, 10, repeat('AB', 10), 'capped' FROM marked GROUP BY 1""",
+    "s8_resync": with_(
+        HOT,
+        """marked AS (SELECT *, event_id % 101 = 7 AS gap, event_id % 101 = 7 AND (event_id // 101) % 2 = 1 AS lost FROM packets)""",
+        """counted AS (SELECT *, count(*) FILTER (NOT lost) OVER (PARTITION BY capture_id ORDER BY packet_no
+           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM marked)""",
+    )
+    + """SELECT capture_id, upto - 1 AS packet_no, ts_us, length(pay) // 2 AS incl_len, length(pay) // 2 AS orig_len,
+           pay AS frame_hex, NULL AS repaired FROM counted WHERE NOT lost
+         UNION ALL SELECT capture_id, upto, 0, 0, 0, NULL, 'discarded' FROM counted WHERE gap""",
     "a6_errors_split": with_(HOT)
     + """SELECT capture_id, CASE WHEN bool_or(event_id % 97 = 5) THEN 1 END AS errors,
          CASE WHEN bool_or(event_id % 97 = 5) THEN 'ValueError: damaged block' END AS error FROM packets GROUP BY 1""",
@@ -597,4 +606,5 @@ CURVED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_partkey", "
 ORACLE["dr_distributions"] = with_(FLOWS) + " UNION ALL ".join(
     distribution(f"flows_{side}", side, name) for side in ("before", "after") for name in CURVED
 )
+ORACLE["st1_growing"] = ORACLE["k1_part_files"]
 ORACLE["b4_l4_checksum_native"] = ORACLE["b4_l4_checksum"]

@@ -22,6 +22,7 @@ from framedrift.sources.capture_format import register_format
 from framedrift.sources.files import resolve, spread_small
 from framedrift.sources.packets import read_content, read_packets
 from framedrift.streaming.arrivals import perturb_arrivals, stream_packets
+from framedrift.streaming.growing import Growing
 
 SEED = 7
 PLAN = [
@@ -130,6 +131,13 @@ def s8_repair_split(spark, sf):
     return _split(spark, root, "REPAIR").select("capture_id", "packet_no", "ts_us", "incl_len", "orig_len", hexed(), "repaired")
 
 
+def s8_resync(spark, sf):
+    """Junk between records, and records of false lengths: the walk goes on at the next sound ones."""
+    root = scratch(spark)
+    inputs.store_hot_gaps(spark, sf, root)
+    return _split(spark, root, "RESYNC").select("capture_id", "packet_no", "ts_us", "incl_len", "orig_len", hexed(), "repaired")
+
+
 def a6_errors_split(spark, sf):
     """Captures with damaged blocks give one error row each, whatever their size."""
     root = scratch(spark)
@@ -672,6 +680,19 @@ def st1_stream_job(spark, sf):
     return loaded(spark, out).select("capture_id", "packet_no", "ts_us", "incl_len")
 
 
+def st1_growing(spark, sf):
+    """Captures that grow between two batches: finished parts, and in the end the rest, as in the batch job."""
+    source, grown, out = scratch(spark), scratch(spark), scratch(spark)
+    inputs.store_hot(spark, sf, source)
+    plan = read_plan([{"type": "loss", "pct": 0.1}])
+    growing = Growing(out, plan, scratch(spark), seed=SEED, chunk_size=CHUNK, chunks_per_part=4)
+    for share in (0.55, 1.0):
+        inputs.copy_share(spark, source, grown, share)
+        growing.start(spark, grown).awaitTermination()
+    growing.finish(spark)
+    return loaded(spark, out).select("capture_id", "packet_no", "incl_len", hexed())
+
+
 def u1_custom_step(spark, sf):
     register_step("thin", lambda df, step, seed: df.filter(F.col("packet_no") % step.params["of"] == 0))
     raw = [{"type": "thin", "pct": 1, "params": {"of": 3}}, PLAN[0]]

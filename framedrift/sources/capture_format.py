@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 import uuid
 from collections.abc import Iterator
@@ -17,6 +19,7 @@ from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
     DataSourceReader,
+    DataSourceStreamReader,
     EqualTo,
     Filter,
     GreaterThan,
@@ -41,7 +44,7 @@ from framedrift.sources.packets import (
     repairs,
     stepwise,
 )
-from framedrift.sources.records import read_file_header
+from framedrift.sources.records import RESYNC, complete_end, read_file_header
 
 FORMAT = "pcap"
 PLANNED_RANGES = 200_000  # rows of an index that the planner looks at one by one
@@ -197,7 +200,8 @@ class CaptureReader(DataSourceReader):
                 yield failure(row["capture_id"], row["error"])
                 continue
             try:
-                yield from packet_batches(row, fetch(row["path"], row["start"], row["stop"]), self.repair, self.with_frames)
+                until = max(row["stop"], row["until"]) if self.repair else row["stop"]
+                yield from packet_batches(row, fetch(row["path"], row["start"], until), self.repair, self.with_frames)
             except READ_PROBLEMS as problem:
                 yield failure(row["capture_id"], problem)
 
@@ -304,13 +308,120 @@ def _writable(rows: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([frames, originals, rows.column("ts_us").cast(pa.int64())], ["frame", "orig_len", "ts_us"])
 
 
+@dataclass
+class Growth(InputPartition):
+    """What a file has gained: bytes from ``begin`` to ``end``; ``begin`` is where an earlier batch stopped to read."""
+
+    path: str
+    capture_id: str
+    begin: int
+    end: int
+
+
+class GrowingReader(DataSourceStreamReader):
+    """Packets of captures that grow while they are read. An offset has for each file how many bytes were seen.
+
+    Those need not end with a record. Where the last whole one ended, and how many packets came before, is
+    noted in the ``state`` folder for each file and offset, by the task that found it; the next batch goes
+    on there. A repeated batch finds and notes the same. A record that is cut at the end is left for later.
+    Files must only grow; one that got shorter is left alone until it is longer than it was.
+    """
+
+    def __init__(self, options: dict):
+        self.root = options["path"]
+        self.mode = options.get("mode", "STRICT").upper()
+        self.repair = repairs(self.mode)
+        self.split_bytes = int(options.get("splitbytes", SPLIT_BYTES))
+        self.most = int(options.get("maxbytespertrigger", 1 << 62))
+        if self.mode == RESYNC:
+            raise ValueError("what follows damage in a growing capture is not known yet: RESYNC is for whole ones")
+        if "state" not in options:
+            raise ValueError("a stream of captures needs the option state, a folder that all executors share")
+        self.state = options["state"].rstrip("/")
+        self.seen: dict[str, int] = {}
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        """Sizes now; at most ``maxBytesPerTrigger`` bytes of each file more than last time."""
+        for path, capture_id, length in captures_below(self.root):
+            known = self.seen.get(capture_id, 0)
+            if length > known:
+                self.seen[capture_id] = min(length, known + self.most)
+        return dict(self.seen)
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        # After a restart the stream tells where it is.
+        self.seen = end | {k: max(v, end.get(k, 0)) for k, v in self.seen.items()}
+        root = self.root.rstrip("/")
+        return [Growth(f"{root}/{name}", name, start.get(name, 0), size) for name, size in sorted(end.items()) if size > start.get(name, 0)]
+
+    def _note(self, capture_id: str, size: int) -> str:
+        return f"{self.state}/{hashlib.md5(capture_id.encode()).hexdigest()}-{size}.json"
+
+    def _whole_end(self, part: Growth, at: int, capture: dict) -> int:
+        """Where the last whole record before the end of the partition ends, looking at a step at a time."""
+        size = self.split_bytes
+        while at < part.end:
+            window = fetch(part.path, at, min(at + size, part.end))
+            stop, order = complete_end(window, capture, at, bool(self.repair))
+            if stop > at:
+                at, size, capture = stop, self.split_bytes, capture | {"big_endian": order == ">"}
+            elif at + size >= part.end:
+                break
+            else:
+                size *= 2  # a record longer than the step
+        return at
+
+    def read(self, partition: Growth) -> Iterator[pa.RecordBatch]:
+        part = partition
+        row = {"start": 0, "first_packet_no": 0, "interfaces": [], "failed": False}
+        if part.begin:
+            system, note = resolve(self._note(part.capture_id, part.begin))
+            with system.open_input_stream(note) as source:
+                row = json.loads(source.read())
+        try:
+            with open_input(part.path) as source:
+                header = read_file_header(source.read(FILE_HEADER))
+            ready = part.end >= FILE_HEADER and not row["failed"]
+            if ready and header["kind"] == "unknown":
+                raise ValueError("unknown capture format")
+            if ready:
+                row |= header | {"capture_id": part.capture_id, "path": part.path, "split_bytes": self.split_bytes}
+                row["start"] = max(row["start"], 0 if header["kind"] == "pcapng" else FILE_HEADER)
+                stop = self._whole_end(part, row["start"], header | {"big_endian": _order_of(row["interfaces"], header["big_endian"])})
+                row |= {"stop": stop, "length": stop}
+                yield from stepwise(row, self.repair)
+                row["start"] = stop
+        except READ_PROBLEMS as problem:
+            row["failed"] = True
+            yield failure(part.capture_id, problem)
+        kept = {k: row[k] for k in ("start", "first_packet_no", "interfaces", "failed")}
+        system, note = resolve(self._note(part.capture_id, part.end))
+        system.create_dir(note.rpartition("/")[0], recursive=True)
+        aside = f"{note}.{uuid.uuid4().hex}"
+        with system.open_output_stream(aside) as out:
+            out.write(json.dumps(kept).encode())
+        system.move(aside, note)
+
+
+def _order_of(interfaces: list[str], big_endian: bool) -> bool:
+    """Byte order of the last section among what a walk has passed."""
+    for delta in reversed(interfaces):
+        if "order" in (found := json.loads(delta)):
+            return found["order"] == ">"
+    return big_endian
+
+
 class CaptureSource(DataSource):
     """Captures as a format of Spark.
 
-    Reading: ``path`` (a directory as ``discover`` takes it, or one file), ``mode`` (STRICT or REPAIR),
+    Reading: ``path`` (a directory as ``discover`` takes it, or one file), ``mode`` (STRICT, REPAIR or RESYNC),
     ``splitBytes``, ``frames`` (false leaves them out), ``index`` (a folder of ``write_index``). Without an
     index a capture is read by one task, ``splitBytes`` in memory at a time; with one, by ranges, and only
-    by those that filters on capture_id, packet_no and ts_us leave. Writing: see ``CaptureWriter``.
+    by those that filters on capture_id, packet_no and ts_us leave. As a stream: see ``GrowingReader``.
+    Writing: see ``CaptureWriter``.
     """
 
     @classmethod
@@ -323,6 +434,9 @@ class CaptureSource(DataSource):
     def reader(self, schema: T.StructType) -> CaptureReader:
         return CaptureReader(dict(self.options))
 
+    def streamReader(self, schema: T.StructType) -> GrowingReader:  # noqa: N802
+        return GrowingReader(dict(self.options))
+
     def writer(self, schema: T.StructType, overwrite: bool) -> CaptureWriter:
         return CaptureWriter(dict(self.options), schema, overwrite)
 

@@ -36,7 +36,7 @@ def _with_facts(ranges: DataFrame, mode: str) -> DataFrame:
         if row["error"]:
             return {"packets": 0, "problem": row["error"]}
         try:
-            data = fetch(row["path"], row["start"], row["stop"])
+            data = fetch(row["path"], row["start"], max(row["stop"], row["until"]))
             walk = Walk(row, repair, row["start"], row["interfaces"])
             n, least, most = 0, None, None
             for moment, *_, note in walk.packets(data, row["stop"]):
@@ -148,12 +148,12 @@ def read_indexed(
     parts = []
     for mode in [row["mode"] for row in index.select("mode").distinct().orderBy("mode").collect()]:
         ranges = found.filter(F.col("mode") == mode).select(
-            "capture_id", "path", "length", *HEADER_COLUMNS, "start", "stop", "first_packet_no", "interfaces", "error"
+            "capture_id", "path", "length", *HEADER_COLUMNS, "start", "stop", "until", "first_packet_no", "interfaces", "error"
         )
         parts.append(read_ranges(spread(ranges, ranges.count()), mode, with_frames))
     if not parts:
         return read_ranges(
-            index.select("capture_id", "path", "length", *HEADER_COLUMNS, "start", "stop", "first_packet_no", "interfaces", "error"), with_frames=with_frames
+            index.select("capture_id", "path", "length", *HEADER_COLUMNS, "start", "stop", "until", "first_packet_no", "interfaces", "error"), with_frames=with_frames
         )
     df = parts[0]
     for part in parts[1:]:

@@ -20,12 +20,12 @@ from pyspark.sql import types as T
 
 from framedrift.sources.discovery import FILE_HEADER, decode_header
 from framedrift.sources.files import open_input, settle
-from framedrift.sources.records import GUESS_WINDOW, RECORD_HEADER, Walk, guess_start
+from framedrift.sources.records import GUESS_WINDOW, RESYNC, Walk, guess_start
 
 SPLIT_BYTES = 64 << 20
 BATCH_ROWS = 4096
 REPAIR_ROUNDS = 6
-MODES = ("STRICT", "REPAIR")
+MODES = ("STRICT", "REPAIR", RESYNC)
 READ_PROBLEMS = (OSError, ValueError, IndexError, ArithmeticError, struct.error)
 
 PACKETS = T.StructType(
@@ -55,15 +55,15 @@ ARROW_PACKETS = pa.schema(
     ]
 )
 HEADER_COLUMNS = ["kind", "big_endian", "nanos", "snaplen", "linktype"]
-WALKED = "capture_id string, split_no long, start long, stop long, n long, delta string, error string"
+WALKED = "capture_id string, split_no long, start long, stop long, until long, n long, delta string, error string"
 SCAN_TASKS = 100_000
 
 
-def repairs(mode: str) -> bool:
-    """Whether records are repaired in ``mode``."""
+def repairs(mode: str) -> bool | str:
+    """How records are repaired in ``mode``: not at all, by capping lengths, or (RESYNC) by finding the next sound records."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}, not {mode!r}")
-    return mode == "REPAIR"
+    return RESYNC if mode == RESYNC else mode == "REPAIR"
 
 
 def failure(capture_id: str, problem: Exception | str) -> pa.RecordBatch:
@@ -74,7 +74,7 @@ def failure(capture_id: str, problem: Exception | str) -> pa.RecordBatch:
 
 
 def packet_batches(
-    row: dict, data: bytes, repair: bool, with_frames: bool
+    row: dict, data: bytes, repair: bool | str, with_frames: bool
 ) -> Iterator[pa.RecordBatch]:
     """Packets of one range as Arrow batches."""
     walk = Walk(row, repair, row["start"], row.get("interfaces"))
@@ -116,7 +116,7 @@ def fetch(path: str, start: int, stop: int) -> bytes:
         return source.read(stop - start)
 
 
-def _walk_split(row: dict, repair: bool) -> dict:
+def _walk_split(row: dict, repair: bool | str) -> dict:
     """Start, end and packet count of one range; nothing but the name if no start is found.
 
     A range that cannot be walked counts as not found: its proposed start may be wrong, and if it
@@ -128,7 +128,7 @@ def _walk_split(row: dict, repair: bool) -> dict:
         return {"capture_id": row["capture_id"], "split_no": row["split_no"]}
 
 
-def _walk_found(row: dict, repair: bool) -> dict:
+def _walk_found(row: dict, repair: bool | str) -> dict:
     cut, limit = row["cut"], min(row["cut"] + row["split_bytes"], row["length"])
     result = {"capture_id": row["capture_id"], "split_no": row["split_no"]}
     start = row["start"]
@@ -143,10 +143,11 @@ def _walk_found(row: dict, repair: bool) -> dict:
     if start < limit:
         data = fetch(row["path"], start, min(limit + GUESS_WINDOW, row["length"]))
         count = sum(packet[5] != "discarded" for packet in walk.packets(data, limit))
-    return result | {"start": start, "stop": walk.at, "n": count, "delta": walk.delta()}
+    until = min(limit + GUESS_WINDOW, row["length"])
+    return result | {"start": start, "stop": walk.at, "until": until, "n": count, "delta": walk.delta()}
 
 
-def _walk_whole(row: dict, repair: bool) -> Iterator[dict]:
+def _walk_whole(row: dict, repair: bool | str) -> Iterator[dict]:
     """The ranges of a capture in order: exact whatever the file holds.
 
     A range in ``known`` that begins where the walk has come is kept and not read again. What ends
@@ -170,6 +171,7 @@ def _walk_whole(row: dict, repair: bool) -> Iterator[dict]:
                 "split_no": number,
                 "start": start,
                 "stop": walk.at,
+                "until": min(limit + GUESS_WINDOW, row["length"]),
                 "n": count,
                 "delta": walk.delta(),
             }
@@ -177,7 +179,7 @@ def _walk_whole(row: dict, repair: bool) -> Iterator[dict]:
         yield {"capture_id": row["capture_id"], "split_no": -1, "error": f"{type(problem).__name__}: {problem}"}
 
 
-def stepwise(row: dict, repair: bool, with_frames: bool = True) -> Iterator[pa.RecordBatch]:
+def stepwise(row: dict, repair: bool | str, with_frames: bool = True) -> Iterator[pa.RecordBatch]:
     """Packets of a capture from ``start`` on to ``stop``, a step of ``split_bytes`` in memory at a time.
 
     What is left at the end, if a record is not complete there, can be seen in the row, which goes along:
@@ -198,13 +200,14 @@ def stepwise(row: dict, repair: bool, with_frames: bool = True) -> Iterator[pa.R
             row["interfaces"] = [*row["interfaces"], walk.delta()]
 
 
-def _walked(splits: DataFrame, repair: bool, whole: bool = False) -> DataFrame:
+def _walked(splits: DataFrame, repair: bool | str, whole: bool = False) -> DataFrame:
     schema = pa.schema(
         [
             ("capture_id", pa.string()),
             ("split_no", pa.int64()),
             ("start", pa.int64()),
             ("stop", pa.int64()),
+            ("until", pa.int64()),
             ("n", pa.int64()),
             ("delta", pa.string()),
             ("error", pa.string()),
@@ -225,7 +228,7 @@ def spread(df: DataFrame, rows: int) -> DataFrame:
     return df.repartition(max(1, min(rows, 100_000)))
 
 
-def _index_large(large: DataFrame, split_bytes: int, repair: bool) -> DataFrame:
+def _index_large(large: DataFrame, split_bytes: int, repair: bool | str) -> DataFrame:
     """Walk all ranges of large captures in parallel and settle their borders."""
     ids = F.sequence(F.lit(0), F.floor((F.col("length") - 1) / split_bytes))
     splits = large.withColumn("split_no", F.explode(ids)).withColumns(
@@ -277,6 +280,7 @@ def capture_ranges(
         {
             "start": first,
             "stop": F.col("length"),
+            "until": F.col("length"),
             "first_packet_no": F.lit(0).cast("long"),
             "interfaces": F.array().cast("array<string>"),
             "error": F.lit(None).cast("string"),
@@ -303,7 +307,7 @@ def capture_ranges(
     ranges = ranges.withColumn("error", F.lit(None).cast("string"))
     # A capture that cannot be walked is one empty range that says so.
     zero = F.lit(0).cast("long")
-    nothing = {"start": zero, "stop": zero, "first_packet_no": zero, "interfaces": F.array().cast("array<string>")}
+    nothing = {"start": zero, "stop": zero, "until": zero, "first_packet_no": zero, "interfaces": F.array().cast("array<string>")}
     unwalked = large.join(failed, "capture_id").withColumns(nothing)
     return small.unionByName(ranges).unionByName(unwalked)
 
@@ -321,7 +325,9 @@ def read_ranges(
                     yield failure(row["capture_id"], row["error"])
                     continue
                 try:
-                    data = fetch(row["path"], row["start"], row["stop"])
+                    # Where damage is passed over, by the same bytes as when the range was found.
+                    until = max(row["stop"], row["until"]) if repair else row["stop"]
+                    data = fetch(row["path"], row["start"], until)
                     yield from packet_batches(row, data, repair, with_frames)
                 except READ_PROBLEMS as problem:
                     yield failure(row["capture_id"], problem)

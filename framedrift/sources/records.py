@@ -39,6 +39,9 @@ LARGEST_FRAME = 128 << 20  # a longer one is no frame, and would not fit a task
 # How far and how strictly a split looks for its first record.
 GUESS_WINDOW = 1 << 20
 GUESS_RUN = 12
+RESYNC = "RESYNC"
+RESYNC_RUN = 3
+DAY = 86_400
 
 Packet = tuple[int, int, int, int, int, str | None]
 
@@ -62,10 +65,11 @@ def read_file_header(head: bytes) -> dict:
 class Walk:
     """Position and format state of a walk. ``base`` is the file offset of ``data[0]``."""
 
-    def __init__(self, capture: dict, repair: bool, base: int, interfaces: list[str] | None = None):
+    def __init__(self, capture: dict, repair: bool | str, base: int, interfaces: list[str] | None = None):
         self.kind = capture["kind"]
         self.length = capture["length"]
-        self.repair = repair
+        self.repair = bool(repair)
+        self.resync = repair == RESYNC
         self.at = base
         self.order = ">" if capture["big_endian"] else "<"
         self.nanos = capture["nanos"]
@@ -95,8 +99,48 @@ class Walk:
         """(ts_us, begin in data, size, orig_len, linktype, repair note) of records before ``stop``."""
         if self.kind == "pcapng":
             return self._blocks(data, self.at, stop)
+        if self.resync:
+            return self._resynchronised(data, self.at, stop)
         return self._records(data, self.at, stop)
 
+    def _resynchronised(self, data: bytes, base: int, stop: int) -> Iterator[Packet]:
+        """Records before ``stop``; over damage to the next chain of sound ones, noted as one discarded record.
+
+        A record is only as long as to where such a chain begins, if what follows it makes no sense.
+        """
+        unpack = struct.Struct(self.order + "IIII").unpack_from
+        divisor = 1000 if self.nanos else 1
+        capture = {"big_endian": self.order == ">", "nanos": self.nanos, "snaplen": self.snaplen}
+        moment = None
+
+        def sound(at: int) -> bool:
+            """A plausible header, or the end of the file or of what is known of it."""
+            if at == self.length or at - base + RECORD_HEADER > len(data):
+                return at <= self.length
+            return sane_header(*unpack(data, at - base), capture, moment) and at + RECORD_HEADER <= self.length
+
+        while self.at < stop:
+            here = self.at - base
+            if not sound(self.at) or self.at + RECORD_HEADER > self.length:
+                found = next_record(data, here + 1, capture, self.length - base, moment)
+                self.at = base + (min(len(data), self.length - base) if found is None else found)
+                yield (0, 0, 0, 0, self.linktype, "discarded")
+                continue
+            seconds, fraction, size, original = unpack(data, here)
+            moment, note = seconds, "discarded" if size == 0 else None
+            end = self.at + RECORD_HEADER + size
+            if end > self.length or not sound(end):
+                found = next_record(data, here + RECORD_HEADER, capture, self.length - base, moment)
+                if found is not None and base + found < end:
+                    end, note = base + found, "capped"
+                elif end > self.length:
+                    end, note = self.length, "truncated"
+            size = end - self.at - RECORD_HEADER
+            self.at = end
+            yield (
+                seconds * MICROS + fraction // divisor, here + RECORD_HEADER, size, original if note is None else max(size, 0), self.linktype, note
+            )
+
     def _records(self, data: bytes, base: int, stop: int) -> Iterator[Packet]:
         unpack = struct.Struct(self.order + "IIII").unpack_from
         divisor = 1000 if self.nanos else 1
@@ -209,13 +253,7 @@ def guess_start(data: bytes, capture: dict) -> int | None:
     if span <= 0:
         return None
     order = ">" if capture["big_endian"] else "<"
-
-    def word(at: int) -> np.ndarray:
-        places = range(at, at + 4) if order == "<" else range(at + 3, at - 1, -1)
-        total = np.zeros(span, np.uint32)
-        for shift, place in enumerate(places):
-            total |= octets[place : place + span].astype(np.uint32) << (8 * shift)
-        return total
+    word = lambda at: _words(octets, at, span, capture["big_endian"])
 
     if capture["kind"] == "pcapng":
         kind, size = word(0), word(4)
@@ -243,6 +281,91 @@ def next_block(data: bytes, begin: int, order: str) -> int | None:
     return None
 
 
+def sane_header(seconds: int, fraction: int, size: int, original: int, capture: dict, near: int | None) -> bool:
+    """Whether the fields of a record header go together; ``near`` is the time of a packet before."""
+    limit = 1000 * MICROS if capture["nanos"] else MICROS
+    return fraction < limit and size <= capture["snaplen"] and size <= original <= GUESS_WINDOW and (near is None or abs(seconds - near) <= DAY)
+
+
+def next_record(data: bytes, begin: int, capture: dict, end: int, near: int | None) -> int | None:
+    """Offset, from ``begin`` on, of the first chain of RESYNC_RUN sound records, or one that ends at ``end``, the end of the file.
+
+    Without any, of the longest shorter one that has two records or more.
+    """
+    unpack = struct.Struct((">" if capture["big_endian"] else "<") + "IIII").unpack_from
+    best, most = None, 1
+    for window in range(begin, len(data), GUESS_WINDOW):
+        for candidate in _plausible(data, window, capture):
+            at, run, last = candidate, 0, near
+            while run < RESYNC_RUN and at + RECORD_HEADER <= len(data):
+                seconds, fraction, size, original = unpack(data, at)
+                if not size or not sane_header(seconds, fraction, size, original, capture, last) or at + RECORD_HEADER + size > end:
+                    break
+                at, run, last = at + RECORD_HEADER + size, run + 1, seconds
+            if run == RESYNC_RUN or (run and at == end):
+                return candidate
+            if run > most:
+                best, most = candidate, run
+    return best
+
+
+def _plausible(data: bytes, begin: int, capture: dict) -> list[int]:
+    """Offsets of GUESS_WINDOW bytes from ``begin`` on whose sixteen bytes may be a header."""
+    octets = np.frombuffer(data, np.uint8)[begin : begin + GUESS_WINDOW + RECORD_HEADER]
+    span = len(octets) - RECORD_HEADER
+    if span <= 0:
+        return []
+    fraction, size, original = (_words(octets, at, span, capture["big_endian"]) for at in (4, 8, 12))
+    sound = fraction < (1000 * MICROS if capture["nanos"] else MICROS)
+    sound &= (size > 0) & (size <= capture["snaplen"]) & (original >= size) & (original <= GUESS_WINDOW)
+    return (np.flatnonzero(sound) + begin).tolist()
+
+
+def _words(octets: np.ndarray, at: int, span: int, big_endian: bool) -> np.ndarray:
+    """The 32-bit words that begin ``at`` bytes behind each of ``span`` places."""
+    total = np.zeros(span, np.uint32)
+    for shift, place in enumerate(range(at + 3, at - 1, -1) if big_endian else range(at, at + 4)):
+        total |= octets[place : place + span].astype(np.uint32) << (8 * shift)
+    return total
+
+
+def complete_end(data: bytes, capture: dict, base: int, repair: bool) -> tuple[int, str]:
+    """Where the last record ends that ``data``, the bytes of a growing file from ``base`` on, holds whole; the byte order there.
+
+    Damage that a walk stops at (without ``repair``) counts as an end of its own, behind which it will
+    say so; with ``repair`` it is waited for a sound block behind it.
+    """
+    order = ">" if capture["big_endian"] else "<"
+    at = 0
+    if capture["kind"] == "pcap":
+        while at + RECORD_HEADER <= len(data):
+            (size,) = struct.unpack_from(order + "I", data, at + 8)
+            if repair and size > capture["snaplen"]:
+                size = capture["snaplen"]
+            if size > LARGEST_FRAME:
+                return base + len(data), order
+            if at + RECORD_HEADER + size > len(data):
+                break
+            at += RECORD_HEADER + size
+        return base + at, order
+    while at + 12 <= len(data):
+        if data[at : at + 4] == SECTION_BLOCK_BYTES:
+            order = "<" if data[at + 8 : at + 12] == SECTION_MAGIC_LE else ">"
+        (size,) = struct.unpack_from(order + "I", data, at + 4)
+        if size < 12 or size % 4 or size > LARGEST_FRAME:
+            if not repair:
+                return base + len(data), order
+            found = next_block(data, at + 4, order)
+            if found is None:
+                break
+            at = found
+            continue
+        if at + size > len(data):
+            break
+        at += size
+    return base + at, order
+
+
 def _sound_records(data: bytes, at: int, order: str, capture: dict) -> bool:
     unpack = struct.Struct(order + "IIII").unpack_from
     limit = 1000 * MICROS if capture["nanos"] else MICROS
