@@ -291,8 +291,7 @@ ORACLE = {
          FROM (SELECT *, packet_no // 400 AS part FROM plain) WHERE {draw(0)} >= {LOSS}""",
     "s9_chunks": with_(PACKETS) + "SELECT capture_id, packet_no, chunk_id FROM packets",
     "s10_count": with_(PACKETS) + "SELECT capture_id, count(*) AS packets FROM packets GROUP BY 1",
-    "s14_flow_csv": """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity,
-        l_extendedprice, l_discount, l_tax, l_returnflag FROM lineitem""",
+    "s14_flow_csv": "SELECT * FROM lineitem",
     # sinks
     "k1_write": STORED_FRAMES
     + """SELECT capture_id, 24 + sum(16 + length(blank) // 2) AS length, 'pcap' AS kind,

@@ -30,6 +30,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     run.add_argument("--reorder-method", choices=REORDER_METHODS, default="blocks")
     run.add_argument("--run-id", help="name of the run; needed for --resume-parts")
     run.add_argument("--resume-parts", action="store_true", help="go on at the unfinished parts of a run that stopped")
+    run.add_argument("--metadata", action="store_true", help="a JSON file beside each output")
     run.add_argument("--on-length-change", choices=["keep", "revert"], default="keep")
 
     fixed = jobs.add_parser("fix-length", help="force a share of packets to one length")
@@ -95,6 +96,7 @@ def main(argv: list[str] | None = None) -> None:
             on_length_change=args.on_length_change,
             run_id=args.run_id,
             resume_parts=args.resume_parts,
+            metadata=args.metadata,
             **shared,
         )
         print("\n".join(summary(runs)))

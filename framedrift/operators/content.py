@@ -51,7 +51,7 @@ def by_row(
     """Put a sample through a function of one packet; ``rounds`` copying steps came before."""
     df = _sampled(df, pct, seed, step)
     lost = step if track else None
-    return apply_rowwise(df, function, params, batched, flag="_flag", bit=1 << step, copy_unit=1 << rounds, lost_step=lost).drop("_flag")
+    return apply_rowwise(df, function, params, batched, flag="_flag", step=step, copy_unit=1 << rounds, lost_step=lost).drop("_flag")
 
 
 def fix_length(df: DataFrame, length: int, pad: bytes = b"\x0f", flag: str = "selected") -> DataFrame:

@@ -47,15 +47,24 @@ def _replaced(rows: pa.RecordBatch, index: np.ndarray, columns: dict[str, pa.Arr
     return pa.table([columns[n] if n in columns else rows.column(n).take(at) for n in names], names=names)
 
 
+def _noted(before: pa.Array, own: np.ndarray, copies: np.ndarray, step: int) -> pa.Array:
+    """``applied`` of rows, with ``step`` noted in ``own`` ones."""
+    if pa.types.is_list(before.type):
+        rows = zip(before.to_pylist(), own.tolist(), copies.tolist(), strict=True)
+        return pa.array([([step] if copy else [*old, step]) if mine else old for old, mine, copy in rows], before.type)
+    mask = before.to_numpy()
+    return pa.array(np.where(own, np.where(copies, 1 << step, mask | (1 << step)), mask))
+
+
 def row_function(
     schema: T.StructType, function: PacketFunction | BatchFunction, params: dict | None = None, batched: bool = False,
-    flag: str | None = None, bit: int = 0, copy_unit: int = 1, lost_step: int | None = None,
+    flag: str | None = None, step: int | None = None, copy_unit: int = 1, lost_step: int | None = None,
 ):
     """An Arrow table function over rows of ``schema`` with ``frame``, ``copy_no`` and, where there is one, ``applied``.
 
     Rows whose ``flag`` is true (all, without one) and that have a frame go through ``function``; others
     pass. The first of several frames keeps the packet's ``copy_no``, the others get ``copy_unit`` times
-    their number on top. ``bit`` is set in ``applied``; copies hold it alone. Dropped packets give no
+    their number on top. ``step`` is noted in ``applied``, in copies alone. Dropped packets give no
     row, or a row without frame, lost at ``lost_step``, if that is given. ``_closed`` is set, where there
     is such a column, on packets that no later step may edit: lost ones and those of a list.
     """
@@ -86,9 +95,8 @@ def row_function(
             kind, own = kinds[index], wanted[index]
             columns = {"frame": pa.concat_arrays([frames, made]).take(pa.array(place))}
             columns["copy_no"] = pa.array(rows.column("copy_no").to_numpy()[index] + nth * copy_unit)
-            if "applied" in rows.schema.names:
-                before = rows.column("applied").to_numpy()[index]
-                columns["applied"] = pa.array(np.where(own, np.where(nth > 0, bit, before | bit), before))
+            if step is not None:
+                columns["applied"] = _noted(rows.column("applied").take(pa.array(index)), own, nth > 0, step)
             if "_closed" in rows.schema.names:
                 before = rows.column("_closed").to_numpy(zero_copy_only=False)[index]
                 columns["_closed"] = pa.array(before | (own & (kind != SINGLE)))

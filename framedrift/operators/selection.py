@@ -5,7 +5,8 @@ The operators work on a *trace*: packets plus the columns
 * ``part_id``  a run of chunks of one capture, the unit of shuffling and of writing;
 * ``pos``      order inside the chunk, null once a packet is lost;
 * ``copy_no``  0 for the packet itself, other values for its copies, unique per packet;
-* ``applied``  bit mask, bit k set where step k acted on this row;
+* ``applied``  bit mask, bit k set where step k acted on this row; in plans of more than MASK_STEPS steps
+               an array of the numbers of these steps;
 * ``lost_at``  null, the step that dropped the packet, or -1 for a record never readable.
 
 Lost rows stay only when a caller wants statistics; they carry no frame bytes then.
@@ -23,7 +24,9 @@ from framedrift.sources.files import broadcast_if_small, settle
 DEFAULT_CHUNK = 10_000
 DEFAULT_CHUNKS_PER_PART = 16
 CHUNK_KEYS = ("capture_id", "part_id", "chunk_id")
-ORDER_BUCKET_BITS = 12
+ORDER_BUCKET_BITS = 16
+MASK_STEPS = 62  # steps that fit into a bit mask
+COPYING_AT_ONCE = 29  # doublings of a position below 2^32
 ROUNDS_AT_ONCE = 3
 
 
@@ -39,10 +42,12 @@ def start_trace(
     chunk_size: int = DEFAULT_CHUNK,
     chunks_per_part: int = DEFAULT_CHUNKS_PER_PART,
     track: bool = False,
+    wide: bool = False,
 ) -> DataFrame:
     """Turn packets into a trace in which nothing has happened yet.
 
-    ``track`` keeps records without bytes as lost rows, for the statistics.
+    ``track`` keeps records without bytes as lost rows, for the statistics. ``wide`` makes ``applied``
+    an array, for plans of any length.
     """
     df = packets
     if "error" in df.columns:
@@ -62,7 +67,7 @@ def start_trace(
             "part_id": F.floor(F.col("chunk_id") / chunks_per_part).cast("long"),
             "copy_no": F.lit(0).cast("long"),
             "pos": F.when(~unreadable, inside),
-            "applied": F.lit(0).cast("long"),
+            "applied": F.array().cast("array<int>") if wide else F.lit(0).cast("long"),
             "lost_at": F.when(unreadable, F.lit(-1)),
         }
     )
@@ -72,16 +77,35 @@ def alive() -> Column:
     return F.col("lost_at").isNull()
 
 
+def is_wide(df: DataFrame) -> bool:
+    return dict(df.dtypes)["applied"].startswith("array")
+
+
 def mark(df: DataFrame, step: int, hit: Column) -> DataFrame:
-    """Set bit ``step`` of ``applied`` where ``hit``."""
-    marked = F.col("applied").bitwiseOR(F.lit(1 << step).cast("long"))
+    """Note in ``applied`` that ``step`` acted where ``hit``."""
+    if is_wide(df):
+        marked = F.concat("applied", F.array(F.lit(step)))
+    else:
+        marked = F.col("applied").bitwiseOR(F.lit(1 << step).cast("long"))
     return df.withColumn("applied", F.when(hit, marked).otherwise(F.col("applied")))
 
 
-def was_applied(step: int) -> Column:
+def was_applied(step: int, wide: bool = False) -> Column:
+    if wide:
+        return F.array_contains("applied", step)
     return F.col("applied").bitwiseAND(F.lit(1 << step).cast("long")) != 0
 
 
+def renumber(df: DataFrame) -> DataFrame:
+    """The same order with small ``pos`` and ``copy_no``, of a gathered trace: both are below the rows of a chunk.
+
+    Copying doubles the range of both, so plans that copy very often need it now and then.
+    """
+    packet = Window.partitionBy(*CHUNK_KEYS, "packet_no").orderBy("copy_no")
+    place = (F.row_number().over(chunk_order()) - 1).cast("long")
+    return df.withColumns({"pos": F.when(alive(), place), "copy_no": (F.row_number().over(packet) - 1).cast("long")})
+
+
 def chunk_order() -> Window:
     """Packets of one chunk in output order, lost ones last."""
     return Window.partitionBy(*CHUNK_KEYS).orderBy(F.col("pos").asc_nulls_last())
@@ -110,15 +134,14 @@ def _with_copies(df: DataFrame, step: int, hit: Column, position: Column, round_
     """Emit a second row for every hit; ``position`` may use ``_copy`` (0 or 1)."""
     both = F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))
     only = F.array(F.lit(0).cast("long"))
+    own = F.array(F.lit(step)) if is_wide(df) else F.lit(1 << step).cast("long")
     df = df.withColumn("_copy", F.explode(F.when(F.coalesce(hit, F.lit(False)), both).otherwise(only)))
     return df.withColumns(
         {
             "pos": position,
             "copy_no": F.col("copy_no") + F.col("_copy") * (1 << (round_no - 1)),
             # A copy did not exist in earlier steps, so it starts its own record.
-            "applied": F.when(F.col("_copy") == 1, F.lit(1 << step).cast("long")).otherwise(
-                F.col("applied")
-            ),
+            "applied": F.when(F.col("_copy") == 1, own).otherwise(F.col("applied")),
         }
     ).drop("_copy")
 
@@ -305,7 +328,7 @@ def flag_bernoulli(packets: DataFrame, percent: float, seed: int, step: int = 0)
 def exact_thresholds(packets: DataFrame, percent: float, seed: int, step: int = 0) -> DataFrame:
     """Per capture: its total, its k, and the k-th smallest (draw, packet_no).
 
-    Packets are counted in 4096 draw buckets per capture (partial aggregation first), the
+    Packets are counted in 65,536 draw buckets per capture (partial aggregation first), the
     bucket that holds the k-th draw is found on those counts, and only the packets of that
     bucket are ranked. A capture with most of the rows is therefore never sorted whole.
     """

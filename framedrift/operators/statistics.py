@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framedrift.operators.selection import alive, was_applied
+from framedrift.operators.selection import MASK_STEPS, alive, was_applied
 from framedrift.plans.plan import CONTENT_STEPS, Step
 
 
@@ -20,7 +20,7 @@ def counters(plan: list[Step], repaired: bool = False) -> dict[str, Column]:
     kinds = {"loss": "loss_drop", "retransmit": "retransmit_dup", "reorder": "reorder_packets"}
     one = lambda condition: condition.cast("long")
     per_step = {
-        f"step_{s.number}": one(was_applied(s.number) & (alive() if s.type in CONTENT_STEPS else F.lit(True)))
+        f"step_{s.number}": one(was_applied(s.number, len(plan) > MASK_STEPS) & (alive() if s.type in CONTENT_STEPS else F.lit(True)))
         for s in plan
     }
     named = {

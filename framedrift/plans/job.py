@@ -16,9 +16,9 @@ from framedrift.operators.statistics import counters
 from framedrift.plans.fixed_length import DEFAULT_PAD, force_length, force_trace
 from framedrift.plans.perturb import perturb
 from framedrift.plans.plan import Step, plan_text
-from framedrift.sinks.captures import check_sink, finished_parts, place_fragments, write_fragments
+from framedrift.sinks.captures import check_sink, finished_parts, for_each, place_fragments, write_fragments
 from framedrift.sources import discovery
-from framedrift.sources.files import broadcast_if_small, clearing, delete_folder, settle
+from framedrift.sources.files import broadcast_if_small, clearing, delete_folder, resolve, settle
 from framedrift.sources.packets import SPLIT_BYTES, read_packets
 
 RUNS_FOLDER = "_runs"
@@ -174,6 +174,7 @@ def run_captures(
     run_id: str | None = None,
     part_files: bool = False,
     resume_parts: bool = False,
+    metadata: bool = False,
     **options,
 ) -> DataFrame:
     """Perturb a table of captures (see ``discover``); returns the ``runs`` rows of this run.
@@ -181,7 +182,8 @@ def run_captures(
     Repair is on when the plan leaves frame bytes alone and off when it edits them, unless
     ``mode`` says otherwise. ``part_files`` writes finished captures of ``chunks_per_part`` chunks each,
     for outputs that are no mounted file system. ``resume_parts``, with a ``run_id``, lets a run that
-    stopped go on at its unfinished parts when it is started again. ``options`` go to :func:`perturb`.
+    stopped go on at its unfinished parts when it is started again. ``metadata`` writes a JSON file beside
+    each output. ``options`` go to :func:`perturb`.
     """
     if mode is None:
         mode = "STRICT" if any(step.edits_content for step in plan) else "REPAIR"
@@ -194,9 +196,12 @@ def run_captures(
     if resume_parts:
         facts |= {"chunks_per_part": chunks_per_part, "options": json.dumps(options, sort_keys=True)}
         part_of = F.floor(F.floor(F.col("packet_no") / chunk_size) / chunks_per_part).cast("long")
-    return run_trace(
+    runs = run_trace(
         captures, out_root, make_trace, counters(plan, repaired=True), facts, mode, layout, resume, split_bytes, run_id, part_files, part_of
     )
+    if metadata:
+        write_metadata(runs)
+    return runs
 
 
 def run_fixed_length(
@@ -234,6 +239,20 @@ def run_fixed_length(
     return run_trace(captures, out_root, make_trace, counted, facts, "STRICT", split_bytes=split_bytes, **options)
 
 
+def write_metadata(runs: DataFrame) -> None:
+    """A JSON file beside each finished output, as ``metadata_path`` names it, with the ledger's row of the capture."""
+    path = F.concat(F.regexp_replace("output", r"[.]pcap$", ""), F.lit(".metadata.json"))
+    done = runs.filter("status = 'done'").select(path.alias("path"), F.to_json(F.struct(*runs.columns)).alias("text"))
+
+    def write(row: dict) -> None:
+        system, inner = resolve(row["path"])
+        system.create_dir(inner.rpartition("/")[0], recursive=True)
+        with system.open_output_stream(inner) as out:
+            out.write(row["text"].encode())
+
+    for_each(done, write, runs.sparkSession.sparkContext.defaultParallelism)
+
+
 def run_directory(
     spark: SparkSession, in_root: str, out_root: str, plan: list[Step], limit: int | None = None, **options
 ) -> DataFrame:

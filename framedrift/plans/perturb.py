@@ -53,14 +53,16 @@ def perturb(
     list share a time and a dropped one moves no other. They leave rows in their tasks, so the writer
     still finds its parts together.
     """
-    df = selection.start_trace(packets, chunk_size, chunks_per_part, track)
+    df = selection.start_trace(packets, chunk_size, chunks_per_part, track, wide=len(plan) > selection.MASK_STEPS)
     choosing = [step for step in plan if not step.edits_content]
     contents = [step for step in plan if step.edits_content]
     first = next((i for i, step in enumerate(contents) if step.by_row), len(contents))
     if on_length_change == "revert" and first < len(contents):
         first = 0  # all edits of a frame are undone together
     copying = sum(step.type in COPYING_STEPS for step in choosing)
-    editing, late = ([_content_step(step, seed, copying, track) for step in some] for some in (contents[:first], contents[first:]))
+    # Copy numbers are dense again after a renumbering, which leaves 32 bits to the frames of lists.
+    unit = copying if copying <= selection.COPYING_AT_ONCE else 32
+    editing, late = ([_content_step(step, seed, unit, track) for step in some] for some in (contents[:first], contents[first:]))
     multiplying = [
         i for i, step in enumerate(choosing) if step.type in COPYING_STEPS + tuple(CUSTOM_STEPS)
     ]
@@ -83,6 +85,10 @@ def perturb(
         if (step.type == "rate_modify" or method == "blocks") and not gathered:
             df, gathered = selection.gather_parts(df), True
         if step.type in COPYING_STEPS:
+            if rounds % 32 == selection.COPYING_AT_ONCE:
+                df = selection.renumber(df if gathered else selection.gather_parts(df))
+                # Whatever copies there were are numbered below 2^32 now.
+                gathered, rounds, span = True, 32, 1 << 32
             rounds += 1
         if step.type == "loss":
             df = selection.lose(df, step.pct, seed, step.number, track)
@@ -106,6 +112,8 @@ def perturb(
             gathered = gathered and not editing
     if not gathered:
         df = selection.gather_parts(df)
+    if late and copying > selection.COPYING_AT_ONCE:
+        df = selection.renumber(df)
     df = retime(df)
     if not late:
         return df

@@ -227,7 +227,7 @@ def _copy_to(fragment: str, target: str, offset: int) -> None:
         os.close(descriptor)
 
 
-def _for_each(df: DataFrame, action, tasks: int) -> None:
+def for_each(df: DataFrame, action, tasks: int) -> None:
     """Run ``action(row)`` on the executors for every row of a ledger."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,17 +292,17 @@ def place_fragments(ledger: DataFrame, outputs: DataFrame, staging: str, part_fi
 
     if part_files:
         named = placed.withColumn("output", part_output(F.col("output"), F.col("part_id")))
-        _for_each(named, rename_single, tasks)
+        for_each(named, rename_single, tasks)
     else:
-        _for_each(placed.filter("parts = 1"), rename_single, tasks)
+        for_each(placed.filter("parts = 1"), rename_single, tasks)
     if state.several and not part_files:
         check_sink(staging, False)
         target = F.concat(F.lit(staging + "/joined-"), F.md5("capture_id"))
         several = placed.filter("parts > 1").withColumn("target", target)
-        _for_each(several.filter("first"), _start_joined, tasks)
-        _for_each(several, _join_part, tasks)
-        _for_each(several.filter("first"), _finish_joined, tasks)
-        _for_each(several, _drop_fragment, tasks)
+        for_each(several.filter("first"), _start_joined, tasks)
+        for_each(several, _join_part, tasks)
+        for_each(several.filter("first"), _finish_joined, tasks)
+        for_each(several, _drop_fragment, tasks)
     return sized.groupBy("capture_id").agg(
         F.first("output").alias("output"),
         F.min("error").alias("error"),

@@ -43,6 +43,7 @@ from framedrift.sources.packets import (
     packet_batches,
     repairs,
     stepwise,
+    whole_file,
 )
 from framedrift.sources.records import RESYNC, complete_end, read_file_header
 
@@ -188,7 +189,7 @@ class CaptureReader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         if isinstance(partition, Files):
             for path, capture_id, length in partition.files:
-                yield from self._whole(path, capture_id, length)
+                yield from whole_file(path, capture_id, length, self.repair, self.split_bytes, self.with_frames)
             return
         rows = partition.rows
         if rows is None:
@@ -205,20 +206,6 @@ class CaptureReader(DataSourceReader):
             except READ_PROBLEMS as problem:
                 yield failure(row["capture_id"], problem)
 
-    def _whole(self, path: str, capture_id: str, length: int) -> Iterator[pa.RecordBatch]:
-        try:
-            with open_input(path) as source:
-                header = read_file_header(source.read(FILE_HEADER))
-            if header["kind"] == "unknown":
-                raise ValueError("unknown capture format")
-            if header["linktype"] is None:
-                return
-            row = {"capture_id": capture_id, "path": path, "length": length, "stop": length, "split_bytes": self.split_bytes} | header
-            row |= {"start": 0 if header["kind"] == "pcapng" else FILE_HEADER, "first_packet_no": 0, "interfaces": []}
-            yield from stepwise(row, self.repair, self.with_frames)
-        except READ_PROBLEMS as problem:
-            yield failure(capture_id, problem)
-
 
 @dataclass
 class Written(WriterCommitMessage):

@@ -80,6 +80,9 @@ def spread_small(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
-def broadcast_if_small(df: DataFrame, rows: int, limit: int = 500_000) -> DataFrame:
-    """Broadcast hint for a table of known size; beyond ``limit`` the join shuffles."""
-    return F.broadcast(df) if rows <= limit else df
+def broadcast_if_small(df: DataFrame, rows: int, limit: int = 500_000, most_bytes: int = 64 << 20) -> DataFrame:
+    """Broadcast hint for a table of known size, in rows and in Spark's estimate of its bytes; beyond that the join shuffles."""
+    if rows > limit:
+        return df
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if estimate <= most_bytes else df

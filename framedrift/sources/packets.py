@@ -20,11 +20,11 @@ from pyspark.sql import types as T
 
 from framedrift.sources.discovery import FILE_HEADER, decode_header
 from framedrift.sources.files import open_input, settle
-from framedrift.sources.records import GUESS_WINDOW, RESYNC, Walk, guess_start
+from framedrift.sources.records import GUESS_WINDOW, RESYNC, Walk, guess_start, read_file_header
 
 SPLIT_BYTES = 64 << 20
 BATCH_ROWS = 4096
-REPAIR_ROUNDS = 6
+LEAST_PROGRESS = 0.9
 MODES = ("STRICT", "REPAIR", RESYNC)
 READ_PROBLEMS = (OSError, ValueError, IndexError, ArithmeticError, struct.error)
 
@@ -243,15 +243,18 @@ def _index_large(large: DataFrame, split_bytes: int, repair: bool | str) -> Data
     before = F.lag("stop").over(in_order)
     # A range without a start is loose as well, even if the one before it has no end to compare with.
     unsettled = "start is null or (split_no > 0 and not (start <=> _before))"
-    for _ in range(REPAIR_ROUNDS):
+    left = None
+    while True:
         checked = walks.withColumn("_before", before)
         loose = settle(checked.filter(unsettled).select("capture_id", "split_no", F.col("_before").alias("start")))
         count = loose.count()
         if count == 0:
             return walks
         known = loose.filter("start is not null")
-        if known.isEmpty():
+        # In parallel as long as a good part of the borders settles in each round.
+        if known.isEmpty() or (left is not None and count > LEAST_PROGRESS * left):
             break
+        left = count
         again = splits.drop("start").join(known, ["capture_id", "split_no"])
         fixed = _walked(spread(again, count), repair)
         kept = walks.join(known, ["capture_id", "split_no"], "left_anti")
@@ -354,11 +357,42 @@ def read_packets(
     return read_ranges(ranges.repartition(int(tasks)), mode, with_frames)
 
 
+def read_files(files: DataFrame, mode: str = "STRICT", split_bytes: int = SPLIT_BYTES, with_frames: bool = True) -> DataFrame:
+    """Packets of whole files (capture_id, path, length), each read by one task, ``split_bytes`` in memory at a time.
+
+    Row by row, so it works on streaming DataFrames; files may have any size.
+    """
+    repair = repairs(mode)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield from whole_file(row["path"], row["capture_id"], row["length"], repair, split_bytes, with_frames)
+
+    return files.select("capture_id", "path", "length").mapInArrow(read, PACKETS)
+
+
+def whole_file(path: str, capture_id: str, length: int, repair: bool | str, split_bytes: int, with_frames: bool = True) -> Iterator[pa.RecordBatch]:
+    """Packets of a file from its header on, or its error."""
+    try:
+        with open_input(path) as source:
+            header = read_file_header(source.read(FILE_HEADER))
+        if header["kind"] == "unknown":
+            raise ValueError("unknown capture format")
+        if header["linktype"] is None:
+            return
+        row = {"capture_id": capture_id, "path": path, "length": length, "stop": length, "split_bytes": split_bytes} | header
+        row |= {"start": 0 if header["kind"] == "pcapng" else FILE_HEADER, "first_packet_no": 0, "interfaces": []}
+        yield from stepwise(row, repair, with_frames)
+    except READ_PROBLEMS as problem:
+        yield failure(capture_id, problem)
+
+
 def read_content(files: DataFrame, mode: str = "STRICT", with_frames: bool = True) -> DataFrame:
     """Packets of captures whose bytes are in the column ``content``.
 
-    For arriving files of a stream and for file systems only Spark can open; one file is
-    one row here, so it must be below 2 GB. Works on streaming DataFrames.
+    For file systems only Spark can open; one file is one row here, so it must be below 2 GB (``read_files``
+    takes files of any size). Works on streaming DataFrames.
     """
     repair = repairs(mode)
     df = files.withColumn("head", F.substring("content", 1, FILE_HEADER))

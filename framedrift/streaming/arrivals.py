@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -9,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from framedrift.plans.job import run_captures
 from framedrift.plans.plan import Step
 from framedrift.sources import discovery
-from framedrift.sources.packets import read_content
+from framedrift.sources.packets import read_files
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
@@ -31,11 +33,12 @@ def stream_packets(
 ) -> DataFrame:
     """Streaming DataFrame of packets; row-local operators (loss, copies, frame edits) apply to it.
 
-    File contents travel as one value here, so files must be below 2 GB.
+    The stream carries paths and lengths, and each file is read where its packets are needed, a step in
+    memory at a time, so files may have any size.
     """
-    files = _arriving(spark, root, per_batch)
+    files = _arriving(spark, root, per_batch).select("path", "length")
     files = files.withColumn("capture_id", discovery.relative_to(F.col("path"), root))
-    return read_content(files.filter(discovery.outside_encrypted(F.col("capture_id"))), mode)
+    return read_files(files.filter(discovery.outside_encrypted(F.col("capture_id"))), mode)
 
 
 def perturb_arrivals(
@@ -54,13 +57,15 @@ def perturb_arrivals(
     complete and large captures are split as in the batch job. The checkpoint remembers
     finished batches; a repeated batch writes the same bytes under the same run id.
     """
+    # Streams into one output keep ledgers of their own.
+    stream = hashlib.md5(checkpoint.encode()).hexdigest()[:8]
     files = _arriving(spark, in_root, per_batch).select(
         "path", "length", F.col("modificationTime").alias("modification_time")
     )
 
     def run(batch: DataFrame, batch_id: int) -> None:
         captures = discovery.captures_from_listing(batch, in_root)
-        run_captures(captures, out_root, plan, run_id=f"batch-{batch_id}", **options)
+        run_captures(captures, out_root, plan, run_id=f"batch-{stream}-{batch_id}", **options)
 
     writer = files.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

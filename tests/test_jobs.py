@@ -343,3 +343,11 @@ def test_a_job_leaves_nothing_behind(spark, tree):
     run_directory(spark, str(tree / "in"), str(tree / "out"), PLAN, chunk_size=20, split_bytes=500).collect()
     assert set(os.listdir(folder)) == before
     assert not [n for n in os.listdir(tree / "out") if n.startswith("_staging")]
+
+
+def test_metadata_beside_each_output(spark, tree):
+    runs = run_directory(spark, str(tree / "in"), str(tree / "out"), PLAN, chunk_size=20, metadata=True)
+    held = json.loads((tree / "out/d1/capA.metadata.json").read_text())
+    row = runs.filter("capture_id = 'd1/capA'").first()
+    assert held["total_in"] == row.total_in == 230 and held["capture_id"] == "d1/capA" and json.loads(held["plan"])[0]["type"] == "loss"
+    assert not (tree / "out/d2/capJunk.metadata.json").exists()

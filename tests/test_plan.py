@@ -32,7 +32,6 @@ def test_names_defaults_and_aliases():
         [{"type": "loss", "pct": 1.5}],
         [{"type": "loss", "pct": -0.1}],
         [{"type": "reorder", "pct": 0.1, "params": {"m": 1}}],
-        [{"type": "retransmit", "pct": 0.1}] * 31,
     ],
 )
 def test_bad_plans(bad):
@@ -76,3 +75,39 @@ def test_reorder_method_of_a_plan():
     assert steps[0].params == {"m": 5, "method": "greedy"}
     with pytest.raises(ValueError, match="method"):
         plan.read_plan([{"type": "reorder", "pct": 0.1, "params": {"method": "sort"}}])
+
+
+def test_plans_of_any_length(spark):
+    from pyspark.sql import functions as F
+
+    from framedrift.operators.statistics import run_counts
+    from framedrift.plans.perturb import perturb
+
+    df = spark.range(40).select(F.lit("a").alias("capture_id"), F.col("id").alias("packet_no"), (F.col("id") * 10).alias("ts_us"), F.lit(1).alias("linktype"))
+    raw = [{"type": "loss", "pct": 0.02} for _ in range(70)]
+    raw[65] = {"type": "retransmit", "pct": 0.5}
+    steps = plan.read_plan(raw)
+    tracked = perturb(df, steps, 3, 10, track=True)
+    counts = run_counts(tracked, steps).first()
+    lost = tracked.filter("lost_at is not null").collect()
+    assert counts.loss_drop == len(lost) > 5 and all(r.applied[-1] == r.lost_at for r in lost) and any(r.lost_at > 62 for r in lost)
+    assert counts.step_65 == tracked.filter(F.array_contains("applied", 65)).count() == counts.retransmit_dup > 3
+    # The same draws as in a short plan: each step's own.
+    short = perturb(df, plan.read_plan(raw[:60]), 3, 10).select("packet_no").collect()
+    assert {r.packet_no for r in perturb(df, steps, 3, 10).select("packet_no").collect()} <= {r.packet_no for r in short}
+
+
+def test_copying_steps_without_end(spark):
+    from pyspark.sql import functions as F
+
+    from framedrift.plans.perturb import perturb
+
+    df = spark.range(3).select(F.lit("a").alias("capture_id"), F.col("id").alias("packet_no"), (F.col("id") * 10).alias("ts_us"), F.lit(1).alias("linktype"))
+    raw = [{"type": "retransmit", "pct": 1.0 if i in (0, 30, 65) else 0.0} for i in range(66)]
+    rows = perturb(df, plan.read_plan(raw), 3, 10).orderBy("pos").collect()
+    assert [r.packet_no for r in rows] == [0, 1, 2] * 8 and len({(r.packet_no, r.copy_no) for r in rows}) == 24
+    assert [r.ts_new_us for r in rows] == sorted({r.ts_new_us for r in rows})
+    plan.register_row_step("twice", lambda frame: [frame, frame])
+    df = df.withColumn("frame", F.encode(F.col("packet_no").cast("string"), "UTF-8")).withColumn("orig_len", F.lit(1).cast("long"))
+    listed = perturb(df, plan.read_plan([*raw, {"type": "twice", "pct": 1}]), 3, 10)
+    assert listed.count() == listed.select("packet_no", "copy_no").distinct().count() == 48
