@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from framedrift.sources.files import settle, shared_folder
 
-__all__ = ["blank_null", "fold", "read_table", "settle", "shared_folder", "split_join"]
+__all__ = ["blank_null", "fold", "read_table", "settle", "shared_folder", "split_join", "unused"]
 
 BATCH_ROWS = 2000
 BATCH_BYTES = 16 << 20
@@ -21,6 +21,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores behind as it takes to differ from ``columns``, case aside."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def blank_null(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 

@@ -12,13 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framedrift.llm.common import fold, settle
+from framedrift.llm.common import fold, settle, unused
 
 UNKNOWN = "und"
 WORD_START = "▁"
 WORDS = re.compile(r"[^\W\d_]+")
 LONGEST_PIECE = 16
-LONGEST_IN_BLOCK = 24  # letters; longer words are summed one by one, scaled at each letter
+LONGEST_IN_BLOCK = 24  # letters; the sums of longer words are kept in logs
+LETTERS_AT_ONCE = 1 << 14
 CACHED_WORDS = 400_000
 SMOOTHING = 0.01
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -92,20 +93,57 @@ class PieceModel:
                 ahead[j, rows] += ahead[i, rows] * self.chance[found[i, j]]
         return order, sizes, found, ahead, ahead[sizes, np.arange(len(words))]
 
-    def _long(self, word: str) -> np.ndarray:
-        """log chance of one long word; the forward sums are scaled at every letter."""
-        word = WORD_START + word
-        ids = {p: i for i, p in enumerate(self.pieces)}
-        recent, log = [np.ones(self.chance.shape[1])], np.zeros(self.chance.shape[1])
-        for j in range(1, len(word) + 1):
-            total = np.zeros(self.chance.shape[1])
-            for k in range(1, min(j, self.longest) + 1):
-                at = ids.get(word[j - k : j], len(self.pieces) if k == 1 else None)
-                if at is not None:
-                    total = total + recent[-k] * self.chance[at]
-            log += np.log(total)
-            recent = [r / total for r in recent[-self.longest :]] + [np.ones_like(total)]
-        return log
+    def _ids(self, prefixes: np.ndarray, sizes: np.ndarray, begin: int, end: int) -> np.ndarray:
+        """Rows of ``chance`` of all pieces that end at the letters begin + 1 to end of each word, by the piece's size."""
+        none = len(self.pieces) + 1
+        ids = np.full((len(prefixes), end - begin, self.longest), none)
+        for k in range(1, self.longest + 1):
+            first = max(begin, k - 1)
+            if first >= end:
+                break
+            power = np.uint64(pow(int(BASE), k, 1 << 64))
+            wanted = prefixes[:, first + 1 : end + 1] - prefixes[:, first + 1 - k : end + 1 - k] * power
+            at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
+            ids[:, first - begin :, k - 1] = np.where(self.hashes[at] == wanted, self.ids[at], none - (k == 1))
+        ids[np.arange(begin, end) >= sizes[:, None]] = none
+        return ids
+
+    def _long(self, words: list[str], language: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(prefixes, sizes, log) of words of any length: log forward sums at each letter, of each word's ``language``.
+
+        Without languages, at the end only and for all of them. Sums are kept relative to the letter before,
+        so nothing underflows.
+        """
+        codes = _codes([WORD_START + w for w in words])
+        prefixes, sizes = self._prefixes(codes), np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
+        width = codes.shape[1]
+        columns = self.chance.shape[1] if language is None else 1
+        ring = np.zeros((len(words), self.longest, columns))
+        ring[:, 0] = 1
+        log = np.zeros((len(words), columns))
+        logs = np.zeros((len(words), width + 1))
+        for begin in range(0, width, LETTERS_AT_ONCE):
+            end = min(width, begin + LETTERS_AT_ONCE)
+            ids = self._ids(prefixes, sizes, begin, end)
+            for j in range(begin, end):
+                at = ids[:, j - begin]
+                chance = self.chance[at] if language is None else self.chance[at, language[:, None]][:, :, None]
+                total = np.where((j < sizes)[:, None], (chance * ring).sum(axis=1), 1.0)
+                log += np.log(total)
+                ring[:, 1:] = ring[:, :-1] / total[:, None]
+                ring[:, 0] = 1
+                if language is not None:
+                    logs[:, j + 1] = log[:, 0]
+        return prefixes, sizes, log if language is None else logs
+
+    @staticmethod
+    def _long_groups(words: list[str], some: list[int]) -> Iterator[np.ndarray]:
+        """Numbers of long words, alike in length, so that a group has about LETTERS_AT_ONCE letters."""
+        some = sorted(some, key=lambda i: len(words[i]))
+        while some:
+            n = max(1, LETTERS_AT_ONCE // len(words[some[-1]]))
+            yield np.array(some[-n:])
+            some = some[:-n]
 
     def log_chance(self, words: list[str]) -> np.ndarray:
         """log of each word's chance in each language, summed over all ways to cut it into pieces."""
@@ -114,14 +152,44 @@ class PieceModel:
         if short:
             order, _, _, _, total = self._block([words[i] for i in short])
             out[np.array(short)[order]] = np.log(total)
-        for i, w in enumerate(words):
-            if len(w) > LONGEST_IN_BLOCK:
-                out[i] = self._long(w)
+        for group in self._long_groups(words, [i for i, w in enumerate(words) if len(w) > LONGEST_IN_BLOCK]):
+            out[group] = self._long([words[i] for i in group])[2]
         return out
 
     def expected(self, words: list[str], language: np.ndarray, times: np.ndarray) -> np.ndarray:
-        """Expected piece counts of words (of up to LONGEST_IN_BLOCK letters) seen ``times`` in ``language``."""
+        """Expected piece counts of words seen ``times`` in ``language``."""
         counts = np.zeros_like(self.chance)
+        short = np.flatnonzero([len(w) <= LONGEST_IN_BLOCK for w in words])
+        if len(short):
+            self._expect_short([words[i] for i in short], language[short], times[short], counts)
+        for group in self._long_groups(words, [i for i, w in enumerate(words) if len(w) > LONGEST_IN_BLOCK]):
+            self._expect_long([words[i] for i in group], language[group], times[group], counts)
+        counts[-1] = 0
+        return counts
+
+    def _expect_long(self, words: list[str], language: np.ndarray, times: np.ndarray, counts: np.ndarray) -> None:
+        """The same for long words: backward sums relative to the letter behind, joined with the forward ones in logs."""
+        prefixes, sizes, ahead = self._long(words, language)
+        whole = ahead[np.arange(len(words)), sizes]
+        width = prefixes.shape[1] - 1
+        behind = np.full((len(words), width + 1), -np.inf)
+        behind[np.arange(len(words)), sizes] = 0.0
+        of = language[:, None]
+        for end in range(width, 0, -LETTERS_AT_ONCE):
+            begin = max(0, end - LETTERS_AT_ONCE)
+            ids = self._ids(prefixes, sizes, begin, end)
+            for j in range(end, begin, -1):  # pieces that end at letter j add to what is behind their beginnings
+                k = min(j, self.longest)
+                at = ids[:, j - 1 - begin, :k]
+                chance = self.chance[at, of]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    logs = np.log(chance) + behind[:, j, None]
+                    places = behind[:, j - k : j][:, ::-1]
+                    behind[:, j - k : j] = np.logaddexp(places, np.where(chance > 0, logs, -np.inf))[:, ::-1]
+                    used = np.exp(ahead[:, j - k : j][:, ::-1] + logs - whole[:, None]) * times[:, None]
+                np.add.at(counts, (at, np.broadcast_to(of, at.shape)), np.where(chance > 0, used, 0.0))
+
+    def _expect_short(self, words: list[str], language: np.ndarray, times: np.ndarray, counts: np.ndarray) -> None:
         order, sizes, found, ahead, total = self._block(words)
         language, weight = language[order], times[order] / np.maximum(total[np.arange(len(words)), language[order]], 1e-300)
         behind = np.zeros((ahead.shape[0], len(words)))
@@ -133,8 +201,6 @@ class PieceModel:
                 used = self.chance[ids, language[:n]] * behind[j, :n]
                 behind[i, :n] += used
                 np.add.at(counts, (ids, language[:n]), used * ahead[i, np.arange(n), language[:n]] * weight[:n])
-        counts[-1] = 0
-        return counts
 
 
 def sample_per_language(docs: DataFrame, sizes: dict[str, int], most: int) -> DataFrame:
@@ -163,7 +229,7 @@ def train(docs: DataFrame, model_path: str, key: str, text: str, lang: str, per_
             seen: dict[tuple[str, str], int] = {}
             for t, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for w in WORDS.findall((t or "").lower()):
-                    if len(w) <= LONGEST_IN_BLOCK and w.isalpha():
+                    if w.isalpha():
                         seen[x, w] = seen.get((x, w), 0) + 1
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())],
@@ -242,7 +308,8 @@ def identify(
                 logs, letters = logs[:0], letters[:0]
             yield pd.DataFrame(out, columns=["lang_pred", "score"])
 
-    found = docs.withColumn("_found", predict(F.col(text)))
+    (_found,) = unused(docs.columns, "_found")
+    found = docs.withColumn(_found, predict(F.col(text)))
     return found.withColumns(
-        {"held_out": fold(key) == 0, "lang_pred": F.col("_found.lang_pred"), "score": F.col("_found.score")}
-    ).drop("_found")
+        {"held_out": fold(key) == 0, "lang_pred": F.col(_found)["lang_pred"], "score": F.col(_found)["score"]}
+    ).drop(_found)

@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from framedrift.llm import language
 from tests.llm.material import ODD, table
@@ -53,6 +54,41 @@ def test_expected_counts_are_the_slope_of_the_log_chance():
             assert math.isclose(counts[piece, lang], n * slope, abs_tol=1e-3)
 
 
+def test_expected_counts_of_long_words(monkeypatch):
+    model = some_model()
+    words = ["ab" * 14 + "xé", "bab" * 30, "a" * 25, "ab" * 14 + "xé"]
+    lang, times = np.array([0, 2, 1, 1]), np.array([2, 3, 1, 5])
+    sums = model.expected(words, lang, times)
+    for step in (1 << 14, 7):
+        monkeypatch.setattr(language, "LETTERS_AT_ONCE", step)
+        assert np.allclose(model.expected(words, lang, times), sums)
+    monkeypatch.setattr(language, "LONGEST_IN_BLOCK", 1000)
+    assert np.allclose(model.expected(words, lang, times), sums)
+    # Each letter, and the mark of the start, is in just one piece.
+    held = np.array([len(p) for p in PIECES] + [1, 0])
+    for x in range(3):
+        assert math.isclose(held @ sums[:, x], sum(n * (len(w) + 1) for w, n, of in zip(words, times, lang) if of == x))
+
+
+def test_words_without_spaces_are_learned(spark):
+    """Sentences that are one word each: thousands of letters, and the languages differ in nothing else."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(120):
+        lang = ["aa", "bb"][i % 2]
+        rows.append((i, "".join(rng.choice(["the", "and", "ing", "ion"] if lang == "aa" else ["der", "und", "sch", "ein"], 60)), lang))
+    rows.append((1000, "".join(rng.choice(["der", "sch", "ein"], 7000)), None))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r.doc_id: r for r in language.identify(docs, MODEL).collect()}
+    assert all(r.lang_pred == r.lang for i, r in found.items() if i < 1000) and found[1000].lang_pred == "bb"
+
+
+def test_clashing_names(spark):
+    docs = table(spark, ["some words here", "more of them"]).withColumn("_found", F.lit("mine")).withColumn("LANG_PRED", F.lit("x"))
+    rows = language.identify(docs, MODEL, per_language=50).collect()
+    assert {r._found for r in rows} == {"mine"} and all(r.score > 0 for r in rows)
+
+
 def test_held_out_languages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = language.identify(docs, MODEL, per_language=50).where("held_out").collect()
