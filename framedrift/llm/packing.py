@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CAPACITY = 1024
+OPEN_TOKENS = 4_000_000  # of a task's partly filled windows
 END_ID = 0
 ID = np.dtype("<u4")
 
@@ -64,8 +65,12 @@ class Packer:
 
     def __init__(self, capacity: int):
         self.capacity = capacity
-        self.counts = np.zeros(capacity + 1, np.int64)
-        self.windows: list[list[list[Piece]]] = [[] for _ in range(capacity)]
+        self.clear()
+
+    def clear(self) -> None:
+        self.open_tokens = 0
+        self.counts = np.zeros(self.capacity + 1, np.int64)
+        self.windows: list[list[list[Piece]]] = [[] for _ in range(self.capacity)]
 
     def place(self, piece: Piece) -> list[Piece] | None:
         """The window of the piece, if that is full now."""
@@ -80,12 +85,25 @@ class Packer:
         window = self.windows[level].pop() if level else []
         self.counts[level] -= level > 0
         window.append(piece)
+        self.open_tokens += size
         if level + size == full:
+            self.open_tokens -= full
             return window
         self.windows[level + size].append(window)
         self.counts[level + size] += 1
         return None
 
+    def fill_up(self) -> list[list[Piece]]:
+        """Full windows made of the open ones by cuts; the one that stays partly filled stays open."""
+        left = list(self.finish())
+        self.clear()
+        if left and sum(len(p.ids) for p in left[-1]) < self.capacity:
+            window = left.pop()
+            level = self.open_tokens = sum(len(p.ids) for p in window)
+            self.windows[level].append(window)
+            self.counts[level] += 1
+        return left
+
     def finish(self) -> Iterator[list[Piece]]:
         """The windows left over, the fullest filled up with cuts from the emptiest: one at most stays partly filled."""
         left = [(h, w) for h in range(self.capacity - 1, 0, -1) for w in self.windows[h]]
@@ -114,14 +132,16 @@ def pack(
     text: str = "text",
     capacity: int = CAPACITY,
     with_ids: bool = False,
+    open_tokens: int = OPEN_TOKENS,
 ) -> DataFrame:
     """Pack all documents into windows of ``capacity`` tokens; one row per piece of a document.
 
     ``tokenizer`` is the path of a byte-level BPE file that every executor can read, and ``ranks``, if
     given, that of the same vocabulary as ranks. A document is its tokens and then END_ID. Whole windows are cut off long documents; what is left goes to a partly
     filled window by the sum-of-squares rule. Each task packs the rows it reads, in their order, with
-    only its partly filled windows in memory (their number is bounded by the rule, not by the rows),
-    and at its end fills up what is left over with cuts, so a task pads one window at most. A task that
+    only its partly filled windows in memory. Where no two pieces fit, these would be all it has read: once
+    they hold more than ``open_tokens``, the fullest are filled up with cuts from the emptiest, as at the
+    end of the task, so a task pads one window at most. A task that
     is run again packs the same rows the same way; the input should be a stored table.
 
     Null and empty texts are one END_ID. Repeated rows are packed as often as they occur. Null keys are
@@ -160,6 +180,8 @@ def pack(
                     done = packer.place(Piece((k, len(ids)), at, ids[at : at + capacity]))
                     if done:
                         full.append(done)
+                if packer.open_tokens > open_tokens:
+                    full += packer.fill_up()
             yield rows_of(full, number, key_type)
             number += len(full)
         yield rows_of(list(packer.finish()), number, key_type)

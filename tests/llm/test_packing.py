@@ -67,3 +67,26 @@ def test_level_choice_is_the_least_sum_of_squares():
         after[best + size] += best + size < 16
         assert (packer.counts == after).all() and (done is not None) == (best + size == 16)
         assert [len(w) for w in packer.windows] == packer.counts[:16].tolist()
+
+
+def test_open_windows_are_bounded(spark):
+    """Pieces of which no two fit into a window: they are cut once too many wait."""
+    packer = packing.Packer(100)
+    pieces = [packing.Piece((i, 60), 0, np.full(60, i, packing.ID)) for i in range(500)]
+    full, most = [], 0
+    for piece in pieces:
+        if done := packer.place(piece):
+            full.append(done)
+        most = max(most, packer.open_tokens)
+        if packer.open_tokens > 1000:
+            full += packer.fill_up()
+    assert most <= 1060 and packer.open_tokens == sum(len(p.ids) for level in packer.windows for w in level for p in w)
+    left = list(packer.finish())
+    assert all(sum(len(p.ids) for p in w) == 100 for w in [*full, *left[:-1]])
+    parts = sorted((p.row[0], p.start, len(p.ids)) for w in [*full, *left] for p in w)
+    for i in range(500):
+        mine = [(s, n) for row, s, n in parts if row == i]
+        assert sum(n for _, n in mine) == 60 and all(a + n == b for (a, n), (b, _) in zip(mine, mine[1:]))
+    docs = table(spark, [prose(i, 150) for i in range(40)])
+    few, many = (packing.pack(docs, *PATHS, open_tokens=x).groupBy("doc_id").sum("length").collect() for x in (1500, 1 << 40))
+    assert sorted(few) == sorted(many)
