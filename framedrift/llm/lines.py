@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framedrift.llm.common import blank_null, settle, split_join
+from framedrift.llm.common import blank_null, settle, split_join, unused
 
 #: A line ends at a line feed, or at the end of a sentence, as a paragraph is often one physical line.
 LINE_END = r"(?<=\n)|(?<=[.!?]\x20)"
@@ -126,16 +126,17 @@ def drop_repeated_lines(
     no copies of each other. Null keys come first. Columns named n_lines or removed are replaced; all
     others are kept.
     """
-    gone = repeated_lines(docs, key, text, least_words, most_lines)
-    rows = docs.drop("n_lines", "removed").withColumn("_row", row_hash(key, text)).join(gone, "_row", "left")
+    _row, _cut, _gone = unused(docs.columns, "_row", "_cut", "gone")
+    gone = repeated_lines(docs, key, text, least_words, most_lines).withColumnsRenamed({"_row": _row, "gone": _gone})
+    rows = docs.drop("n_lines", "removed").withColumn(_row, row_hash(key, text)).join(gone, _row, "left")
     # A column of its own, as a lambda would cut the text anew for each line.
-    rows = rows.withColumn("_cut", cut_lines(F.col(text)))
-    left = F.array_except(F.sequence(F.lit(0), F.size("_cut") - 1), F.col("gone"))
-    cleaned = F.array_join(F.transform(left, lambda i: F.get("_cut", i)), "")
+    rows = rows.withColumn(_cut, cut_lines(F.col(text)))
+    left = F.array_except(F.sequence(F.lit(0), F.size(_cut) - 1), F.col(_gone))
+    cleaned = F.array_join(F.transform(left, lambda i: F.get(_cut, i)), "")
     return rows.withColumns(
         {
-            "n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size("_cut")),
-            "removed": F.coalesce(F.array_sort("gone"), F.array().cast("array<int>")),
-            text: F.when(F.col("gone").isNull(), F.col(text)).otherwise(cleaned),
+            "n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size(_cut)),
+            "removed": F.coalesce(F.array_sort(_gone), F.array().cast("array<int>")),
+            text: F.when(F.col(_gone).isNull(), F.col(text)).otherwise(cleaned),
         }
-    ).drop("_row", "_cut", "gone")
+    ).drop(_row, _cut, _gone)

@@ -130,9 +130,15 @@ def scan_new(versions: DataFrame, ledger_path: str, rules: list[Rule], text: str
 def findings(versions: DataFrame, ledger_path: str, rules: list[Rule], keys: list[str], text: str = "text") -> DataFrame:
     """One row per row of ``versions``: keys, blob_id, and ``found``, its spans sorted by start, then rule.
 
+    Keys are columns of ``versions``, of any names and with nulls; one that is called blob_id stands in the
+    place of the blob's id. Repeated rows are found as often as they stand, null texts as empty ones. An
+    empty table gives no rows. Positions in long texts are those of the whole text.
+
     Only blobs with a finding are joined; those that very many paths share are broadcast.
     """
-    rows = settle(with_blob(versions, text).select(*keys, "blob_id"))
+    named = {f"_key{i}": k for i, k in enumerate(keys)}
+    rows = versions.select(*[F.col(k).alias(n) for n, k in named.items()], F.col(text).alias("_text"))
+    rows = settle(with_blob(rows, "_text").select(*named, "blob_id"))
     rank = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.kind, i)])
     current = F.concat_ws("@", "kind", "version").isin([r.name for r in rules])
     spans = (
@@ -142,4 +148,6 @@ def findings(versions: DataFrame, ledger_path: str, rules: list[Rule], keys: lis
         .agg(F.array_sort(F.collect_set(F.struct("s.start", rank[F.col("kind")].alias("rank"), "s.end", "kind"))).alias("found"))
     )
     copies = rows.groupBy("blob_id").agg(F.count("*").alias("_copies"))
-    return split_join(rows, spans.join(copies, "blob_id"), ["blob_id"], "_copies", rows.count(), "left").drop("_copies")
+    found = split_join(rows, spans.join(copies, "blob_id"), ["blob_id"], "_copies", rows.count(), "left")
+    blob = [] if "blob_id" in keys else ["blob_id"]
+    return found.select(*[F.col(n).alias(k) for n, k in named.items()], *blob, "found")

@@ -216,7 +216,9 @@ def find_leaks(
     whole = items.where(F.col(item).isNotNull()).groupBy(plain.alias("_plain")).agg(
         F.min(F.struct(F.col(item).alias("id"), F.col(item_text).alias("text"))).alias("_i")
     )
-    known = settle(_open(whole.select(F.col("_i.id").cast("long").alias("_id"), F.col("_i.text").alias("_text")), [], None, True))
+    # Items are known by a hash of their text, as ids may be of any type.
+    whole = whole.select(F.xxhash64("_plain").alias("_id"), F.col("_i.id").alias("_name"), F.col("_i.text").alias("_text"))
+    known = settle(_open(whole.drop("_name"), [], None, True))
     per_item = known.groupBy("_id", "names").agg(F.count("*").alias("n"), F.count_if(~F.col("verbatim")).alias("n_free"))
     known = known.join(per_item, ["_id", "names"]).select(
         F.col("_id").alias("_item"), "names", "size", "hash", "template", F.col("start").alias("_at"), F.col("slots").alias("_slots"), "verbatim", "n", "n_free"
@@ -249,6 +251,7 @@ def find_leaks(
         .agg(F.max("windows").alias("windows"), F.max("covered").alias("covered"), F.min("changed").alias("changed"))
     )
     names = rows.select("_id", "_key").distinct()
+    shown = shown.join(whole.select(F.col("_id").alias("_item"), "_name"), "_item")
     return shown.join(names, "_id").select(
-        F.col("_key").alias(key), F.col("_item").alias(item), F.col("windows").cast("long").alias("windows"), "covered", "changed"
+        F.col("_key").alias(key), F.col("_name").alias(item), F.col("windows").cast("long").alias("windows"), "covered", "changed"
     )

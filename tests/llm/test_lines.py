@@ -1,6 +1,8 @@
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from framedrift.llm import lines
 from tests.llm.material import ODD, prose, table
 
@@ -63,3 +65,13 @@ def test_repeated_rows_and_empty_table(spark):
     rows = lines.drop_repeated_lines(table(spark, [(None, P[0]), (7, P[0]), (7, P[0]), (9, P[1]), (9, P[1])])).collect()
     assert Counter((r.doc_id, r.text) for r in rows) == {(None, P[0]): 1, (7, ""): 2, (9, P[1]): 2}
     assert lines.drop_repeated_lines(table(spark, [])).count() == 0
+
+
+def test_own_columns_of_the_operators_names_are_kept(spark):
+    text = prose(400, 30) + ". "
+    docs = table(spark, [text + prose(401, 5), text + prose(402, 5)])
+    for name in ("gone", "_row", "_cut", "GONE", "_lines"):
+        docs = docs.withColumn(name if name != "GONE" else "gone_", F.lit(name))
+    rows = {r.doc_id: r for r in lines.drop_repeated_lines(docs).collect()}
+    assert rows[1].removed == [0] and rows[0].removed == []
+    assert all((r.gone, r._row, r._cut, r.gone_, r._lines) == ("gone", "_row", "_cut", "GONE", "_lines") for r in rows.values())

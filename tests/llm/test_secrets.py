@@ -58,3 +58,11 @@ def test_empty_table(spark, tmp_path):
     docs, ledger = table(spark, []), str(tmp_path / "ledger")
     assert secrets.scan_new(docs, ledger, secrets.BASE_RULES) == 0
     assert secrets.findings(docs, ledger, secrets.BASE_RULES, ["doc_id"]).count() == 0
+
+
+def test_keys_of_any_name(spark, tmp_path):
+    docs = table(spark, ["password = hunter22", None, "nothing"]).withColumnRenamed("fp", "blob_id").withColumnRenamed("n", "found")
+    ledger = str(tmp_path / "ledger")
+    secrets.scan_new(docs, ledger, secrets.BASE_RULES)
+    rows = secrets.findings(docs, ledger, secrets.BASE_RULES, ["doc_id", "blob_id", "_key"]).collect()
+    assert {(r.doc_id, r.blob_id, r._key, bool(r.found)) for r in rows} == {(0, "x", "x", True), (1, "x", "x", False), (2, "x", "x", False)}

@@ -85,3 +85,17 @@ def test_windows_of_placeholders_match_verbatim(spark):
     found = {(r.doc_id, r.item_id): r for r in templates.find_leaks(table(spark, texts), rows).collect()}
     assert {k: r.changed for k, r in found.items()} == {(0, 1): False, (2, 2): False, (4, 3): True}
     assert found[2, 2].covered == 1.0
+
+
+def test_items_named_by_texts(spark):
+    rows = spark.createDataFrame([("gsm-1", ITEMS[2]), ("gsm-2", ITEMS[1]), (None, ITEMS[3])], "item_id string, text string")
+    found = templates.find_leaks(table(spark, [prose(1, 20) + " " + ITEMS[2], ITEMS[3]]), rows)
+    assert [(r.doc_id, r.item_id) for r in found.collect()] == [(0, "gsm-1")]
+
+
+def test_texts_read_together_do_not_meet(spark, monkeypatch):
+    half = ITEMS[2].split()
+    texts = [" ".join(half[:20]) + " x", "", " ".join(half[20:]), None, " ".join(half[:25]), " ".join(half[25:])] * 3
+    found = set(leaks(spark, texts))
+    monkeypatch.setattr(templates, "GROUP_TOKENS", 1)
+    assert set(leaks(spark, texts)) == found
