@@ -217,12 +217,22 @@ def _rename(system: fs.FileSystem, source: str, target: str) -> None:
 
 
 def _copy_to(fragment: str, target: str, offset: int) -> None:
-    """Write a fragment's bytes at ``offset`` of ``target``, which exists; repeating it changes nothing."""
+    """Write a fragment's bytes at ``offset`` of ``target``, which exists; repeating it changes nothing.
+
+    The file system copies by itself where it can, some by sharing the blocks.
+    """
     descriptor = os.open(target, os.O_WRONLY)
     try:
         with open(fragment, "rb") as source:
+            at, size = 0, os.fstat(source.fileno()).st_size
+            try:
+                while at < size and (n := os.copy_file_range(source.fileno(), descriptor, size - at, at, offset + at)):
+                    at += n
+            except (AttributeError, OSError):  # another device, or a system that cannot
+                pass
+            source.seek(at)
             while data := source.read(COPY_BYTES):
-                offset += os.pwrite(descriptor, data, offset)
+                at += os.pwrite(descriptor, data, offset + at)
     finally:
         os.close(descriptor)
 
