@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,7 @@ STOP = re.compile(rb"[.,;:!?\x0a-\x0d]")
 STOPS = [bytes([c]) for c in b".,;:!?\n\x0b\x0c\r"]
 FILTER_BITS = 24
 SLOT_BITS = 40  # of a pair's hash: pairs that share a slot are counted together, and only found frequent too often
+BUCKET_BITS = 12  # of a slot, by which its counts are dealt to tasks
 SLOTS_HELD = 4_000_000  # by a task, before it hands their counts on
 BLOCK_TOKENS = 2_000_000  # counted together
 PIECE_BYTES = 1 << 20  # of a long text, cut into tokens at once
@@ -71,13 +73,6 @@ class Numbers:
         return self.hash
 
 
-def single_words(numbers: Numbers, ids: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    counts = np.bincount(ids, minlength=1)
-    counts[0] = 0
-    found = np.flatnonzero(counts)
-    return [found], counts[found]
-
-
 def pair_slots(h: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Slot of each pair of neighbours, by their hashes."""
     return ((h[ids[:-1]] << np.uint64(1)) ^ h[ids[1:]]) >> np.uint64(64 - SLOT_BITS)
@@ -122,9 +117,6 @@ def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return slots[first], np.add.reduceat(counts[order], first) if len(first) else counts
 
 
-Counting = Callable[..., tuple[list[np.ndarray], np.ndarray]]
-
-
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Numbers]]:
     """Languages and numbered words of rows (lang, text), whenever there are BLOCK_TOKENS, and at the end."""
     known: dict[str, Numbers] = {}
@@ -142,48 +134,130 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Numbers]]:
     yield from ((x, n) for x, n in known.items() if n.held)
 
 
-def unpacked(table: np.ndarray | None) -> list[np.ndarray]:
-    return [] if table is None else [np.unpackbits(table, bitorder="little").view(bool)]
+def unpacked(table: np.ndarray) -> np.ndarray:
+    return np.unpackbits(table, bitorder="little").view(bool)
+
+
+def counted_rows(lang: str, numbers: Numbers, columns: list[np.ndarray], counts: np.ndarray) -> pa.RecordBatch:
+    """Rows (lang, w0 .. w4, n) of word numbers and counts."""
+    words = pa.array(numbers.words, pa.binary())
+    columns = [words.take(pa.array(c)) for c in columns]
+    columns += [pa.array([ABSENT], pa.binary()).take(pa.array(np.zeros(len(counts), np.int64)))] * (LONGEST - len(columns))
+    langs = pa.array([lang], pa.string()).take(pa.array(np.zeros(len(counts), np.int64)))
+    return pa.RecordBatch.from_arrays([langs, *columns, pa.array(counts.astype(np.int64))], ["lang", *WORDS, "n"])
+
+
+COUNTED = ", ".join(["lang string", *[f"{w} binary" for w in WORDS], "n long"])
 
 
-def counts_in_blocks(rows: DataFrame, counting: Counting, table: np.ndarray | None = None) -> DataFrame:
-    """Partial counts (lang, w0 .. w4, n) of rows (lang, text) by ``counting``; ``table`` is a packed bit table."""
+def word_counts(rows: DataFrame) -> DataFrame:
+    """Partial counts (lang, w0, n) of words: one for each task, as long as it keeps their numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple[Numbers, np.ndarray]] = {}
+
+        def counted(lang: str) -> pa.RecordBatch:
+            numbers, counts = held[lang]
+            found = np.flatnonzero(counts[1:]) + 1
+            return counted_rows(lang, numbers, [found], counts[found])
+
+        for lang, numbers in blocks(batches):
+            if lang in held and held[lang][0] is not numbers:
+                yield counted(lang)
+                del held[lang]
+            counts = np.bincount(numbers.take(), minlength=len(numbers.words))
+            if lang in held:
+                before = held[lang][1]
+                counts[: len(before)] += before
+            held[lang] = numbers, counts
+        for lang in held:
+            yield counted(lang)
+
+    return rows.select("lang", "text").mapInArrow(run, COUNTED)
+
+
+def window_counts(rows: DataFrame, table: np.ndarray) -> DataFrame:
+    """Partial counts (lang, w0 .. w4, n) of windows; ``table`` is the packed bit table of pairs."""
     shared = rows.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = unpacked(shared.value)
         for lang, numbers in blocks(batches):
-            columns, counts = counting(numbers, numbers.take(), *frequent)
-            words = pa.array(numbers.words, pa.binary())
-            columns = [words.take(pa.array(c)) for c in columns]
-            columns += [pa.array([ABSENT], pa.binary()).take(pa.array(np.zeros(len(counts), np.int64)))] * (LONGEST - len(columns))
-            langs = pa.array([lang], pa.string()).take(pa.array(np.zeros(len(counts), np.int64)))
-            yield pa.RecordBatch.from_arrays([langs, *columns, pa.array(counts.astype(np.int64))], ["lang", *WORDS, "n"])
+            yield counted_rows(lang, numbers, *windows(numbers, numbers.take(), frequent))
+
+    return rows.select("lang", "text").mapInArrow(run, COUNTED)
+
 
-    schema = ", ".join(["lang string", *[f"{w} binary" for w in WORDS], "n long"])
-    return rows.select("lang", "text").mapInArrow(run, schema)
+def packed(slots: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """Sorted slots and their counts as one row (bucket, slots, counts) for each bucket, by the leading bits of the slot.
+
+    Within a bucket slots are gaps; both are numbers of few bytes, and compressed.
+    """
+    bucket = slots >> (SLOT_BITS - BUCKET_BITS)
+    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(slots)])
+    gaps = np.diff(slots, prepend=0)
+    gaps[first] = slots[first] & ((1 << (SLOT_BITS - BUCKET_BITS)) - 1)
+    ends = np.append(first[1:], len(slots))[: len(first)]
+    cells = [[_squeezed(x[a:b]) for a, b in zip(first.tolist(), ends.tolist(), strict=True)] for x in (gaps, counts)]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[first]), *[pa.array(c, pa.binary()) for c in cells]], ["bucket", "slots", "counts"])
+
+
+def _squeezed(numbers: np.ndarray) -> bytes:
+    """Non-negative numbers, low bytes first by place, so that the high ones, mostly zero, compress."""
+    planes = numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T
+    return zlib.compress(planes.tobytes(), 1)
+
+
+def _unsqueezed(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel().astype(np.int64)
 
 
 def pair_counts(rows: DataFrame, table: np.ndarray) -> DataFrame:
-    """Partial counts (slot, n) of the pairs of neighbours of frequent words."""
+    """Partial counts, as ``packed``, of the pairs of neighbours of frequent words."""
     shared = rows.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = unpacked(shared.value)
         held, size = [], 0
         for _, numbers in blocks(batches):
-            held.append(word_pairs(numbers, numbers.take(), *frequent))
+            held.append(word_pairs(numbers, numbers.take(), frequent))
             size += len(held[-1][0])
             if size > 2 * SLOTS_HELD:
                 held = [merged(held)]
                 size = len(held[0][0])
                 if size > SLOTS_HELD:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], ["slot", "n"])
+                    yield packed(*held[0])
                     held, size = [], 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged(held)], ["slot", "n"])
+            yield packed(*merged(held))
+
+    return rows.select("lang", "text").mapInArrow(run, "bucket long, slots binary, counts binary")
+
+
+def frequent_slots(partial: DataFrame, least: int) -> DataFrame:
+    """Slots with ``least`` pairs or more, from ``packed`` partial counts: summed bucket by bucket in sorted order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, current = [], None
+
+        def summed() -> pa.RecordBatch:
+            slots, counts = merged(held)
+            return pa.RecordBatch.from_arrays([pa.array(slots[counts >= least] + (current << (SLOT_BITS - BUCKET_BITS)))], ["slot"])
+
+        for batch in batches:
+            for bucket, slots, counts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if held and bucket != current:
+                    yield summed()
+                    held = []
+                current = bucket
+                held.append((np.cumsum(_unsqueezed(slots)), _unsqueezed(counts)))
+                if sum(len(s) for s, _ in held) > 2 * SLOTS_HELD:
+                    held = [merged(held)]
+        if held:
+            yield summed()
 
-    return rows.select("lang", "text").mapInArrow(run, "slot long, n long")
+    return partial.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "slot long")
 
 
 def bit_table(slot: Column, bits: int, rows: DataFrame) -> np.ndarray:
@@ -319,13 +393,12 @@ def mine_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     """
     rows = docs.select(F.coalesce(F.col(lang), F.lit(NO_LANGUAGE)).alias("lang"), blank_null(text).alias("text"))
     total = F.sum("n").alias("n")
-    single = settle(counts_in_blocks(rows, single_words).groupBy("lang", *WORDS).agg(total))
+    single = settle(word_counts(rows).groupBy("lang", *WORDS).agg(total))
     sizes = settle(single.groupBy("lang").agg(F.sum("n").alias("total")))
     single = single.where(F.col("n") >= least)
     table = bit_table(F.xxhash64("lang", "w0"), 64, single)
-    pairs = pair_counts(rows, table).groupBy("slot").agg(total).where(F.col("n") >= least)
-    table = bit_table(F.col("slot"), SLOT_BITS, pairs)
-    found = counts_in_blocks(rows, windows, table).repartition("lang", *WORDS[:2]).sortWithinPartitions("lang", *WORDS)
+    table = bit_table(F.col("slot"), SLOT_BITS, frequent_slots(pair_counts(rows, table), least))
+    found = window_counts(rows, table).repartition("lang", *WORDS[:2]).sortWithinPartitions("lang", *WORDS)
     found = prefix_counts(found, least)
 
     words_held = sum((F.when(F.col(w) != F.lit(ABSENT), 1).otherwise(0) for w in WORDS), F.lit(0))

@@ -100,3 +100,15 @@ def test_long_texts_are_read_in_pieces(monkeypatch):
     monkeypatch.setattr(phrases, "PIECE_BYTES", 100)
     cut.read(text)
     assert [whole.words[i] for i in whole.take()] == [cut.words[i] for i in cut.take()]
+
+
+def test_packed_counts_come_back():
+    rng = np.random.default_rng(6)
+    slots = np.unique(rng.integers(0, 1 << phrases.SLOT_BITS, 5000))
+    counts = rng.integers(1, 1 << 40, len(slots))
+    rows = phrases.packed(slots, counts).to_pylist()
+    assert len({r["bucket"] for r in rows}) == len(rows)
+    back = [np.cumsum(phrases._unsqueezed(r["slots"])) + (r["bucket"] << (phrases.SLOT_BITS - phrases.BUCKET_BITS)) for r in rows]
+    assert np.array_equal(np.concatenate(back), slots)
+    assert np.array_equal(np.concatenate([phrases._unsqueezed(r["counts"]) for r in rows]), counts)
+    assert phrases.packed(slots[:0], counts[:0]).num_rows == 0
