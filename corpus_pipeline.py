@@ -30,9 +30,12 @@ def _with_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language the model knows; those without letters, or that fit none well, go.
+    """Documents with letters whose language is told with LEAST_SCORE or more.
 
-    Null and empty texts go. Rows with null ids or languages are judged by their text like all others.
+    The score is a posterior over the languages learned, so it says which of them fits best, not that it
+    fits well: texts in a language that was never learned mostly stay. Null and empty texts go. Rows with
+    null ids or languages are judged by their text like all others. Long texts are read whole. An empty
+    table, or one to learn nothing from, gives no rows; columns of any name are kept.
     """
     kept = docs.columns
     found = language.identify(
@@ -45,7 +48,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their later copies of runs of lines; those with no word left go.
 
-    ``n_chars`` follows the text where there is such a column.
+    ``n_chars`` follows the text where there is such a column. Null, empty and blank texts go; repeated
+    rows get the same result. A text is cut into lines once, however long. An empty table gives no rows;
+    columns of any name are kept.
     """
     kept = docs.columns
     # Columns that carry the names of the operator's results are set aside.
@@ -67,20 +72,29 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of each group of near copies (shingles of WORDS words, LEAST_SIMILARITY or more) the document with the least id.
 
     Rows that repeat an id stay or go together. Rows without an id go if all of them have a near copy
-    with one, and otherwise stay.
+    with one, and otherwise stay. Texts without words are one group. Whole texts are compared; an empty
+    table gives no rows; columns of any name are kept.
     """
     groups = simhash.near_copies(docs, words_per_shingle=WORDS, least=LEAST_SIMILARITY)
     return _with_id(docs, groups.select(F.col("component_id").alias("doc_id")).distinct(), "left_semi")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that show no benchmark item. Rows that repeat an id go together; null ids are one id."""
+    """Documents that show no benchmark item. Rows that repeat an id go together; null ids are one id.
+
+    Null and empty texts stay. Whole texts are searched; without documents or items nothing goes; columns of
+    any name are kept.
+    """
     leaks = templates.find_leaks(docs, read_table(spark, sf_dir, "benchmark"))
     return _with_id(docs, leaks.select("doc_id").distinct(), "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 1024 tokens, with their ids."""
+    """The pieces of all documents in sequences of 1024 tokens, with their ids.
+
+    Null and empty texts are one end token; repeated rows are packed as often as they stand; long texts
+    take several sequences. An empty table gives no rows. Other columns than id and text are not read.
+    """
     names = ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")
     return packing.pack(docs, *map(public_tokenizers.path, names), with_ids=True)
 
