@@ -64,8 +64,8 @@ def mark_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     shuffled; none of them has more than about 2 / (size + 1) of the rows.
 
     Null keys never win over others. Rows that repeat the winning key with the same text are one
-    document given twice: all of them count in ``group_size`` and are ``kept``. Other columns are not
-    read. Returns (key, keep_id, group_size, kept, text_sha256).
+    document given twice: all of them count in ``group_size`` and are ``kept``. Long texts are hashed
+    whole, an empty table gives no rows, and other columns are not read. Returns (key, keep_id, group_size, kept, text_sha256).
     """
     rows = settle(digests(docs, key, text))
     suspects = frequent(rows, "digest", size).select(F.col("item").alias("digest"))

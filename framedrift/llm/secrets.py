@@ -54,7 +54,7 @@ def read_ledger(versions: DataFrame, ledger_path: str) -> DataFrame:
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], LEDGER)
+        return spark.range(0).select(F.inline(F.from_json(F.lit("[]"), f"array<struct<{LEDGER}>>")))
 
 
 def _matches(rule: Rule) -> Column:
@@ -105,6 +105,9 @@ def scan_new(versions: DataFrame, ledger_path: str, rules: list[Rule], text: str
     A text that thousands of paths share is scanned once: grouping by blob keeps one text per task
     before the shuffle. When few blobs are new, only their texts are shuffled at all. Returns the
     number of pairs of blob and rule version that were added. Needs the column ``text`` only.
+
+    Null texts are the empty blob; repeated rows and long texts are blobs like others, a text being worked
+    on whole. An empty table adds nothing.
     """
     spark = versions.sparkSession
     rows = with_blob(versions.select(F.col(text).alias("_text")), "_text")

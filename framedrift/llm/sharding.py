@@ -19,7 +19,7 @@ def shard_by_bytes(docs: DataFrame, shards: int, key: str = "doc_id", text: str
     most half a row at either end. ``slot`` counts from 0 inside a shard.
 
     The size of a row is its UTF-8 bytes plus ROW_BYTES; null texts have none. Null keys come first.
-    Rows equal in key and text may take each other's slots. Other columns are not read; an empty
+    Rows equal in key and text may take each other's slots. A text longer than a shard is one row of it. Other columns are not read; an empty
     table gives an empty result. Returns (key, size, text_crc32, shard, slot).
     """
     order = ["_key", "text_crc32", "size"]

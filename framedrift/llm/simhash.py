@@ -146,8 +146,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     Texts are lower-cased (A-Z), cut at ASCII white space, and hashed in shingles, repeats included; a
     text with fewer words is one shingle; null, empty and blank texts have fingerprint zero and link
     like any other. Fingerprints that differ in two bits or fewer are linked. Null keys have
-    components, but only name one if no other key is in it. Repeated rows share a component. Other
-    columns are not read. Returns (key, fingerprint, component_id).
+    components, but only name one if no other key is in it. Repeated rows share a component. Long texts
+    are hashed piece by piece; an empty table gives no rows. Other columns are not read. Returns (key, fingerprint, component_id).
     """
     rows = settle(fingerprints(docs, key, text, words_per_shingle))
     fps = settle(rows.groupBy("fp").agg(F.min("_key").alias("_least"), F.count("*").alias("_copies")))

@@ -260,7 +260,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
 
     Null and empty texts have no features and score by the intercept. Without labels of both kinds
     the score is the same for all. Conflicting labels of a key count as toxic; labels without key or
-    value are left out. Repeated rows score alike. Other columns are not read.
+    value are left out. Repeated rows score alike. Long texts are read whole; an empty table gives no rows.
+    Other columns are not read.
     """
     weights, intercept = train(docs, labels, key, text, label)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
