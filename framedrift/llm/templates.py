@@ -33,10 +33,25 @@ NUMBER, NAME, UNIT = "<num>", "<name>", "<unit>"
 PLACEHOLDERS = np.array([xxhash.xxh64_intdigest(x) for x in (NUMBER, NAME, UNIT)], np.uint64)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 WORD, CAPITAL, DIGITS, STOP = range(4)
+#: What a token is, by its first character; beyond ASCII the character is asked.
+FIRST = np.array([STOP if chr(c) in ".!?\n" else DIGITS if chr(c).isdigit() else CAPITAL if chr(c).isupper() else WORD for c in range(129)], np.int8)
 #: With all capitalised words as placeholders, with those within sentences, and with names as they are (in lower case).
 LEVELS = ALL_CAPITALS, WITHIN, NO_NAMES = 2, 1, 0
 
 
+class Numbered(dict):
+    """Numbers of tokens; one that is looked up for the first time gets the next number and is listed in ``new``."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, token: str) -> int:
+        number = self[token] = len(self)
+        self.new.append(token)
+        return number
+
+
 class Canon:
     """Templates of texts. Numbers, units after numbers and names become placeholders.
 
@@ -45,24 +60,25 @@ class Canon:
     """
 
     def __init__(self):
-        self.index: dict[str, int] = {}
+        self.index = Numbered()
         self.hash, self.kind, self.unit = (np.zeros(1 << 12, t) for t in (np.uint64, np.int8, bool))
 
     def _ids(self, tokens: list[str]) -> np.ndarray:
-        new = list(set(tokens).difference(self.index))
+        first = len(self.index)
+        ids = np.fromiter(map(self.index.__getitem__, tokens), np.int64, len(tokens))
+        new, end = self.index.new, len(self.index)
         if new:
-            first = len(self.index)
-            end = first + len(new)
             while end > len(self.hash):  # doubled, so that growing costs no more than filling
                 self.hash, self.kind, self.unit = (np.append(x, np.zeros_like(x)) for x in (self.hash, self.kind, self.unit))
-            self.index.update(zip(new, range(first, end), strict=True))
-            lower = [t.lower() for t in new]
-            self.hash[first:end] = np.array([xxhash.xxh64_intdigest(t) for t in lower], np.uint64)
-            self.kind[first:end] = [
-                DIGITS if t[0].isdigit() else STOP if t in ".!?\n" else CAPITAL if t[0].isupper() else WORD for t in new
-            ]
-            self.unit[first:end] = [t in UNITS for t in lower]
-        return np.fromiter(map(self.index.__getitem__, tokens), np.int64, len(tokens))
+            lower = " ".join(new).lower().split(" ")  # all at once; no token holds a space
+            self.hash[first:end] = np.fromiter(map(xxhash.xxh64_intdigest, lower), np.uint64, len(new))
+            letters = np.frombuffer("".join([t[0] for t in new]).encode("utf-32-le"), np.uint32)
+            self.kind[first:end] = FIRST[np.minimum(letters, len(FIRST) - 1)]
+            for i in np.flatnonzero(letters >= len(FIRST) - 1).tolist():
+                self.kind[first + i] = DIGITS if new[i][0].isdigit() else CAPITAL if new[i][0].isupper() else WORD
+            self.unit[first:end] = list(map(UNITS.__contains__, lower))
+            new.clear()
+        return ids
 
     def read(self, tokens: list[str]) -> np.ndarray:
         if len(self.index) > CACHED:
