@@ -18,6 +18,7 @@ from framedrift.sources.packets import (
     fetch,
     read_ranges,
     repairs,
+    scan_tasks,
     spread,
 )
 from framedrift.sources.records import Walk
@@ -67,7 +68,7 @@ def index_captures(captures: DataFrame, mode: str = "STRICT", index_bytes: int =
     facts = ["capture_id", "length", "modification_time"]
     headed = settle(discovery.read_headers(captures))
     ranges = settle(capture_ranges(headed, mode, index_bytes))
-    indexed = _with_facts(spread(ranges, ranges.count()), mode)
+    indexed = _with_facts(spread(ranges, ranges.count(), index_bytes), mode)
     # A file that cannot be read at all has a row that says so.
     unread = headed.filter("error is not null").select("capture_id", "path", *HEADER_COLUMNS, "error")
     indexed = indexed.drop("length").unionByName(unread.withColumn("packets", F.lit(0).cast("long")), allowMissingColumns=True)
@@ -150,7 +151,9 @@ def read_indexed(
         ranges = found.filter(F.col("mode") == mode).select(
             "capture_id", "path", "length", *HEADER_COLUMNS, "start", "stop", "until", "first_packet_no", "interfaces", "error"
         )
-        parts.append(read_ranges(spread(ranges, ranges.count()), mode, with_frames))
+        # Indexes may differ in the size of their ranges, so it is taken from the rows.
+        held = ranges.agg(F.count("*"), F.sum(F.col("stop") - F.col("start"))).first()
+        parts.append(read_ranges(ranges.repartition(scan_tasks(index.sparkSession, held[0], held[1] or 0)), mode, with_frames))
     if not parts:
         return read_ranges(
             index.select("capture_id", "path", "length", *HEADER_COLUMNS, "start", "stop", "until", "first_packet_no", "interfaces", "error"), with_frames=with_frames

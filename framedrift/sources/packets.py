@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,6 +57,7 @@ ARROW_PACKETS = pa.schema(
 HEADER_COLUMNS = ["kind", "big_endian", "nanos", "snaplen", "linktype"]
 WALKED = "capture_id string, split_no long, start long, stop long, until long, n long, delta string, error string"
 SCAN_TASKS = 100_000
+TASKS_PER_CORE = 4
 
 
 def repairs(mode: str) -> bool | str:
@@ -216,16 +217,28 @@ def _walked(splits: DataFrame, repair: bool | str, whole: bool = False) -> DataF
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                found = _walk_whole(row, repair) if whole else [_walk_split(row, repair)]
-                yield pa.RecordBatch.from_pylist(list(found), schema=schema)
+            rows = batch.to_pylist()
+            if not whole:
+                yield pa.RecordBatch.from_pylist([_walk_split(row, repair) for row in rows], schema=schema)
+                continue
+            for row in rows:
+                yield pa.RecordBatch.from_pylist(list(_walk_whole(row, repair)), schema=schema)
 
     return splits.mapInArrow(walk, WALKED)
 
 
-def spread(df: DataFrame, rows: int) -> DataFrame:
-    """One row per task as far as the cluster's default allows; each row is a whole range."""
-    return df.repartition(max(1, min(rows, 100_000)))
+def scan_tasks(spark: SparkSession, ranges: int, size: int) -> int:
+    """Tasks for ``ranges`` of ``size`` bytes in all: one for each SPLIT_BYTES, and a few per core if there are as many ranges.
+
+    Small ranges share a task, as every task of a shuffle costs something for each task before it.
+    """
+    few = TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    return max(1, min(max(-(-size // SPLIT_BYTES), few), ranges, SCAN_TASKS))
+
+
+def spread(df: DataFrame, rows: int, split_bytes: int) -> DataFrame:
+    """Rows that are whole ranges of up to ``split_bytes``, dealt to ``scan_tasks``; a task reads one at a time."""
+    return df.repartition(scan_tasks(df.sparkSession, rows, rows * split_bytes))
 
 
 def _index_large(large: DataFrame, split_bytes: int, repair: bool | str) -> DataFrame:
@@ -237,7 +250,7 @@ def _index_large(large: DataFrame, split_bytes: int, repair: bool | str) -> Data
     first = F.when(F.col("kind") == "pcapng", 0).otherwise(FILE_HEADER).cast("long")
     splits = splits.withColumn("start", F.when(F.col("split_no") == 0, first))
     splits = settle(splits)
-    walks = settle(_walked(spread(splits, splits.count()), repair))
+    walks = settle(_walked(spread(splits, splits.count(), split_bytes), repair))
 
     in_order = Window.partitionBy("capture_id").orderBy("split_no")
     before = F.lag("stop").over(in_order)
@@ -256,7 +269,7 @@ def _index_large(large: DataFrame, split_bytes: int, repair: bool | str) -> Data
             break
         left = count
         again = splits.drop("start").join(known, ["capture_id", "split_no"])
-        fixed = _walked(spread(again, count), repair)
+        fixed = _walked(spread(again, count, split_bytes), repair)
         kept = walks.join(known, ["capture_id", "split_no"], "left_anti")
         walks = settle(kept.unionByName(fixed))
 
@@ -266,7 +279,8 @@ def _index_large(large: DataFrame, split_bytes: int, repair: bool | str) -> Data
     found = F.collect_list(F.struct("split_no", "start", "stop", "delta")).alias("known")
     known = walks.join(loose, "capture_id", "left_semi").groupBy("capture_id").agg(found)
     broken = splits.filter("split_no = 0").join(known, "capture_id")
-    fixed = settle(_walked(spread(broken, loose.count()), repair, whole=True))
+    # One capture a task as far as the cluster goes: they may be of any size.
+    fixed = settle(_walked(spread(broken, loose.count(), SPLIT_BYTES), repair, whole=True))
     kept = walks.join(fixed.select("capture_id", "split_no"), ["capture_id", "split_no"], "left_anti")
     return settle(kept.unionByName(fixed))
 
@@ -346,15 +360,13 @@ def read_packets(
 ) -> DataFrame:
     """Packets of captures that went through ``read_headers``.
 
-    The scan gets as many tasks as there are ranges' worth of bytes; small captures
-    share a task.
+    The scan gets a task for each SPLIT_BYTES, and a few per core if there are as many ranges; small
+    captures and small ranges share a task.
     """
     ranges = settle(capture_ranges(captures, mode, split_bytes))
     size = ranges.agg(F.sum(F.col("stop") - F.col("start")), F.count("*")).first()
-    parallel = captures.sparkSession.sparkContext.defaultParallelism
-    tasks = max((size[0] or 0) // split_bytes + 1, min(parallel, size[1] or 1))
-    tasks = min(tasks, SCAN_TASKS)
-    return read_ranges(ranges.repartition(int(tasks)), mode, with_frames)
+    tasks = scan_tasks(captures.sparkSession, size[1] or 1, size[0] or 0)
+    return read_ranges(ranges.repartition(tasks), mode, with_frames)
 
 
 def read_files(files: DataFrame, mode: str = "STRICT", split_bytes: int = SPLIT_BYTES, with_frames: bool = True) -> DataFrame:

@@ -4,8 +4,9 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from framedrift.sources import discovery
-from framedrift.sources.packets import capture_ranges, read_content, read_packets
+from framedrift.sources import discovery, records
+from framedrift.sources.index import read_indexed, write_index
+from framedrift.sources.packets import SPLIT_BYTES, TASKS_PER_CORE, capture_ranges, read_content, read_packets, scan_tasks
 from tests import build
 
 FRAMES = [build.ether(0x800, build.ipv4(6, build.tcp(i, b"x" * i))) for i in range(3)]
@@ -254,3 +255,26 @@ def test_frames_longer_than_their_block(spark, tmp_path):
     mended = load(spark, tmp_path, mode="REPAIR").collect()
     assert sorted((r.packet_no, bytes(r.frame), r.repaired) for r in mended) == [(0, b"abcdefgh", "capped"), (1, b"next", None)]
     assert [r.error for r in load(spark, tmp_path).collect() if r.error] == ["ValueError: frame longer than its block at byte 48"]
+
+
+def test_many_small_ranges_share_tasks(spark, tmp_path):
+    """Tasks follow bytes and cores, not the number of ranges, for captures and their index."""
+    packets = [(1_600_000_000_000_000 + i * 1000, b"y" * 80) for i in range(4000)]
+    put(tmp_path / "in", "d/capA", build.pcap(packets))
+    put(tmp_path / "in", "d/capB", build.pcap(packets[:5]))
+    df = load(spark, tmp_path / "in", split_bytes=1024)
+    most = TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    assert df.rdd.getNumPartitions() <= most
+    assert [(r.packet_no, r.ts_us) for r in df.filter("capture_id = 'd/capA'").orderBy("packet_no").collect()] == [(i, t) for i, (t, _) in enumerate(packets)]
+    stored = write_index(discovery.discover(spark, str(tmp_path / "in")), str(tmp_path / "index"), index_bytes=1024)
+    assert stored.count() > 300 and len(stored.inputFiles()) <= most
+    found = read_indexed(stored)
+    assert found.count() == 4005 and found.rdd.getNumPartitions() <= most
+
+
+def test_tasks_of_a_scan(spark):
+    few = TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    assert scan_tasks(spark, 0, 0) == scan_tasks(spark, 1, 10) == 1
+    assert scan_tasks(spark, 7, 7 * SPLIT_BYTES) == 7
+    assert scan_tasks(spark, 100_000, 100_000 << 15) == max(few, -(-(100_000 << 15) // SPLIT_BYTES))
+    assert scan_tasks(spark, 5000, 5000 * SPLIT_BYTES) == 5000
