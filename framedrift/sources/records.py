@@ -41,6 +41,7 @@ GUESS_WINDOW = 1 << 20
 GUESS_RUN = 12
 RESYNC = "RESYNC"
 RESYNC_RUN = 3
+FIRST_LOOK = 4 << 10
 DAY = 86_400
 
 Packet = tuple[int, int, int, int, int, str | None]
@@ -243,17 +244,30 @@ class Walk:
         return (linktype, per_second, offset, snaplen)
 
 
+def _looks(begin: int, end: int) -> Iterator[tuple[int, int]]:
+    """Stretches that cover ``begin`` to ``end``, each up to four times the one before: what is sought is mostly near."""
+    size = FIRST_LOOK
+    while begin < end:
+        yield begin, min(size, end - begin)
+        begin, size = begin + size, min(4 * size, GUESS_WINDOW)
+
+
 def guess_start(data: bytes, capture: dict) -> int | None:
     """Offset in ``data`` that looks like the first record of a run of sound records.
 
     Only a proposal: a range is used after it was found to begin where the one before ends.
     """
     octets = np.frombuffer(data, np.uint8)
-    span = min(GUESS_WINDOW, len(octets) - RECORD_HEADER)
-    if span <= 0:
-        return None
     order = ">" if capture["big_endian"] else "<"
-    word = lambda at: _words(octets, at, span, capture["big_endian"])
+    for begin, span in _looks(0, min(GUESS_WINDOW, len(octets) - RECORD_HEADER)):
+        found = _guess_within(data, octets, begin, span, order, capture)
+        if found is not None:
+            return found
+    return None
+
+
+def _guess_within(data: bytes, octets: np.ndarray, begin: int, span: int, order: str, capture: dict) -> int | None:
+    word = lambda at: _words(octets, begin + at, span, capture["big_endian"])
 
     if capture["kind"] == "pcapng":
         kind, size = word(0), word(4)
@@ -265,7 +279,7 @@ def guess_start(data: bytes, capture: dict) -> int | None:
         sound &= (size > 0) & (size <= capture["snaplen"])
         sound &= (original >= size) & (original <= GUESS_WINDOW)
         chain = _sound_records
-    for candidate in np.flatnonzero(sound).tolist():
+    for candidate in (np.flatnonzero(sound) + begin).tolist():
         if chain(data, candidate, order, capture):
             return candidate
     return None
@@ -294,8 +308,8 @@ def next_record(data: bytes, begin: int, capture: dict, end: int, near: int | No
     """
     unpack = struct.Struct((">" if capture["big_endian"] else "<") + "IIII").unpack_from
     best, most = None, 1
-    for window in range(begin, len(data), GUESS_WINDOW):
-        for candidate in _plausible(data, window, capture):
+    for window, span in _looks(begin, len(data) - RECORD_HEADER):
+        for candidate in _plausible(data, window, span, capture):
             at, run, last = candidate, 0, near
             while run < RESYNC_RUN and at + RECORD_HEADER <= len(data):
                 seconds, fraction, size, original = unpack(data, at)
@@ -309,13 +323,10 @@ def next_record(data: bytes, begin: int, capture: dict, end: int, near: int | No
     return best
 
 
-def _plausible(data: bytes, begin: int, capture: dict) -> list[int]:
-    """Offsets of GUESS_WINDOW bytes from ``begin`` on whose sixteen bytes may be a header."""
-    octets = np.frombuffer(data, np.uint8)[begin : begin + GUESS_WINDOW + RECORD_HEADER]
-    span = len(octets) - RECORD_HEADER
-    if span <= 0:
-        return []
-    fraction, size, original = (_words(octets, at, span, capture["big_endian"]) for at in (4, 8, 12))
+def _plausible(data: bytes, begin: int, span: int, capture: dict) -> list[int]:
+    """Those of ``span`` offsets from ``begin`` on whose sixteen bytes may be a header."""
+    octets = np.frombuffer(data, np.uint8)
+    fraction, size, original = (_words(octets, begin + at, span, capture["big_endian"]) for at in (4, 8, 12))
     sound = fraction < (1000 * MICROS if capture["nanos"] else MICROS)
     sound &= (size > 0) & (size <= capture["snaplen"]) & (original >= size) & (original <= GUESS_WINDOW)
     return (np.flatnonzero(sound) + begin).tolist()

@@ -278,3 +278,22 @@ def test_tasks_of_a_scan(spark):
     assert scan_tasks(spark, 7, 7 * SPLIT_BYTES) == 7
     assert scan_tasks(spark, 100_000, 100_000 << 15) == max(few, -(-(100_000 << 15) // SPLIT_BYTES))
     assert scan_tasks(spark, 5000, 5000 * SPLIT_BYTES) == 5000
+
+
+def test_sound_records_are_sought_near_first(monkeypatch):
+    """Few bytes are looked at if a sound record is near; far ones are found all the same."""
+    looked = []
+    words = records._words
+    monkeypatch.setattr(records, "_words", lambda octets, at, span, big: looked.append(span) or words(octets, at, span, big))
+    whole = build.pcap([(1_600_000_000_000_000 + i * 1000, b"y" * 80) for i in range(30_000)])[24:]
+    capture = {"kind": "pcap", "big_endian": False, "nanos": False, "snaplen": 65535}
+    assert records.guess_start(whole[5:], capture) == 91
+    assert records.next_record(whole, 5, capture, len(whole), None) == 96
+    assert sum(looked) <= 8 * records.FIRST_LOOK
+    for gap in (records.FIRST_LOOK - 1, 5 * records.FIRST_LOOK, 300_000, 1_200_000):
+        junk = b"\xff" * gap + whole
+        assert records.next_record(junk, 3, capture, len(junk), None) == gap
+        assert records.guess_start(junk, capture) == (gap if gap < records.GUESS_WINDOW else None)
+    pieces = build.section() + build.interface() + b"".join(build.enhanced(i, b"z" * 60) for i in range(100))
+    begin = len(build.section() + build.interface())
+    assert records.next_block(b"\xff" * 200_000 + pieces, 0, "<") == 200_000 + begin
